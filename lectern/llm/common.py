@@ -93,3 +93,21 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.
             last = now
     if held:
         yield pa.concat_tables(held)
+
+
+def complete_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Of rows that come sorted by the keys, tables that end where a run of equal keys ends."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        table = table if rest is None else pa.concat_tables([rest, table])
+        columns = [table.column(k).to_numpy() for k in keys]
+        change = sum((c[1:] != c[:-1]).astype("i4") for c in columns).nonzero()[0] if table.num_rows > 1 else []
+        end = int(change[-1]) + 1 if len(change) else 0
+        if end:
+            yield table.slice(0, end)
+        rest = table.slice(end)
+    if rest is not None and rest.num_rows:
+        yield rest
