@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.ann import build_index, search_index
+from lectern.llm.capdup import near_embeddings
 from lectern.llm.language import fit_language_filters, held_out, identify_languages
+from lectern.llm.licenses import scan_licenses
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
 from lectern.llm.neardup import near_duplicates
 from lectern.llm.packing import place_pieces, token_pieces
@@ -127,14 +130,30 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.drop("lang"), filters).drop("text")
 
 
+def embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search_index(build_index(vectors), vectors.where("vec_id % 100 = 0"))
+
+
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
     "op1_minhash_neardup": minhash_neardup,
     "op2_sharding": sharding,
     "op3_packing": packing,
+    "op4_embedding_neardup": embedding_neardup,
     "op5_mixing": mixing,
     "op6_url_filters": url_filters,
     "op7_toxicity": toxicity,
     "op8_language_id": language_id,
+    "op9_nearest_neighbours": nearest_neighbours,
+    "op10_license_scan": license_scan,
 }
 
 SQL = {"op5_mixing": _mixing_sql(), "op6_url_filters": URL_SQL}
