@@ -135,7 +135,8 @@ def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[t
 
 
 def place_pieces(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces (key, start, length, and more, ids left out by preference).
+    """Adds ``sequence_id`` and ``offset`` to pieces (key, start, length, and more; ids are better left out).
+    The pieces are read twice, so pieces that are dear to make come from a kept table.
 
     Only the histogram (at most ``limit`` numbers) reaches the driver, where patterns are counted.
     Pieces are ranked within their length by global prefix counts (a length may hold
@@ -161,5 +162,7 @@ def place_pieces(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT) ->
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int | None = 0) -> DataFrame:
-    """Every document's pieces with their sequences, offsets and ids."""
-    return place_pieces(token_pieces(docs, key, text, vocabulary, limit, end), key, limit)
+    """Every document's pieces with their ids, sequences and offsets (keys tell documents apart here)."""
+    pieces = keep(token_pieces(docs, key, text, vocabulary, limit, end))
+    placed = place_pieces(pieces.drop("ids"), key, limit).select(F.col(key).alias("_key"), F.col("start").alias("_start"), "sequence_id", "offset")
+    return pieces.join(placed, F.col(key).eqNullSafe(F.col("_key")) & (F.col("start") == F.col("_start"))).drop("_key", "_start")

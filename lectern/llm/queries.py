@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.ann import build_index, search_index
 from lectern.llm.capdup import near_embeddings
+from lectern.llm.common import keep
 from lectern.llm.language import fit_language_filters, held_out, identify_languages
 from lectern.llm.licenses import scan_licenses
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
@@ -35,8 +36,7 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"))
-    pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return place_pieces(pieces)
+    return place_pieces(keep(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
