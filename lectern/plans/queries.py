@@ -1,5 +1,405 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries: the operators over the driver's tables, with DuckDB SQL for the same rows.
 
-QUERIES = {}
-SQL = {}
+Documents stand in for long lectures (a source is a lecture, a document a slide), conversations for
+short ones with speech (the assistant's turns), events for detections, embeddings for children.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from lectern.functions import text as T
+from lectern.operators import align, chunk, documents, questions, retrieve, scoring, segment, terms
+from lectern.sources import lectures as io
+
+SPEED = 15.0
+AXES = ("quality", "toxic")
+BUDGET = 200
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long_lectures(spark: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("source").orderBy("doc_id")
+    df = table(spark, d, "documents").withColumn("pos", F.row_number().over(w) - 1).withColumn("till", F.sum("n_chars").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    return df.select(F.col("source").alias("video_id"), "pos", F.concat(F.lit("slide"), F.col("pos") + 1).alias("slide_id"), ((F.col("till") - F.col("n_chars")) / SPEED).alias("start_sec"), (F.col("till") / SPEED).alias("end_sec"), F.col("text").alias("full_text"))
+
+
+LONG = f"""long AS (SELECT source AS video_id, row_number() OVER w - 1 AS pos, 'slide' || (row_number() OVER w) AS slide_id,
+  (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - n_chars) / {SPEED} AS start_sec,
+  sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) / {SPEED} AS end_sec, text AS full_text
+  FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))"""
+
+
+def short_lectures(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations")
+    speech = F.col("role") == "assistant"
+    t = T.normalize_text(F.col("text"))
+    return c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("pos"), F.concat(F.lit("slide"), F.col("turn") + 1).alias("slide_id"), (F.col("turn") * 60.0).alias("start_sec"), (F.col("turn") * 60.0 + 60.0).alias("end_sec"), F.when(speech, "").otherwise(t).alias("ocr_text"), F.when(speech, t).otherwise("").alias("asr_text"))
+
+
+def strip_sql(x: str) -> str:
+    return rf"regexp_replace({x}, '^[\s\p{{Z}}\x1c-\x1f\x85]+|[\s\p{{Z}}\x1c-\x1f\x85]+$', '', 'g')"
+
+
+def normal_sql(x: str) -> str:
+    lines = f"list_filter(string_split(coalesce({x}, ''), chr(10)), lambda s: {strip_sql('s')} <> '')"
+    return strip_sql(f"array_to_string(list_filter({lines}, lambda s, i: i = 1 OR {strip_sql('s')} <> {strip_sql(f'({lines})[i - 1]')}), chr(10))")
+
+
+SHORT = f"""short AS (SELECT conv_id::VARCHAR AS video_id, turn::INT AS pos, 'slide' || (turn + 1) AS slide_id, turn * 60.0::DOUBLE AS start_sec, turn * 60.0::DOUBLE + 60 AS end_sec,
+  CASE WHEN role = 'assistant' THEN '' ELSE t END AS ocr_text, CASE WHEN role = 'assistant' THEN t ELSE '' END AS asr_text
+  FROM (SELECT *, {normal_sql("text")} AS t FROM conversations))"""
+
+
+def detections(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)
+    return e.select(F.col("user_id").cast("string").alias("video_id"), (micros / 1e6).alias("time"), F.col("event_id").alias("det_pos"), F.col("value").alias("score"), "event_type")
+
+
+DETECTIONS = "d AS (SELECT user_id::VARCHAR AS video_id, (epoch_us(ts) - 1704067200000000) / 1e6 AS time, event_id AS det_pos, value AS score, event_type FROM events)"
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
 FLAGSHIP = "context_for_queries"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"SELECT doc_id, {normal_sql('text')} AS normal FROM documents")
+def normalize_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normal"))
+
+
+GROUPED = """g AS (SELECT video_id, pos // 3 AS g, string_agg(slide_id, ',' ORDER BY pos) AS slide_ids, min(start_sec) AS start_sec, max(end_sec) AS end_sec,
+  coalesce(string_agg('[' || slide_id || ']' || chr(10) || ocr_text, chr(10) || chr(10) ORDER BY pos) FILTER (ocr_text <> ''), '') AS ocr,
+  coalesce(string_agg('[' || slide_id || ']' || chr(10) || asr_text, chr(10) || chr(10) ORDER BY pos) FILTER (asr_text <> ''), '') AS asr,
+  coalesce(string_agg('[' || slide_id || ']' || chr(10) || concat_ws(chr(10), nullif(ocr_text, ''), CASE WHEN asr_text <> '' THEN '[音声]' || chr(10) || asr_text END), chr(10) || chr(10) ORDER BY pos) FILTER (ocr_text <> '' OR asr_text <> ''), '') AS combined
+  FROM short GROUP BY ALL)"""
+
+
+@query(f"""WITH {SHORT}, {GROUPED}
+SELECT video_id, printf('parent_%04d', g) AS chunk_id, slide_ids, start_sec, end_sec, store_mode, page_content FROM (UNPIVOT g ON combined, ocr, asr INTO NAME store_mode VALUE page_content) WHERE page_content <> ''""")
+def slide_group_parents(spark, d):
+    p = chunk.slide_group_parents(short_lectures(spark, d), 3)
+    docs = documents.in_three_modes(p, combined=F.col("combined_text"), ocr=F.col("ocr_text"), asr=F.col("asr_text")).where("page_content <> ''")
+    return docs.select("video_id", "chunk_id", F.array_join("slide_ids", ",").alias("slide_ids"), "start_sec", "end_sec", "store_mode", "page_content")
+
+
+@query(f"""WITH RECURSIVE {SHORT}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS k FROM short),
+f AS (SELECT video_id, k, 0 AS g, length(asr_text) AS total FROM n WHERE k = 1
+  UNION ALL SELECT n.video_id, n.k, CASE WHEN f.total >= {BUDGET} THEN f.g + 1 ELSE f.g END, CASE WHEN f.total >= {BUDGET} THEN 0 ELSE f.total END + length(n.asr_text) FROM f JOIN n ON n.video_id = f.video_id AND n.k = f.k + 1),
+full_groups AS (SELECT video_id, max(g) FILTER (total >= {BUDGET}) AS last FROM f GROUP BY video_id),
+a AS (SELECT n.*, CASE WHEN last IS NULL THEN 0 ELSE least(f.g, last) END AS g, last IS NOT NULL AND f.g > last AS tail FROM n JOIN f USING (video_id, k) JOIN full_groups USING (video_id))
+SELECT video_id, printf('parent_%04d', g) AS chunk_id, string_agg(slide_id, ',' ORDER BY pos) AS slide_ids, min(start_sec) AS start_sec, max(end_sec) AS end_sec,
+  coalesce(string_agg(ocr_text, chr(10) || chr(10) ORDER BY pos) FILTER (ocr_text <> '' AND NOT tail), '') || coalesce(string_agg(chr(10) || chr(10) || ocr_text, '' ORDER BY pos) FILTER (ocr_text <> '' AND tail), '') AS ocr_text,
+  coalesce(string_agg(asr_text, chr(10) ORDER BY pos) FILTER (asr_text <> ''), '') AS asr_text
+FROM a GROUP BY video_id, g""")
+def char_budget_parents(spark, d):
+    return chunk.char_budget_parents(short_lectures(spark, d), BUDGET).withColumn("slide_ids", F.array_join("slide_ids", ",")).drop("g")
+
+
+def _by_slides(overlap: int):
+    step = max(1, 3 - overlap)
+    sql = f"""WITH {LONG}, t AS (SELECT *, {strip_sql("coalesce(full_text, '')")} AS ocr FROM long),
+c AS (SELECT *, unnest(generate_series(greatest(0, (pos - 3 + {step}) // {step}), pos // {step})) AS chunk FROM t)
+SELECT video_id, printf('chunk_%04d', chunk) AS chunk_id, string_agg(slide_id, ',' ORDER BY pos) AS slide_ids, min(start_sec) AS start_sec, max(end_sec) AS end_sec,
+  coalesce(string_agg('[' || slide_id || ']' || chr(10) || ocr, chr(10) || chr(10) ORDER BY pos) FILTER (ocr <> ''), '') AS ocr_text FROM c GROUP BY video_id, chunk"""
+
+    def run(spark, d):
+        s = long_lectures(spark, d).withColumn("ocr_text", T.strip(T.text_or_empty(F.col("full_text")))).withColumn("asr_text", F.lit("")).drop("full_text")
+        return chunk.build_chunks(chunk.chunk_by_slides(s, 3, overlap)).withColumn("slide_ids", F.array_join("slide_ids", ",")).drop("asr_text")
+
+    run.__name__ = f"qg_chunks_by_slides_overlap_{overlap}"
+    query(sql)(run)
+
+
+_by_slides(0)
+_by_slides(1)
+
+
+def _by_time(overlap: float, sql: str | None):
+    def run(spark, d):
+        s = long_lectures(spark, d).drop("full_text")
+        return chunk.chunk_by_time(s, 5.0, overlap).groupBy("video_id", "chunk").agg(F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"), F.count("*").alias("n_slides"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
+
+    run.__name__ = f"qg_chunks_by_time_overlap_{overlap:g}"
+    query(sql)(run)
+
+
+_by_time(0.0, f"""WITH RECURSIVE {LONG},
+f AS (SELECT video_id, pos, start_sec, end_sec, 0 AS chunk, start_sec AS base FROM long WHERE pos = 0
+  UNION ALL SELECT l.video_id, l.pos, l.start_sec, l.end_sec, CASE WHEN f.end_sec - f.base >= 300 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.end_sec - f.base >= 300 THEN l.start_sec ELSE f.base END FROM f JOIN long l ON l.video_id = f.video_id AND l.pos = f.pos + 1)
+SELECT video_id, chunk, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_slides, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM f GROUP BY ALL""")
+_by_time(60.0, None)
+
+
+def _frames(spark, d):
+    e = detections(spark, d)
+    f = e.where("event_type in ('view', 'click')").select("video_id", F.lit(0).alias("pos"), F.col("det_pos").alias("frame_pos"), F.col("time").alias("detect_time"), "time", F.lit(2592000.0).alias("slide_end"))
+    s = e.where("event_type = 'error'").select("video_id", F.lit(0).alias("pos"), F.col("det_pos").alias("seg_pos"), F.col("time").alias("start_sec"), F.concat(F.lit("seg "), "det_pos").alias("text"))
+    return align.align_segments(f, s)
+
+
+ALIGNED = f"""WITH {DETECTIONS}, f AS (SELECT video_id, det_pos AS frame_pos, time AS from_sec, coalesce(lead(time) OVER (PARTITION BY video_id ORDER BY det_pos), 2592000.0) AS to_sec FROM d WHERE event_type IN ('view', 'click')),
+a AS (SELECT f.*, coalesce((SELECT string_agg('seg ' || s.det_pos, chr(10) ORDER BY s.det_pos) FROM d s WHERE s.event_type = 'error' AND s.video_id = f.video_id AND s.time >= f.from_sec AND s.time < f.to_sec), '') AS asr_text FROM f)"""
+
+
+@query(f"{ALIGNED} SELECT video_id, frame_pos, from_sec, to_sec, asr_text FROM a")
+def align_segments(spark, d):
+    return _frames(spark, d).select("video_id", "frame_pos", "from_sec", "to_sec", "asr_text")
+
+
+@query(f"""{ALIGNED}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_pos) - 1 AS child_index FROM a)
+SELECT video_id, 'asr' AS store_mode, 'parent_0000' AS chunk_id, child_index, 'parent_0000_child_' || child_index AS child_id, from_sec AS start_sec, to_sec AS end_sec, asr_text AS page_content FROM n WHERE asr_text <> ''
+UNION ALL SELECT video_id, 'combined', 'parent_0000', child_index, 'parent_0000_child_' || child_index, from_sec, to_sec, '[音声]' || chr(10) || asr_text FROM n WHERE asr_text <> ''""")
+def slide_child_documents(spark, d):
+    f = _frames(spark, d).withColumn("ocr_text", F.lit("")).withColumn("slide_id", F.lit("slide1")).withColumn("frame_id", F.col("frame_pos")).withColumn("mode", F.lit("change"))
+    return documents.slide_children(f, 3, use_hint=False).drop("slide_id", "frame_id", "mode")
+
+
+@query(f"""WITH RECURSIVE {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time, det_pos) AS k FROM d WHERE score >= 0.005),
+f AS (SELECT video_id, k, det_pos, time, time AS last, true AS kept FROM n WHERE k = 1
+  UNION ALL SELECT n.video_id, n.k, n.det_pos, n.time, CASE WHEN n.time - f.last >= 3600 THEN n.time ELSE f.last END, n.time - f.last >= 3600 FROM f JOIN n ON n.video_id = f.video_id AND n.k = f.k + 1)
+SELECT video_id, det_pos, time FROM f WHERE kept""")
+def debounce_detections(spark, d):
+    return segment.debounce(segment.scored(detections(spark, d)), 3600.0).select("video_id", "det_pos", "time")
+
+
+@query(f"""WITH {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time, det_pos) AS k FROM d WHERE score >= 0.005),
+m AS (SELECT *, CASE WHEN k = 1 OR (score >= 5.0 AND det_pos % 2 = 0) OR (score < 5.0 AND det_pos % 10 >= 6) THEN 1 ELSE 0 END AS change FROM n),
+s AS (SELECT *, sum(change) OVER (PARTITION BY video_id ORDER BY time, det_pos ROWS UNBOUNDED PRECEDING) AS no FROM m),
+g AS (SELECT video_id, no, min(time) AS t, arg_max(event_type, (time, det_pos)) AS full_text, count(*) AS n_frames FROM s GROUP BY ALL)
+SELECT video_id, CAST(no AS BIGINT) AS slide_no, 'slide' || CAST(no AS BIGINT) AS slide_id, round(t, 3) AS start_sec, round(coalesce(lead(t) OVER (PARTITION BY video_id ORDER BY no), 2592000.0), 3) AS end_sec, full_text, n_frames FROM g""")
+def slide_sessions(spark, d):
+    e = detections(spark, d).withColumn("changed_ratio", (F.col("det_pos") % 10) / 10).withColumn("is_distributed", F.col("det_pos") % 2 == 0).withColumn("mean_ssim", F.lit(0.5)).withColumn("ocr", F.col("event_type"))
+    f = segment.segment_slides(e, 0.0)
+    return segment.time_ranges(f, e.select("video_id").distinct().withColumn("duration", F.lit(2592000.0)))
+
+
+@query()
+def split_children(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "text")
+    return chunk.split_children(t, "text", 300, 30).drop("text")
+
+
+def _children(spark, d):
+    v = table(spark, d, "embeddings")
+    mode = F.when(F.col("vec_id") % 2 == 0, "ocr").otherwise("asr")
+    return v.select(F.lit("v").alias("video_id"), mode.alias("store_mode"), F.col("vec_id").alias("child_id"), F.format_string("parent_%04d", F.floor(F.col("vec_id") / 4)).alias("chunk_id"), "embedding", "label")
+
+
+def _asked(spark, d):
+    return _children(spark, d).where("child_id % 100 = 0").withColumnRenamed("child_id", "query_id").select("query_id", "video_id", "embedding")
+
+
+def _parents(spark, d):
+    c = _children(spark, d).groupBy("video_id", "store_mode", "chunk_id").agg(F.min("child_id").alias("start_sec"), F.max("child_id").alias("end_sec"), F.count("*").alias("n"))
+    return c.select("video_id", "store_mode", "chunk_id", "start_sec", "end_sec", F.concat_ws(" ", "chunk_id", "store_mode", "n").alias("page_content"))
+
+
+def knn_sql(k: int) -> str:
+    return f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'ocr' ELSE 'asr' END AS store_mode, printf('parent_%04d', vec_id // 4) AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.store_mode, v.vec_id AS child_id, v.chunk_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id % 100 = 0),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, store_mode ORDER BY score DESC, child_id) AS rank FROM s) WHERE rank <= {k}),
+p AS (SELECT query_id, store_mode, chunk_id, min(rank) AS hit FROM hits GROUP BY ALL),
+docs AS (SELECT store_mode, chunk_id, min(vec_id) AS start_sec, max(vec_id) AS end_sec, chunk_id || ' ' || store_mode || ' ' || count(*) AS page_content FROM v GROUP BY store_mode, chunk_id)"""
+
+
+@query(f"{knn_sql(6)} SELECT query_id, child_id, chunk_id, score, rank FROM hits WHERE store_mode = 'ocr'")
+def knn_children(spark, d):
+    return retrieve.knn_topk(_asked(spark, d).withColumn("store_mode", F.lit("ocr")), _children(spark, d), 6)
+
+
+TOP = f"{knn_sql(6)}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, store_mode ORDER BY hit) AS rank FROM p) WHERE rank <= 3 AND store_mode = 'ocr')"
+
+
+@query(f"{TOP} SELECT query_id, chunk_id, rank, start_sec, end_sec, page_content FROM top JOIN docs USING (store_mode, chunk_id)")
+def parents_topk(spark, d):
+    return retrieve.search(_asked(spark, d).withColumn("store_mode", F.lit("ocr")), _children(spark, d), _parents(spark, d), 3).drop("video_id", "store_mode")
+
+
+@query(f"{TOP} SELECT query_id, string_agg(page_content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN docs USING (store_mode, chunk_id) GROUP BY query_id")
+def context_for_queries(spark, d):
+    return retrieve.contexts(parents_topk(spark, d))
+
+
+@query(f"""{knn_sql(4)}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, store_mode ORDER BY hit) AS r FROM p) WHERE r <= 2),
+ids AS (SELECT query_id, chunk_id, min((CASE store_mode WHEN 'asr' THEN 0 ELSE 1 END) * 100 + r) AS at_ FROM top GROUP BY ALL),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at_) AS rank FROM ids) WHERE rank <= 4)
+SELECT query_id, c.chunk_id, rank, coalesce(o.start_sec, a.start_sec) AS start_sec, coalesce(o.end_sec, a.end_sec) AS end_sec, concat_ws(chr(10) || chr(10), o.page_content, '[音声]' || chr(10) || a.page_content) AS page_content
+FROM cut c LEFT JOIN docs o ON o.chunk_id = c.chunk_id AND o.store_mode = 'ocr' LEFT JOIN docs a ON a.chunk_id = c.chunk_id AND a.store_mode = 'asr'""")
+def aligned_topk(spark, d):
+    return retrieve.search_aligned(_asked(spark, d), _children(spark, d), _parents(spark, d), 4).drop("video_id")
+
+
+@query(f"""WITH {SHORT}, {GROUPED}
+SELECT video_id, store_mode, count(*) AS n_docs, sum(length(page_content))::BIGINT AS n_chars FROM (UNPIVOT g ON combined, ocr, asr INTO NAME store_mode VALUE page_content) WHERE page_content <> '' GROUP BY ALL""")
+def index_stats(spark, d):
+    return documents.index_stats(slide_group_parents(spark, d))
+
+
+@query("""SELECT label, dim - 1 AS dim, round(avg(x), 9) AS mean FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY ALL""")
+def centroid_by_label(spark, d):
+    return retrieve.centroids(table(spark, d, "embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 9))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, {strip_sql("coalesce(text, '')")} AS t FROM conversations)
+SELECT conv_id::VARCHAR AS video_id, string_agg('[slide' || (turn + 1) || ' | ' || (turn * 60) || '.0s〜' || (turn * 60 + 60) || '.0s]' || chr(10) || CASE WHEN role <> 'assistant' THEN '（ASRなし）' ELSE t END, chr(10) || chr(10) ORDER BY turn) AS value FROM c GROUP BY conv_id""")
+def transcript_export(spark, d):
+    c = table(spark, d, "conversations")
+    start = (F.col("turn") * 60.0).cast("double")
+    seg = F.struct(start.alias("start_sec"), F.col("text"))
+    s = c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("pos"), F.concat(F.lit("slide"), F.col("turn") + 1).alias("slide_id"), start.alias("start_sec"), (start + 60.0).alias("end_sec"), F.when(F.col("role") == "assistant", F.array(seg)).otherwise(F.filter(F.array(seg), lambda x: F.lit(False))).alias("asr"))
+    return io.transcripts(s)
+
+
+@query(f"""WITH {LONG}, t AS (SELECT DISTINCT video_id, pos, unnest(regexp_extract_all(lower(full_text), '(\\p{{L}}{{3,}})', 1)) AS term FROM long),
+c AS (SELECT video_id, term, count(*) AS n_slides FROM t GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n_slides DESC, term) AS rank FROM c) WHERE rank <= 15""")
+def recurring_terms(spark, d):
+    return terms.recurring_terms(long_lectures(spark, d), 15)
+
+
+@query("""WITH t AS (SELECT source AS video_id, doc_id::VARCHAR AS chunk_id, unnest(regexp_extract_all(lower(text), '(\\p{L}{3,})', 1)) AS term FROM documents),
+tf AS (SELECT video_id, chunk_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT count(DISTINCT (source, doc_id)) AS total FROM documents),
+w AS (SELECT tf.*, df, round(tf * ln(total / df), 6) AS weight FROM tf JOIN df USING (term), n)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, chunk_id ORDER BY weight DESC, term) AS rank FROM w) WHERE rank <= 10""")
+def chunk_keywords(spark, d):
+    c = table(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    return terms.chunk_keywords(c, 10)
+
+
+def _replies(spark, d):
+    """Replies rendered from the benchmark: objects, arrays, fenced ones, broken ones."""
+    b = table(spark, d, "benchmark")
+    obj = F.to_json(F.struct(F.col("text").alias("question"), F.lit("x").alias("choice_A"), F.element_at(F.array(*map(F.lit, "ABCD")), (F.col("item_id") % 4 + 1).cast("int")).alias("answer"), F.lit("r").alias("reason")))
+    kind = F.col("item_id") % 5
+    two = F.concat(F.lit("["), obj, F.lit(", 7, "), obj, F.lit(', {"question": "", "answer": "A"}]'))
+    reply = F.when(kind == 0, obj).when(kind == 1, two).when(kind == 2, F.concat(F.lit("```json\n"), two, F.lit("\n```"))).when(kind == 3, F.concat(obj, F.lit(" and more"))).otherwise(F.substring(obj, 1, 20))
+    return b.select(F.lit("v").alias("video_id"), F.format_string("chunk_%04d", "item_id").alias("chunk_id"), reply.alias("reply"))
+
+
+@query("""WITH b AS (SELECT *, unnest(CASE item_id % 5 WHEN 0 THEN [0] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 1] ELSE [] END) AS ord FROM benchmark)
+SELECT 'v' AS video_id, printf('chunk_%04d', item_id) AS chunk_id, printf('direct_time_chunk_%04d_q%02d', item_id, ord) AS question_id, 'direct' AS method, 'time' AS chunk_mode, text AS question, 'x' AS choice_A, '' AS choice_B, '' AS choice_C, '' AS choice_D,
+  substr('ABCD', (item_id % 4 + 1)::INT, 1) AS answer, 'r' AS reason, '' AS bloom_level FROM b""")
+def parse_questions(spark, d):
+    return questions.questions(_replies(spark, d), "direct", "time")
+
+
+@query(f"""WITH r AS (SELECT item_id, string_split_regex('A、 ' || text, '[、,，\\n]') AS parts FROM benchmark)
+SELECT item_id, array_to_string(list_filter(list_transform(parts, lambda s: {strip_sql('s')}), lambda s: s <> ''), '|') AS seeds FROM r""")
+def parse_seeds(spark, d):
+    reply = F.concat(F.lit("```x, y```A、 "), "text")
+    return table(spark, d, "benchmark").select("item_id", F.array_join(T.parse_seeds(reply), "|").alias("seeds"))
+
+
+@query("""WITH r AS (SELECT doc_id, (doc_id % 12) / 2.0 AS v, doc_id % 7 = 0 AS broken FROM documents)
+SELECT doc_id, CASE WHEN NOT broken AND v BETWEEN 1 AND 5 THEN round_even(v, 0)::INT END AS score, CASE WHEN broken THEN '' ELSE 'because' END AS cot, '' AS reason FROM r""")
+def parse_scores(spark, d):
+    body = F.concat(F.lit('well ```json\n{"score": '), ((F.col("doc_id") % 12) / 2.0).cast("string"), F.lit(', "cot": "because"}\n```'))
+    replies = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "no").otherwise(body).alias("reply"))
+    return scoring.parse_scores(replies).drop("reply")
+
+
+def _bank(spark, d):
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    method = F.when(F.col("lang") == "en", "direct").when(F.col("lang") == "fr", "rag").when(F.col("lang") == "de", "rag_cot").otherwise("other")
+    return j.select(F.col("source").alias("video_id"), F.concat(F.lit("q"), "doc_id").alias("question_id"), F.lit("m").alias("model"), method.alias("method"), F.when(F.col("doc_id") % 8 == 0, "slide").otherwise("time").alias("chunk_mode"), "quality", "toxic", "doc_id", "n_chars")
+
+
+def _scores(spark, d):
+    """Two trials for each question and axis; the second misses for every third question."""
+    b = _bank(spark, d)
+    axes = F.explode(F.array(F.struct(F.lit("quality").alias("axis"), F.col("quality").alias("v")), F.struct(F.lit("toxic").alias("axis"), F.col("toxic").alias("v"))))
+    s = b.withColumn("a", axes).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(2)))).where("not (a.axis = 'toxic' and doc_id % 5 = 0)")
+    score = F.when((F.col("trial") == 2) & (F.col("doc_id") % 3 == 0), None).otherwise(1 + (F.col("a.v") * 3 + F.col("trial") + F.col("n_chars")) % 5).cast("int")
+    return s.select("video_id", "question_id", "model", "method", "chunk_mode", "a.axis", "trial", score.alias("score"))
+
+
+BANK = """bank AS (SELECT source AS video_id, 'q' || doc_id AS question_id, 'm' AS model, CASE lang WHEN 'en' THEN 'direct' WHEN 'fr' THEN 'rag' WHEN 'de' THEN 'rag_cot' ELSE 'other' END AS method,
+  CASE WHEN doc_id % 8 = 0 THEN 'slide' ELSE 'time' END AS chunk_mode, quality, toxic, doc_id, n_chars FROM labels JOIN documents USING (doc_id))"""
+SCORES = f"""{BANK}, scores AS (SELECT video_id, question_id, model, method, chunk_mode, axis, trial, CASE WHEN trial = 2 AND doc_id % 3 = 0 THEN NULL ELSE 1 + (v * 3 + trial + n_chars) % 5 END::INT AS score
+  FROM (SELECT *, unnest([1, 2]) AS trial FROM (SELECT *, quality AS v, 'quality' AS axis FROM bank UNION ALL SELECT *, toxic, 'toxic' FROM bank WHERE doc_id % 5 <> 0)))"""
+
+
+@query(f"WITH {BANK} SELECT video_id, question_id, model, method, chunk_mode FROM bank WHERE method <> 'other' AND chunk_mode = 'time'")
+def eval_targets(spark, d):
+    return scoring.targets(_bank(spark, d)).select("video_id", "question_id", "model", "method", "chunk_mode")
+
+
+@query(f"WITH {BANK} SELECT method, count(*) AS n FROM bank GROUP BY method")
+def method_counts(spark, d):
+    return scoring.method_counts(_bank(spark, d))
+
+
+@query(f"""WITH {SCORES} SELECT video_id, question_id, model, method, chunk_mode, axis, round(avg(score), 9) AS avg_score, coalesce(string_agg(score::VARCHAR, ',' ORDER BY trial) FILTER (score IS NOT NULL), '') AS trial_scores FROM scores GROUP BY ALL""")
+def eval_trial_avg(spark, d):
+    return scoring.trial_averages(_scores(spark, d)).withColumn("avg_score", F.round("avg_score", 9)).withColumn("trial_scores", F.array_join(F.transform("trial_scores", lambda x: x.cast("string")), ","))
+
+
+MEANS = f"""{SCORES}, t AS (SELECT video_id, question_id, model, method, axis, avg(score) AS s FROM scores WHERE chunk_mode = 'time' GROUP BY ALL HAVING avg(score) IS NOT NULL),
+a AS (SELECT video_id, model, method, axis, round(avg(s), 4) AS mean, count(*) AS n FROM t GROUP BY ALL)"""
+
+
+@query(f"WITH {MEANS} SELECT video_id, model, method, max(n) AS n, max(mean) FILTER (axis = 'quality') AS quality, max(mean) FILTER (axis = 'toxic') AS toxic FROM a GROUP BY ALL")
+def eval_summary(spark, d):
+    return scoring.summary_table(_scores(spark, d), AXES)
+
+
+@query(f"WITH {BANK} SELECT video_id, question_id, model, method FROM bank WHERE doc_id % 5 = 0")
+def eval_pending(spark, d):
+    return scoring.pending(_bank(spark, d), _scores(spark, d), AXES).select("video_id", "question_id", "model", "method")
+
+
+@query(f"WITH {BANK} SELECT model, count(*) AS n_done FROM bank WHERE doc_id % 5 <> 0 GROUP BY model")
+def completed_counts(spark, d):
+    return scoring.completed_counts(_scores(spark, d), AXES)
+
+
+@query(f"WITH {BANK} SELECT video_id, question_id, method, NULL::VARCHAR AS note FROM bank UNION ALL SELECT video_id, question_id, method, 'again' FROM bank")
+def append_questions(spark, d):
+    b = _bank(spark, d).select("video_id", "question_id", "method")
+    return io.append_questions(b, b.withColumn("note", F.lit("again")))
+
+
+@query("""SELECT event_id, event_id / 4.0 AS time, value AS score FROM events WHERE event_type <> 'error'""")
+def scene_log(spark, d):
+    e = table(spark, d, "events")
+    line = F.concat(F.lit("[x] lavfi.scd.score: "), F.format_string("%.2f", "value"), F.when(F.col("event_type") != "error", F.concat(F.lit(" lavfi.scd.time: "), (F.col("event_id") / 4.0).cast("decimal(18,2)").cast("string"))).otherwise(" no time"))
+    return io.parse_scene_log(e.select("event_id", line.alias("value")))
+
+
+@query(f"""SELECT doc_id, 'N=3 $1' || chr(10) || '[スライド]' || chr(10) || t || chr(10) || '知識、応用、評価' AS prompt FROM (SELECT doc_id, {strip_sql('text')} AS t FROM documents) WHERE t <> ''""")
+def prompt_build(spark, d):
+    c = table(spark, d, "documents").select("doc_id", T.strip(F.col("text")).alias("ocr_text"), F.lit("").alias("asr_text"))
+    return questions.question_inputs(c, "N={n} $1\n{text}\n{level}").select("doc_id", "prompt")
+
+
+@query(f"""WITH {LONG} SELECT video_id, string_agg({strip_sql('full_text')}, chr(10) || chr(10) ORDER BY pos) FILTER ({strip_sql('full_text')} <> '') AS ocr_text FROM long GROUP BY video_id""")
+def lecture_ocr(spark, d):
+    return terms.lecture_ocr(long_lectures(spark, d))
+
+
+@query("""SELECT b.item_id, left(string_agg(term, '、' ORDER BY term), 200) AS prompt FROM (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '(\\p{L}{3,})', 1)) AS term FROM benchmark) b GROUP BY b.item_id""")
+def prompt_prefix(spark, d):
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({terms.TERM})"), 1)))
+    return table(spark, d, "benchmark").select("item_id", T.speech_prompt(found, 200).alias("prompt"))
+
+
+@query("SELECT doc_id, length(text) AS n, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS preview FROM documents")
+def result_preview(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"), T.preview(F.col("text")).alias("preview"))
