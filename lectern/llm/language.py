@@ -122,14 +122,15 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, text: str = "t
 
     ``und`` and 0 for null texts and texts without letters.  Ties go to the first language by name.
     Columns of these names are replaced."""
+    rest = docs.drop("lang_pred", "score")
+    at = rest.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB, whatever the corpus
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shared.value.predict(t) for t in batch.column(batch.schema.get_field_index("_text")).to_pylist()]
-            columns = [*batch.columns[:-1], pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
+            out = [shared.value.predict(t) for t in batch.column(at).to_pylist()]
+            columns = [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    rest = docs.drop("lang_pred", "score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.withColumn("_text", F.col(text).cast("string")).mapInArrow(go, f"{schema}, lang_pred string, score double")
+    return rest.mapInArrow(go, f"{schema}, lang_pred string, score double")

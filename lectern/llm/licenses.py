@@ -97,7 +97,7 @@ class Automaton:
         return self.end in states
 
 
-def _scan(phrases: Mapping[str, str], templates: Mapping[str, str]):
+def _scan(at: int, phrases: Mapping[str, str], templates: Mapping[str, str]):
     ends: dict[bytes, list[tuple[list[bytes], str]]] = {}
     for phrase, label in phrases.items():
         ends.setdefault(words_of(phrase)[-1], []).append((words_of(phrase), label))
@@ -124,9 +124,9 @@ def _scan(phrases: Mapping[str, str], templates: Mapping[str, str]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
         for batch in batches:
-            found = [one(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [one(t) for t in batch.column(at).to_pylist()]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], *NEW])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *NEW])
 
     return go
 
@@ -142,4 +142,4 @@ def scan_licenses(docs: DataFrame, text: str = "text", phrases: Mapping[str, str
     names are replaced.  One pass, nothing is shuffled."""
     rest = docs.drop(*NEW)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.withColumn("_text", F.col(text).cast("string")).mapInArrow(_scan(phrases, templates), f"{schema}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rest.mapInArrow(_scan(rest.columns.index(text), phrases, templates), f"{schema}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

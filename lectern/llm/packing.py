@@ -17,7 +17,7 @@ from lectern.llm.common import keep, running_totals
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 1024
 #: Parts of text whose ids a worker remembers.
-_MEMO = 500_000
+_MEMO = 150_000
 _encoders: dict[str, Encoder] = {}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.ann import build_index, search_index
 from lectern.llm.capdup import near_embeddings
-from lectern.llm.common import keep
+from lectern.llm.common import keep, small_batches
 from lectern.llm.language import fit_language_filters, held_out, identify_languages
 from lectern.llm.licenses import scan_licenses
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
@@ -23,6 +23,7 @@ BLOCK_BYTES = 65536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

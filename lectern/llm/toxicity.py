@@ -151,14 +151,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row, from the whole text; null and
     empty texts get the score of a text without known features.  Columns of these names are replaced."""
+    rest = docs.drop("score", "predicted")
+    at = rest.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(t) for t in batch.columns[-1].to_pylist()]
-            columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score", "predicted"])
+            scores = [shared.value.score(t) for t in batch.column(at).to_pylist()]
+            columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score", "predicted"])
 
-    rest = docs.drop("score", "predicted")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.withColumn("_text", F.col(text).cast("string")).mapInArrow(go, f"{schema}, score double, predicted int")
+    return rest.mapInArrow(go, f"{schema}, score double, predicted int")
