@@ -75,17 +75,19 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[np.ndarray
     of the raw score between a text and its swapped form."""
     flat = np.concatenate([*rows, np.empty(0, int)]).astype(int)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    changes = [(np.setdiff1d(a, b), np.setdiff1d(b, a)) for a, b in swaps]
+    changed = np.concatenate([np.setdiff1d(x, y) for pair in swaps for x, y in (pair, pair[::-1])] or [np.empty(0, int)]).astype(int)
+    sides = np.array([len(np.setdiff1d(x, y)) for pair in swaps for x, y in (pair, pair[::-1])], int)
+    swap = np.repeat(np.arange(len(sides)) // 2, sides)
+    sign = np.repeat(1.0 - 2.0 * (np.arange(len(sides)) % 2), sides)  # 1: only in the text, -1: only in its swapped form
     w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
         z = np.bincount(of, w[flat], len(rows)) + w[size]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - toxic) / len(rows)
         grad = np.append(np.bincount(flat, g[of], size), g.sum())
         grad[:size] += L2 * w[:size]
-        for gone, come in changes:
-            d = 2 * SWAP_PENALTY / len(changes) * (w[gone].sum() - w[come].sum())
-            grad[gone] += d
-            grad[come] -= d
+        if len(swaps):
+            change = 2 * SWAP_PENALTY / len(swaps) * np.bincount(swap, sign * w[changed], len(swaps))
+            grad[:size] += np.bincount(changed, sign * change[swap], size)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:size], float(w[size])
