@@ -175,7 +175,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     second = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     whole = first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(second.join(first, second["component"] == first["node"], "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
 
-    labelled = rows.drop("signature").join(whole.withColumnRenamed("node", "set"), "set", "left").withColumn("class", F.coalesce("component", "set"))
-    least = classes.join(whole.withColumnRenamed("node", "set"), "set", "left").groupBy(F.coalesce("component", "set").alias("class")).agg(F.min("id").alias("least"))
-    out = labelled.join(least, "class", "left").withColumn("least", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")))
+    # kept tables on both sides of each join: a component or set of very many rows can be split
+    classed = keep(classes.select("set", "id").join(whole.withColumnRenamed("node", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("class")))
+    least = keep(classed.groupBy("class").agg(F.min("id").alias("least")))
+    answer = keep(classed.join(least, "class").select("set", "least"))
+    release(classed, least)
+    out = rows.drop("signature").join(answer, "set", "left").withColumn("least", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.coalesce(F.col("id") == F.col("least"), F.lit(True)).alias("kept"))
