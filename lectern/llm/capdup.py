@@ -85,6 +85,24 @@ def _cells(kind: str, words: int):
     return go
 
 
+def _smallest(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each node the smallest name of its component under the links a-b, by hooking the larger root
+    of each link onto the smaller one until no link joins two roots."""
+    order = np.argsort(name)
+    rank = np.empty(len(name), np.int64)
+    rank[order] = np.arange(len(name))
+    root, a, b = np.arange(len(name)), rank[a], rank[b]
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return name[order][root[rank]]
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+
+
 def _links(kind: str, cosine: float):
     keys = ["group", "filter", "i", "j"]
 
@@ -99,7 +117,8 @@ def _links(kind: str, cosine: float):
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of cells, sorted, to (class, links, least): how many vectors are linked to the class by pairs
-        whose first common filter is this cell's, and the smallest class linked here."""
+        whose first common filter is this cell's, and the smallest class of its component here (over all
+        pairs that are linked in these blocks)."""
         for t in complete_runs(batches, keys):
             x = np.frombuffer(b"".join(np.array(v, kind).tobytes() for v in t["vector"].to_pylist()), kind)
             edge = np.flatnonzero(np.any([(c := t[k].to_numpy())[1:] != c[:-1] for k in keys], axis=0)) + 1
@@ -110,7 +129,7 @@ def _links(kind: str, cosine: float):
             filters = t["filters"].to_pylist()
             sizes = np.array([len(v) for v in t["vector"].to_pylist()])
             at = np.concatenate([[0], np.cumsum(sizes)])
-            links, least, seen = np.zeros(t.num_rows, np.int64), np.full(t.num_rows, np.iinfo(np.int64).max), np.zeros(t.num_rows, bool)
+            links, least, seen = np.zeros(t.num_rows, np.int64), name.copy(), np.zeros(t.num_rows, bool)
             for s, e in zip(starts, ends, strict=True):
                 if e - s < 2:
                     continue
@@ -121,8 +140,7 @@ def _links(kind: str, cosine: float):
                 a, b = near.nonzero()
                 if not len(a):
                     continue
-                np.minimum.at(least, a + s, name[b + s])
-                np.minimum.at(least, b + s, name[a + s])
+                least[s:e] = _smallest(name[s:e], a, b)
                 seen[a + s] = seen[b + s] = True
                 new = first([np.array(f, np.int64) for f in filters[s:e]], a, b, int(here[s]))
                 np.add.at(links, a[new] + s, weight[b[new] + s])
@@ -140,8 +158,9 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     Equal vectors of a label are one class, with its count as weight.  Every class gets the filters that
     it exceeds (the number of filters follows the number of classes, so that cells stay small);
     classes that share a cell are multiplied in blocks of ``BLOCK`` rows, in double precision.  A pair counts
-    in its first common filter alone, so links are counted without listing pairs; each member's smallest
-    partner in each cell is enough for the components.
+    in its first common filter alone, so links are counted without listing pairs.  For the components
+    each block is reduced to its own components: a member passes on the smallest class of the one it
+    is in, so every link of the block is kept in as many rows as there are linked members.
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link
     with nothing, as do vectors of different lengths.  Rows with a null key are returned without a component,

@@ -167,6 +167,29 @@ def test_op4_brute_force(spark):
     assert near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_op4_keeps_a_single_bridge(spark):
+    """Two dense clusters with one linked pair between them are one component, whatever the hash order."""
+    rng, turn = np.random.default_rng(9), np.deg2rad
+    rows, label = [], 0
+    for label in range(12):
+        axes = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+        # angles along one plane: the ends of the clusters are 11 degrees apart (linked), all else further
+        left, right = -turn(5.5) - turn(5) * rng.random(60), turn(5.5) + turn(5) * rng.random(60)
+        left[0], right[0] = -turn(5.4), turn(5.4)
+        left[1:] -= turn(1.5)
+        right[1:] += turn(1.5)
+        for at in [*left, *right]:
+            rows.append((len(rows), (np.cos(at) * axes[0] + np.sin(at) * axes[1]).tolist(), label))
+    x = np.array([r[1] for r in rows])
+    of = np.array([r[2] for r in rows])
+    link = (x @ x.T >= 0.98) & (of[:, None] == of[None])
+    np.fill_diagonal(link, False)
+    assert all(link[120 * g : 120 * g + 60, 120 * g + 60 : 120 * g + 120].sum() == 1 for g in range(12))
+    got = {r.vec_id: r for r in near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[i].component_id for i in range(len(rows))] == [i - i % 120 for i in range(len(rows))]
+    assert [got[i].n_links for i in range(len(rows))] == link.sum(1).tolist()
+
+
 def test_op5_deviates_by_less_than_a_block(spark):
     weights = {"a": 3, "b": 2, "c": 2, OTHER: 4}
     plan, q = pfair_period(weights), sum(weights.values())
