@@ -17,6 +17,7 @@ from lectern.llm.vectors import as_double, element, usable
 FILTERS, LEAST_FILTERS = 44, 12
 #: Rows of a cell that are multiplied at once; larger cells are cut into blocks.
 BLOCK = 2048
+_codes: dict[tuple[int, int], ProductCode] = {}
 
 
 class ProductCode:
@@ -31,9 +32,24 @@ class ProductCode:
         self._cut = np.array_split(np.arange(dim), self.parts)
         self._code = [c / np.linalg.norm(c, axis=1, keepdims=True) / np.sqrt(self.parts) for c in (rng.standard_normal((words, len(i))) for i in self._cut)]
         sample = rng.standard_normal((64, dim))
-        sums = np.concatenate([self._all(s) for s in self._scores(sample / np.linalg.norm(sample, axis=1, keepdims=True))])
-        share = min(1.0, FILTERS / self.words**self.parts)
-        self.alpha = float(np.quantile(sums, 1 - share))
+        self.alpha = self._threshold(self._scores(sample / np.linalg.norm(sample, axis=1, keepdims=True)))
+
+    def _threshold(self, sample: np.ndarray) -> float:
+        """The inner product that the sample's vectors reach with FILTERS filters on average: found by halving,
+        with the filters above a value counted from the sums of each half of the parts, so that memory
+        follows the square root of the number of filters."""
+        halves = [(np.sort(self._all(s[: self.parts // 2])), np.sort(self._all(s[self.parts // 2 :]))) for s in sample]
+        wanted = FILTERS * len(sample)
+        low, high = min(a[0] + b[0] for a, b in halves), max(a[-1] + b[-1] for a, b in halves)
+        if wanted >= len(sample) * self.words**self.parts:
+            return float(low)
+        for _ in range(60):
+            middle = (low + high) / 2
+            if sum(int((len(b) - np.searchsorted(b, middle - a)).sum()) for a, b in halves) >= wanted:
+                low = middle
+            else:
+                high = middle
+        return float(low)
 
     def _scores(self, x: np.ndarray) -> np.ndarray:
         turned = x @ self._turn
@@ -46,10 +62,22 @@ class ProductCode:
             out = (out[:, None] + s[None, :]).ravel()
         return out
 
+    def _best(self, scores: np.ndarray) -> np.ndarray:
+        """The numbers of the LEAST_FILTERS best filters.  Only the best of the partial sums can be
+        completed to one of them, so no more are carried from part to part."""
+        number, total = np.zeros(1, np.int64), np.zeros(1)
+        for s in scores:
+            words = np.argsort(-s, kind="stable")[:LEAST_FILTERS]
+            total = (total[:, None] + s[words][None, :]).ravel()
+            number = (number[:, None] * self.words + words[None, :]).ravel()
+            stay = np.argsort(-total, kind="stable")[:LEAST_FILTERS]
+            number, total = number[stay], total[stay]
+        return number
+
     def decode(self, x: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the sorted numbers of its filters.  Partial sums that can't reach alpha with
         the best of the other parts are dropped on the way; a vector that passes fewer than
-        LEAST_FILTERS takes its best ones."""
+        LEAST_FILTERS takes its best ones (see _best)."""
         out = []
         for scores in self._scores(x):
             best = [s.max() for s in scores]
@@ -60,15 +88,12 @@ class ProductCode:
                 number = (number[:, None] * self.words + np.arange(self.words)[None, :]).ravel()[stay]
                 total = at[stay]
             if len(number) < LEAST_FILTERS:
-                every = self._all(scores)
-                number = np.argpartition(every, -min(LEAST_FILTERS, len(every)))[-LEAST_FILTERS:]
+                number = self._best(scores)
             out.append(np.sort(number))
         return out
 
 
 def _cells(kind: str, words: int):
-    codes: dict[int, ProductCode] = {}
-
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(class, group, vector) to (class, group, filter)."""
         for batch in batches:
@@ -76,7 +101,7 @@ def _cells(kind: str, words: int):
             for v in batch.column(2).to_pylist():
                 x = np.array(v, kind).astype(float)
                 x /= np.abs(x).max()
-                code = codes.get(len(x)) or codes.setdefault(len(x), ProductCode(len(x), words))
+                code = _codes.get((len(x), words)) or _codes.setdefault((len(x), words), ProductCode(len(x), words))
                 found.append(code.decode((x / np.linalg.norm(x))[None, :])[0])
             n = np.array([len(f) for f in found])
             take = pa.array(np.repeat(np.arange(len(n)), n))

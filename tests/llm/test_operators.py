@@ -1,6 +1,7 @@
 """The numbered operators against brute force, round trips and their laws, with odd rows."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm import minhash
 from lectern.llm.ann import build_index, search_index
-from lectern.llm.capdup import near_embeddings
+from lectern.llm.capdup import FILTERS, LEAST_FILTERS, ProductCode, near_embeddings
 from lectern.llm.language import UNKNOWN, LanguageFilters, fit_language_filters, grams, held_out, identify_languages
 from lectern.llm.licenses import Automaton, scan_licenses, words_of
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
@@ -190,6 +191,34 @@ def test_op4_keeps_a_single_bridge(spark):
     assert [got[i].n_links for i in range(len(rows))] == link.sum(1).tolist()
 
 
+@pytest.mark.parametrize(("dim", "words"), [(64, 20), (3, 20), (1, 8), (64, 8)])
+def test_op4_filters_in_little_memory(dim, words):
+    """Threshold and best filters equal those over all words**parts filters, which are never laid out."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tracemalloc.start()
+    code = ProductCode(dim, words)
+    made = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    code.alpha += 0.1  # so that some vectors pass too few
+    found = [code.decode(v[None])[0] for v in x]
+    decoded = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made < 4e6 and decoded < 2e6  # 64 * 20**4 doubles are 82 MB
+    code.alpha -= 0.1
+    every = [code._all(s) for s in code._scores(x)]
+    for sums, got in zip(every, found, strict=True):
+        passed = np.flatnonzero(sums >= code.alpha + 0.1)
+        best = np.argsort(-sums, kind="stable")[:LEAST_FILTERS]
+        assert np.allclose(np.sort(sums[got]), np.sort(sums[passed if len(passed) >= LEAST_FILTERS else best]))
+    rng = np.random.default_rng([5, dim, words])
+    rng.standard_normal((dim, dim)), [rng.standard_normal((words, len(i))) for i in code._cut]
+    sample = rng.standard_normal((64, dim))
+    sums = np.concatenate([code._all(s) for s in code._scores(sample / np.linalg.norm(sample, axis=1, keepdims=True))])
+    assert abs(code.alpha - np.sort(sums)[-min(len(sums), 64 * FILTERS)]) < 1e-9
+
+
 def test_op5_deviates_by_less_than_a_block(spark):
     weights = {"a": 3, "b": 2, "c": 2, OTHER: 4}
     plan, q = pfair_period(weights), sum(weights.values())
