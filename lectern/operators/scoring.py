@@ -31,21 +31,38 @@ def settings_hash(n_trials: int, top_k: int, temperature: float, axes: Sequence[
     return F.md5(F.to_json(F.struct(F.lit(n_trials).alias("n_trials"), F.lit(top_k).alias("top_k"), F.lit(temperature).alias("temperature"), F.array(*map(F.lit, axes)).alias("axes"))))
 
 
-def pending(questions: DataFrame, scores: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """Questions of which some axis has no stored score."""
-    done = scores.groupBy("question_id", "model").agg(F.collect_set("axis").alias("axes"))
-    done = done.where(F.size(F.array_except(F.array(*map(F.lit, axes)), "axes")) == 0)
-    return questions.join(done, ["question_id", "model"], "left_anti")
+#: Ids repeat in every lecture and for every model.
+KEYS = ["video_id", "question_id", "model"]
 
 
-def completed_counts(scores: DataFrame, axes: Sequence[str]) -> DataFrame:
-    done = scores.groupBy("question_id", "model").agg(F.collect_set("axis").alias("axes"))
-    return done.where(F.size(F.array_except(F.array(*map(F.lit, axes)), "axes")) == 0).groupBy("model").agg(F.count("*").alias("n_done"))
+def _done(scores: DataFrame, axes: Sequence[str], settings: Column | None, keys: Sequence[str]) -> DataFrame:
+    """The keys of the questions with a stored score on every axis, made under the settings (see settings_hash)."""
+    if settings is None and "settings_hash" in scores.columns:
+        raise ValueError("stored scores count under their settings alone: give settings_hash(...)")
+    kept = scores if settings is None else scores.where(F.col("settings_hash") == settings)
+    done = kept.groupBy(*keys).agg(F.collect_set("axis").alias("axes"))
+    return done.where(F.size(F.array_except(F.array(*map(F.lit, axes)), "axes")) == 0).select(*keys)
+
+
+def pending(questions: DataFrame, scores: DataFrame, axes: Sequence[str], settings: Column | None = None) -> DataFrame:
+    """Questions of which some axis has no stored score of their lecture.  Scores that name no lecture are those
+    of one, and so are the questions then; scores with a settings_hash need ``settings``."""
+    keys = KEYS
+    if "video_id" not in scores.columns:
+        keys = KEYS[1:]
+        if questions.select("video_id").distinct().limit(2).count() > 1:
+            raise ValueError("scores without video_id can't tell the lectures of these questions apart")
+    return questions.join(_done(scores, axes, settings, keys), keys, "left_anti")
+
+
+def completed_counts(scores: DataFrame, axes: Sequence[str], settings: Column | None = None) -> DataFrame:
+    return _done(scores, axes, settings, KEYS).groupBy("model").agg(F.count("*").alias("n_done"))
 
 
 def scoring_inputs(questions: DataFrame, contexts: DataFrame, axes: DataFrame, template: str, models: Sequence[str], n_trials: int = 1) -> DataFrame:
-    """A row for each question, axis, trial and model with its prompt; contexts are attached before the expansion."""
-    q = questions.join(contexts, "question_id", "left").withColumn("context", F.when(F.coalesce("context", F.lit("")) == "", NO_CONTEXT).otherwise(F.col("context")))
+    """A row for each question, axis, trial and model with its prompt; contexts (video_id, question_id, model,
+    context) are attached before the expansion."""
+    q = questions.join(contexts, KEYS, "left").withColumn("context", F.when(F.coalesce("context", F.lit("")) == "", NO_CONTEXT).otherwise(F.col("context")))
     q = q.crossJoin(F.broadcast(axes)).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(n_trials)))).withColumn("judge", F.explode(F.array(*map(F.lit, models))))  # a few axes
     return q.withColumn("prompt", fill(template, question=F.col("question"), answer=F.col("answer"), context=F.col("context"), axis=F.col("axis"), description=F.col("description")))
 

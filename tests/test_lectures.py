@@ -103,6 +103,26 @@ def test_pending_and_first_wins(spark):
     assert [r.question_id for r in scoring.pending(first, s, ["a", "b"]).collect()] == ["q1"]
 
 
+def test_lectures_share_question_ids(spark):
+    """What is stored for one lecture, or under other settings, is not done for another."""
+    now, old = scoring.settings_hash(1, 2, 0.0, ["a", "b"]), scoring.settings_hash(3, 2, 0.0, ["a", "b"])
+    q = spark.createDataFrame([(v, i, "m", f"{v}{i}?", "x") for v in "AB" for i in ("q1", "q2")], "video_id string, question_id string, model string, question string, answer string")
+    s = spark.createDataFrame([("A", "q1", "a"), ("A", "q1", "b"), ("A", "q2", "a"), ("B", "q2", "b")], "video_id string, question_id string, axis string").withColumn("model", F.lit("m"))
+    left = lambda *a: sorted((r.video_id, r.question_id) for r in scoring.pending(q, *a).collect())
+    assert left(s, ["a", "b"]) == [("A", "q2"), ("B", "q1"), ("B", "q2")]
+    assert [(r.model, r.n_done) for r in scoring.completed_counts(s.unionByName(s.withColumn("video_id", F.lit("C"))), ["a"]).collect()] == [("m", 4)]
+    dated = s.withColumn("settings_hash", F.when(F.col("axis") == "b", old).otherwise(now))
+    assert left(dated, ["a"], now) == [("B", "q1"), ("B", "q2")] and len(left(dated, ["a", "b"], now)) == 4
+    assert scoring.completed_counts(dated, ["a", "b"], now).collect() == []
+    for call in (lambda: scoring.pending(q, dated, ["a"]), lambda: scoring.completed_counts(dated, ["a"]), lambda: scoring.pending(q, s.drop("video_id"), ["a"])):
+        with pytest.raises(ValueError):
+            call()
+    contexts = q.select("video_id", "question_id", "model", F.concat(F.lit("of "), "video_id").alias("context"))
+    axes = spark.createDataFrame([("a", "d")], "axis string, description string")
+    got = scoring.scoring_inputs(q, contexts, axes, "{question} {context}", ["j"]).collect()
+    assert sorted(r.prompt for r in got) == ["Aq1? of A", "Aq2? of A", "Bq1? of B", "Bq2? of B"]
+
+
 def test_read_nested_lecture_and_index(spark, tmp_path):
     (tmp_path / "lec1").mkdir()
     (tmp_path / "lec1" / "result.json").write_text('{"meta": {"model": "m"}, "slides": [{"slide_id": "slide1", "time": {"start_sec": 0, "end_sec": 5}, "full_text": null,\n "frames": [{"id": "f", "time": 1.0, "ocr": "t"}], "asr": [{"start_sec": 1, "end_sec": 2, "text": "hello"}]}, {"slide_id": "slide2"}]}')
