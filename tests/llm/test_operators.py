@@ -245,6 +245,16 @@ def test_op6_active_at_fetch_time(spark):
     assert filter_urls(c.where("false"), e).collect() == [] and filter_urls(c, e.where("false")).where("blocked").collect() == []
 
 
+def test_op6_deep_paths(spark):
+    deep = "/".join("abcdefghij")
+    e = spark.createDataFrame([("example.com/a/b/c/d", "add", 0), (f"Example.com/{deep}", "add", 5), ("other.org", "add", 0)], "pattern string, action string, listed_at int")
+    urls = ["http://example.com/a/b/c", "http://example.com/a/b/c/d", "https://EXAMPLE.com/a//b/c/d/x?y", "http://example.com/a/b/c/dd", f"http://example.com/{deep}/k", "http://x.other.org/1/2/3/4/5"]
+    c = spark.createDataFrame([(i, u, 9) for i, u in enumerate(urls)], "page_id int, url string, fetched_at int")
+    got = [(r.blocked, r.n_entries, r.pattern) for r in filter_urls(c, e).orderBy("page_id").collect()]
+    four = (True, 1, "example.com/a/b/c/d")
+    assert got == [(False, 0, None), four, four, (False, 0, None), (True, 2, f"example.com/{deep}"), (True, 1, "other.org")]
+
+
 def test_op7_held_out_and_counterfactual(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
