@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -134,9 +134,10 @@ def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[t
     return [p for room in sorted(packs) for p in packs[room]]
 
 
-def place_pieces(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
+def place_pieces(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT, order: Sequence[str] = ()) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces (key, start, length, and more; ids are better left out).
-    The pieces are read twice, so pieces that are dear to make come from a kept table.
+    The pieces are read twice, so pieces that are dear to make come from a kept table.  Pieces of one
+    length are placed by the columns of ``order``, then by key and start.
 
     Only the histogram (at most ``limit`` numbers) reaches the driver, where patterns are counted.
     Pieces are ranked within their length by global prefix counts (a length may hold
@@ -144,7 +145,7 @@ def place_pieces(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT) ->
     pieces to intervals by length and rank gives pack and offset.
     """
     spark = pieces.sparkSession
-    ranked = keep(running_totals(pieces, ["length"], [key, "start"]).drop("sum_before"))
+    ranked = keep(running_totals(pieces, ["length"], [*order, key, "start"]).drop("sum_before"))
     histogram = {r[0]: r[1] for r in ranked.groupBy("length").count().collect()}
     if any(not 0 < n <= limit for n in histogram):
         raise ValueError(f"lengths are from 1 to {limit}")

@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 from lectern.llm import minhash, queries
 from lectern.llm.common import keep
+from lectern.llm.mixing import OTHER, mix_sources
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,3 +32,21 @@ def test_stages(spark):
     for r in packed:
         tokens[r.doc_id] += r.length
     assert {r.doc_id: r.doc_tokens for r in packed} == dict(tokens) and sorted(tokens) == kept
+
+
+def test_the_mix_reaches_the_sequences(spark, monkeypatch):
+    """Within a length, sequences follow the mix, so other weights change the rows of run(); none is lost."""
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    docs = queries.table(spark, SF, "documents")
+    seen = []
+    for weights in (queries.WEIGHTS, {"src0": 1, "src1": 9, OTHER: 1}):
+        monkeypatch.setattr(queries, "WEIGHTS", weights)
+        monkeypatch.setattr(queries, "BLOCK_BYTES", 4096)
+        rows = corpus_pipeline.run(spark, SF).collect()
+        place = {r.doc_id: r.position for r in mix_sources(docs, weights, 4096).collect()}
+        whole = sorted((r.sequence_id, place[r.doc_id], r.start) for r in rows if r.length == 1024)
+        assert len(whole) > 20 and [x[1:] for x in whole] == sorted(x[1:] for x in whole)
+        seen.append({(r.doc_id, r.start): (r.length, r.ids_crc32, r.sequence_id) for r in rows})
+    a, b = seen
+    assert a.keys() == b.keys() and {k[0] for k in a} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert all(a[k][:2] == b[k][:2] for k in a) and any(a[k] != b[k] for k in a)
