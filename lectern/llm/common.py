@@ -2,47 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from lectern.tables import keep, partitions, release, running_totals, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a folder of this machine, in local mode alone."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them back.
-
-    This cuts the lineage (lost executors cost no more than the step at hand) and fixes what a
-    second evaluation might see otherwise, such as partition numbers.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    kept = spark.read.schema(df.schema).parquet(path)
-    kept._lectern_path = path
-    return kept
-
-
-def release(*kept: DataFrame) -> None:
-    """Deletes tables of keep() that no later step reads."""
-    for df in kept:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._lectern_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["complete_runs", "keep", "partitions", "release", "running_totals", "runs", "shared_folder", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -53,34 +20,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], measure: Column | None = None) -> DataFrame:
-    """Adds ``rows_before`` and ``sum_before`` (of the measure), by group in the given order.
-
-    Rows are dealt by range of (group, order), so that a large group is spread over many tasks;
-    each partition sums its own part, and the totals of the partitions (one row for each partition
-    and group in it) give what lies before.  The order must be total, or ties fall arbitrarily.
-    """
-    group, order = list(group), list(order)
-    measure = F.lit(0) if measure is None else measure
-    dealt = df.withColumn("_m", measure.cast("long")).repartitionByRange(partitions(df.sparkSession), *group, *order)
-    dealt = keep(dealt.withColumn("_part", F.spark_partition_id()))
-    here = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    first = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = (
-        dealt.groupBy(*group, "_part").agg(F.count("*").alias("_rows"), F.sum("_m").alias("_sum"))
-        .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(first), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_sum").over(first), F.lit(0)).alias("_sum"))
-    )
-    inside = dealt.withColumn("_r", F.count("*").over(here)).withColumn("_s", F.coalesce(F.sum("_m").over(here), F.lit(0)))
-    same = F.col("_part") == F.col("_p")
-    for i, g in enumerate(group):
-        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return inside.join(before, same).select(*df.columns, (F.col("_r") + F.col("_rows")).alias("rows_before"), (F.col("_s") + F.col("_sum")).alias("sum_before"))
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
     """Of rows that come sorted by the keys, one table for each run of equal keys."""
     held: list[pa.Table] = []

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
+from lectern.tables import keep, running_totals
 
 TERM = r"[\p{L}]{3,}"
 
@@ -31,7 +32,20 @@ def chunk_keywords(chunks: DataFrame, n: int = 10) -> DataFrame:
 
 
 def lecture_ocr(slides: DataFrame) -> DataFrame:
-    """All slide texts that are not blank, stripped, in order."""
+    """All slide texts that are not blank, stripped, in order: one row for each lecture, so its texts must
+    fit a row (2 GB); lecture_ocr_parts() has no such limit."""
     kept = slides.withColumn("t", strip(F.coalesce("full_text", F.lit("")))).where("t <> ''")
     rows = F.array_sort(F.collect_list(F.struct("pos", "t")))
     return kept.groupBy("video_id").agg(F.array_join(F.transform(rows, lambda s: s["t"]), "\n\n").alias("ocr_text"))
+
+
+def lecture_ocr_parts(slides: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """The text of lecture_ocr() in parts: ``video_id``, ``part``, ``first_pos``, ``text``.  A part holds the whole
+    slides whose first byte lies in its stretch of ``size`` bytes, so it is at most ``size`` bytes and one
+    slide long.  Joined by two newlines in the order of ``part`` (which may skip numbers) the parts are the lecture's text."""
+    kept = keep(slides.select("video_id", "pos", strip(F.coalesce("full_text", F.lit(""))).alias("t")).where("t <> ''"))
+    placed = running_totals(kept.select("video_id", "pos", (F.octet_length("t") + 2).alias("n")), ["video_id"], ["pos"], F.col("n"))
+    placed = placed.select("video_id", "pos", F.expr(f"sum_before div {int(size)}").alias("part"))
+    both = kept.withColumnRenamed("video_id", "_v").withColumnRenamed("pos", "_p").join(placed, F.col("_v").eqNullSafe(F.col("video_id")) & (F.col("_p") == F.col("pos")))
+    rows = F.array_sort(F.collect_list(F.struct("pos", "t")))
+    return both.groupBy("video_id", "part").agg(F.min("pos").alias("first_pos"), F.array_join(F.transform(rows, lambda s: s["t"]), "\n\n").alias("text"))

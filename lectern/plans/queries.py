@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.operators import align, chunk, documents, questions, retrieve, scoring, segment, terms
 from lectern.sources import lectures as io
+from lectern.tables import running_totals
 
 SPEED = 15.0
 AXES = ("quality", "toxic")
@@ -24,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def long_lectures(spark: SparkSession, d: str) -> DataFrame:
-    w = W.partitionBy("source").orderBy("doc_id")
-    df = table(spark, d, "documents").withColumn("pos", F.row_number().over(w) - 1).withColumn("till", F.sum("n_chars").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return df.select(F.col("source").alias("video_id"), "pos", F.concat(F.lit("slide"), F.col("pos") + 1).alias("slide_id"), ((F.col("till") - F.col("n_chars")) / SPEED).alias("start_sec"), (F.col("till") / SPEED).alias("end_sec"), F.col("text").alias("full_text"))
+    """Positions and times come from totals over ranges of (source, doc_id), without texts, so that a source
+    is spread over many tasks; the texts are joined to them by id (ids are unique)."""
+    docs = table(spark, d, "documents")
+    df = running_totals(docs.select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"))
+    df = df.withColumn("till", F.col("sum_before") + F.col("n_chars")).withColumnRenamed("rows_before", "pos").join(docs.select("doc_id", "text"), "doc_id")
+    return df.select(F.col("source").alias("video_id"), F.col("pos").cast("int").alias("pos"), F.concat(F.lit("slide"), F.col("pos") + 1).alias("slide_id"), (F.col("sum_before") / SPEED).alias("start_sec"), (F.col("till") / SPEED).alias("end_sec"), F.col("text").alias("full_text"))
 
 
 LONG = f"""long AS (SELECT source AS video_id, row_number() OVER w - 1 AS pos, 'slide' || (row_number() OVER w) AS slide_id,

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import align, chunk, documents, retrieve, scoring, segment
+from lectern.operators import align, chunk, documents, retrieve, scoring, segment, terms
+from lectern.plans import queries
 from lectern.sources import lectures as io
 
 
@@ -123,6 +124,25 @@ def test_lectures_share_question_ids(spark):
     assert sorted(r.prompt for r in got) == ["Aq1? of A", "Aq2? of A", "Bq1? of B", "Bq2? of B"]
 
 
+def test_ocr_in_parts(spark):
+    """Parts are of bounded size and together they are the lecture's text."""
+    slides = [(v, i, " " * (i % 3) + f"{v}{i} " + "é" * (i * 37 % 90)) for v in "AB" for i in range(200)] + [("A", 200, None), ("B", 201, " \n"), (None, 0, "x")]
+    s = spark.createDataFrame(slides, "video_id string, pos int, full_text string")
+    whole = {r.video_id: r.ocr_text for r in terms.lecture_ocr(s).collect()}
+    parts = {}
+    for r in sorted(terms.lecture_ocr_parts(s, 1000).collect(), key=lambda r: r.part):
+        parts.setdefault(r.video_id, []).append(r.text)
+    assert {v: "\n\n".join(p) for v, p in parts.items()} == whole
+    assert len(parts["A"]) > 10 and all(len(t.encode()) < 1000 + 200 for p in parts.values() for t in p)
+
+
+def test_long_lectures_window_no_source(spark):
+    """No window runs over a whole source and none carries texts."""
+    plan = queries.long_lectures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if " Window [" in x or x.lstrip(" :+-").startswith("Window [")]
+    assert windows and not any("text" in x for x in windows) and all("_part" in x for x in windows), windows
+
+
 def test_read_nested_lecture_and_index(spark, tmp_path):
     (tmp_path / "lec1").mkdir()
     (tmp_path / "lec1" / "result.json").write_text('{"meta": {"model": "m"}, "slides": [{"slide_id": "slide1", "time": {"start_sec": 0, "end_sec": 5}, "full_text": null,\n "frames": [{"id": "f", "time": 1.0, "ocr": "t"}], "asr": [{"start_sec": 1, "end_sec": 2, "text": "hello"}]}, {"slide_id": "slide2"}]}')
