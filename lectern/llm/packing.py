@@ -12,12 +12,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import keep, running_totals
+from lectern.llm.common import keep, numbered, running_totals
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 1024
-#: Parts of text whose ids a worker remembers.
-_MEMO = 150_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -29,17 +27,9 @@ def _bytes_of_characters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Uneven(Exception):
-    """A part between two blanks is empty or has white space at an end."""
-
-
-class Encoder(dict):
-    """Token ids of texts as little-endian uint32 bytes, for a byte-level BPE vocabulary file.
-
-    A single blank between other characters always starts a new word of the vocabulary's
-    pattern, so texts are cut there, and the ids of each part are remembered (the blank
-    that stands before it is part of it).  Strings of special tokens are ordinary text.
-    """
+class Encoder:
+    """Token ids of texts as little-endian uint32 bytes, for a byte-level BPE vocabulary file (strings of
+    special tokens are ordinary text)."""
 
     def __init__(self, path: str):
         vocabulary = json.load(open(path, encoding="utf-8"))
@@ -48,64 +38,38 @@ class Encoder(dict):
         ranks = {bytes(of[c] for c in t): i for t, i in vocabulary["model"]["vocab"].items() if t not in special}
         self._bpe = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        if not part or part[0].isspace() or part[-1].isspace():
-            raise _Uneven
-        if len(self) > _MEMO:
-            self.clear()
-        ids = self[part] = self._ids(f" {part}")
-        return ids
-
     def encode(self, text: str) -> bytes:
-        parts = text.split(" ")
-        try:
-            if parts[0][-1:].isspace() or len(parts) > 1 and not parts[0]:
-                raise _Uneven
-            return self._ids(parts[0]) + b"".join(map(self.__getitem__, parts[1:]))
-        except _Uneven:
-            glued, even = [parts[0]], False
-            for before, part in zip(parts, parts[1:], strict=False):
-                even = before and part and not before[-1].isspace() and not part[0].isspace()
-                if even:
-                    glued.append(part)
-                else:
-                    glued[-1] += f" {part}"
-            out = [self._ids(glued[0])]
-            for part in glued[1:]:
-                out.append(self._ids(f" {part}") if part[-1].isspace() or part[0].isspace() else self[part])
-            return b"".join(out)
+        return self._bpe.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def _cut(path: str, limit: int, end: int | None):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, text) to pieces: full ones and the rest of each document."""
+        """(text, and more) to pieces with the rest of the row: full ones and what is left of each document."""
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         tail = b"" if end is None else np.array([end], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 doc, start, ids, whole = [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
+                for i, text in enumerate(part.column(0).to_pylist()):
                     code = encoder.encode(text or "") + tail
                     for k in range(0, len(code), 4 * limit):
                         doc.append(i)
                         start.append(k // 4)
                         ids.append(code[k : k + 4 * limit])
                         whole.append(len(code) // 4)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc, pa.int64())), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(whole, pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "length", "doc_tokens", "ids"])
+                at_rows = pa.array(doc, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[c.take(at_rows) for c in part.columns[1:]], pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(whole, pa.int64()), pa.array(ids, pa.binary())], [*part.schema.names[1:], "start", "length", "doc_tokens", "ids"])
 
     return go
 
 
-def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int | None = 0) -> DataFrame:
+def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int | None = 0, carry: Sequence[str] = ()) -> DataFrame:
     """Tokenizes whole texts (null: empty), ends each document with the id ``end``, and cuts it into
-    pieces of at most ``limit`` ids: key, ``start``, ``length``, ``doc_tokens``, ``ids`` (little-endian uint32)."""
-    kind = docs.schema[key].dataType.simpleString()
-    pieces = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(_cut(vocabulary, limit, end), f"id {kind}, start long, length long, doc_tokens long, ids binary")
-    return pieces.withColumnRenamed("id", key)
+    pieces of at most ``limit`` ids: key, the columns ``carry``, ``start``, ``length``, ``doc_tokens``, ``ids`` (little-endian
+    uint32).  Every row is a document of its own, whatever its key; other columns are left out."""
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *carry))
+    return docs.select(F.col(text).cast("string").alias("_text"), key, *carry).mapInArrow(_cut(vocabulary, limit, end), f"{kinds}, start long, length long, doc_tokens long, ids binary")
 
 
 def shortest_pack_first(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int, list[int]]]:
@@ -163,7 +127,9 @@ def place_pieces(pieces: DataFrame, key: str = "doc_id", limit: int = LIMIT, ord
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = LIMIT, end: int | None = 0) -> DataFrame:
-    """Every document's pieces with their ids, sequences and offsets (keys tell documents apart here)."""
-    pieces = keep(token_pieces(docs, key, text, vocabulary, limit, end))
-    placed = place_pieces(pieces.drop("ids"), key, limit).select(F.col(key).alias("_key"), F.col("start").alias("_start"), "sequence_id", "offset")
-    return pieces.join(placed, F.col(key).eqNullSafe(F.col("_key")) & (F.col("start") == F.col("_start"))).drop("_key", "_start")
+    """Every document's pieces (key, ``start``, ``length``, ``doc_tokens``, ``ids``) with ``sequence_id`` and ``offset``.  Rows are
+    numbered first, so that null and repeated keys are documents of their own."""
+    rows = numbered(docs.select(key, text))
+    pieces = keep(token_pieces(rows, key, text, vocabulary, limit, end, ["_row"]))
+    placed = place_pieces(pieces.drop("ids"), key, limit, ["_row"]).select(F.col("_row").alias("_at"), F.col("start").alias("_start"), "sequence_id", "offset")
+    return pieces.join(placed, (F.col("_row") == F.col("_at")) & (F.col("start") == F.col("_start"))).drop("_row", "_at", "_start")
