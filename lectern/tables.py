@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_open: list[list[DataFrame]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, a folder of this machine, in local mode alone."""
@@ -33,6 +36,8 @@ def keep(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._lectern_path = path
+    if _open:
+        _open[-1].append(kept)
     return kept
 
 
@@ -44,6 +49,27 @@ def release(*kept: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def temporary(*out: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the tables that were kept inside.  Those in the list that it gives stay, as do
+    tables that other functions' results still read: keep() such a result first, and put it in the list."""
+    _open.append([])
+    stay = list(out)
+    try:
+        yield stay
+    finally:
+        made = _open.pop()
+        release(*[df for df in made if not any(df is s for s in stay)])
+        if _open:
+            _open[-1].extend(df for df in made if any(df is s for s in stay))
+
+
+def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
+    """The rows, kept, each with a number of its own (not gapless): what tells rows apart whose keys are null
+    or repeated.  The write fixes the numbers."""
+    return keep(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
