@@ -7,9 +7,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from lectern.tables import keep, partitions, release, running_totals, shared_folder
+from lectern.tables import keep, numbered, partitions, release, running_totals, shared_folder, temporary
 
-__all__ = ["complete_runs", "keep", "partitions", "release", "running_totals", "runs", "shared_folder", "small_batches"]
+__all__ = ["keep", "numbered", "partitions", "pieces", "release", "running_totals", "runs", "shared_folder", "small_batches", "temporary"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -42,19 +42,15 @@ def runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.
         yield pa.concat_tables(held)
 
 
-def complete_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
-    """Of rows that come sorted by the keys, tables that end where a run of equal keys ends."""
-    rest: pa.Table | None = None
+def pieces(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int) -> Iterator[pa.Table]:
+    """Of rows that come sorted by the keys, tables of at most so many rows of equal keys."""
     for batch in batches:
         table = pa.Table.from_batches([batch])
         if not table.num_rows:
             continue
-        table = table if rest is None else pa.concat_tables([rest, table])
         columns = [table.column(k).to_numpy() for k in keys]
-        change = sum((c[1:] != c[:-1]).astype("i4") for c in columns).nonzero()[0] if table.num_rows > 1 else []
-        end = int(change[-1]) + 1 if len(change) else 0
-        if end:
-            yield table.slice(0, end)
-        rest = table.slice(end)
-    if rest is not None and rest.num_rows:
-        yield rest
+        change = (sum((c[1:] != c[:-1]).astype("i4") for c in columns).nonzero()[0] + 1).tolist() if table.num_rows > 1 else []
+        edges = [0, *change, table.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            for at in range(a, b, most):
+                yield table.slice(at, min(most, b - at))

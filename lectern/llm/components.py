@@ -8,29 +8,27 @@ from pyspark.sql import functions as F
 from lectern.llm.common import keep, release
 
 
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1_000_003))).first())
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """``edges(a long, b long)`` to ``(node, component)`` for each node of an edge; the component is
+    """``edges(a long, b long)`` to a kept table ``(node, component)`` with each node of an edge; the component is
     its smallest node.
 
     Every step replaces a node's neighbours by links to the smallest of them, so that diameters
-    halve and a node of many links is aggregated before it is shuffled.  Each step is written out.
+    halve.  Each step is written out; both sides of its joins are kept tables, so that a node of very many
+    links can be split over tasks.  The loop ends when a step changes no edge.
     """
     now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = _print(now)
-    while True:
+    while now.limit(1).count():
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = keep(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least.withColumnRenamed("u", "n"), F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        then = keep(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        release(now, large)
-        now, before, seen = then, seen, _print(then)
-        if seen == before:
+        least = keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")))
+        large = keep(both.join(least, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = keep(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "n"))
+        moved = large.join(small, F.col("u") == F.col("n")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        then = keep(moved.unionByName(small.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct())
+        done = then.count() == now.count() and not then.join(now, ["u", "v"], "left_anti").limit(1).count()
+        release(now, least, large, small)
+        now = then
+        if done:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = keep(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    release(now)
+    return out
