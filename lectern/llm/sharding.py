@@ -8,20 +8,19 @@ from pyspark.sql import functions as F
 from lectern.llm.common import keep, running_totals
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", overhead: int = 8, whole: float = 0.01) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text", overhead: int = 8) -> DataFrame:
     """Cuts the rows, in the order of (MD5 of the text, key), into contiguous shards of near-equal size.
 
     A row's size is its text's UTF-8 bytes plus ``overhead``.  Partitions of the ordered rows sum
     their own part; the totals of partitions give each row's global prefix sum, and the middle of a
-    row tells its shard (cuts at equal targets).  Rows of equal texts are neighbours in this order:
-    such a group goes whole to the shard of its middle if its size is at most ``whole`` of a
-    shard's, and larger groups are cut like other rows, so that one text that fills a third of the
-    table can't unbalance the shards.
+    row tells its shard (cuts at equal targets), whatever its text.  Rows of equal texts are neighbours
+    in this order, so at most ``shards - 1`` groups of them are cut.
 
     Returns key, ``size``, ``text_crc32``, ``law`` ('bytes'), ``shard``, ``slot`` (the place in the shard),
     ``grown_shard`` (null: for laws by key only), ``group`` (MD5 of the text).  Null text: no bytes,
-    checksum 0, a group of its own; empty text: the same with the MD5 of nothing.  Null keys come first;
-    rows that share a text and key are ordered arbitrarily.  Only MD5, size and checksum are shuffled.
+    checksum 0, group ''; empty text: the same with the MD5 of nothing.  Null keys come first; rows that
+    share a text and key are ordered arbitrarily.  No rows: no rows.  Other columns are not looked at,
+    whatever their names.  Only MD5, size and checksum are shuffled.
     """
     if shards < 1:
         raise ValueError("at least one shard")
@@ -31,13 +30,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
     )
     placed = keep(running_totals(rows, [], ["group", "id"], F.col("size")))
     total = placed.agg(F.sum("size")).first()[0] or 1
-    groups = placed.groupBy("group").agg(F.count("*").alias("n"), F.min("sum_before").alias("low"), F.sum("size").alias("all"))
-    groups = groups.where((F.col("n") > 1) & (F.col("all") <= whole * total / shards)).drop("n")
-    middle = F.coalesce(2 * F.col("low") + F.col("all"), 2 * F.col("sum_before") + F.col("size"))
-    cut = placed.join(groups, "group", "left").withColumn("shard", F.floor(middle * F.lit(shards) / F.lit(2 * total)).cast("int"))
-    cut = keep(cut.withColumn("shard", F.least(F.col("shard"), F.lit(shards - 1))).drop("low", "all"))
-    first = cut.groupBy("shard").agg(F.min("rows_before").alias("first"))
-    return cut.join(F.broadcast(first), "shard").select(  # a row for each shard
+    placed = placed.withColumn("shard", F.expr(f"cast(least((2 * sum_before + size) * {shards} div {2 * total}, {shards - 1}) as int)"))
+    first = placed.groupBy("shard").agg(F.min("rows_before").alias("first"))
+    return placed.join(F.broadcast(first), "shard").select(  # a row for each shard
         F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         (F.col("rows_before") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group",
     )
