@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ def pfair_period(weights: Mapping[str, int]) -> list[tuple[str, int]]:
     return plan
 
 
-def mix_sources(docs: DataFrame, weights: Mapping[str, int], block_bytes: int = 65536, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Mapping[str, int], block_bytes: int = 65536, key: str = "doc_id", source: str = "source", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Orders all rows so that each pool gets its weight's share of every stretch of the order, to
     less than one block.
 
@@ -44,7 +44,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], block_bytes: int =
     Only keys, sources and byte counts are shuffled.  Returns one row for each row: key, source, ``bytes``,
     ``pool``, ``block``, ``release``, ``deadline``, ``slot``, ``position`` (gapless from 0), ``on_target``.  Null
     text: no bytes.  Rows without a source belong to OTHER; null keys come first in their pool;
-    rows that share a key keep an arbitrary order.  No rows: no rows.
+    rows that share a key stand in the order of the columns ``carry`` (which are returned too), or else in
+    an arbitrary one.  No rows: no rows.  Other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
     plan = pfair_period(weights)
@@ -52,22 +53,22 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, int], block_bytes: int =
     pattern = spark.createDataFrame([(p, i, slot, weights[p]) for slot, (p, i) in enumerate(plan)], "_pool string, _turn long, _at long, _share long")
     name = F.col(source).cast("string")
     pool = F.when(name.isin(*weights), name).otherwise(F.lit(OTHER))
-    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), pool.alias("pool"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"))
+    rows = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), pool.alias("pool"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), *carry)
     if OTHER not in weights and rows.where(F.col("pool") == OTHER).limit(1).count():
         raise ValueError(f"some rows have no weight: name their sources or {OTHER!r}")
-    blocks = running_totals(rows, ["pool"], ["_key"], F.col("bytes")).withColumn("block", F.expr(f"sum_before div {int(block_bytes)}")).withColumnRenamed("rows_before", "_nth").drop("sum_before")
+    blocks = running_totals(rows, ["pool"], ["_key", *carry], F.col("bytes")).withColumn("block", F.expr(f"sum_before div {int(block_bytes)}")).withColumnRenamed("rows_before", "_nth").drop("sum_before")
     slots = blocks.join(F.broadcast(pattern), (F.col("pool") == F.col("_pool")) & (F.col("block") % F.col("_share") == F.col("_turn")))  # q rows
     slots = slots.select(
         "pool", "block", F.expr(f"block * {q} div _share").alias("release"), F.expr(f"((block + 1) * {q} + _share - 1) div _share").alias("deadline"),
-        F.expr(f"(block div _share) * {q} + _at").alias("slot"), "_nth", "_key", "_source", "bytes",
+        F.expr(f"(block div _share) * {q} + _at").alias("slot"), "_nth", "_key", "_source", "bytes", *carry,
     )
     ordered = keep(running_totals(slots, [], ["slot", "_nth"]))
     ends = ordered.groupBy("pool").agg(F.max("slot").alias("end")).agg(F.min("end"), F.count("*")).first()
     until = ends[0] if ends[1] == len(weights) else -1
-    return ordered.select(F.col("_key").alias(key), F.col("_source").alias(source), "bytes", "pool", "block", "release", "deadline", "slot", F.col("rows_before").alias("position"), (F.col("slot") <= F.lit(until)).alias("on_target"))
+    return ordered.select(F.col("_key").alias(key), F.col("_source").alias(source), "bytes", "pool", "block", "release", "deadline", "slot", F.col("rows_before").alias("position"), (F.col("slot") <= F.lit(until)).alias("on_target"), *carry)
 
 
-def in_mixed_order(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents (one for each key) in the order of mix_sources(); written out, their files hold it."""
-    places = mixed.select(F.col(key).alias("_key"), "position")
-    return docs.join(places, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").orderBy("position").drop("position")
+def in_mixed_order(docs: DataFrame, mixed: DataFrame, row: str) -> DataFrame:
+    """The documents in the order of mix_sources(); written out, their files hold it.  The column ``row`` tells the
+    rows of both apart (see numbered()): a key that is null or repeated would multiply them."""
+    return docs.join(mixed.select(row, "position"), row).orderBy("position").drop("position")
