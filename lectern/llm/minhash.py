@@ -66,9 +66,10 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return mix(key + _BAND).view(np.int64)
 
 
-def name(members: np.ndarray) -> int:
-    """A 63-bit number that stands for the set."""
-    return xxhash.xxh3_64_intdigest(members.tobytes()) >> 1
+def names(members: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers that stand for the set together."""
+    high, low = np.frombuffer(xxhash.xxh3_128_digest(members.tobytes()), ">i8").tolist()
+    return high, low
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

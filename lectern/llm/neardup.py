@@ -21,22 +21,24 @@ AGREE = 0.64
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to (id, n, set, signature)."""
+    """(id, text) to (id, n, high, low, signature)."""
     for batch in batches:
-        n, names, signatures = [], [], []
+        n, high, low, signatures = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = minhash.shingles(text)
+            h, k = minhash.names(s) if len(s) else (None, None)
             n.append(len(s))
-            names.append(minhash.name(s) if len(s) else None)
+            high.append(h)
+            low.append(k)
             signatures.append(minhash.signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.int64()), pa.array(signatures, pa.binary())], ["id", "n", "set", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in (n, high, low)], pa.array(signatures, pa.binary())], ["id", "n", "high", "low", "signature"])
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(set, text) without texts of other sets: rows may share a key."""
+    """(set, high, low, text) to (set, text) without texts of other sets: rows may share a key."""
     for batch in batches:
-        sets, texts = (c.to_pylist() for c in batch.columns)
-        yield batch.filter(pa.array([minhash.name(minhash.shingles(t)) == s for s, t in zip(sets, texts, strict=True)], pa.bool_()))
+        sets = zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)
+        yield batch.select([0, 3]).filter(pa.array([minhash.names(minhash.shingles(t)) == (h, k) for h, k, t in sets], pa.bool_()))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +125,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     row for each input row: the key, ``n_shingles``, ``component_id`` (smallest key reachable by
     links) and ``kept`` (it is its component's smallest).
 
-    Equal sets are one class and meet again only in the answer.  Every class has 50 band keys.  Per
+    Equal sets (by 128 bits of hash) are one class and meet again only in the answer.  Every class has 50 band keys.  Per
     bucket, each member is verified against one member (the hub), which joins most of a large
     group in linear work.  Then only buckets that still hold several components are looked at again:
     their members are compared by signature, across components, in blocks of ``BLOCK`` rows, and
@@ -131,33 +133,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
     Null or wordless text: an empty set, linked with nothing.  A null key is returned as it came,
     with a null component, and kept.  Rows that share a key are rows of their own, with a component each.
+    No rows: no rows.  Other columns are not looked at, whatever their names.
     A pair exactly at the threshold is missed with a chance of 2e-6 by the bands, 3e-5 by AGREE.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    rows = keep(docs.mapInArrow(_sets, f"id {docs.schema['id'].dataType.simpleString()}, n long, set long, signature binary"))
-    named = rows.where("set is not null and id is not null")
-    classes = keep(named.groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")))
+    signed = keep(docs.mapInArrow(_sets, f"id {docs.schema['id'].dataType.simpleString()}, n long, high long, low long, signature binary"))
+    named = signed.where("high is not null and id is not null").groupBy("high", "low").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    classes = keep(named.withColumn("set", F.monotonically_increasing_id()))  # the write fixes the numbers
+    rows = keep(signed.drop("signature"))
+    release(signed)
 
+    # both sides of the joins below are kept tables or dealt out anew, so that a key of very many rows can be split
     banded = classes.select("set", "signature").mapInArrow(_bands, "band int, key long, set long")
-    hubs = banded.groupBy("key").agg(F.min("set").alias("hub"), F.count("*").alias("size")).where("size > 1")
+    hubs = keep(banded.groupBy("key").agg(F.min("set").alias("hub"), F.count("*").alias("size")).where("size > 1"))
     members = keep(banded.join(hubs, "key"))
+    release(hubs)
 
     def texts(wanted: DataFrame) -> DataFrame:
         """(set, text) of the sets wanted."""
-        ids = classes.join(wanted.select("set").distinct(), "set", "left_semi").select("set", "id")
-        return docs.join(ids, "id").select("set", "text").mapInArrow(_own, "set long, text string").dropDuplicates(["set"])
+        ids = classes.join(wanted.select("set").distinct(), "set", "left_semi").select("set", "high", "low", "id")
+        return docs.join(ids, "id").select("set", "high", "low", "text").mapInArrow(_own, "set long, text string").dropDuplicates(["set"])
 
     pairs = keep(members.where("set <> hub").select(F.col("hub").alias("a"), F.col("set").alias("b")).distinct())
     wanted = keep(texts(pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))))
     held = pairs.join(wanted.withColumnRenamed("set", "b").withColumnRenamed("text", "text_b"), "b").join(wanted.withColumnRenamed("set", "a").withColumnRenamed("text", "text_a"), "a")
     linked = keep(held.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long"))
     release(pairs, wanted)
-    first = keep(components(linked))
+    first = components(linked)
 
     marked = members.join(first.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     marked = keep(marked.drop("hub"))
-    mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    release(members, linked)
+    mixed = keep(marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
     apart = marked.join(mixed, "key", "left_semi").join(classes.select("set", "n", "signature"), "set")
     count = F.ceil(F.col("size") / BLOCK).cast("int")
     apart = apart.withColumn("block", F.pmod(F.xxhash64("set"), count).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), count - 1)))
@@ -168,17 +176,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         return df.repartition(partitions(spark), *ends).sortWithinPartitions(*ends)
 
     near = keep(sorted_by_block(apart).mapInArrow(_blocks(percent, False), "key long, i int, j int, set long"))
-    wanted = texts(near)
-    again = apart.join(near, [*ends, "set"], "left_semi").join(wanted, "set").select(*ends, "band", "block", "set", "component", "n", "signature", "text")
+    again = apart.join(near, [*ends, "set"], "left_semi").join(texts(near), "set").select(*ends, "band", "block", "set", "component", "n", "signature", "text")
     more = keep(sorted_by_block(again).mapInArrow(_blocks(percent, True), "a long, b long"))
-    release(members)
-    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-    whole = first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(second.join(first, second["component"] == first["node"], "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
+    release(marked, mixed, near)
+    whole = components(more)
+    second = whole.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    joined = first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(second.join(first, second["component"] == first["node"], "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
 
-    # kept tables on both sides of each join: a component or set of very many rows can be split
-    classed = keep(classes.select("set", "id").join(whole.withColumnRenamed("node", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("class")))
+    classed = keep(classes.select("high", "low", "set", "id").join(joined.withColumnRenamed("node", "set"), "set", "left").select("high", "low", "id", F.coalesce("component", "set").alias("class")))
+    release(classes, first, more, whole)
     least = keep(classed.groupBy("class").agg(F.min("id").alias("least")))
-    answer = keep(classed.join(least, "class").select("set", "least"))
+    answer = keep(classed.join(least, "class").select("high", "low", "least"))
     release(classed, least)
-    out = rows.drop("signature").join(answer, "set", "left").withColumn("least", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")))
+    out = rows.join(answer, ["high", "low"], "left").withColumn("least", F.when(F.col("id").isNotNull(), F.coalesce("least", "id")))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.coalesce(F.col("id") == F.col("least"), F.lit(True)).alias("kept"))
