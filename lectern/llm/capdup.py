@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import complete_runs, keep, partitions
+from lectern.llm.common import keep, partitions, release, runs
 from lectern.llm.components import components
-from lectern.llm.vectors import as_double, element, usable
+from lectern.llm.vectors import as_double, element, matrix, usable
 
-#: Filters that a random vector passes on average, and at least so many for any vector.
-FILTERS, LEAST_FILTERS = 44, 12
-#: Rows of a cell that are multiplied at once; larger cells are cut into blocks.
-BLOCK = 2048
+#: Filters that a random vector exceeds on average, and the best ones that any vector gets at least.
+FILTERS, LEAST_FILTERS = 8, 16
+#: Vectors of a filter, on average: so many filters are laid out in all.
+CELL = 512
+#: Vectors of a bucket (the filters that share their first words) that a task holds; larger buckets are cut into blocks.
+BLOCK = 131_072
+#: Rows that are multiplied with each other at once.
+TILE = 2048
 _codes: dict[tuple[int, int], ProductCode] = {}
 
 
@@ -93,19 +98,28 @@ class ProductCode:
         return out
 
 
-def _cells(kind: str, words: int):
+def _units(x: np.ndarray) -> np.ndarray:
+    """Divided by their lengths, in double precision (first by their largest component, so that squares stay finite)."""
+    x = x.astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _coded(kind: str, words: int, depth: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(class, group, vector) to (class, group, filter)."""
+        """(class, n, id, label, vector) to the same with ``filters`` (little-endian int64) and ``buckets``."""
         for batch in batches:
-            found = []
-            for v in batch.column(2).to_pylist():
-                x = np.array(v, kind).astype(float)
-                x /= np.abs(x).max()
-                code = _codes.get((len(x), words)) or _codes.setdefault((len(x), words), ProductCode(len(x), words))
-                found.append(code.decode((x / np.linalg.norm(x))[None, :])[0])
-            n = np.array([len(f) for f in found])
-            take = pa.array(np.repeat(np.arange(len(n)), n))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(found))], ["class", "group", "filter"])
+            filters: list[bytes] = [b""] * batch.num_rows
+            buckets: list[np.ndarray] = [np.empty(0, np.int64)] * batch.num_rows
+            size = pc.list_value_length(batch.column(4)).to_numpy()
+            for dim in np.unique(size):
+                code = _codes.get((int(dim), words)) or _codes.setdefault((int(dim), words), ProductCode(int(dim), words))
+                at = np.flatnonzero(size == dim)
+                x = _units(matrix(batch.column(4).take(pa.array(at)), kind))
+                for i, found in zip(at, code.decode(x), strict=True):
+                    filters[i] = found.astype("<i8").tobytes()
+                    buckets[i] = np.unique(found // words ** max(code.parts - depth, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size, pa.int32()), pa.array(filters, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], [*batch.schema.names, "dim", "filters", "buckets"])
 
     return go
 
@@ -128,90 +142,131 @@ def _smallest(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = up
 
 
-def _links(kind: str, cosine: float):
-    keys = ["group", "filter", "i", "j"]
+def _meet_first(filters: list[np.ndarray], here: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of pairs of rows that share filter ``here``: do they share no smaller one?  ``filters``: of each row, sorted."""
+    smaller = [f[: np.searchsorted(f, here)] for f in filters]
+    n = np.array([len(f) for f in smaller])
+    if len(a) * max(1, int(n.max())) ** 2 <= 1 << 26:
+        wide = np.full((2, len(filters), max(1, int(n.max()))), -1)
+        wide[1] = -2
+        for side in wide:
+            side[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = np.concatenate([*smaller, np.empty(0, np.int64)])
+        out = np.empty(len(a), bool)
+        step = max(1, (1 << 22) // wide.shape[2] ** 2)
+        for at in range(0, len(a), step):
+            out[at : at + step] = ~(wide[0][a[at : at + step], :, None] == wide[1][b[at : at + step], None, :]).any(axis=(1, 2))
+        return out
+    met = np.zeros((len(filters), len(filters)), bool)  # at most two tiles of rows
+    name, row = np.concatenate(smaller), np.repeat(np.arange(len(n)), n)
+    order = np.argsort(name, kind="stable")
+    name, row = name[order], row[order]
+    edge = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1, [len(name)]])
+    for low, high in zip(edge[:-1], edge[1:], strict=True):
+        if high - low > 1:
+            met[np.ix_(row[low:high], row[low:high])] = True
+    return ~met[a, b]
 
-    def first(filters: list[np.ndarray], a: np.ndarray, b: np.ndarray, here: int) -> np.ndarray:
-        """Of pairs that meet in filter ``here``: do they meet in no smaller one?"""
-        if len(a) <= 64:
-            return np.array([len(f) == 0 for f in (np.intersect1d(filters[x][filters[x] < here], filters[y][filters[y] < here], assume_unique=True) for x, y in zip(a, b, strict=True))], bool)
-        names, at = np.unique(np.concatenate([f[f < here] for f in filters]), return_inverse=True)
-        meets = np.zeros((len(filters), len(names)), np.float32)
-        meets[np.repeat(np.arange(len(filters)), [(f < here).sum() for f in filters]), at] = 1
-        return (meets @ meets.T)[a, b] == 0
 
+def _links(kind: str, words: int, depth: int, cosine: float):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of cells, sorted, to (class, links, least): how many vectors are linked to the class by pairs
-        whose first common filter is this cell's, and the smallest class of its component here (over all
+        """Rows of bucket blocks, sorted, to (class, links, least): how many vectors are linked to the class by pairs
+        whose first common filter lies in this bucket, and the smallest class of its component here (over all
         pairs that are linked in these blocks)."""
-        for t in complete_runs(batches, keys):
-            x = np.frombuffer(b"".join(np.array(v, kind).tobytes() for v in t["vector"].to_pylist()), kind)
-            edge = np.flatnonzero(np.any([(c := t[k].to_numpy())[1:] != c[:-1] for k in keys], axis=0)) + 1
-            starts = np.concatenate([[0], edge])
-            ends = np.concatenate([edge, [t.num_rows]])
+        for t in runs(batches, ["place", "i", "j"]):
+            if t.num_rows < 2:
+                continue
+            i, j, bucket, dim = (t[c][0].as_py() for c in ("i", "j", "bucket", "dim"))
             block, name, weight = (t[c].to_numpy() for c in ("block", "class", "n"))
-            i, j, here = (t[c].to_numpy() for c in ("i", "j", "filter"))
-            filters = t["filters"].to_pylist()
-            sizes = np.array([len(v) for v in t["vector"].to_pylist()])
-            at = np.concatenate([[0], np.cumsum(sizes)])
-            links, least, seen = np.zeros(t.num_rows, np.int64), name.copy(), np.zeros(t.num_rows, bool)
-            for s, e in zip(starts, ends, strict=True):
-                if e - s < 2:
-                    continue
-                u = x[at[s] : at[e]].reshape(e - s, -1).astype(float)
-                u = u / np.abs(u).max(axis=1, keepdims=True)
-                u /= np.linalg.norm(u, axis=1, keepdims=True)
-                near = np.triu(u @ u.T >= cosine, 1) if i[s] == j[s] else np.outer(block[s:e] == i[s], block[s:e] == j[s]) & (u @ u.T >= cosine)
-                a, b = near.nonzero()
-                if not len(a):
-                    continue
-                least[s:e] = _smallest(name[s:e], a, b)
-                seen[a + s] = seen[b + s] = True
-                new = first([np.array(f, np.int64) for f in filters[s:e]], a, b, int(here[s]))
-                np.add.at(links, a[new] + s, weight[b[new] + s])
-                np.add.at(links, b[new] + s, weight[a[new] + s])
-            if seen.any():
+            x = _units(matrix(t["vector"], kind))
+            filters = [np.frombuffer(f, "<i8") for f in t["filters"].to_pylist()]
+            below = words ** max(min(4, dim) - depth, 0)
+            own = [f[slice(*np.searchsorted(f, [bucket * below, (bucket + 1) * below]))] for f in filters]
+            cell, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(f) for f in own])
+            order = np.argsort(cell, kind="stable")
+            cell, row = cell[order], row[order]
+            edge = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1, [len(cell)]])
+            links, joined = np.zeros(t.num_rows, np.int64), []
+            for low, high in zip(edge[:-1], edge[1:], strict=True):
+                here, at = int(cell[low]), row[low:high]
+                left = at if i == j else at[block[at] == i]
+                right = at if i == j else at[block[at] == j]
+                for p in range(0, len(left), TILE):
+                    for q in range(p if i == j else 0, len(right), TILE):
+                        u, v = left[p : p + TILE], right[q : q + TILE]
+                        near = x[u] @ x[v].T >= cosine
+                        a, b = (np.triu(near, 1) if i == j and p == q else near).nonzero()
+                        if not len(a):
+                            continue
+                        both = np.concatenate([u, v])
+                        new = _meet_first([filters[r] for r in both], here, a, b + len(u))
+                        a, b = u[a], v[b]
+                        joined.append(np.stack([both, both[_smallest(np.arange(len(both)), *_at(both, a, b))]]))
+                        np.add.at(links, a[new], weight[b[new]])
+                        np.add.at(links, b[new], weight[a[new]])
+            if joined:
+                a, b = np.concatenate(joined, axis=1)
+                least = _smallest(name, a, b)
+                seen = np.zeros(t.num_rows, bool)
+                seen[a[a != b]] = seen[b[a != b]] = True
                 yield pa.RecordBatch.from_arrays([pa.array(name[seen]), pa.array(links[seen]), pa.array(least[seen])], ["class", "links", "least"])
 
     return go
 
 
+def _at(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the rows a and b first stand in ``rows``."""
+    order = np.argsort(rows, kind="stable")
+    return order[np.searchsorted(rows[order], a)], order[np.searchsorted(rows[order], b)]
+
+
 def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = 0.98) -> DataFrame:
     """Links vectors of equal label with a cosine of at least ``cosine``; returns for each row the key,
     ``n_links`` (other vectors linked directly), ``component_id``, ``kept``.
 
-    Equal vectors of a label are one class, with its count as weight.  Every class gets the filters that
-    it exceeds (the number of filters follows the number of classes, so that cells stay small);
-    classes that share a cell are multiplied in blocks of ``BLOCK`` rows, in double precision.  A pair counts
-    in its first common filter alone, so links are counted without listing pairs.  For the components
-    each block is reduced to its own components: a member passes on the smallest class of the one it
-    is in, so every link of the block is kept in as many rows as there are linked members.
+    Equal vectors of a label (by 128 bits of hash) are one class, with its count as weight.  Every class gets the filters that
+    it exceeds (the number of filters follows the number of classes, so that filters hold some ``CELL`` vectors each).
+    A filter is a choice of words for four parts; filters that share their first words are one bucket, and
+    a vector travels once to each of its buckets (three or four where one word makes a bucket), not once to each
+    filter.  There, vectors that share a filter are multiplied in tiles, in double precision.  A pair counts in its first
+    common filter alone, so links are counted without listing pairs.  For the components each
+    block is reduced to its own components: a member passes on the smallest class of the one it is in.
 
     Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link
     with nothing, as do vectors of different lengths.  Rows with a null key are returned without a component,
-    kept, and count as links.  A pair exactly at 0.98 shares no filter with a chance of about 1e-6.
+    kept, and count as links.  Rows that share a key are vectors of their own, with a component each.  No rows: no
+    rows.  Other columns are not looked at, whatever their names.  Pairs at exactly 0.98 may share no filter (the
+    README has the measured share); pairs of a higher cosine do so less often.
     """
     spark, kind = df.sparkSession, element(df, vector)
-    rows = df.select(F.col(key).alias("id"), as_double(df, vector).alias("vector"), F.col(label).alias("label"))
+    rows = df.select(F.col(key).alias("id"), as_double(df, vector).alias("vector"), F.col(label).cast("string").alias("label"))
     rows = rows.withColumn("usable", usable(F.col("vector")) & F.col("label").isNotNull())
-    rows = rows.withColumn("group", F.when(F.col("usable"), F.xxhash64("label", F.size("vector")))).withColumn("class", F.when(F.col("usable"), F.xxhash64("group", "vector")))
-    classes = keep(rows.where("usable").groupBy("class").agg(F.first("group").alias("group"), F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("id").alias("id")))
-    words = max(8, int(np.ceil((4 * classes.count()) ** 0.25)))
-    cells = keep(classes.select("class", "group", "vector").repartition(partitions(spark)).mapInArrow(_cells(kind, words), "class long, group long, filter long"))
-    shared = cells.groupBy("group", "filter").agg(F.count("*").alias("size")).where("size > 1")
-    lists = cells.groupBy("class").agg(F.sort_array(F.collect_list("filter")).alias("filters"))  # a few dozen for each
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    met = cells.join(shared, ["group", "filter"]).withColumn("block", F.pmod(F.xxhash64("class"), count).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), count - 1)))
-    met = met.select("class", "group", "filter", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block")
-    met = met.join(classes.select("class", "vector", "n").join(lists, "class"), "class")
-    ends = ["group", "filter", "i", "j"]
-    met = met.select(*ends, "block", "class", "n", "vector", "filters").repartition(partitions(spark), *ends).sortWithinPartitions(*ends)
-    found = keep(met.mapInArrow(_links(kind, cosine), "class long, links long, least long"))
-    whole = keep(components(found.select(F.col("class").alias("a"), F.col("least").alias("b"))).withColumnRenamed("node", "class"))
+    rows = rows.withColumn("high", F.when(F.col("usable"), F.xxhash64("label", "vector"))).withColumn("low", F.when(F.col("usable"), F.xxhash64(F.lit(1), "vector", "label")))
+    classes = rows.where("usable").groupBy("high", "low").agg(F.first("label").alias("label"), F.first("vector").alias("vector"), F.count("*").alias("n"), F.min("id").alias("id"))
+    classes = keep(classes.withColumn("class", F.monotonically_increasing_id()))  # the write fixes the numbers
+    count = classes.count()
+    words = max(4, int(np.ceil((LEAST_FILTERS * count / CELL) ** 0.25)))
+    depth = next((d for d in (1, 2, 3) if 3.5 * 2 ** (d - 1) * count <= BLOCK * words**d), 4)  # about so many buckets a vector, by depth
+    floats = "float" if kind == "<f4" else "double"
+    names = classes.schema["id"].dataType.simpleString()
+    coded = classes.select("class", "n", "id", "label", "vector").repartition(partitions(spark))
+    coded = keep(coded.mapInArrow(_coded(kind, words, depth), f"class long, n long, id {names}, label string, vector array<{floats}>, dim int, filters binary, buckets array<long>"))
+    met = coded.select("class", "n", "label", "vector", "dim", "filters", F.explode("buckets").alias("bucket"))
+    ends = ["label", "dim", "bucket"]
+    sizes = coded.select("label", "dim", F.explode("buckets").alias("bucket")).groupBy(*ends).agg(F.count("*").alias("size")).where("size > 1")
+    sizes = keep(sizes.withColumn("place", F.monotonically_increasing_id()))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    met = met.join(sizes, ends).withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = met.select("place", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "bucket", "dim", "class", "n", "vector", "filters")
+    met = met.repartition(partitions(spark), "place", "i", "j").sortWithinPartitions("place", "i", "j")
+    found = keep(met.mapInArrow(_links(kind, words, depth, cosine), "class long, links long, least long"))
+    whole = components(found.select(F.col("class").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
-    told = classes.select("class", "id", "n").join(whole, "class", "left").join(links, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = told.groupBy("component").agg(F.min("id").alias("least"))
-    told = told.join(least, "component").select("class", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "least")
-    out = rows.select("id", "class").join(told, "class", "left")
+    told = classes.select("high", "low", "class", "id", "n").join(whole.withColumnRenamed("node", "class"), "class", "left").join(links, "class", "left")
+    told = keep(told.withColumn("component", F.coalesce("component", "class")))
+    release(coded, sizes, found, whole)
+    least = keep(told.groupBy("component").agg(F.min("id").alias("least")))
+    answer = keep(told.join(least, "component").select("high", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "least"))
+    release(classes, told, least)
+    out = rows.select("id", "high", "low").join(answer, ["high", "low"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("least", "id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

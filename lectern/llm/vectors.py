@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +22,9 @@ def element(df: DataFrame, vector: str) -> str:
 def as_double(df: DataFrame, vector: str) -> Column:
     """Floats stay as they are; other numbers become doubles."""
     return F.col(vector) if element(df, vector) == "<f4" else F.col(vector).cast("array<double>")
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Lists of one length (without nulls) as the rows of a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(flat), -1)
