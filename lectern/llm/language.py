@@ -9,12 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import keep, release
 from lectern.llm.words import mix
 
 GRAM = 4
 #: Places of the filters, and hash functions for each gram.
 SLOTS, HASHES = 1 << 20, 3
-#: The filters are fitted on about so many documents, dealt by a hash of their ids.
+#: The filters are fitted on about so many documents, dealt by a hash.
 FIT_ROWS = 20_000
 #: A language holds a gram if the share of its documents with the gram is at least this part of the
 #: largest share among the languages, and so many of its documents have it.
@@ -56,18 +57,25 @@ def _places(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 class LanguageFilters:
-    """One Bloom filter for each language, stored by place: bit l of ``masks[p]`` is place p of language
-    l's filter, so HASHES reads tell all languages that hold a gram."""
-
-    def __init__(self, languages: list[str], members: list[np.ndarray]):
-        if len(languages) > 64:
-            raise ValueError("at most 64 languages")
-        self.languages = languages
-        self.masks = np.zeros(SLOTS, np.uint64)
-        for bit, hashes in enumerate(members):
+    """One Bloom filter for each language, stored by place: bit l % 64 of ``masks[p, l // 64]`` is place p of language
+    l's filter, so HASHES reads tell all languages that hold a gram.  8 MB for each 64 languages."""
+
+    def __init__(self, languages: list[str], masks: np.ndarray):
+        self.languages, self.masks = languages, masks
+        self.false = np.array([self._bit(masks, i).mean() ** HASHES for i in range(len(languages))])
+
+    @classmethod
+    def of(cls, members: dict[str, np.ndarray]) -> LanguageFilters:
+        """Filters that hold the grams given for each language."""
+        masks = no_masks(len(members))
+        for i, hashes in enumerate(members.values()):
             for p in _places(hashes):
-                self.masks[p] |= np.uint64(1 << bit)
-        self.false = np.array([((self.masks >> np.uint64(b)) & np.uint64(1)).mean() ** HASHES for b in range(len(languages))])
+                masks[p, i // 64] |= np.uint64(1 << i % 64)
+        return cls(list(members), masks)
+
+    @staticmethod
+    def _bit(masks: np.ndarray, i: int) -> np.ndarray:
+        return (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language that holds the most grams of the text, less what chance hits would be, and the
@@ -76,12 +84,16 @@ class LanguageFilters:
         if not len(g) or not self.languages:
             return UNKNOWN, 0.0
         found = np.bitwise_and.reduce([self.masks[p] for p in _places(g)])
-        hits = np.array([int(((found >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(len(self.languages))])
+        hits = np.array([int(self._bit(found, i).sum()) for i in range(len(self.languages))])
         true = (hits - len(g) * self.false) / np.maximum(1 - self.false, 1e-9)
         best = int(true.argmax())
         return self.languages[best], float(min(1.0, max(0.0, true[best] / len(g))))
 
 
+def no_masks(languages: int) -> np.ndarray:
+    return np.zeros((SLOTS, max(1, -(-languages // 64))), np.uint64)
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to (lang, gram, docs); gram 0 counts the documents themselves."""
     for batch in batches:
@@ -98,33 +110,57 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 5 == 0, F.lit(False))
 
 
-def some(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """All rows, or about so many of them, dealt by a hash of the key."""
-    total = df.count()
-    return df if total <= rows else df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(1e6 * rows / total))
+def dealt(rows: int, total: int, *columns: str) -> Column:
+    """True for about so many of the rows, dealt by a hash of the columns (equal rows go together)."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit(2**63 - 1)) < F.lit(min(2**63 - 1, 2**63 * rows // max(total, 1)))
+
+
+def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many of the rows of each language are fitted: equal shares, where small languages give what they
+    don't need to the others."""
+    out, left = {}, rows
+    for i, (name, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[name] = min(n, left // (len(counts) - i))
+        left -= out[name]
+    return out
 
 
 def fit_language_filters(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> LanguageFilters:
-    """Fits filters to about ``rows`` documents that name a language: executors count the documents of
-    each language that have a gram, and the grams that its language holds are collected."""
-    named = some(docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()), key, rows)
-    counts = named.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).mapInArrow(_count_grams, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
-    counts = counts.where((F.col("docs") >= LEAST_DOCS) | (F.col("gram") == 0)).toPandas()  # bounded by the rows fitted
-    total = counts[counts.gram == 0].set_index("lang").docs.sort_index()
-    counts = counts[counts.gram != 0]
-    counts = counts.assign(share=counts.docs / counts.lang.map(total))
-    counts = counts[counts.share >= PART * counts.groupby("gram").share.transform("max")]
-    return LanguageFilters(list(total.index), [counts.gram[counts.lang == x].to_numpy(np.int64).view(np.uint64) for x in total.index])
+    """Fits filters to about ``rows`` documents that name a language, dealt by a hash in equal shares to the languages, so
+    that rare ones stay: executors count the documents of each language that have a gram, find the languages
+    that hold it, and set the bits; the driver gets one number for each place of the filters, whatever
+    the lengths of the texts.  Null texts and languages are left out; no documents give filters without languages.  Rows
+    that share a key are documents of their own, but equal rows are dealt together."""
+    named = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    counts = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}  # a row for each language
+    if sum(counts.values()) > rows:
+        wanted = shares(counts, rows)
+        part = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(2**63 - 1, 2**63 * wanted[name] // n))])
+        named = named.where(F.xxhash64("key", "text").bitwiseAND(F.lit(2**63 - 1)) < part[F.col("lang")])
+    seen = keep(named.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")))
+    total = {r.lang: r.docs for r in seen.where("gram = 0").orderBy("lang").collect()}
+    if not total:
+        return LanguageFilters.of({})
+    number, of = F.create_map(*[F.lit(x) for i, name in enumerate(total) for x in (name, i)]), F.create_map(*[F.lit(x) for name, n in total.items() for x in (name, n)])
+    held = seen.where((F.col("gram") != 0) & (F.col("docs") >= LEAST_DOCS)).select("gram", F.struct((F.col("docs") / of[F.col("lang")]).alias("share"), number[F.col("lang")].alias("i")).alias("s"))
+    held = held.groupBy("gram").agg(F.collect_list("s").alias("all"), F.max("s.share").alias("top"))  # a struct for each language
+    held = held.select("gram", F.explode(F.filter("all", lambda s: s["share"] >= PART * F.col("top"))).alias("s")).select("gram", "s.i")
+    place = F.explode(F.array(*[F.shiftrightunsigned("gram", 20 * h).bitwiseAND(F.lit(SLOTS - 1)) for h in range(HASHES)]))
+    bits = held.select(place.alias("place"), F.expr("i div 64").alias("word"), F.expr("shiftleft(1L, i % 64)").alias("bit")).groupBy("place", "word").agg(F.bit_or("bit").alias("mask")).toPandas()
+    release(seen)
+    masks = no_masks(len(total))
+    masks[bits.place.to_numpy(np.int64), bits.word.to_numpy(np.int64)] = bits["mask"].to_numpy(np.int64).view(np.uint64)
+    return LanguageFilters(list(total), masks)
 
 
 def identify_languages(docs: DataFrame, filters: LanguageFilters, text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (0 to 1) to every row, from the whole text.
 
-    ``und`` and 0 for null texts and texts without letters.  Ties go to the first language by name.
-    Columns of these names are replaced."""
+    ``und`` and 0 for null texts and texts without letters.  Ties go to the first language by name.  Every
+    row is judged for itself, also repeated ones; no rows: no rows.  Columns of these names are replaced."""
     rest = docs.drop("lang_pred", "score")
     at = rest.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for each 64 languages, whatever the corpus
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
