@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import logging
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.language import some
+from lectern.llm.common import keep, release
+from lectern.llm.language import dealt
 from lectern.llm.words import Words
 
 #: About so many labelled documents are fitted, dealt by a hash of their ids.
@@ -18,26 +20,51 @@ FIT_ROWS = 20_000
 #: Features: words, and beginnings of words of so many bytes.
 STEMS = (4, 5, 6)
 #: A feature is a candidate if so many toxic documents have it, and a share of them that is LIFT times the share of others.
-LEAST_DOCS, LIFT, MOST_FEATURES = 3, 3.0, 100_000
-#: Identity terms that may stand for each other (fixed values).
+LEAST_DOCS, LIFT = 3, 3.0
+#: Identity terms that may stand for each other, by kind, in the languages of the corpus (fixed values).
 IDENTITY_TERMS = (
     ("women", "men"), ("woman", "man"), ("girls", "boys"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("black", "white", "asian", "latino"), ("gay", "straight", "lesbian", "bisexual"), ("immigrants", "citizens", "refugees"),
     ("old", "young"), ("deaf", "blind", "disabled"),
+    ("femmes", "hommes"), ("femme", "homme"), ("filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"), ("musulman", "chrétien", "juif", "hindou", "bouddhiste", "athée"),
+    ("noirs", "blancs", "asiatiques"), ("lesbiennes", "hétérosexuels", "homosexuels", "bisexuels"), ("immigrés", "citoyens", "réfugiés"), ("sourds", "aveugles", "handicapés"),
+    ("frauen", "männer"), ("frau", "mann"), ("mädchen", "jungen"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"), ("muslimisch", "christlich", "jüdisch", "buddhistisch"),
+    ("schwarze", "weiße", "asiaten"), ("schwule", "lesben", "bisexuelle"), ("einwanderer", "bürger", "flüchtlinge"), ("gehörlose", "blinde", "behinderte"),
+    ("mujeres", "hombres"), ("mujer", "hombre"), ("niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"), ("negros", "blancos", "asiáticos"),
+    ("lesbianas", "heterosexuales", "homosexuales", "bisexuales"), ("inmigrantes", "ciudadanos", "refugiados"), ("sordos", "ciegos", "discapacitados"),
 )
 #: Weight of the squared score change under a swap, and of the squared weights.
 SWAP_PENALTY, L2 = 1.0, 1e-4
 
 _outside = np.ones(256, bool)
 _outside[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_swap = re.compile(rf"\b({'|'.join(sorted({t for g in IDENTITY_TERMS for t in g}))})\b", re.IGNORECASE)
-_next = {t: g[(i + 1) % len(g)] for g in IDENTITY_TERMS for i, t in enumerate(g)}
+_log = logging.getLogger(__name__)
 
 
-def swapped(text: str) -> str:
-    """The text with each identity term replaced by the next of its kind."""
-    return _swap.sub(lambda m: _next[m[0].lower()], text)
+class Swaps:
+    """Replaces each identity term by the next of its kind."""
+
+    def __init__(self, terms: Sequence[Sequence[str]] = IDENTITY_TERMS):
+        self.terms = terms
+        self._next: dict[str, str] = {}
+        for kind in terms:
+            for i, t in enumerate(kind):
+                self._next.setdefault(t, kind[(i + 1) % len(kind)])
+        self._found = re.compile(rf"\b({'|'.join(map(re.escape, sorted(self._next)))})\b" if self._next else "(?!)", re.IGNORECASE)
+
+    def mentioned(self, text: str) -> bool:
+        return self._found.search(text) is not None
+
+    def swapped(self, text: str) -> str:
+        return self._found.sub(lambda m: self._next.get(m[0].lower(), m[0]), text)
+
+    def pairs(self) -> list[tuple[str, str]]:
+        """Each two terms of a kind that follow one another."""
+        return [(a, b) for kind in self.terms for a, b in zip(kind, [*kind[1:], kind[0]], strict=True) if a != b]
 
 
 def features(text: str | None) -> np.ndarray:
@@ -70,9 +97,10 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[self.places(features(text))].sum(), -30, 30))))
 
 
-def _fit(rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], size: int, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Logistic regression on binary features by Adam, plus SWAP_PENALTY times the mean squared change
-    of the raw score between a text and its swapped form."""
+def _fit(rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[np.ndarray, np.ndarray]], size: int, penalty: float = SWAP_PENALTY, steps: int = 300, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Logistic regression on binary features by Adam, plus ``penalty`` times the mean squared change
+    of the raw score between a text and its swapped form (over the pairs that change at all)."""
+    swaps = [(a, b) for a, b in swaps if not np.array_equal(a, b)]
     flat = np.concatenate([*rows, np.empty(0, int)]).astype(int)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     changed = np.concatenate([np.setdiff1d(x, y) for pair in swaps for x, y in (pair, pair[::-1])] or [np.empty(0, int)]).astype(int)
@@ -86,7 +114,7 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[np.ndarray
         grad = np.append(np.bincount(flat, g[of], size), g.sum())
         grad[:size] += L2 * w[:size]
         if len(swaps):
-            change = 2 * SWAP_PENALTY / len(swaps) * np.bincount(swap, sign * w[changed], len(swaps))
+            change = 2 * penalty / len(swaps) * np.bincount(swap, sign * w[changed], len(swaps))
             grad[:size] += np.bincount(changed, sign * change[swap], size)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -104,24 +132,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(name), toxic, np.int32)), pa.array(docs.astype(np.int64))], ["feature", "toxic", "docs"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS) -> ToxicityModel:
-    """Fits the classifier to about ``rows`` of the labelled documents (0 or 1; others are left out).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = SWAP_PENALTY) -> ToxicityModel:
+    """Fits the classifier to about ``rows`` of the labelled documents (0 or 1; others are left out), with counterfactual
+    pairs whose scores should not differ.
 
     Candidates are features of several toxic documents that are LIFT times as frequent there; executors
     count them.  The driver gets, for each document fitted, the numbers of its candidates, and
-    the same for the swapped form of those that mention an identity term.
+    the same for the swapped form of those that mention an identity term.  Labelled sentences also get terms
+    inserted: the score is a sum over the words of a text, so two terms that stand in the same place change it alike
+    in every sentence, and one pair for each two terms of a kind counts for all of them.  The model tells
+    how many texts were swapped (``swapped``) and how many pairs of terms change a score (``inserted``).
+
+    A key with several labels is toxic if one of them says so; of several texts of a key the first by
+    value is fitted; null keys and labels are left out.  Null texts count as empty.  No labelled document: a model that scores all texts
+    alike, below 0.5.
     """
-    labelled = some(labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("toxic")), "_id", rows)
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     chosen = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    if labelled.count() < labels.count():  # the same hash keeps the other texts out of the join
-        total = labels.where(F.col(label).isin(0, 1)).count()
-        if total > rows:
-            chosen = chosen.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * rows / total))
-    from lectern.llm.common import keep
-
-    train = keep(chosen.join(labelled, "_id").select("text", "toxic"))
+    total = known.count()
+    if total > rows:  # the same hash keeps the other texts out of the join
+        known, chosen = (df.where(dealt(rows, total, "_id")) for df in (known, chosen))
+    train = keep(chosen.join(known, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
     positive = train.where("toxic = 1").mapInArrow(_count, "feature long, toxic int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
-    positive = positive.where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "feature").limit(MOST_FEATURES).toPandas()
+    positive = positive.where((F.col("docs") >= LEAST_DOCS) | (F.col("feature") == 0)).toPandas()  # bounded by the documents fitted
     among = positive[positive.feature != 0].set_index("feature").docs
     candidates = np.sort(among.index.to_numpy(np.int64))
 
@@ -136,26 +169,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     names = np.sort(share.index[share >= LIFT].to_numpy(np.int64))
     empty = ToxicityModel(names, np.zeros(len(names)), 0.0)
 
+    change = Swaps(terms)
+
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             own = [empty.places(features(t)).astype("<i4").tobytes() for t in texts]
-            other = [empty.places(features(swapped(t))).astype("<i4").tobytes() if _swap.search(t) else None for t in texts]
+            other = [empty.places(features(change.swapped(t))).astype("<i4").tobytes() if change.mentioned(t) else None for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["toxic", "own", "other"])
 
     fitted = train.mapInArrow(rows_of, "toxic int, own binary, other binary").toPandas()
     own = [np.frombuffer(x, "<i4") for x in fitted.own]
     swaps = [(a, np.frombuffer(b, "<i4")) for a, b in zip(own, fitted.other, strict=True) if b is not None]
-    weights, bias = _fit(own, fitted.toxic.to_numpy(float), swaps, len(names)) if len(own) else (np.zeros(0), -5.0)
-    return ToxicityModel(names, weights, bias)
+    put = [(a, b) for a, b in ((empty.places(features(x)), empty.places(features(y))) for x, y in change.pairs()) if not np.array_equal(a, b)]
+    _log.info("%d of %d labelled texts were swapped, %d pairs of terms change a score", len(swaps), len(own), len(put))
+    weights, bias = _fit(own, fitted.toxic.to_numpy(float), swaps + put, len(names), penalty) if len(own) else (np.zeros(0), -5.0)
+    model = ToxicityModel(names, weights, bias)
+    model.swapped, model.inserted = len(swaps), len(put)
+    release(train)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every row, from the whole text; null and
-    empty texts get the score of a text without known features.  Columns of these names are replaced."""
+    empty texts get the score of a text without known features.  Every row is scored for itself, also repeated
+    ones; no rows: no rows.  Columns of these names are replaced."""
     rest = docs.drop("score", "predicted")
     at = rest.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the documents fitted
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
