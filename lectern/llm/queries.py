@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lectern.llm.ann import build_index, search_index
 from lectern.llm.capdup import near_embeddings
 from lectern.llm.common import keep, small_batches
 from lectern.llm.language import fit_language_filters, held_out, identify_languages
-from lectern.llm.licenses import scan_licenses
+from lectern.llm.licenses import PHRASES, TEMPLATES, scan_licenses, words_of
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
 from lectern.llm.neardup import near_duplicates
 from lectern.llm.packing import place_pieces, token_pieces
@@ -47,7 +49,7 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def block_list(pages: DataFrame) -> DataFrame:
     """A dated list made from the hosts of the pages: some are added, removed and added again, some
     only below a language's path, and some parent domains once.  Days count from 2024-01-01."""
-    hosts = pages.select(F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#:]+)", 1).alias("host")).where("host <> ''").distinct()
+    hosts = pages.select(F.regexp_extract(F.lower("url"), r"^[a-z]+://(?:[^/?#@]*@)?([^/?#:]+)", 1).alias("host")).where("host <> ''").distinct()
     code = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int")
     hosts = hosts.withColumn("h", code)
     day = F.col("h") % 200
@@ -70,7 +72,7 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_SQL = r"""
 WITH hosts AS (
   SELECT host, CAST('0x' || substr(md5(host), 1, 6) AS INT) AS h
-  FROM (SELECT DISTINCT regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1) AS host FROM pages) WHERE host <> ''),
+  FROM (SELECT DISTINCT regexp_extract(lower(url), '^[a-z]+://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host FROM pages) WHERE host <> ''),
 entries AS (
   SELECT host AS pattern, 'add' AS action, h % 200 AS listed_at FROM hosts WHERE h % 3 = 0
   UNION ALL SELECT host, 'remove', h % 200 + 60 FROM hosts WHERE h % 6 = 0
@@ -83,13 +85,13 @@ valid AS (
   FROM (SELECT *, lead(listed_at) OVER (PARTITION BY pattern ORDER BY listed_at) AS valid_to FROM once) WHERE action = 'add'),
 captures AS (
   SELECT page_id, url, CAST(page_id * 37 % 366 AS INT) AS fetched_at,
-    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1) AS host,
+    regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) AS host,
     list_filter(string_split(regexp_extract(lower(url), '^[^:]+://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS parts
   FROM pages),
 keyed AS (
   SELECT DISTINCT url, fetched_at, unnest(list_concat(
     list_transform(range(1, greatest(len(string_split(host, '.')), 2)), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
-    list_transform(range(1, least(len(parts), 3) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS key
+    list_transform(range(1, len(parts) + 1), lambda i: host || '/' || array_to_string(parts[1:i], '/')))) AS key
   FROM captures WHERE host <> ''),
 hits AS (
   SELECT k.url, k.fetched_at, v.pattern, v.valid_from
@@ -119,6 +121,77 @@ FROM slots, ends
 """
 
 
+#: CRC-32 by bytes: one step of the checksum for each value of its low byte, from the polynomial.
+def _crc_table() -> list[int]:
+    out = list(range(256))
+    for _ in range(8):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+def crc_sql(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes; the step table is ``t``."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::BIGINT)::BIGINT"
+
+
+SHARDING_SQL = f"""
+WITH crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
+rows AS (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, coalesce({crc_sql("text")}, 0) AS text_crc32, coalesce(md5(text), '') AS "group" FROM documents, crc),
+sums AS (SELECT *, row_number() OVER w - 1 AS place, CAST(sum(size) OVER (ORDER BY "group", doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS before, CAST(sum(size) OVER () AS BIGINT) AS total FROM rows WINDOW w AS (ORDER BY "group", doc_id)),
+cut AS (SELECT *, least((2 * before + size) * 24 // (2 * total), 23)::INT AS shard FROM sums)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard, "group" FROM cut
+"""
+
+#: Sets of shingles held against each other in full; links, and what each document reaches by them.
+MINHASH_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+members AS (SELECT doc_id, len(s) AS n, unnest(s) AS m FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM members a JOIN members b ON a.m = b.m AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least USING (doc_id)
+"""
+
+EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN least USING (vec_id)
+"""
+
+
+def _license_sql() -> str:
+    """Templates as regular expressions over the words, each with a blank behind it."""
+
+    def words(x: str) -> str:
+        return "".join(f"{w.decode()} " for w in words_of(x))
+
+    def pattern(template: str) -> str:
+        marks = re.findall(r"\[\[|\]\]|\{\d+\}|[^\[\]{}]+", template)
+        return "".join({"[[": "(?:", "]]": ")?"}.get(m) or (f"(?:[^ ]+ ){{0,{m[1:-1]}}}" if m[0] == "{" else words(m)) for m in marks)
+
+    place = {label: " AND ".join(f"w[i + {k + 1}] = '{x.decode()}'" for k, x in enumerate(words_of(p))) for p, label in PHRASES.items()}
+    found = ", ".join(f"CASE WHEN regexp_matches(flat, ' {pattern(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    base = ", ".join(f"CASE WHEN len(list_filter(range(0, len(w)), lambda i: {p})) > 0 THEN '{label}' END" for label, p in place.items())
+    joined = lambda x: f"array_to_string(list_sort(list_distinct(list_filter({x}, lambda l: l IS NOT NULL))), ',')"
+    return rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS flat, list_filter(range(0, len(w)), lambda i: {" OR ".join(f"({p})" for p in place.values())}) AS p FROM words),
+told AS (SELECT *, [{base}] AS base, [{found}] AS more FROM places)
+SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, {joined("base")} AS base_labels, {joined("list_concat(base, more)")} AS labels,
+  CASE WHEN len(list_filter(more, lambda l: l IS NOT NULL)) > 0 THEN 1.0 WHEN len(p) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM told
+"""
+
+
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     model = fit_toxicity(docs.where("not held_out"), table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
@@ -157,4 +230,11 @@ QUERIES = {
     "op10_license_scan": license_scan,
 }
 
-SQL = {"op5_mixing": _mixing_sql(), "op6_url_filters": URL_SQL}
+SQL = {
+    "op1_minhash_neardup": MINHASH_SQL,
+    "op2_sharding": SHARDING_SQL,
+    "op4_embedding_neardup": EMBEDDING_SQL,
+    "op5_mixing": _mixing_sql(),
+    "op6_url_filters": URL_SQL,
+    "op10_license_scan": _license_sql(),
+}
