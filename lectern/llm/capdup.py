@@ -146,7 +146,7 @@ def _meet_first(filters: list[np.ndarray], here: int, a: np.ndarray, b: np.ndarr
     """Of pairs of rows that share filter ``here``: do they share no smaller one?  ``filters``: of each row, sorted."""
     smaller = [f[: np.searchsorted(f, here)] for f in filters]
     n = np.array([len(f) for f in smaller])
-    if len(a) * max(1, int(n.max())) ** 2 <= 1 << 26:
+    if len(a) * max(1, int(n.max())) ** 2 <= 1 << 22:
         wide = np.full((2, len(filters), max(1, int(n.max()))), -1)
         wide[1] = -2
         for side in wide:
@@ -156,15 +156,19 @@ def _meet_first(filters: list[np.ndarray], here: int, a: np.ndarray, b: np.ndarr
         for at in range(0, len(a), step):
             out[at : at + step] = ~(wide[0][a[at : at + step], :, None] == wide[1][b[at : at + step], None, :]).any(axis=(1, 2))
         return out
-    met = np.zeros((len(filters), len(filters)), bool)  # at most two tiles of rows
-    name, row = np.concatenate(smaller), np.repeat(np.arange(len(n)), n)
-    order = np.argsort(name, kind="stable")
-    name, row = name[order], row[order]
-    edge = np.concatenate([[0], np.flatnonzero(name[1:] != name[:-1]) + 1, [len(name)]])
-    for low, high in zip(edge[:-1], edge[1:], strict=True):
-        if high - low > 1:
-            met[np.ix_(row[low:high], row[low:high])] = True
-    return ~met[a, b]
+    # one bit for each filter of several rows, the commonest first, so that the first word settles most pairs
+    _, at, count = np.unique(np.concatenate(smaller), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    row, bit = np.repeat(np.arange(len(n)), n)[count[at] > 1], rank[at][count[at] > 1]
+    bits = np.zeros((len(filters), max(1, -(-int((count > 1).sum()) // 64))), np.uint64)
+    np.add.at(bits, (row, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+    left = np.arange(len(a))
+    for word in bits.T:
+        left = left[(word[a[left]] & word[b[left]]) == 0]
+    out = np.zeros(len(a), bool)
+    out[left] = True
+    return out
 
 
 def _links(kind: str, words: int, depth: int, cosine: float):
