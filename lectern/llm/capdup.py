@@ -18,8 +18,9 @@ from lectern.llm.vectors import as_double, element, matrix, usable
 FILTERS, LEAST_FILTERS = 8, 16
 #: Vectors of a filter, on average: so many filters are laid out in all.
 CELL = 512
-#: Vectors of a bucket (the filters that share their first words) that a task holds; larger buckets are cut into blocks.
-BLOCK = 131_072
+#: Vectors of a bucket (the filters that share their first words) that a task holds at most, and at least where there are
+#: more tasks; larger buckets are cut into blocks.
+BLOCK, LEAST_BLOCK = 131_072, 1024
 #: Rows that are multiplied with each other at once.
 TILE = 2048
 _codes: dict[tuple[int, int], ProductCode] = {}
@@ -258,7 +259,8 @@ def near_embeddings(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     ends = ["label", "dim", "bucket"]
     sizes = coded.select("label", "dim", F.explode("buckets").alias("bucket")).groupBy(*ends).agg(F.count("*").alias("size")).where("size > 1")
     sizes = keep(sizes.withColumn("place", F.monotonically_increasing_id()))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    block = min(BLOCK, max(LEAST_BLOCK, (sizes.agg(F.sum("size")).first()[0] or 0) // partitions(spark)))
+    blocks = F.ceil(F.col("size") / block).cast("int")
     met = met.join(sizes, ends).withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("place", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "bucket", "dim", "class", "n", "vector", "filters")
     met = met.repartition(partitions(spark), "place", "i", "j").sortWithinPartitions("place", "i", "j")
