@@ -1,6 +1,7 @@
 """The pipeline's stages on the smallest tables, against brute-force versions of what they keep."""
 
 from collections import Counter
+from random import Random
 
 import corpus_pipeline
 from lectern.llm import minhash, queries
@@ -50,3 +51,35 @@ def test_the_mix_reaches_the_sequences(spark, monkeypatch):
     a, b = seen
     assert a.keys() == b.keys() and {k[0] for k in a} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert all(a[k][:2] == b[k][:2] for k in a) and any(a[k] != b[k] for k in a)
+
+
+def test_no_row_is_lost_or_multiplied(spark, tmp_path):
+    """Null and repeated ids, equal rows, odd texts: every stage keeps each row or rejects it by its rule."""
+    rng = Random(4)
+    text = lambda: " ".join(rng.choice("the quick brown fox jumps over a lazy dog while seven green boats sail slowly home".split()) + rng.choice(["", "s", "ed", "ing"]) for _ in range(60))
+    base = [text() for _ in range(12)]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in enumerate(base)]
+    rows += [(None, text(), "en", None, 1) for _ in range(5)] + [(3, text(), "en", "src1", 1), (3, text(), "en", "src1", 1)]  # rows of their own
+    unique = len(rows)
+    rows += [rows[2], rows[2], (40, base[4], "en", "src2", 1), (None, base[5], "en", "src2", 1), (3, base[3], "en", "src0", 1)]  # copies
+    rows += [(50, None, "en", "src0", 0), (51, "", "en", "src0", 0), (52, " 12 .", None, "src0", 5)]  # no letters
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    queries.table(spark, SF, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], docs.schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    queries.table(spark, SF, "labels").write.parquet(f"{tmp_path}/none/labels.parquet")
+    lang = keep(corpus_pipeline.language_id(spark, docs, str(tmp_path)))
+    assert lang.count() == len(rows) - 3
+    clean = keep(corpus_pipeline.toxicity(spark, lang, str(tmp_path)))
+    assert clean.count() == lang.count()
+    fresh = keep(corpus_pipeline.minhash_neardup(spark, clean, str(tmp_path)))
+    left = fresh.collect()
+    assert len(left) == unique and Counter(r.doc_id for r in left)[None] == 5 and Counter(r.doc_id for r in left)[3] == 3
+    assert {r.text for r in left} == {r[1] for r in rows[:unique]}
+    mixed = keep(corpus_pipeline.mixing(spark, clean, str(tmp_path)))
+    as_rows = lambda df: Counter(map(str, df.collect()))
+    assert as_rows(mixed) == as_rows(clean)
+    packed = corpus_pipeline.packing(spark, mixed, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in clean.collect())
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
