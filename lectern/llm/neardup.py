@@ -14,7 +14,7 @@ from lectern.llm.common import keep, partitions, release, runs
 from lectern.llm.components import components
 
 #: Rows of a bucket that are held against each other at once; larger buckets are cut into blocks.
-BLOCK = 512
+BLOCK = 256
 #: Pairs whose signatures agree less than this are not verified in the second round.  At the
 #: similarity asked for (0.75) it lies four standard deviations below (250 coordinates).
 AGREE = 0.64
