@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Labels that stand before parts of a text (fixed values).
 SLIDE_LABEL, SPEECH_LABEL, KEYWORD_LABEL, TERM_LABEL = "[スライド]\n", "[音声]\n", "[キーワード]\n", "[固有名詞・専門用語]\n"
 NO_SPEECH, CONTEXT_SEPARATOR, NO_CONTEXT = "（ASRなし）", "\n\n---\n\n", "（取得できませんでした）"
+#: Answers and levels that are asked for (fixed values).
+CHOICES, LEVEL_NAMES = ("A", "B", "C", "D"), ("知識", "応用", "評価")
 #: Unicode white space at both ends.
 STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -22,9 +24,10 @@ def text_or_empty(c: Column) -> Column:
 
 def normalize_text(c: Column) -> Column:
     """Without blank lines and lines that repeat the kept line before them (both stripped); null: ''."""
-    lines = F.filter(F.split(text_or_empty(c), "\n", -1), lambda s: strip(s) != "")
-    fresh = F.filter(lines, lambda s, i: (i == 0) | (strip(s) != strip(F.get(lines, i - 1))))
-    return strip(F.array_join(fresh, "\n"))
+    keyed = F.transform(F.split(text_or_empty(c), "\n", -1), lambda s: F.struct(s.alias("line"), strip(s).alias("key")))
+    lines = F.array(F.filter(keyed, lambda s: s["key"] != ""))  # one element, so that the lambda below binds the list once
+    fresh = F.transform(lines, lambda known: F.filter(known, lambda s, i: (i == 0) | (s["key"] != F.get(known, i - 1)["key"])))
+    return strip(F.array_join(F.transform(F.get(fresh, F.lit(0)), lambda s: s["line"]), "\n"))
 
 
 def speech_text(segments: Column, strip_each: bool = False) -> Column:
@@ -124,6 +127,11 @@ def preview(text: Column, limit: int = 500) -> Column:
     return F.concat(F.substring(text, 1, limit), F.when(F.length(text) > limit, "...").otherwise(""))
 
 
+def answer_flags(answer: Column, level: Column) -> Column:
+    """Whether the answer is one of the four choices and the level one of the three known (neither is enforced)."""
+    return F.struct(F.coalesce(answer.isin(*CHOICES), F.lit(False)).alias("known_answer"), F.coalesce(level.isin(*LEVEL_NAMES), F.lit(False)).alias("known_level"))
+
+
 def prefixed(text: Column, kind: str) -> Column:
     """What embedding models expect before a query or a passage."""
     return F.concat(F.lit({"query": "query: ", "passage": "passage: "}[kind]), text)

@@ -18,12 +18,31 @@ def frame_intervals(frames: DataFrame) -> DataFrame:
 
 def align_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """Each frame (video_id, pos, frame_pos, detect_time, time, slide_end) with ``asr_text``: its slide's segments that start in
-    [from_sec, to_sec), stripped, a line each.  Frames without speech stay; frames of equal times get none but the last."""
-    spoken = segments.where(strip(F.coalesce("text", F.lit(""))) != "").select("video_id", "pos", "seg_pos", F.col("start_sec").alias("said"), strip(F.col("text")).alias("line"))
+    [from_sec, to_sec), stripped, a line each.  Frames without speech stay; frames of equal times get none but the last.
+
+    Where a slide's frames are in the order of time, a segment can only be the last frame's at or before it, found in one pass
+    over frames and segments in the order of time.  Slides whose frames go back in time are joined frame by segment."""
+    place = ["video_id", "pos"]
+    nxt = F.lead("from_sec").over(W.partitionBy(*place).orderBy("frame_pos"))
+    f = frame_intervals(frames).withColumn("_back", F.coalesce(nxt < F.col("from_sec"), F.lit(False)))
+    f = f.withColumn("_back", F.max("_back").over(W.partitionBy(*place)))
+    spoken = segments.where(strip(F.coalesce("text", F.lit(""))) != "").select(*place, "seg_pos", F.col("start_sec").alias("at"), strip(F.col("text")).alias("line"))
+    none = F.lit(None)
+    both = f.where("not _back").select(*place, F.col("from_sec").alias("at"), F.lit(0).alias("kind"), F.col("frame_pos").cast("long").alias("nth"), F.struct("frame_pos", "to_sec").alias("frame"), none.cast("string").alias("line"))
+    both = both.unionByName(spoken.select(*place, "at", F.lit(1).alias("kind"), F.col("seg_pos").cast("long").alias("nth"), none.cast(both.schema["frame"].dataType).alias("frame"), "line"))
+    w = W.partitionBy(*place).orderBy("at", "kind", "nth").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hits = both.withColumn("frame", F.last("frame", ignorenulls=True).over(w)).where("kind = 1 and at < frame.to_sec").select(*place, F.col("frame.frame_pos").alias("frame_pos"), "nth", "line")
+    back = f.where("_back").select(*place, "frame_pos", "from_sec", "to_sec").join(spoken, place).where("at >= from_sec and at < to_sec")
+    hits = hits.unionByName(back.select(*place, "frame_pos", F.col("seg_pos").cast("long").alias("nth"), "line"))
+    lines = hits.groupBy(*place, "frame_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda s: s["line"]), "\n").alias("asr_text"))
+    return f.drop("_back").join(lines, [*place, "frame_pos"], "left").withColumn("asr_text", F.coalesce("asr_text", F.lit("")))
+
+
+def frame_time_ranges(frames: DataFrame) -> DataFrame:
+    """Adds ``time_range`` to animation frames (others: null): from detection to the next frame's, or the slide's end."""
     f = frame_intervals(frames)
-    hits = f.select("video_id", "pos", "frame_pos", "from_sec", "to_sec").join(spoken, ["video_id", "pos"]).where("said >= from_sec and said < to_sec")
-    lines = hits.groupBy("video_id", "pos", "frame_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg_pos", "line"))), lambda s: s["line"]), "\n").alias("asr_text"))
-    return f.join(lines, ["video_id", "pos", "frame_pos"], "left").withColumn("asr_text", F.coalesce("asr_text", F.lit("")))
+    span = F.struct(F.round("from_sec", 3).alias("start_sec"), F.round("to_sec", 3).alias("end_sec"))
+    return f.withColumn("time_range", F.when(F.col("mode") == "animation", span))
 
 
 def slide_ranges(slides: DataFrame, durations: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import joined
+from lectern.functions.text import combined_text, joined
 
 
 def char_budget_groups(slides: DataFrame, budget: int = 1000) -> DataFrame:
@@ -41,18 +41,23 @@ def _texts(parts: Column) -> Column:
 
 
 def char_budget_parents(slides: DataFrame, budget: int = 1000) -> DataFrame:
-    """Parents (video_id, g, chunk_id, slide_ids, start_sec, end_sec, ocr_text, asr_text) of slides with normalised texts.
+    """Parents (video_id, g, chunk_id, slide_ids, start_sec, end_sec, image, ocr_text, asr_text, parent_text, hints) of slides with
+    normalised texts.  ``image`` is the first slide's (slides without such a column: ''), ``hints`` all terms of the
+    slides in order (column ``proper_nouns``; without it: none).
 
     A tail is appended slide by slide: its slide text follows after a blank line even if the head has none."""
     s = char_budget_groups(slides, budget)
-    tail = F.col("is_tail")
+    tail, none = F.col("is_tail"), F.array().cast("array<string>")
+    image = F.coalesce("image", F.lit("")) if "image" in slides.columns else F.lit("")
+    terms = F.coalesce("proper_nouns", none) if "proper_nouns" in slides.columns else none
     p = s.groupBy("video_id", "g").agg(
         _in_order(F.col("slide_id")).alias("slide_ids"), F.min_by("start_sec", "pos").alias("start_sec"), F.max_by("end_sec", "pos").alias("end_sec"),
         F.array_join(_texts(_in_order(F.col("ocr_text"), ~tail)), "\n\n").alias("head_ocr"), _texts(_in_order(F.col("ocr_text"), tail)).alias("tail_ocr"),
-        F.array_join(_texts(_in_order(F.col("asr_text"))), "\n").alias("asr_text"),
+        F.array_join(_texts(_in_order(F.col("asr_text"))), "\n").alias("asr_text"), F.min_by(image, "pos").alias("image"), F.flatten(_in_order(terms)).alias("hints"),
     )
     ocr = F.concat("head_ocr", F.array_join(F.transform("tail_ocr", lambda t: F.concat(F.lit("\n\n"), t)), ""))
-    return p.select("video_id", "g", F.format_string("parent_%04d", "g").alias("chunk_id"), "slide_ids", "start_sec", "end_sec", ocr.alias("ocr_text"), "asr_text")
+    p = p.withColumn("ocr_text", ocr)
+    return p.select("video_id", "g", F.format_string("parent_%04d", "g").alias("chunk_id"), "slide_ids", "start_sec", "end_sec", "image", "ocr_text", "asr_text", combined_text(F.col("ocr_text"), F.col("asr_text")).alias("parent_text"), "hints")
 
 
 def chunk_by_slides(slides: DataFrame, n: int = 3, overlap: int = 0) -> DataFrame:
@@ -104,13 +109,14 @@ def build_chunks(rows: DataFrame) -> DataFrame:
 
 
 def slide_group_parents(slides: DataFrame, group_size: int = 3) -> DataFrame:
-    """Fixed groups of slides: blocks under slide ids, for slide text, speech and both."""
+    """Fixed groups of slides: blocks under slide ids, for slide text, speech and both; ``image`` is the first slide's."""
+    image = F.coalesce("image", F.lit("")) if "image" in slides.columns else F.lit("")
     head = F.concat(F.lit("["), F.col("slide_id"), F.lit("]\n"))
     block = lambda c: F.when(c != "", F.concat(head, c)).otherwise("")
     both = joined("\n", F.col("ocr_text"), F.when(F.col("asr_text") != "", F.concat(F.lit("[音声]\n"), F.col("asr_text"))).otherwise(""))
     s = slides.withColumn("g", F.floor(F.col("pos") / group_size).cast("int")).withColumn("b_ocr", block(F.col("ocr_text"))).withColumn("b_asr", block(F.col("asr_text"))).withColumn("b_both", block(both))
     return s.groupBy("video_id", "g").agg(
-        _in_order(F.col("slide_id")).alias("slide_ids"), F.min_by("start_sec", "pos").alias("start_sec"), F.max_by("end_sec", "pos").alias("end_sec"),
+        _in_order(F.col("slide_id")).alias("slide_ids"), F.min_by("start_sec", "pos").alias("start_sec"), F.max_by("end_sec", "pos").alias("end_sec"), F.min_by(image, "pos").alias("image"),
         *[F.array_join(_texts(_in_order(F.col(b))), "\n\n").alias(t) for b, t in (("b_ocr", "ocr_text"), ("b_asr", "asr_text"), ("b_both", "combined_text"))],
     ).withColumn("chunk_id", F.format_string("parent_%04d", "g"))
 

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import combined_text, hint_block, normalize_text, speech_text, strip
-from lectern.operators.chunk import split_children
+from lectern.operators.align import align_segments
+from lectern.operators.chunk import char_budget_parents, slide_group_parents, split_children
+from lectern.operators.retrieve import embed_texts
+from lectern.sources.lectures import write_index
 
 MODES = ("combined", "ocr", "asr")
+PARENT = ("video_id", "store_mode", "chunk_id", "slide_ids", "start_sec", "end_sec", "image", "page_content")
 
 
-def with_index_text(slides: DataFrame) -> DataFrame:
-    """Normalised ``ocr_text`` and ``asr_text`` from full_text and the nested segments."""
-    return slides.withColumn("ocr_text", normalize_text(F.col("full_text"))).withColumn("asr_text", normalize_text(speech_text(F.col("asr"))))
+def with_index_text(slides: DataFrame, strip_each: bool = False) -> DataFrame:
+    """Normalised ``ocr_text`` and ``asr_text`` from full_text and the nested segments (which slide groups strip one by one)."""
+    return slides.withColumn("ocr_text", normalize_text(F.col("full_text"))).withColumn("asr_text", normalize_text(speech_text(F.col("asr"), strip_each)))
 
 
 def with_chunk_text(slides: DataFrame) -> DataFrame:
@@ -31,12 +37,12 @@ def in_three_modes(df: DataFrame, **texts) -> DataFrame:
 def char_documents(parents: DataFrame, size: int = 300, overlap: int = 30, use_hint: bool = True) -> tuple[DataFrame, DataFrame]:
     """Parents and children of char-budget groups.  The hint is split together with the text, so it stands in the first
     children alone; texts that are empty without it make none."""
-    texts = dict(zip(MODES, (combined_text(F.col("ocr_text"), F.col("asr_text")), F.col("ocr_text"), F.col("asr_text")), strict=True))
+    texts = dict(zip(MODES, (F.col("parent_text"), F.col("ocr_text"), F.col("asr_text")), strict=True))
     docs = in_three_modes(parents, **texts).where("page_content <> ''")
     hints = hint_block(F.col("hints")) if use_hint and "hints" in parents.columns else F.lit("")
     children = split_children(docs.withColumn("_t", F.concat(hints, "page_content")), "_t", size, overlap)
     children = children.select("video_id", "store_mode", "chunk_id", "child_index", F.concat("chunk_id", F.lit("_child_"), "child_index").alias("child_id"), F.col("child_text").alias("page_content"), "slide_ids", "start_sec")
-    return docs.select("video_id", "store_mode", "chunk_id", "slide_ids", "start_sec", "end_sec", "page_content"), children
+    return docs.select(*PARENT), children
 
 
 def slide_children(frames: DataFrame, group_size: int = 3, use_hint: bool = True) -> DataFrame:
@@ -46,7 +52,7 @@ def slide_children(frames: DataFrame, group_size: int = 3, use_hint: bool = True
     f = f.withColumn("child_index", F.row_number().over(W.partitionBy("video_id", "g").orderBy("pos", "frame_pos")) - 1)
     hints = hint_block(F.col("hints")) if use_hint and "hints" in frames.columns else F.lit("")
     texts = dict(zip(MODES, (combined_text(F.col("ocr_text"), F.col("asr_text")), F.col("ocr_text"), F.col("asr_text")), strict=True))
-    c = in_three_modes(f, **texts).withColumn("page_content", strip(F.concat(hints, "page_content"))).where("page_content <> ''")
+    c = in_three_modes(f, **texts).withColumn("page_content", F.concat(hints, "page_content")).where(strip(F.col("page_content")) != "")
     chunk = F.format_string("parent_%04d", "g")
     return c.select("video_id", "store_mode", chunk.alias("chunk_id"), "child_index", F.concat(chunk, F.lit("_child_"), "child_index").alias("child_id"), "slide_id", "frame_id", "mode", F.col("from_sec").alias("start_sec"), F.col("to_sec").alias("end_sec"), "page_content")
 
@@ -55,8 +61,37 @@ def slide_documents(parents: DataFrame, frames: DataFrame, group_size: int = 3,
     """Parents of slide groups in three modes, and their frames' children."""
     texts = dict(zip(MODES, (F.col("combined_text"), F.col("ocr_text"), F.col("asr_text")), strict=True))
     docs = in_three_modes(parents, **texts).where("page_content <> ''")
-    return docs.select("video_id", "store_mode", "chunk_id", "slide_ids", "start_sec", "end_sec", "page_content"), slide_children(frames, group_size, use_hint)
+    return docs.select(*PARENT), slide_children(frames, group_size, use_hint)
 
 
 def index_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("video_id", "store_mode").agg(F.count("*").alias("n_docs"), F.sum(F.length("page_content")).alias("n_chars"))
+
+
+def build_stats(slides: DataFrame, parents: DataFrame, children: DataFrame) -> DataFrame:
+    """Of each lecture: ``n_slides``, ``ocr_chars`` (of the slide texts that are not blank, stripped), ``n_chunks`` (distinct parents), and
+    ``docs``: a map from mode to the numbers of parent and child documents."""
+    s = slides.groupBy("video_id").agg(F.count("*").alias("n_slides"), F.sum(F.length(strip(F.coalesce("full_text", F.lit(""))))).alias("ocr_chars"))
+    p = parents.groupBy("video_id", "store_mode").agg(F.count("*").alias("parents"))
+    c = children.groupBy("video_id", "store_mode").agg(F.count("*").alias("children"))
+    docs = p.join(c, ["video_id", "store_mode"], "full").select("video_id", F.struct("store_mode", F.struct(F.coalesce("parents", F.lit(0)).alias("parents"), F.coalesce("children", F.lit(0)).alias("children"))).alias("e"))
+    docs = docs.groupBy("video_id").agg(F.map_from_entries(F.array_sort(F.collect_list("e"))).alias("docs"))  # three modes
+    chunks = parents.select("video_id", "chunk_id").distinct().groupBy("video_id").agg(F.count("*").alias("n_chunks"))
+    return s.join(chunks, "video_id", "left").join(docs, "video_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
+
+
+def build_char_index(slides: DataFrame, base: str, fn: Callable, budget: int = 1000, size: int = 300, overlap: int = 30, use_hint: bool = True) -> None:
+    """Slides (video_id, pos, slide_id, start_sec, end_sec, full_text, asr, and image, proper_nouns if there are) to a written
+    index of char-budget parents and embedded children."""
+    parents, children = char_documents(char_budget_parents(with_index_text(slides), budget), size, overlap, use_hint)
+    write_index(parents, embed_texts(children, "page_content", fn), base)
+
+
+def build_slide_index(slides: DataFrame, frames: DataFrame, segments: DataFrame, base: str, fn: Callable, group_size: int = 3, use_hint: bool = True) -> None:
+    """The same from groups of slides; children are frames with the speech that starts in them.  Frames: see
+    align_segments(), with frame_id, slide_id, mode, ocr, and hints if there are; segments: video_id, pos, seg_pos, start_sec, text."""
+    spoken = align_segments(frames, segments)
+    spoken = spoken.withColumn("ocr_text", normalize_text(F.col("ocr"))).withColumn("asr_text", normalize_text(F.col("asr_text")))
+    groups = slide_group_parents(with_index_text(slides, strip_each=True), group_size)
+    parents, children = slide_documents(groups, spoken, group_size, use_hint)
+    write_index(parents, embed_texts(children, "page_content", fn), base)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import QUESTION_FIELDS, fill, model_input_text, parse_questions, term_section
+from lectern.functions.text import QUESTION_FIELDS, fill, model_input_text, parse_questions, strip, term_section
 
 LEVELS = "知識、応用、評価"
 METHODS = ("direct", "rag", "rag_cot")
@@ -22,23 +22,50 @@ def question_inputs(chunks: DataFrame, template: str, n: int = 3, level: str | N
         df = df.where(F.size("seeds") > 0)
     for c in ("context", "cot"):
         if c in df.columns:
-            df = df.where(F.trim(F.coalesce(c, F.lit(""))) != "")
+            df = df.where(strip(F.coalesce(c, F.lit(""))) != "")
     slot = lambda c, v: v if c in df.columns else F.lit("")
     return df.withColumn("prompt", fill(template, text=F.col("input_text"), terms=slot("terms", term_section(F.col("terms"))), n=F.lit(n), level=F.lit(level or LEVELS), seeds=slot("seeds", F.array_join("seeds", "、")), context=slot("context", F.col("context")), cot=slot("cot", F.col("cot"))))
 
 
-def apply_model(df: DataFrame, prompt: str, fn: Callable[[list[str]], list[str | None]], out: str, retries: int = 2) -> DataFrame:
-    """Adds the replies of a batch callable; a call that keeps failing gives null replies, never a failed job."""
+def with_lecture_terms(chunks: DataFrame, lectures: DataFrame) -> DataFrame:
+    """Every chunk with the terms of its lecture (meta.proper_nouns_global), [] where there are none."""
+    terms = lectures.select("video_id", F.col("meta.proper_nouns_global").alias("terms"))
+    return chunks.join(terms, "video_id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def seed_inputs(chunks: DataFrame, template: str, n: int = 10) -> DataFrame:
+    """Adds ``prompt`` to chunks with text: the template with {text} and {n} filled."""
+    df = chunks.withColumn("input_text", model_input_text(F.col("ocr_text"), F.col("asr_text"))).where("input_text <> ''")
+    return df.withColumn("prompt", fill(template, text=F.col("input_text"), n=F.lit(n)))
+
+
+def seed_queries(chunks: DataFrame) -> DataFrame:
+    """Chunks that have seeds, with ``query``: the seeds as one text."""
+    return chunks.where(F.size("seeds") > 0).withColumn("query", F.array_join("seeds", "、"))
+
+
+def reply_text(content: Column, reasoning: Column) -> Column:
+    """A reply's content, or its reasoning where the content is empty."""
+    return F.when(strip(F.coalesce(content, F.lit(""))) != "", content).otherwise(F.coalesce(reasoning, F.lit("")))
+
+
+def apply_model(df: DataFrame, prompt: str, fn: Callable[[list[str]], list[str | None]], out: str, retries: int = 2, valid: Callable[[str], bool] | None = None) -> DataFrame:
+    """Adds the replies of a batch callable.  A call that keeps failing gives null replies, never a failed job; with
+    ``valid``, prompts whose reply can't be used are asked again, and the last reply counts."""
 
     def go(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            replies: list[str | None] = [None] * len(s)
+            prompts, replies = s.tolist(), [None] * len(s)
+            open_ = list(range(len(s)))
             for _ in range(retries + 1):
                 try:
-                    replies = fn(s.tolist())
-                    break
+                    for i, reply in zip(open_, fn([prompts[i] for i in open_]), strict=True):
+                        replies[i] = reply
                 except Exception:  # noqa: BLE001  the model is the caller's
                     continue
+                open_ = [i for i in open_ if valid and (replies[i] is None or not valid(replies[i]))]
+                if not open_:
+                    break
             yield pd.Series(replies, dtype=object)
 
     return df.withColumn(out, F.pandas_udf(go, "string")(F.col(prompt)))

@@ -6,13 +6,13 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import CONTEXT_SEPARATOR, joined, prefixed
+from lectern.tables import keep
 
 
 def hashed_ngrams(texts: list[str], dim: int = 256, n: int = 3) -> np.ndarray:
@@ -25,14 +25,18 @@ def hashed_ngrams(texts: list[str], dim: int = 256, n: int = 3) -> np.ndarray:
 
 
 def embed_texts(df: DataFrame, text: str, fn: Callable[[list[str]], np.ndarray] = hashed_ngrams, kind: str = "passage") -> DataFrame:
-    """Adds ``embedding`` (unit length) of the prefixed text; null texts count as empty."""
+    """Adds ``embedding`` (unit length) of the prefixed text; null texts count as empty.  A column of this name is replaced."""
+    df = df.drop("embedding")
+    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def go(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            v = fn(s.tolist())
-            yield pd.Series(list(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)))
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = fn(batch.column(batch.num_columns - 1).to_pylist())
+            v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(v), pa.list_(pa.float32()))], [*batch.schema.names[:-1], "embedding"])
 
-    return df.withColumn("embedding", F.pandas_udf(go, "array<float>")(prefixed(F.coalesce(text, F.lit("")), kind)))
+    asked = df.withColumn("_text", prefixed(F.coalesce(text, F.lit("")), kind))
+    return asked.mapInArrow(go, f"{names}, embedding array<float>")
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
@@ -41,12 +45,13 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def knn_topk(queries: DataFrame, children: DataFrame, k: int, keys: Sequence[str] = ("video_id", "store_mode"), part_rows: int = 20_000, block: int = 2_000, digits: int = 6) -> DataFrame:
-    """The k children of each query's index with the largest inner product (rounded; ties: smaller child id): query_id,
-    child_id, chunk_id, score, rank.
+    """The k children of each query's index with the largest inner product (rounded; ties: smaller child id): keys, query_id,
+    child_id, chunk_id, score, rank.  Query ids tell queries of one index apart, not those of different lectures.
 
     A large index is dealt into parts by a hash; each part multiplies its vectors with a block of queries and passes on its own
     k best, so that no task sees a whole index and no pair is shuffled."""
     keys = list(keys)
+    queries = keep(queries.select(*keys, "query_id", "embedding"))  # embedded once
     sizes = children.groupBy(*keys).count().withColumn("parts", F.ceil(F.col("count") / part_rows).cast("int")).drop("count")
     asks = queries.groupBy(*keys).count().withColumn("blocks", F.ceil(F.col("count") / block).cast("int")).drop("count")
     grid = sizes.join(asks, keys)
@@ -56,53 +61,59 @@ def knn_topk(queries: DataFrame, children: DataFrame, k: int, keys: Sequence[str
     kind, child_kind = queries.schema["query_id"].dataType.simpleString(), children.schema["child_id"].dataType.simpleString()
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query_id": [], "child_id": [], "chunk_id": [], "score": []}
+        out: dict[str, list] = {**{name: [] for name in keys}, "query_id": [], "child_id": [], "chunk_id": [], "score": []}
         if q.num_rows and c.num_rows:
             names, chunks, asked = c["child_id"].to_pylist(), c["chunk_id"].to_pylist(), q["query_id"].to_pylist()
             order = np.argsort(np.array(names), kind="stable")
             x = np.array(c["embedding"].to_pylist(), float)
             score = np.round(np.array(q["embedding"].to_pylist(), float) @ x[order].T, digits)
+            index = {name: q[name][0].as_py() for name in keys}
             for i, s in enumerate(score):
                 for o in np.argsort(-s, kind="stable")[:k]:
+                    for name in keys:
+                        out[name].append(index[name])
                     out["query_id"].append(asked[i])
                     out["child_id"].append(names[order[o]])
                     out["chunk_id"].append(chunks[order[o]])
                     out["score"].append(float(s[o]))
-        kinds = (q.schema.field("query_id").type, c.schema.field("child_id").type, pa.string(), pa.float64())
+        kinds = (*[q.schema.field(name).type for name in keys], q.schema.field("query_id").type, c.schema.field("child_id").type, pa.string(), pa.float64())
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
     cols = ["query_id", "embedding"]
     found = q.select(*ends, *cols).groupBy(*ends).cogroup(c.select(*[F.col(e).alias(f"c_{e}") for e in ends], "child_id", "chunk_id", "embedding").groupBy(*[f"c_{e}" for e in ends]))
-    found = found.applyInArrow(best, f"query_id {kind}, child_id {child_kind}, chunk_id string, score double")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "child_id")
+    names = ", ".join(f"{name} {queries.schema[name].dataType.simpleString()}" for name in keys)
+    found = found.applyInArrow(best, f"{names}, query_id {kind}, child_id {child_kind}, chunk_id string, score double")
+    w = W.partitionBy(*keys, "query_id").orderBy(F.desc("score"), "child_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def parents_of(hits: DataFrame, k: int) -> DataFrame:
-    """The first k distinct parents of ranked hits: query_id, chunk_id, rank."""
-    first = hits.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("hit"))
-    return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("hit"))).where(F.col("rank") <= k).drop("hit")
+    """The first k distinct parents of ranked hits: video_id, store_mode, query_id, chunk_id, rank."""
+    ids = ["video_id", "store_mode", "query_id"]
+    first = hits.groupBy(*ids, "chunk_id").agg(F.min("rank").alias("hit"))
+    return first.withColumn("rank", F.row_number().over(W.partitionBy(*ids).orderBy("hit"))).where(F.col("rank") <= k).drop("hit")
 
 
 def search(queries: DataFrame, children: DataFrame, parents: DataFrame, k: int = 3) -> DataFrame:
     """The 2k nearest children, their first k distinct parents, and the parents' documents; parents that are missing are
     left out after the cut."""
-    ids = parents_of(knn_topk(queries, children, 2 * k), k).join(queries.select("query_id", "video_id", "store_mode"), "query_id")
+    ids = parents_of(knn_topk(queries, children, 2 * k), k)
     return ids.join(parents, ["video_id", "store_mode", "chunk_id"])
 
 
 def aligned_ids(asr: DataFrame, ocr: DataFrame, k: int) -> DataFrame:
     """Ids of the speech side, then those of the slide side that are new, cut at k."""
-    both = asr.select("query_id", "chunk_id", F.lit(0).alias("side"), "rank").unionByName(ocr.select("query_id", "chunk_id", F.lit(1).alias("side"), "rank"))
-    first = both.groupBy("query_id", "chunk_id").agg(F.min(F.struct("side", "rank")).alias("at"))
-    return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("at"))).where(F.col("rank") <= k).drop("at")
+    ids = ["video_id", "query_id"]
+    both = asr.select(*ids, "chunk_id", F.lit(0).alias("side"), "rank").unionByName(ocr.select(*ids, "chunk_id", F.lit(1).alias("side"), "rank"))
+    first = both.groupBy(*ids, "chunk_id").agg(F.min(F.struct("side", "rank")).alias("at"))
+    return first.withColumn("rank", F.row_number().over(W.partitionBy(*ids).orderBy("at"))).where(F.col("rank") <= k).drop("at")
 
 
 def search_aligned(queries: DataFrame, children: DataFrame, parents: DataFrame, k: int = 3) -> DataFrame:
     """Half of the parents by speech, half by slide text, each looked up in both; queries (query_id, video_id, embedding)."""
     half = max(1, k // 2)
     sides = {m: parents_of(knn_topk(queries.withColumn("store_mode", F.lit(m)), children.where(F.col("store_mode") == m), 2 * half), half) for m in ("asr", "ocr")}
-    ids = aligned_ids(sides["asr"], sides["ocr"], k).join(queries.select("query_id", "video_id"), "query_id")
+    ids = aligned_ids(sides["asr"], sides["ocr"], k)
     side = lambda m: parents.where(F.col("store_mode") == m).select("video_id", "chunk_id", *[F.col(c).alias(f"{m}_{c}") for c in ("page_content", "start_sec", "end_sec")])
     out = ids.join(side("ocr"), ["video_id", "chunk_id"], "left").join(side("asr"), ["video_id", "chunk_id"], "left")
     out = out.where("ocr_page_content is not null or asr_page_content is not null")
@@ -112,6 +123,6 @@ def search_aligned(queries: DataFrame, children: DataFrame, parents: DataFrame,
 
 
 def contexts(found: DataFrame) -> DataFrame:
-    """Each query's parents in rank order as one text."""
+    """The parents of each lecture's queries in rank order as one text."""
     rows = F.array_sort(F.collect_list(F.struct("rank", "page_content")))
-    return found.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda s: s["page_content"]), CONTEXT_SEPARATOR).alias("context"))
+    return found.groupBy("video_id", "query_id").agg(F.array_join(F.transform(rows, lambda s: s["page_content"]), CONTEXT_SEPARATOR).alias("context"))

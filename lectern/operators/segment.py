@@ -51,8 +51,11 @@ def structural_similarity(a: np.ndarray, b: np.ndarray, span: float = 255.0) ->
 
 def block_similarity(frames: DataFrame, grid: int = 4) -> DataFrame:
     """(video_id, time, pixels array<array<int>>) to (video_id, time, block_scores): each frame against the readable
-    one before it, block by block; remainders of rows and columns are ignored.  Pixels stay where they are dealt."""
-    before = F.lag("pixels").over(W.partitionBy("video_id").orderBy("time"))
+    one before it, block by block; remainders of rows and columns are ignored.  Pixels stay where they are dealt.  A
+    lecture whose first frame can't be read has no rows."""
+    by_time = W.partitionBy("video_id").orderBy("time")
+    frames = frames.withColumn("_void", F.first(F.col("pixels").isNull()).over(by_time)).where("not _void").drop("_void")
+    before = F.lag("pixels").over(by_time)
     pairs = frames.where(F.col("pixels").isNotNull()).withColumn("before", before).where(F.col("before").isNotNull()).select("video_id", "time", "before", "pixels")
 
     def compare(batches):

@@ -25,9 +25,10 @@ def recurring_terms(slides: DataFrame, n: int = 15) -> DataFrame:
 def chunk_keywords(chunks: DataFrame, n: int = 10) -> DataFrame:
     """The n terms of each chunk (video_id, chunk_id, text) by count times log(chunks / chunks with the term)."""
     tf = _terms(chunks, ["video_id", "chunk_id"], "text").groupBy("video_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = chunks.select("video_id", "chunk_id").distinct().agg(F.count("*").alias("total"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(total)).withColumn("weight", F.round(F.col("tf") * F.ln(F.col("total") / F.col("df")), 6))  # one row
+    tf = keep(tf)  # the texts are read once; both sides of the join are kept, so that a term of very many chunks can be split
+    df = keep(tf.groupBy("term").agg(F.count("*").alias("df")))
+    total = chunks.select("video_id", "chunk_id").distinct().count()
+    scored = tf.join(df, "term").withColumn("weight", F.round(F.col("tf") * F.ln(F.lit(total) / F.col("df")), 6))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("video_id", "chunk_id").orderBy(F.desc("weight"), "term"))).where(F.col("rank") <= n).select("video_id", "chunk_id", "term", "tf", "df", "weight", "rank")
 
 

@@ -15,8 +15,9 @@ from lectern.operators import align, chunk, documents, questions, retrieve, scor
 from lectern.sources import lectures as io
 from lectern.tables import running_totals
 
-SPEED = 15.0
+SPEED, DAYS = 15.0, 259200.0
 AXES = ("quality", "toxic")
+SETTINGS = (2, 2, 0.0, AXES)
 BUDGET = 200
 
 
@@ -43,7 +44,7 @@ def short_lectures(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "conversations")
     speech = F.col("role") == "assistant"
     t = T.normalize_text(F.col("text"))
-    return c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("pos"), F.concat(F.lit("slide"), F.col("turn") + 1).alias("slide_id"), (F.col("turn") * 60.0).alias("start_sec"), (F.col("turn") * 60.0 + 60.0).alias("end_sec"), F.when(speech, "").otherwise(t).alias("ocr_text"), F.when(speech, t).otherwise("").alias("asr_text"))
+    return c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").cast("int").alias("pos"), F.concat(F.lit("slide"), F.col("turn") + 1).alias("slide_id"), (F.col("turn") * 60.0).alias("start_sec"), (F.col("turn") * 60.0 + 60.0).alias("end_sec"), F.when(speech, "").otherwise(t).alias("ocr_text"), F.when(speech, t).otherwise("").alias("asr_text"), F.concat(F.lit("img"), "turn").alias("image"), F.when(F.col("turn") % 2 == 0, F.array("role", F.concat(F.lit("t"), "turn"))).alias("proper_nouns"))
 
 
 def strip_sql(x: str) -> str:
@@ -56,7 +57,7 @@ def normal_sql(x: str) -> str:
 
 
 SHORT = f"""short AS (SELECT conv_id::VARCHAR AS video_id, turn::INT AS pos, 'slide' || (turn + 1) AS slide_id, turn * 60.0::DOUBLE AS start_sec, turn * 60.0::DOUBLE + 60 AS end_sec,
-  CASE WHEN role = 'assistant' THEN '' ELSE t END AS ocr_text, CASE WHEN role = 'assistant' THEN t ELSE '' END AS asr_text
+  CASE WHEN role = 'assistant' THEN '' ELSE t END AS ocr_text, CASE WHEN role = 'assistant' THEN t ELSE '' END AS asr_text, 'img' || turn AS image, CASE WHEN turn % 2 = 0 THEN [role, 't' || turn] ELSE [] END AS nouns
   FROM (SELECT *, {normal_sql("text")} AS t FROM conversations))"""
 
 
@@ -103,17 +104,23 @@ def slide_group_parents(spark, d):
     return docs.select("video_id", "chunk_id", F.array_join("slide_ids", ",").alias("slide_ids"), "start_sec", "end_sec", "store_mode", "page_content")
 
 
-@query(f"""WITH RECURSIVE {SHORT}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS k FROM short),
+CHARS = f"""{SHORT}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS k FROM short),
 f AS (SELECT video_id, k, 0 AS g, length(asr_text) AS total FROM n WHERE k = 1
   UNION ALL SELECT n.video_id, n.k, CASE WHEN f.total >= {BUDGET} THEN f.g + 1 ELSE f.g END, CASE WHEN f.total >= {BUDGET} THEN 0 ELSE f.total END + length(n.asr_text) FROM f JOIN n ON n.video_id = f.video_id AND n.k = f.k + 1),
 full_groups AS (SELECT video_id, max(g) FILTER (total >= {BUDGET}) AS last FROM f GROUP BY video_id),
-a AS (SELECT n.*, CASE WHEN last IS NULL THEN 0 ELSE least(f.g, last) END AS g, last IS NOT NULL AND f.g > last AS tail FROM n JOIN f USING (video_id, k) JOIN full_groups USING (video_id))
-SELECT video_id, printf('parent_%04d', g) AS chunk_id, string_agg(slide_id, ',' ORDER BY pos) AS slide_ids, min(start_sec) AS start_sec, max(end_sec) AS end_sec,
+a AS (SELECT n.*, CASE WHEN last IS NULL THEN 0 ELSE least(f.g, last) END AS g, last IS NOT NULL AND f.g > last AS tail FROM n JOIN f USING (video_id, k) JOIN full_groups USING (video_id)),
+cp AS (SELECT video_id, printf('parent_%04d', g) AS chunk_id, string_agg(slide_id, ',' ORDER BY pos) AS slide_ids, min(start_sec) AS start_sec, max(end_sec) AS end_sec,
+  arg_min(image, pos) AS image, array_to_string(flatten(list(nouns ORDER BY pos)), '、') AS hints,
   coalesce(string_agg(ocr_text, chr(10) || chr(10) ORDER BY pos) FILTER (ocr_text <> '' AND NOT tail), '') || coalesce(string_agg(chr(10) || chr(10) || ocr_text, '' ORDER BY pos) FILTER (ocr_text <> '' AND tail), '') AS ocr_text,
   coalesce(string_agg(asr_text, chr(10) ORDER BY pos) FILTER (asr_text <> ''), '') AS asr_text
-FROM a GROUP BY video_id, g""")
+FROM a GROUP BY video_id, g),
+chars AS (SELECT *, concat_ws(chr(10) || chr(10), nullif(ocr_text, ''), CASE WHEN asr_text <> '' THEN '[音声]' || chr(10) || asr_text END) AS parent_text FROM cp)"""
+
+
+@query(f"WITH RECURSIVE {CHARS} SELECT * FROM chars")
 def char_budget_parents(spark, d):
-    return chunk.char_budget_parents(short_lectures(spark, d), BUDGET).withColumn("slide_ids", F.array_join("slide_ids", ",")).drop("g")
+    p = chunk.char_budget_parents(short_lectures(spark, d), BUDGET)
+    return p.withColumn("slide_ids", F.array_join("slide_ids", ",")).withColumn("hints", F.array_join("hints", "、")).drop("g")
 
 
 def _by_slides(overlap: int):
@@ -135,7 +142,7 @@ _by_slides(0)
 _by_slides(1)
 
 
-def _by_time(overlap: float, sql: str | None):
+def _by_time(overlap: float, sql: str):
     def run(spark, d):
         s = long_lectures(spark, d).drop("full_text")
         return chunk.chunk_by_time(s, 5.0, overlap).groupBy("video_id", "chunk").agg(F.min("pos").cast("long").alias("first_pos"), F.max("pos").cast("long").alias("last_pos"), F.count("*").alias("n_slides"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"))
@@ -148,31 +155,60 @@ _by_time(0.0, f"""WITH RECURSIVE {LONG},
 f AS (SELECT video_id, pos, start_sec, end_sec, 0 AS chunk, start_sec AS base FROM long WHERE pos = 0
   UNION ALL SELECT l.video_id, l.pos, l.start_sec, l.end_sec, CASE WHEN f.end_sec - f.base >= 300 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.end_sec - f.base >= 300 THEN l.start_sec ELSE f.base END FROM f JOIN long l ON l.video_id = f.video_id AND l.pos = f.pos + 1)
 SELECT video_id, chunk, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n_slides, min(start_sec) AS start_sec, max(end_sec) AS end_sec FROM f GROUP BY ALL""")
-_by_time(60.0, None)
+# with overlap: each chunk follows from the first slide of the one before (starts never go back)
+_by_time(60.0, f"""WITH RECURSIVE {LONG}, n AS (SELECT video_id, max(pos) AS top FROM long GROUP BY video_id),
+c AS (SELECT video_id, 0 AS chunk, 0::BIGINT AS first_pos, (SELECT min(l.pos) FROM long l JOIN long f ON f.video_id = l.video_id AND f.pos = 0 WHERE l.video_id = n.video_id AND l.end_sec - f.start_sec >= 300) AS last_pos FROM n
+  UNION ALL SELECT video_id, chunk, first_pos, last_pos FROM (
+    SELECT x.video_id, x.chunk, x.first_pos, (SELECT min(l.pos) FROM long l JOIN long f ON f.video_id = l.video_id AND f.pos = x.first_pos WHERE l.video_id = x.video_id AND l.pos >= x.first_pos AND l.end_sec - f.start_sec >= 300) AS last_pos
+    FROM (SELECT c.video_id, c.chunk + 1 AS chunk, coalesce((SELECT min(l.pos) FROM long l JOIN long e ON e.video_id = l.video_id AND e.pos = c.last_pos WHERE l.video_id = c.video_id AND l.pos > c.first_pos AND l.pos <= c.last_pos AND l.start_sec >= e.end_sec - 60), c.last_pos + 1) AS first_pos
+      FROM c JOIN n USING (video_id) WHERE c.last_pos IS NOT NULL) x JOIN n ON n.video_id = x.video_id AND x.first_pos <= n.top))
+SELECT c.video_id, c.chunk, c.first_pos, coalesce(c.last_pos, n.top) AS last_pos, coalesce(c.last_pos, n.top) - c.first_pos + 1 AS n_slides, f.start_sec, e.end_sec
+FROM c JOIN n USING (video_id) JOIN long f ON f.video_id = c.video_id AND f.pos = c.first_pos JOIN long e ON e.video_id = c.video_id AND e.pos = coalesce(c.last_pos, n.top)""")
 
 
 def _frames(spark, d):
     e = detections(spark, d)
-    f = e.where("event_type in ('view', 'click')").select("video_id", F.lit(0).alias("pos"), F.col("det_pos").alias("frame_pos"), F.col("time").alias("detect_time"), "time", F.lit(2592000.0).alias("slide_end"))
-    s = e.where("event_type = 'error'").select("video_id", F.lit(0).alias("pos"), F.col("det_pos").alias("seg_pos"), F.col("time").alias("start_sec"), F.concat(F.lit("seg "), "det_pos").alias("text"))
-    return align.align_segments(f, s)
+    pos = F.floor(F.col("time") / DAYS).cast("int")
+    e = e.withColumn("pos", pos)
+    by_time = F.row_number().over(W.partitionBy("video_id", "pos").orderBy("time", "det_pos")).cast("long")  # detections of a slide
+    f = e.where("event_type in ('view', 'click')").withColumn("nth", by_time)
+    f = f.select("video_id", "pos", F.when(F.col("video_id").cast("long") % 2 == 0, F.col("nth")).otherwise(F.col("det_pos")).alias("frame_pos"), F.col("time").alias("detect_time"), "time", ((F.col("pos") + 1) * DAYS).alias("slide_end"), "det_pos")
+    s = e.where("event_type = 'error'").select("video_id", "pos", F.col("det_pos").alias("seg_pos"), F.col("time").alias("start_sec"), F.concat(F.lit(" seg "), "det_pos").alias("text"))
+    return f, s
 
 
-ALIGNED = f"""WITH {DETECTIONS}, f AS (SELECT video_id, det_pos AS frame_pos, time AS from_sec, coalesce(lead(time) OVER (PARTITION BY video_id ORDER BY det_pos), 2592000.0) AS to_sec FROM d WHERE event_type IN ('view', 'click')),
-a AS (SELECT f.*, coalesce((SELECT string_agg('seg ' || s.det_pos, chr(10) ORDER BY s.det_pos) FROM d s WHERE s.event_type = 'error' AND s.video_id = f.video_id AND s.time >= f.from_sec AND s.time < f.to_sec), '') AS asr_text FROM f)"""
+ALIGNED = f"""WITH {DETECTIONS}, p AS (SELECT *, floor(time / {DAYS})::INT AS pos FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY video_id, pos ORDER BY time, det_pos) AS nth FROM p WHERE event_type IN ('view', 'click')),
+k AS (SELECT *, CASE WHEN video_id::BIGINT % 2 = 0 THEN nth ELSE det_pos END AS frame_pos FROM n),
+f AS (SELECT video_id, pos, frame_pos, det_pos, time AS from_sec, coalesce(lead(time) OVER (PARTITION BY video_id, pos ORDER BY frame_pos), (pos + 1) * {DAYS}) AS to_sec FROM k),
+a AS (SELECT f.*, coalesce((SELECT string_agg('seg ' || s.det_pos, chr(10) ORDER BY s.det_pos) FROM p s WHERE s.event_type = 'error' AND s.video_id = f.video_id AND s.pos = f.pos AND s.time >= f.from_sec AND s.time < f.to_sec), '') AS asr_text FROM f)"""
 
 
-@query(f"{ALIGNED} SELECT video_id, frame_pos, from_sec, to_sec, asr_text FROM a")
+@query(f"{ALIGNED} SELECT video_id, pos, frame_pos, from_sec, to_sec, asr_text FROM a")
 def align_segments(spark, d):
-    return _frames(spark, d).select("video_id", "frame_pos", "from_sec", "to_sec", "asr_text")
+    return align.align_segments(*_frames(spark, d)).select("video_id", "pos", "frame_pos", "from_sec", "to_sec", "asr_text")
+
+
+#: Frames with slide text on every third detection, terms on every second slide.
+FRAME_DOCS = f"""{ALIGNED}, t AS (SELECT *, CASE WHEN det_pos % 3 = 0 THEN 'text ' || det_pos ELSE '' END AS ocr_text, CASE WHEN pos % 2 = 0 THEN '[キーワード]' || chr(10) || '用語、v' || video_id || chr(10) || chr(10) ELSE '' END AS hint,
+  row_number() OVER (PARTITION BY video_id, pos // 3 ORDER BY pos, frame_pos) - 1 AS child_index, printf('parent_%04d', pos // 3) AS chunk_id FROM a),
+m AS (SELECT *, concat_ws(chr(10) || chr(10), nullif(ocr_text, ''), CASE WHEN asr_text <> '' THEN '[音声]' || chr(10) || asr_text END) AS combined FROM t),
+c AS (SELECT *, 'combined' AS store_mode, hint || combined AS page_content FROM m UNION ALL SELECT *, 'ocr', hint || ocr_text FROM m UNION ALL SELECT *, 'asr', hint || asr_text FROM m)"""
 
 
-@query(f"""{ALIGNED}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame_pos) - 1 AS child_index FROM a)
-SELECT video_id, 'asr' AS store_mode, 'parent_0000' AS chunk_id, child_index, 'parent_0000_child_' || child_index AS child_id, from_sec AS start_sec, to_sec AS end_sec, asr_text AS page_content FROM n WHERE asr_text <> ''
-UNION ALL SELECT video_id, 'combined', 'parent_0000', child_index, 'parent_0000_child_' || child_index, from_sec, to_sec, '[音声]' || chr(10) || asr_text FROM n WHERE asr_text <> ''""")
+def _frame_rows(spark, d):
+    f, s = _frames(spark, d)
+    f = f.withColumn("ocr", F.when(F.col("det_pos") % 3 == 0, F.concat(F.lit(" text "), "det_pos"))).withColumn("slide_id", F.concat(F.lit("slide"), F.col("pos") + 1)).withColumn("frame_id", F.concat("slide_id", F.lit("_picture"), "frame_pos"))
+    f = f.withColumn("mode", F.when(F.col("det_pos") % 2 == 0, "change").otherwise("animation")).withColumn("hints", F.when(F.col("pos") % 2 == 0, F.array(F.lit("用語"), F.concat(F.lit("v"), "video_id"))))
+    return f.drop("det_pos"), s
+
+
+@query(f"""{FRAME_DOCS} SELECT video_id, store_mode, chunk_id, child_index, chunk_id || '_child_' || child_index AS child_id, 'slide' || (pos + 1) AS slide_id, 'slide' || (pos + 1) || '_picture' || frame_pos AS frame_id,
+  CASE WHEN det_pos % 2 = 0 THEN 'change' ELSE 'animation' END AS mode, from_sec AS start_sec, to_sec AS end_sec, page_content FROM c WHERE {strip_sql('page_content')} <> ''""")
 def slide_child_documents(spark, d):
-    f = _frames(spark, d).withColumn("ocr_text", F.lit("")).withColumn("slide_id", F.lit("slide1")).withColumn("frame_id", F.col("frame_pos")).withColumn("mode", F.lit("change"))
-    return documents.slide_children(f, 3, use_hint=False).drop("slide_id", "frame_id", "mode")
+    f, s = _frame_rows(spark, d)
+    f = align.align_segments(f, s).withColumn("ocr_text", T.normalize_text(F.col("ocr")))
+    return documents.slide_children(f, 3)
 
 
 @query(f"""WITH RECURSIVE {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time, det_pos) AS k FROM d WHERE score >= 0.005),
@@ -183,15 +219,42 @@ def debounce_detections(spark, d):
     return segment.debounce(segment.scored(detections(spark, d)), 3600.0).select("video_id", "det_pos", "time")
 
 
-@query(f"""WITH {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time, det_pos) AS k FROM d WHERE score >= 0.005),
-m AS (SELECT *, CASE WHEN k = 1 OR (score >= 5.0 AND det_pos % 2 = 0) OR (score < 5.0 AND det_pos % 10 >= 6) THEN 1 ELSE 0 END AS change FROM n),
-s AS (SELECT *, sum(change) OVER (PARTITION BY video_id ORDER BY time, det_pos ROWS UNBOUNDED PRECEDING) AS no FROM m),
-g AS (SELECT video_id, no, min(time) AS t, arg_max(event_type, (time, det_pos)) AS full_text, count(*) AS n_frames FROM s GROUP BY ALL)
-SELECT video_id, CAST(no AS BIGINT) AS slide_no, 'slide' || CAST(no AS BIGINT) AS slide_id, round(t, 3) AS start_sec, round(coalesce(lead(t) OVER (PARTITION BY video_id ORDER BY no), 2592000.0), 3) AS end_sec, full_text, n_frames FROM g""")
+#: Slides of detections: thresholds, classes, near-identical ones left out (every fourth), an hour between those kept.
+SESSIONS = f"""WITH RECURSIVE {DETECTIONS}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time, det_pos) AS k FROM d WHERE score >= 0.005),
+m AS (SELECT *, CASE WHEN k = 1 OR (score >= 5.0 AND det_pos % 2 = 0) OR (score < 5.0 AND det_pos % 10 >= 6) THEN 'change' ELSE 'animation' END AS mode FROM n WHERE k = 1 OR det_pos % 4 <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY time, det_pos) AS r FROM m),
+l AS (SELECT video_id, r, time AS last, true AS kept FROM o WHERE r = 1
+  UNION ALL SELECT o.video_id, o.r, CASE WHEN o.time - l.last >= 3600 THEN o.time ELSE l.last END, o.time - l.last >= 3600 FROM l JOIN o ON o.video_id = l.video_id AND o.r = l.r + 1),
+s AS (SELECT o.*, CAST(sum(CASE WHEN mode = 'change' THEN 1 ELSE 0 END) OVER (PARTITION BY o.video_id ORDER BY time, det_pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS no FROM o JOIN l ON o.video_id = l.video_id AND o.r = l.r WHERE kept),
+fr AS (SELECT *, 'slide' || no AS slide_id, row_number() OVER (PARTITION BY video_id, no ORDER BY time, det_pos) AS picture FROM s)"""
+
+
+def _sessions(spark, d):
+    e = detections(spark, d).withColumn("changed_ratio", (F.col("det_pos") % 10) / 10).withColumn("is_distributed", F.col("det_pos") % 2 == 0)
+    e = e.withColumn("mean_ssim", F.when(F.col("det_pos") % 4 == 0, F.lit(0.99)).otherwise((F.col("det_pos") % 50) / 100)).withColumn("ocr", F.col("event_type"))
+    return segment.segment_slides(e, 3600.0), e.select("video_id").distinct().withColumn("duration", F.lit(2592000.0))
+
+
+@query(f"{SESSIONS} SELECT video_id, det_pos, time, mode, no AS slide_no, slide_id, picture AS picture_no, slide_id || '_picture' || picture AS frame_id FROM fr")
+def session_frames(spark, d):
+    return _sessions(spark, d)[0].select("video_id", "det_pos", "time", "mode", "slide_no", "slide_id", "picture_no", "frame_id")
+
+
+@query(f"""{SESSIONS}, e AS (SELECT video_id, no, lead(min(time)) OVER (PARTITION BY video_id ORDER BY no) AS slide_end FROM fr GROUP BY video_id, no)
+SELECT fr.video_id, det_pos, mode, CASE WHEN mode = 'animation' THEN round(time, 3) END AS start_sec, CASE WHEN mode = 'animation' THEN round(coalesce(lead(time) OVER (PARTITION BY fr.video_id, fr.no ORDER BY picture), coalesce(slide_end, 2592000.0)), 3) END AS end_sec
+FROM fr JOIN e ON e.video_id = fr.video_id AND e.no = fr.no""")
+def animation_ranges(spark, d):
+    frames, durations = _sessions(spark, d)
+    by_slide = frames.groupBy("video_id", "slide_no").agg(F.min("time").alias("first")).join(durations, "video_id")
+    ends = by_slide.select("video_id", F.col("slide_no").alias("pos"), F.coalesce(F.lead("first").over(W.partitionBy("video_id").orderBy("slide_no")), "duration").alias("slide_end"))
+    f = frames.select("video_id", F.col("slide_no").alias("pos"), F.col("picture_no").alias("frame_pos"), "det_pos", "mode", "time", F.col("time").alias("detect_time")).join(ends, ["video_id", "pos"])
+    return align.frame_time_ranges(f).select("video_id", "det_pos", "mode", "time_range.start_sec", "time_range.end_sec")
+
+
+@query(f"""{SESSIONS}, g AS (SELECT video_id, no, min(time) AS t, arg_max(event_type, (time, det_pos)) AS full_text, count(*) AS n_frames FROM s GROUP BY ALL)
+SELECT video_id, no AS slide_no, 'slide' || no AS slide_id, round(t, 3) AS start_sec, round(coalesce(lead(t) OVER (PARTITION BY video_id ORDER BY no), 2592000.0), 3) AS end_sec, full_text, n_frames FROM g""")
 def slide_sessions(spark, d):
-    e = detections(spark, d).withColumn("changed_ratio", (F.col("det_pos") % 10) / 10).withColumn("is_distributed", F.col("det_pos") % 2 == 0).withColumn("mean_ssim", F.lit(0.5)).withColumn("ocr", F.col("event_type"))
-    f = segment.segment_slides(e, 0.0)
-    return segment.time_ranges(f, e.select("video_id").distinct().withColumn("duration", F.lit(2592000.0)))
+    return segment.time_ranges(*_sessions(spark, d))
 
 
 @query()
@@ -203,11 +266,14 @@ def split_children(spark, d):
 def _children(spark, d):
     v = table(spark, d, "embeddings")
     mode = F.when(F.col("vec_id") % 2 == 0, "ocr").otherwise("asr")
-    return v.select(F.lit("v").alias("video_id"), mode.alias("store_mode"), F.col("vec_id").alias("child_id"), F.format_string("parent_%04d", F.floor(F.col("vec_id") / 4)).alias("chunk_id"), "embedding", "label")
+    return v.select(F.concat(F.lit("v"), F.coalesce(F.col("label"), F.lit(0)) % 2).alias("video_id"), mode.alias("store_mode"), F.col("vec_id").alias("child_id"), F.format_string("parent_%04d", F.floor(F.col("vec_id") / 4)).alias("chunk_id"), "embedding", "label")
 
 
 def _asked(spark, d):
-    return _children(spark, d).where("child_id % 100 = 0").withColumnRenamed("child_id", "query_id").select("query_id", "video_id", "embedding")
+    """Query ids repeat in both lectures."""
+    v = table(spark, d, "embeddings").where("vec_id % 100 = 0")
+    nth = F.expr("vec_id div 100")
+    return v.select(F.expr("vec_id div 200").alias("query_id"), F.concat(F.lit("v"), nth % 2).alias("video_id"), "embedding")
 
 
 def _parents(spark, d):
@@ -216,38 +282,38 @@ def _parents(spark, d):
 
 
 def knn_sql(k: int) -> str:
-    return f"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'ocr' ELSE 'asr' END AS store_mode, printf('parent_%04d', vec_id // 4) AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, v.store_mode, v.vec_id AS child_id, v.chunk_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id % 100 = 0),
-hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, store_mode ORDER BY score DESC, child_id) AS rank FROM s) WHERE rank <= {k}),
-p AS (SELECT query_id, store_mode, chunk_id, min(rank) AS hit FROM hits GROUP BY ALL),
-docs AS (SELECT store_mode, chunk_id, min(vec_id) AS start_sec, max(vec_id) AS end_sec, chunk_id || ' ' || store_mode || ' ' || count(*) AS page_content FROM v GROUP BY store_mode, chunk_id)"""
+    return f"""WITH v AS (SELECT vec_id, 'v' || coalesce(label, 0) % 2 AS video_id, CASE WHEN vec_id % 2 = 0 THEN 'ocr' ELSE 'asr' END AS store_mode, printf('parent_%04d', vec_id // 4) AS chunk_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT v.video_id, q.vec_id // 200 AS query_id, v.store_mode, v.vec_id AS child_id, v.chunk_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.video_id = 'v' || (q.vec_id // 100) % 2),
+hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, query_id, store_mode ORDER BY score DESC, child_id) AS rank FROM s) WHERE rank <= {k}),
+p AS (SELECT video_id, query_id, store_mode, chunk_id, min(rank) AS hit FROM hits GROUP BY ALL),
+docs AS (SELECT video_id, store_mode, chunk_id, min(vec_id) AS start_sec, max(vec_id) AS end_sec, chunk_id || ' ' || store_mode || ' ' || count(*) AS page_content FROM v GROUP BY video_id, store_mode, chunk_id)"""
 
 
-@query(f"{knn_sql(6)} SELECT query_id, child_id, chunk_id, score, rank FROM hits WHERE store_mode = 'ocr'")
+@query(f"{knn_sql(6)} SELECT video_id, store_mode, query_id, child_id, chunk_id, score, rank FROM hits WHERE store_mode = 'ocr'")
 def knn_children(spark, d):
     return retrieve.knn_topk(_asked(spark, d).withColumn("store_mode", F.lit("ocr")), _children(spark, d), 6)
 
 
-TOP = f"{knn_sql(6)}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, store_mode ORDER BY hit) AS rank FROM p) WHERE rank <= 3 AND store_mode = 'ocr')"
+TOP = f"{knn_sql(6)}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, query_id, store_mode ORDER BY hit) AS rank FROM p) WHERE rank <= 3 AND store_mode = 'ocr')"
 
 
-@query(f"{TOP} SELECT query_id, chunk_id, rank, start_sec, end_sec, page_content FROM top JOIN docs USING (store_mode, chunk_id)")
+@query(f"{TOP} SELECT video_id, query_id, chunk_id, rank, start_sec, end_sec, page_content FROM top JOIN docs USING (video_id, store_mode, chunk_id)")
 def parents_topk(spark, d):
-    return retrieve.search(_asked(spark, d).withColumn("store_mode", F.lit("ocr")), _children(spark, d), _parents(spark, d), 3).drop("video_id", "store_mode")
+    return retrieve.search(_asked(spark, d).withColumn("store_mode", F.lit("ocr")), _children(spark, d), _parents(spark, d), 3).drop("store_mode")
 
 
-@query(f"{TOP} SELECT query_id, string_agg(page_content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN docs USING (store_mode, chunk_id) GROUP BY query_id")
+@query(f"{TOP} SELECT video_id, query_id, string_agg(page_content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM top JOIN docs USING (video_id, store_mode, chunk_id) GROUP BY video_id, query_id")
 def context_for_queries(spark, d):
     return retrieve.contexts(parents_topk(spark, d))
 
 
-@query(f"""{knn_sql(4)}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, store_mode ORDER BY hit) AS r FROM p) WHERE r <= 2),
-ids AS (SELECT query_id, chunk_id, min((CASE store_mode WHEN 'asr' THEN 0 ELSE 1 END) * 100 + r) AS at_ FROM top GROUP BY ALL),
-cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at_) AS rank FROM ids) WHERE rank <= 4)
-SELECT query_id, c.chunk_id, rank, coalesce(o.start_sec, a.start_sec) AS start_sec, coalesce(o.end_sec, a.end_sec) AS end_sec, concat_ws(chr(10) || chr(10), o.page_content, '[音声]' || chr(10) || a.page_content) AS page_content
-FROM cut c LEFT JOIN docs o ON o.chunk_id = c.chunk_id AND o.store_mode = 'ocr' LEFT JOIN docs a ON a.chunk_id = c.chunk_id AND a.store_mode = 'asr'""")
+@query(f"""{knn_sql(4)}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, query_id, store_mode ORDER BY hit) AS r FROM p) WHERE r <= 2),
+ids AS (SELECT video_id, query_id, chunk_id, min((CASE store_mode WHEN 'asr' THEN 0 ELSE 1 END) * 100 + r) AS at_ FROM top GROUP BY ALL),
+cut AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, query_id ORDER BY at_) AS rank FROM ids) WHERE rank <= 4)
+SELECT c.video_id, query_id, c.chunk_id, rank, coalesce(o.start_sec, a.start_sec) AS start_sec, coalesce(o.end_sec, a.end_sec) AS end_sec, concat_ws(chr(10) || chr(10), o.page_content, '[音声]' || chr(10) || a.page_content) AS page_content
+FROM cut c LEFT JOIN docs o ON o.video_id = c.video_id AND o.chunk_id = c.chunk_id AND o.store_mode = 'ocr' LEFT JOIN docs a ON a.video_id = c.video_id AND a.chunk_id = c.chunk_id AND a.store_mode = 'asr'""")
 def aligned_topk(spark, d):
-    return retrieve.search_aligned(_asked(spark, d), _children(spark, d), _parents(spark, d), 4).drop("video_id")
+    return retrieve.search_aligned(_asked(spark, d), _children(spark, d), _parents(spark, d), 4)
 
 
 @query(f"""WITH {SHORT}, {GROUPED}
@@ -311,18 +377,20 @@ def parse_seeds(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.array_join(T.parse_seeds(reply), "|").alias("seeds"))
 
 
-@query("""WITH r AS (SELECT doc_id, (doc_id % 12) / 2.0 AS v, doc_id % 7 = 0 AS broken FROM documents)
-SELECT doc_id, CASE WHEN NOT broken AND v BETWEEN 1 AND 5 THEN round_even(v, 0)::INT END AS score, CASE WHEN broken THEN '' ELSE 'because' END AS cot, '' AS reason FROM r""")
+@query(f"""WITH r AS (SELECT doc_id, (length(text) % 12) / 2.0 AS v, contains(text, '  ') OR text = '' AS broken, text FROM documents)
+SELECT doc_id, CASE WHEN NOT broken AND v BETWEEN 1 AND 5 THEN round_even(v, 0)::INT END AS score, CASE WHEN broken THEN '' ELSE text END AS cot, CASE WHEN broken THEN '' ELSE 'by ' || length(text) END AS reason FROM r""")
 def parse_scores(spark, d):
-    body = F.concat(F.lit('well ```json\n{"score": '), ((F.col("doc_id") % 12) / 2.0).cast("string"), F.lit(', "cot": "because"}\n```'))
-    replies = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "no").otherwise(body).alias("reply"))
+    n = F.length("text")
+    body = F.concat(F.lit("well ```json\n"), F.to_json(F.struct(((n % 12) / 2.0).alias("score"), F.col("text").alias("cot"), F.concat(F.lit("by "), n).alias("reason"))), F.lit("\n```"))
+    broken = F.col("text").contains("  ") | (F.col("text") == "")
+    replies = table(spark, d, "documents").select("doc_id", F.when(broken, F.col("text")).otherwise(body).alias("reply"))
     return scoring.parse_scores(replies).drop("reply")
 
 
 def _bank(spark, d):
     j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
     method = F.when(F.col("lang") == "en", "direct").when(F.col("lang") == "fr", "rag").when(F.col("lang") == "de", "rag_cot").otherwise("other")
-    return j.select(F.col("source").alias("video_id"), F.concat(F.lit("q"), "doc_id").alias("question_id"), F.lit("m").alias("model"), method.alias("method"), F.when(F.col("doc_id") % 8 == 0, "slide").otherwise("time").alias("chunk_mode"), "quality", "toxic", "doc_id", "n_chars")
+    return j.select(F.col("source").alias("video_id"), F.concat(F.lit("q"), F.expr("doc_id div 20")).alias("question_id"), F.lit("m").alias("model"), method.alias("method"), F.when(F.col("doc_id") % 8 == 0, "slide").otherwise("time").alias("chunk_mode"), "quality", "toxic", "doc_id", "n_chars")
 
 
 def _scores(spark, d):
@@ -331,12 +399,13 @@ def _scores(spark, d):
     axes = F.explode(F.array(F.struct(F.lit("quality").alias("axis"), F.col("quality").alias("v")), F.struct(F.lit("toxic").alias("axis"), F.col("toxic").alias("v"))))
     s = b.withColumn("a", axes).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(2)))).where("not (a.axis = 'toxic' and doc_id % 5 = 0)")
     score = F.when((F.col("trial") == 2) & (F.col("doc_id") % 3 == 0), None).otherwise(1 + (F.col("a.v") * 3 + F.col("trial") + F.col("n_chars")) % 5).cast("int")
-    return s.select("video_id", "question_id", "model", "method", "chunk_mode", "a.axis", "trial", score.alias("score"))
+    settings = F.when(F.col("doc_id") % 11 == 0, scoring.settings_hash(1, *SETTINGS[1:])).otherwise(scoring.settings_hash(*SETTINGS))
+    return s.select("video_id", "question_id", "model", "method", "chunk_mode", "a.axis", "trial", score.alias("score"), settings.alias("settings_hash"))
 
 
-BANK = """bank AS (SELECT source AS video_id, 'q' || doc_id AS question_id, 'm' AS model, CASE lang WHEN 'en' THEN 'direct' WHEN 'fr' THEN 'rag' WHEN 'de' THEN 'rag_cot' ELSE 'other' END AS method,
+BANK = """bank AS (SELECT source AS video_id, 'q' || doc_id // 20 AS question_id, 'm' AS model, CASE lang WHEN 'en' THEN 'direct' WHEN 'fr' THEN 'rag' WHEN 'de' THEN 'rag_cot' ELSE 'other' END AS method,
   CASE WHEN doc_id % 8 = 0 THEN 'slide' ELSE 'time' END AS chunk_mode, quality, toxic, doc_id, n_chars FROM labels JOIN documents USING (doc_id))"""
-SCORES = f"""{BANK}, scores AS (SELECT video_id, question_id, model, method, chunk_mode, axis, trial, CASE WHEN trial = 2 AND doc_id % 3 = 0 THEN NULL ELSE 1 + (v * 3 + trial + n_chars) % 5 END::INT AS score
+SCORES = f"""{BANK}, scores AS (SELECT video_id, question_id, model, method, chunk_mode, axis, trial, CASE WHEN trial = 2 AND doc_id % 3 = 0 THEN NULL ELSE 1 + (v * 3 + trial + n_chars) % 5 END::INT AS score, doc_id % 11 <> 0 AS current
   FROM (SELECT *, unnest([1, 2]) AS trial FROM (SELECT *, quality AS v, 'quality' AS axis FROM bank UNION ALL SELECT *, toxic, 'toxic' FROM bank WHERE doc_id % 5 <> 0)))"""
 
 
@@ -350,7 +419,7 @@ def method_counts(spark, d):
     return scoring.method_counts(_bank(spark, d))
 
 
-@query(f"""WITH {SCORES} SELECT video_id, question_id, model, method, chunk_mode, axis, round(avg(score), 9) AS avg_score, coalesce(string_agg(score::VARCHAR, ',' ORDER BY trial) FILTER (score IS NOT NULL), '') AS trial_scores FROM scores GROUP BY ALL""")
+@query(f"""WITH {SCORES} SELECT video_id, question_id, model, method, chunk_mode, axis, round(avg(score), 9) AS avg_score, coalesce(string_agg(score::VARCHAR, ',' ORDER BY trial, score) FILTER (score IS NOT NULL), '') AS trial_scores FROM scores GROUP BY ALL""")
 def eval_trial_avg(spark, d):
     return scoring.trial_averages(_scores(spark, d)).withColumn("avg_score", F.round("avg_score", 9)).withColumn("trial_scores", F.array_join(F.transform("trial_scores", lambda x: x.cast("string")), ","))
 
@@ -364,14 +433,17 @@ def eval_summary(spark, d):
     return scoring.summary_table(_scores(spark, d), AXES)
 
 
-@query(f"WITH {BANK} SELECT video_id, question_id, model, method FROM bank WHERE doc_id % 5 = 0")
+DONE = f"{SCORES}, done AS (SELECT video_id, question_id, model FROM scores WHERE current GROUP BY ALL HAVING count(DISTINCT axis) = 2)"
+
+
+@query(f"WITH {DONE} SELECT video_id, question_id, model, method FROM bank ANTI JOIN done USING (video_id, question_id, model)")
 def eval_pending(spark, d):
-    return scoring.pending(_bank(spark, d), _scores(spark, d), AXES).select("video_id", "question_id", "model", "method")
+    return scoring.pending(_bank(spark, d), _scores(spark, d), AXES, scoring.settings_hash(*SETTINGS)).select("video_id", "question_id", "model", "method")
 
 
-@query(f"WITH {BANK} SELECT model, count(*) AS n_done FROM bank WHERE doc_id % 5 <> 0 GROUP BY model")
+@query(f"WITH {DONE} SELECT model, count(*) AS n_done FROM done GROUP BY model")
 def completed_counts(spark, d):
-    return scoring.completed_counts(_scores(spark, d), AXES)
+    return scoring.completed_counts(_scores(spark, d), AXES, scoring.settings_hash(*SETTINGS))
 
 
 @query(f"WITH {BANK} SELECT video_id, question_id, method, NULL::VARCHAR AS note FROM bank UNION ALL SELECT video_id, question_id, method, 'again' FROM bank")
@@ -387,10 +459,17 @@ def scene_log(spark, d):
     return io.parse_scene_log(e.select("event_id", line.alias("value")))
 
 
-@query(f"""SELECT doc_id, 'N=3 $1' || chr(10) || '[スライド]' || chr(10) || t || chr(10) || '知識、応用、評価' AS prompt FROM (SELECT doc_id, {strip_sql('text')} AS t FROM documents) WHERE t <> ''""")
+@query(f"""WITH b AS (SELECT item_id, text FROM benchmark),
+c AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN {strip_sql('text')} ELSE '' END AS ocr, CASE WHEN doc_id % 3 <> 1 THEN {strip_sql('text')} ELSE '' END AS asr, CASE WHEN doc_id % 4 > 0 THEN [lang, source][:doc_id % 4] ELSE [] END AS seeds,
+  CASE WHEN doc_id % 5 = 0 THEN '　 ' ELSE source END AS context, 'terms of ' || source AS term FROM documents)
+SELECT doc_id, 'N=3 $1' || chr(10) || '[固有名詞・専門用語]' || chr(10) || term || '、$2' || chr(10) || concat_ws(chr(10) || chr(10), CASE WHEN ocr <> '' THEN '[スライド]' || chr(10) || ocr END, CASE WHEN asr <> '' THEN '[音声]' || chr(10) || asr END)
+  || chr(10) || '知識、応用、評価 ' || array_to_string(seeds, '、') || ' ' || context AS prompt FROM c WHERE (ocr <> '' OR asr <> '') AND len(seeds) > 0 AND doc_id % 5 <> 0""")
 def prompt_build(spark, d):
-    c = table(spark, d, "documents").select("doc_id", T.strip(F.col("text")).alias("ocr_text"), F.lit("").alias("asr_text"))
-    return questions.question_inputs(c, "N={n} $1\n{text}\n{level}").select("doc_id", "prompt")
+    """Slide text, speech or both; terms of the lecture, seeds and context; chunks without text, seeds or context are left out."""
+    t, by = T.strip(F.col("text")), F.col("doc_id") % 3
+    c = table(spark, d, "documents").select("doc_id", F.col("source").alias("video_id"), F.when(by != 0, t).otherwise("").alias("ocr_text"), F.when(by != 1, t).otherwise("").alias("asr_text"), F.slice(F.array("lang", "source"), 1, (F.col("doc_id") % 4).cast("int")).alias("seeds"), F.when(F.col("doc_id") % 5 == 0, "　 ").otherwise(F.col("source")).alias("context"))
+    lectures = c.select("video_id").distinct().withColumn("meta", F.struct(F.array(F.concat(F.lit("terms of "), "video_id"), F.lit("$2")).alias("proper_nouns_global")))
+    return questions.question_inputs(questions.with_lecture_terms(c, lectures), "N={n} $1\n{terms}{text}\n{level} {seeds} {context}").select("doc_id", "prompt")
 
 
 @query(f"""WITH {LONG} SELECT video_id, string_agg({strip_sql('full_text')}, chr(10) || chr(10) ORDER BY pos) FILTER ({strip_sql('full_text')} <> '') AS ocr_text FROM long GROUP BY video_id""")

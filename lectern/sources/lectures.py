@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern import schemas
 from lectern.functions.text import transcript_block
@@ -17,7 +18,8 @@ SUFFIX = {"combined": "_asr_ocr_mix", "ocr": "_ocr", "asr": "_asr"}
 def read_lectures(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a file; the folder's name is the lecture's id."""
     df = spark.read.schema(schemas.LECTURE).json(path, multiLine=True)
-    return df.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("video_id"), "meta", "slides")
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return df.select(F.url_decode(F.regexp_replace(folder, "^video_id=", "")).alias("video_id"), "meta", "slides")
 
 
 def slides(lectures: DataFrame) -> DataFrame:
@@ -34,12 +36,28 @@ def segments(lectures: DataFrame, field: str = "asr") -> DataFrame:
     return slides(lectures).select("video_id", "pos", F.posexplode(field).alias("seg_pos", "g")).select("video_id", "pos", "seg_pos", "g.*")
 
 
-def write_lectures(lectures: DataFrame, slides_df: DataFrame, path: str) -> None:
-    """Nests slides (video_id, pos, and the fields of a slide) back into lectures, at a new path."""
-    fields = [c for c in slides_df.columns if c not in ("video_id", "pos")]
+def nest_lectures(lectures: DataFrame, slides_df: DataFrame, frames_df: DataFrame | None = None, segments_df: DataFrame | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """Rows back to one document a lecture: slides (video_id, pos, and fields of a slide), frames (video_id, pos, frame_pos, and fields
+    of a frame), segments (video_id, pos, seg_pos, start_sec, end_sec, text), and terms (video_id, terms) for the lecture's meta.
+    What is given replaces what slides and meta held."""
+    place = ["video_id", "pos"]
+    for rows, name, nth in ((frames_df, "frames", "frame_pos"), (segments_df, "asr", "seg_pos")):
+        if rows is not None:
+            inner = rows.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct(nth, F.struct(*[c for c in rows.columns if c not in (*place, nth)]).alias("v")))).alias("_n"))
+            slides_df = slides_df.drop(name).join(inner, place, "left").withColumn(name, F.coalesce(F.transform("_n", lambda r: r["v"]), F.array())).drop("_n")
+    fields = [c for c in slides_df.columns if c not in place]
     rows = F.array_sort(F.collect_list(F.struct("pos", F.struct(*fields).alias("s"))))
     nested = slides_df.groupBy("video_id").agg(F.transform(rows, lambda r: r["s"]).alias("slides"))
-    lectures.select("video_id", "meta").join(nested, "video_id", "left").write.partitionBy("video_id").json(path)
+    out = lectures.select("video_id", "meta").join(nested, "video_id", "left")
+    if terms is not None:
+        out = out.join(terms.select("video_id", "terms"), "video_id", "left")
+        out = out.withColumn("meta", F.col("meta").withField("proper_nouns_global", F.coalesce("terms", "meta.proper_nouns_global"))).drop("terms")
+    return out
+
+
+def write_lectures(lectures: DataFrame, slides_df: DataFrame, path: str, **parts: DataFrame) -> None:
+    """Writes nest_lectures(), a folder for each lecture, at a new path."""
+    nest_lectures(lectures, slides_df, **parts).write.partitionBy("video_id").json(path)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
@@ -68,15 +86,28 @@ def sibling_mode(mode: str) -> str:
 
 
 def write_index(parents: DataFrame, children: DataFrame, base: str) -> None:
-    """Replaces what the lectures and modes of the parents held; others are not touched.  Children of a lecture and mode
-    without any parent are not written."""
+    """Replaces what the lectures and modes of the parents held, children too where there are none now; others are not
+    touched.  Children of a lecture and mode without any parent are not written."""
     children = children.join(parents.select("video_id", "store_mode").distinct(), ["video_id", "store_mode"], "left_semi")
     for df, name in ((parents, "parents"), (children, "children")):
+        df = df.hint("rebalance", "video_id", "store_mode")  # a folder's rows in few files; large folders are still split
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id", "store_mode").parquet(f"{base}/{name}")
+    spark = parents.sparkSession
+    bare = parents.select("video_id", "store_mode").distinct().join(children.select("video_id", "store_mode").distinct(), ["video_id", "store_mode"], "left_anti")
+    files = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for video, mode in bare.toLocalIterator():  # lectures without any child: rare, and a folder each
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/children/video_id={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(video)}/store_mode={mode}"), True)
 
 
 def read_index(spark: SparkSession, base: str, mode: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{base}/{name}").where(F.col("store_mode") == mode) for name in ("parents", "children"))
+    def table(name: str) -> DataFrame:
+        schema = spark.read.parquet(f"{base}/{name}").schema
+        for field in schema.fields:  # ids that look like numbers are still text
+            if field.name == "video_id":
+                field.dataType = StringType()
+        return spark.read.schema(schema).parquet(f"{base}/{name}").where(F.col("store_mode") == mode)
+
+    return table("parents"), table("children")
 
 
 def transcripts(slides_df: DataFrame, field: str = "asr") -> DataFrame:
