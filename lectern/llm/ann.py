@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -168,6 +169,7 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:
+        t = t.take(pa.array(np.argsort(pc.list_element(t["ids"], 0).to_numpy(), kind="stable")))  # the same graph whatever the order of arrival
         x = matrix(t["vector"], kind)
         graph, entry = build_graph((x * _scale(x)).astype(np.float32))
         t = t.append_column("node", pa.array(np.arange(len(x), dtype=np.int32)))

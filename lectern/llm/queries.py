@@ -168,6 +168,16 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id) AS n_links, com
 """
 
 
+#: Brute force over all candidates; the search's recall is 1 on tables of one small shard.
+NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, v.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (v.e[i] - q.e[i]) * (v.e[i] - q.e[i])), lambda s, x: s + x)) AS score FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e))
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d) WHERE rank <= 10
+"""
+
+
 def _license_sql() -> str:
     """Templates as regular expressions over the words, each with a blank behind it."""
 
@@ -236,5 +246,6 @@ SQL = {
     "op4_embedding_neardup": EMBEDDING_SQL,
     "op5_mixing": _mixing_sql(),
     "op6_url_filters": URL_SQL,
+    "op9_nearest_neighbours": NEAREST_SQL,
     "op10_license_scan": _license_sql(),
 }
