@@ -5,6 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -107,7 +108,13 @@ def read_index(spark: SparkSession, base: str, mode: str) -> tuple[DataFrame, Da
                 field.dataType = StringType()
         return spark.read.schema(schema).parquet(f"{base}/{name}").where(F.col("store_mode") == mode)
 
-    return table("parents"), table("children")
+    parents = table("parents")
+    try:
+        return parents, table("children")
+    except AnalysisException as e:
+        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
+            raise
+        return parents, parents.select("video_id", "store_mode", "chunk_id", "page_content").limit(0)  # no child in any lecture
 
 
 def transcripts(slides_df: DataFrame, field: str = "asr") -> DataFrame:

@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import align, chunk, documents, retrieve, scoring, segment, terms
+from lectern.functions import text as T
+from lectern.functions import vectors as V
+from lectern.operators import align, chunk, documents, questions, retrieve, scoring, segment, terms
 from lectern.plans import queries
 from lectern.sources import lectures as io
 
@@ -51,6 +53,35 @@ def test_split_text_properties():
         assert set("".join(pieces)) - set(" \n") == set(text) - set(" \n")
 
 
+def test_split_text_golden():
+    assert chunk.split_text("aaaa bbbb cccc dddd", 10, 5) == ["aaaa bbbb", "bbbb cccc", "cccc dddd"]
+    assert chunk.split_text("一二三。四五六、七八", 5, 0) == ["一二三", "。四五六", "、七八"]
+    assert chunk.split_text("abcdefgh", 3, 1) == ["abc", "cde", "efg", "gh"]
+    assert chunk.split_text("ab\n\ncd\nef", 6, 0) == ["ab", "cd", "ef"]
+    assert chunk.split_text("ab\n\ncd\nef", 8, 0) == ["ab", "cd\nef"]
+    assert chunk.split_text("", 5, 0) == []
+
+
+def test_align_like_nested_loops(spark):
+    """Slides in the order of time and slides that go back in time, equal times, missing ends."""
+    rng = random.Random(8)
+    frames, segs = [], []
+    for v in range(30):
+        times = [rng.randrange(12) for _ in range(rng.randrange(1, 6))]
+        times = sorted(times) if v % 2 else times
+        frames += [(str(v), 0, k, float(t) if t % 3 else None, float(t), 10.0 if v % 5 else None) for k, t in enumerate(times)]
+        segs += [(str(v), 0, k, float(rng.randrange(14)), f"s{k}") for k in range(12)]
+    want = {}
+    for v in range(30):
+        own = [f for f in frames if f[0] == str(v)]
+        at = [f[3] if f[3] is not None else f[4] for f in own]
+        for k, f in enumerate(own):
+            end = at[k + 1] if k + 1 < len(own) else f[5]
+            want[f[0], k] = "\n".join(s[4] for s in segs if s[0] == f[0] and end is not None and at[k] <= s[3] < end)
+    got = align.align_segments(spark.createDataFrame(frames, "video_id string, pos int, frame_pos int, detect_time double, time double, slide_end double"), spark.createDataFrame(segs, "video_id string, pos int, seg_pos int, start_sec double, text string"))
+    assert {(r.video_id, r.frame_pos): r.asr_text for r in got.collect()} == want
+
+
 def test_align_segments(spark):
     frames = spark.createDataFrame([("v", 0, 0, 0.0, 0.0, 20.0), ("v", 0, 1, 10.0, 10.0, 20.0)], "video_id string, pos int, frame_pos int, detect_time double, time double, slide_end double")
     segs = spark.createDataFrame([("v", 0, i, t, s) for i, (t, s) in enumerate([(0.0, "a"), (9.999, " b "), (10.0, "c"), (20.0, "lost"), (1.0, " ")])], "video_id string, pos int, seg_pos int, start_sec double, text string")
@@ -75,10 +106,17 @@ def test_block_similarity(spark):
     assert got[0].s.mean_ssim == 1.0
 
 
+def test_unreadable_first_frame_voids_the_lecture(spark):
+    a = [[1] * 32] * 32
+    frames = spark.createDataFrame([("v", 0.0, None), ("v", 1.0, a), ("v", 2.0, a), ("w", 0.0, a), ("w", 1.0, a)], "video_id string, time double, pixels array<array<int>>")
+    assert [(r.video_id, r.time) for r in segment.block_similarity(frames).collect()] == [("w", 1.0)]
+
+
 def test_hint_alone_keeps_a_slide_child(spark):
     f = spark.createDataFrame([("v", 0, 0, "f1", "slide1", "change", 0.0, 1.0, "t", "", ["h"]), ("v", 0, 1, "f2", "slide1", "animation", 1.0, 2.0, "", "", []), ("v", 0, 2, "f3", "slide1", "animation", 2.0, 3.0, "", "", ["h"])], "video_id string, pos int, frame_pos int, frame_id string, slide_id string, mode string, from_sec double, to_sec double, ocr_text string, asr_text string, hints array<string>")
     got = documents.slide_children(f).where("store_mode = 'ocr'").orderBy("child_index").collect()
     assert [r.child_index for r in got] == [0, 2]
+    assert [r.page_content for r in got] == ["[キーワード]\nh\n\nt", "[キーワード]\nh\n\n"]  # not stripped
 
 
 def test_search_may_return_fewer_parents(spark):
@@ -89,6 +127,55 @@ def test_search_may_return_fewer_parents(spark):
     assert sorted(r.chunk_id for r in retrieve.search(q, c, p, 3).collect()) == ["p1", "p2"]
 
 
+def test_query_ids_belong_to_a_lecture(spark):
+    c = spark.createDataFrame([(v, "ocr", i, f"p{i}", [1.0, float(i)]) for v in "AB" for i in range(3)], "video_id string, store_mode string, child_id long, chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([(1, "A", "ocr", [0.0, 1.0]), (1, "B", "ocr", [0.0, -1.0])], "query_id long, video_id string, store_mode string, embedding array<double>")
+    p = spark.createDataFrame([(v, "ocr", f"p{i}", f"{v}{i}") for v in "AB" for i in range(3)], "video_id string, store_mode string, chunk_id string, page_content string")
+    got = {r.video_id: r.context for r in retrieve.contexts(retrieve.search(q, c, p, 2)).collect()}
+    assert got == {"A": "A2\n\n---\n\nA1", "B": "B0\n\n---\n\nB1"}
+
+
+def test_masked_mean_and_unit(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0]], [1, 1]), ([[1.0, 2.0], [3.0, 4.0]], [0, 1]), ([[1.0, 2.0]], [0]), ([], [])], "v array<array<double>>, m array<int>")
+    got = [list(r.x) for r in df.select(V.masked_mean(F.col("v"), F.col("m")).alias("x")).collect()]
+    assert got == [[2.0, 3.0], [3.0, 4.0], [0.0, 0.0], []]
+    assert list(spark.createDataFrame([([3.0, 4.0],), ([0.0],)], "v array<double>").select(V.unit(F.col("v")).alias("u")).collect()[0].u) == [0.6, 0.8]
+
+
+def test_model_calls_are_retried(spark, tmp_path):
+    """A failing call and replies that can't be used are asked again; what stays bad is kept or null."""
+
+    def fn(prompts):
+        new = [p for p in prompts if not (tmp_path / p).exists()]
+        for p in new:
+            (tmp_path / p).write_text("")
+        if "boom" in new:
+            raise RuntimeError
+        return ["?" if p in new else None if p == "never" else f"ok {p}" for p in prompts]
+
+    df = spark.createDataFrame([("a",), ("never",)], "p string").coalesce(1)
+    got = {r.p: r.r for r in questions.apply_model(df, "p", fn, "r", 2, lambda x: x.startswith("ok")).collect()}
+    assert got == {"a": "ok a", "never": None}
+    assert [r.r for r in questions.apply_model(spark.createDataFrame([("boom",)], "p string"), "p", fn, "r", 1).collect()] == ["ok boom"]
+    c = spark.createDataFrame([("x", "y"), (" ", "y"), (None, None)], "a string, b string")
+    assert [r.t for r in c.select(questions.reply_text(F.col("a"), F.col("b")).alias("t")).collect()] == ["x", "y", ""]
+
+
+def test_axes(spark, tmp_path):
+    built = {"a": "A", "b": "B", "c": "C"}
+    names = lambda *x: [(r.axis_ord, r.axis) for r in io.load_axes(spark, built, *x).orderBy("axis_ord").collect()]
+    assert names(["c", "a"]) == [(0, "c"), (1, "a")] and len(names()) == 3
+    with pytest.warns(UserWarning, match="nothing"):
+        assert len(names(["nothing"])) == 3
+    (tmp_path / "axes.json").write_text('{"z": "Z", "y": "Y"}')
+    assert sorted((r.axis, r.description) for r in io.load_axes(spark, built, ["a"], str(tmp_path / "axes.json")).collect()) == [("y", "Y"), ("z", "Z")]
+
+
+def test_answer_flags(spark):
+    df = spark.createDataFrame([("A", "応用"), ("E", "x"), (None, None)], "a string, b string").select(T.answer_flags(F.col("a"), F.col("b")).alias("f"))
+    assert [tuple(r.f) for r in df.collect()] == [(True, True), (False, False), (False, False)]
+
+
 def test_mean_of_means(spark):
     rows = [("v", "q1", 1, 5), ("v", "q1", 2, 5), ("v", "q1", 3, 5), ("v", "q2", 1, 1), ("v", "q3", 1, None)]
     s = spark.createDataFrame([(v, q, "m", "direct", "time", "a", t, x) for v, q, t, x in rows], "video_id string, question_id string, model string, method string, chunk_mode string, axis string, trial int, score int")
@@ -157,6 +244,12 @@ def test_read_nested_lecture_and_index(spark, tmp_path):
     io.write_index(p.withColumn("video_id", F.lit("lec2")), c.limit(0), base)
     parents, children = io.read_index(spark, base, "ocr")
     assert parents.count() == 2 and [r.page_content for r in children.collect()] == ["y"]
+    io.write_index(p, c.limit(0), base)  # the lecture has no children any more
+    assert io.read_index(spark, base, "ocr")[1].count() == 0 and io.read_index(spark, base, "ocr")[0].count() == 2
+    odd = p.withColumn("video_id", F.lit("0 1/a:b"))
+    io.write_index(odd, odd, base)
+    io.write_index(odd, odd.limit(0), base)
+    assert "0 1/a:b" in [r.video_id for r in io.read_index(spark, base, "ocr")[0].collect()] and io.read_index(spark, base, "ocr")[1].count() == 0
     assert io.index_name("b", "combined") == "b_asr_ocr_mix" and io.sibling_mode("asr") == "ocr"
     with pytest.raises(ValueError, match="sibling"):
         io.sibling_mode("combined")
