@@ -257,7 +257,25 @@ def slide_sessions(spark, d):
     return segment.time_ranges(*_sessions(spark, d))
 
 
-@query()
+#: Texts split at the coarsest mark that they hold, long parts again at finer ones; then each run of short parts is
+#: gathered: C has the lengths before each part, a piece goes from part h to the part before e, the next one starts at the first
+#: part that leaves at most the overlap and fits with part e.
+SPLIT = f"""RECURSIVE marks AS (SELECT [chr(10) || chr(10), chr(10), '。', '、', ' ', ''] AS s),
+r AS (SELECT doc_id, '' AS up, '' AS path, text AS t, 1 AS level, true AS again FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, path, path || printf('%06d/', i), part, k + 1, length(part) >= 300 AND k < 6 FROM (
+    SELECT doc_id, path, k, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (
+      SELECT doc_id, path, k, CASE WHEN s[k] = '' THEN string_split(t, '') ELSE list_filter(list_transform(string_split(t, s[k]), lambda p, i: CASE WHEN i = 1 THEN p ELSE s[k] || p END), lambda p: p <> '') END AS parts
+      FROM (SELECT r.*, s, list_filter(range(level, 7), lambda i: s[i] = '' OR contains(t, s[i]))[1] AS k FROM r, marks WHERE again)))),
+o AS (SELECT *, coalesce(sum(again::INT) OVER (PARTITION BY doc_id, up ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nth FROM r WHERE path <> ''),
+runs AS (SELECT doc_id, min(path) AS first, list(t ORDER BY path) AS parts FROM o WHERE NOT again GROUP BY doc_id, up, nth),
+c AS (SELECT doc_id, first, parts, len(parts) AS m, list_transform(range(0, len(parts) + 1), lambda i: length(array_to_string(parts[1:i], ''))) AS c0 FROM runs),
+cut AS (SELECT doc_id, first, m, c0, 1::BIGINT AS h, list_filter(range(2, m + 1), lambda i: c0[i + 1] - c0[1] > 300)[1] AS e FROM c
+  UNION ALL SELECT doc_id, first, m, c0, g, list_filter(range(g + 1, m + 1), lambda i: c0[i + 1] - c0[g] > 300)[1] FROM (
+    SELECT *, list_filter(range(h, e + 1), lambda g: c0[e] - c0[g] <= 30 AND (c0[e + 1] - c0[g] <= 300 OR c0[e] = c0[g]))[1] AS g FROM cut WHERE e IS NOT NULL)),
+texts AS (SELECT cut.doc_id, cut.first, h, {strip_sql("array_to_string(parts[h:coalesce(e, cut.m + 1) - 1], '')")} AS child_text FROM cut JOIN c ON c.doc_id = cut.doc_id AND c.first = cut.first)"""
+
+
+@query(f"WITH {SPLIT} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first, h) - 1)::INT AS child_index, child_text FROM texts WHERE child_text <> ''")
 def split_children(spark, d):
     t = table(spark, d, "documents").select("doc_id", "text")
     return chunk.split_children(t, "text", 300, 30).drop("text")
