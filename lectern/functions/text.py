@@ -10,12 +10,13 @@ SLIDE_LABEL, SPEECH_LABEL, KEYWORD_LABEL, TERM_LABEL = "[スライド]\n", "[音
 NO_SPEECH, CONTEXT_SEPARATOR, NO_CONTEXT = "（ASRなし）", "\n\n---\n\n", "（取得できませんでした）"
 #: Answers and levels that are asked for (fixed values).
 CHOICES, LEVEL_NAMES = ("A", "B", "C", "D"), ("知識", "応用", "評価")
-#: Unicode white space at both ends.
-STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: White space characters, as text (fixed values).
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP, "")
+    """Without white space at both ends."""
+    return F.btrim(c, F.lit(WHITE))
 
 
 def text_or_empty(c: Column) -> Column:
