@@ -11,23 +11,29 @@ from pyspark.sql import functions as F
 from lectern.functions.text import combined_text, joined
 
 
+def budget_fold(lengths: Column, budget: int) -> Column:
+    """Of an array of lengths: ``groups``, where a group ends with the element that brings its sum to the budget, and ``full``,
+    the number of groups that reached it (elements behind them are in group ``full``)."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("full"), none.alias("groups"))
+
+    def step(acc: Column, n: Column) -> Column:
+        total = acc["total"] + n
+        over = total >= budget
+        return F.struct(F.when(over, F.lit(0).cast("long")).otherwise(total).alias("total"), (acc["full"] + over.cast("int")).alias("full"), F.concat(acc["groups"], F.array(acc["full"])).alias("groups"))
+
+    return F.aggregate(lengths, start, step)
+
+
 def char_budget_groups(slides: DataFrame, budget: int = 1000) -> DataFrame:
     """Adds group ``g`` to slides (video_id, pos, asr_text): a group ends with the slide that reaches the budget.  Slides left
     over belong to the last group (``is_tail``), or are the only one.  Each lecture folds (pos, length) alone."""
-    narrow = slides.select("video_id", "pos", F.length("asr_text").cast("long").alias("n"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        g, total, out = 0, 0, []
-        for n in pdf.n:
-            out.append(g)
-            total += n
-            if total >= budget:
-                g, total = g + 1, 0
-        full = g
-        return pd.DataFrame({"video_id": pdf.video_id, "pos": pdf.pos, "g": [min(x, max(full - 1, 0)) for x in out], "is_tail": [x == full and full > 0 for x in out]})
-
-    groups = narrow.groupBy("video_id").applyInPandas(fold, "video_id string, pos long, g int, is_tail boolean")
+    narrow = slides.select("video_id", F.struct("pos", F.coalesce(F.length("asr_text"), F.lit(0)).cast("long").alias("n")).alias("s"))
+    folded = narrow.groupBy("video_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    folded = folded.withColumn("f", budget_fold(F.transform("s", lambda x: x["n"]), budget))
+    groups = folded.select("video_id", F.col("f.full").alias("full"), F.explode(F.arrays_zip(F.transform("s", lambda x: x["pos"]).alias("pos"), F.col("f.groups").alias("g"))).alias("z"))
+    last = F.greatest(F.col("full") - 1, F.lit(0))
+    groups = groups.select("video_id", "z.pos", F.least("z.g", last).alias("g"), ((F.col("z.g") == F.col("full")) & (F.col("full") > 0)).alias("is_tail"))
     return slides.join(groups, ["video_id", "pos"])
 
 
@@ -46,18 +52,27 @@ def char_budget_parents(slides: DataFrame, budget: int = 1000) -> DataFrame:
     slides in order (column ``proper_nouns``; without it: none).
 
     A tail is appended slide by slide: its slide text follows after a blank line even if the head has none."""
-    s = char_budget_groups(slides, budget)
-    tail, none = F.col("is_tail"), F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
     image = F.coalesce("image", F.lit("")) if "image" in slides.columns else F.lit("")
     terms = F.coalesce("proper_nouns", none) if "proper_nouns" in slides.columns else none
-    p = s.groupBy("video_id", "g").agg(
-        _in_order(F.col("slide_id")).alias("slide_ids"), F.min_by("start_sec", "pos").alias("start_sec"), F.max_by("end_sec", "pos").alias("end_sec"),
-        F.array_join(_texts(_in_order(F.col("ocr_text"), ~tail)), "\n\n").alias("head_ocr"), _texts(_in_order(F.col("ocr_text"), tail)).alias("tail_ocr"),
-        F.array_join(_texts(_in_order(F.col("asr_text"))), "\n").alias("asr_text"), F.min_by(image, "pos").alias("image"), F.flatten(_in_order(terms)).alias("hints"),
+    fields = ["pos", "slide_id", "start_sec", "end_sec", F.coalesce("ocr_text", F.lit("")).alias("ocr_text"), F.coalesce("asr_text", F.lit("")).alias("asr_text"), image.alias("image"), terms.alias("terms")]
+    # texts are shuffled once, to their lecture; groups are slices of its slides
+    s = slides.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
+    s = s.withColumn("f", budget_fold(F.transform("s", lambda x: F.length(x["asr_text"]).cast("long")), budget))
+    s = s.withColumn("last", F.greatest(F.col("f.full") - 1, F.lit(0)))
+    s = s.select("video_id", "s", F.col("f.full").alias("full"), F.transform("f.groups", lambda g: F.least(g, F.col("last"))).alias("g"), F.col("f.groups").alias("raw"), F.explode(F.sequence(F.lit(0), "last")).alias("k"))
+    low = F.array_position("g", F.col("k"))
+    high = F.when(F.array_position("g", F.col("k") + 1) > 0, F.array_position("g", F.col("k") + 1)).otherwise(F.size("g") + 1)
+    tails = F.when((F.array_position("raw", F.col("full")) > 0) & (F.col("full") > 0), F.array_position("raw", F.col("full"))).otherwise(F.size("g") + 1)
+    s = s.select("video_id", F.col("k").alias("g"), F.slice("s", low.cast("int"), (high - low).cast("int")).alias("p"), (F.least(tails, high) - low).cast("int").alias("heads"))
+    text = lambda parts, name: _texts(F.transform(parts, lambda x: x[name]))
+    head, tail = F.slice("p", F.lit(1), F.col("heads")), F.slice("p", F.col("heads") + 1, F.size("p"))
+    ocr = F.concat(F.array_join(text(head, "ocr_text"), "\n\n"), F.array_join(F.transform(text(tail, "ocr_text"), lambda t: F.concat(F.lit("\n\n"), t)), ""))
+    p = s.select(
+        "video_id", "g", F.format_string("parent_%04d", "g").alias("chunk_id"), F.transform("p", lambda x: x["slide_id"]).alias("slide_ids"), F.get("p", F.lit(0))["start_sec"].alias("start_sec"), F.element_at("p", -1)["end_sec"].alias("end_sec"),
+        F.get("p", F.lit(0))["image"].alias("image"), ocr.alias("ocr_text"), F.array_join(text(F.col("p"), "asr_text"), "\n").alias("asr_text"), F.flatten(F.transform("p", lambda x: x["terms"])).alias("hints"),
     )
-    ocr = F.concat("head_ocr", F.array_join(F.transform("tail_ocr", lambda t: F.concat(F.lit("\n\n"), t)), ""))
-    p = p.withColumn("ocr_text", ocr)
-    return p.select("video_id", "g", F.format_string("parent_%04d", "g").alias("chunk_id"), "slide_ids", "start_sec", "end_sec", "image", "ocr_text", "asr_text", combined_text(F.col("ocr_text"), F.col("asr_text")).alias("parent_text"), "hints")
+    return p.select(*p.columns[:-1], combined_text(F.col("ocr_text"), F.col("asr_text")).alias("parent_text"), "hints")
 
 
 def chunk_by_slides(slides: DataFrame, n: int = 3, overlap: int = 0) -> DataFrame:
