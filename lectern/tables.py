@@ -50,18 +50,24 @@ def release(*kept: DataFrame) -> None:
 
 
 @contextmanager
-def temporary(*out: DataFrame) -> Iterator[list[DataFrame]]:
-    """Deletes, at its end, the tables that were kept inside.  Those in the list that it gives stay, as do
-    tables that other functions' results still read: keep() such a result first, and put it in the list."""
-    _open.append([])
-    stay = list(out)
+def recorded() -> Iterator[list[DataFrame]]:
+    """The list of the tables that are kept inside."""
+    made: list[DataFrame] = []
+    _open.append(made)
     try:
-        yield stay
+        yield made
     finally:
-        made = _open.pop()
-        release(*[df for df in made if not any(df is s for s in stay)])
+        _open.pop()
         if _open:
-            _open[-1].extend(df for df in made if any(df is s for s in stay))
+            _open[-1].extend(made)
+
+
+def leftovers(made: list[DataFrame], docs: DataFrame) -> None:
+    """Deletes the tables in the list, but for those that the documents still read, and takes them off it."""
+    files = docs.inputFiles()
+    held = [df for df in made if any(df._lectern_path.rpartition("/")[2] in f for f in files)]
+    release(*[df for df in made if not any(df is h for h in held)])
+    made[:] = held
 
 
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
