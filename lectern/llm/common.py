@@ -7,9 +7,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from lectern.tables import keep, numbered, partitions, release, running_totals, shared_folder, temporary
+from lectern.tables import keep, leftovers, numbered, partitions, recorded, release, running_totals, shared_folder
 
-__all__ = ["keep", "numbered", "partitions", "pieces", "release", "running_totals", "runs", "shared_folder", "small_batches", "temporary"]
+__all__ = ["keep", "leftovers", "numbered", "partitions", "pieces", "recorded", "release", "running_totals", "runs", "shared_folder", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
