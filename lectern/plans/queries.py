@@ -359,7 +359,8 @@ def transcript_export(spark, d):
 c AS (SELECT video_id, term, count(*) AS n_slides FROM t GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n_slides DESC, term) AS rank FROM c) WHERE rank <= 15""")
 def recurring_terms(spark, d):
-    return terms.recurring_terms(long_lectures(spark, d), 15)
+    slides = table(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("pos"), F.col("text").alias("full_text"))
+    return terms.recurring_terms(slides, 15)  # which slide a term is on counts, not its place
 
 
 @query("""WITH t AS (SELECT source AS video_id, doc_id::VARCHAR AS chunk_id, unnest(regexp_extract_all(lower(text), '(\\p{L}{3,})', 1)) AS term FROM documents),
