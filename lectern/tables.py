@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -62,6 +62,15 @@ def recorded() -> Iterator[list[DataFrame]]:
             _open[-1].extend(made)
 
 
+def keep_last(make: Callable[[], DataFrame]) -> DataFrame:
+    """Keeps what the callable returns, and deletes what it kept on the way."""
+    with recorded() as made:
+        out = keep(make())
+        release(*[df for df in made if df is not out])
+        made[:] = [out]
+    return out
+
+
 def leftovers(made: list[DataFrame], docs: DataFrame) -> None:
     """Deletes the tables in the list, but for those that the documents still read, and takes them off it."""
     files = docs.inputFiles()
@@ -80,8 +89,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], measure: Column | None = None) -> DataFrame:
-    """Adds ``rows_before`` and ``sum_before`` (of the measure), by group in the given order.
+def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], measure: Column | None = None, total: bool = False) -> DataFrame:
+    """Adds ``rows_before`` and ``sum_before`` (of the measure), by group in the given order; with ``total`` also
+    ``rows_total``, the rows of the group.
 
     Rows are dealt by range of (group, order), so that a large group is spread over many tasks;
     each partition sums its own part, and the totals of the partitions (one row for each partition
@@ -95,10 +105,10 @@ def running_totals(df: DataFrame, group: Sequence[str], order: Sequence[str], me
     first = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = (
         dealt.groupBy(*group, "_part").agg(F.count("*").alias("_rows"), F.sum("_m").alias("_sum"))
-        .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(first), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_sum").over(first), F.lit(0)).alias("_sum"))
+        .select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_part").alias("_p"), F.coalesce(F.sum("_rows").over(first), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_sum").over(first), F.lit(0)).alias("_sum"), F.sum("_rows").over(Window.partitionBy(*group)).alias("_total"))
     )
     inside = dealt.withColumn("_r", F.count("*").over(here)).withColumn("_s", F.coalesce(F.sum("_m").over(here), F.lit(0)))
     same = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
         same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return inside.join(before, same).select(*df.columns, (F.col("_r") + F.col("_rows")).alias("rows_before"), (F.col("_s") + F.col("_sum")).alias("sum_before"))
+    return inside.join(before, same).select(*df.columns, (F.col("_r") + F.col("_rows")).alias("rows_before"), (F.col("_s") + F.col("_sum")).alias("sum_before"), *[F.col("_total").alias("rows_total")] * total)
