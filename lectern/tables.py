@@ -41,12 +41,15 @@ def keep(df: DataFrame) -> DataFrame:
     return kept
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*kept: DataFrame) -> None:
     """Deletes tables of keep() that no later step reads."""
     for df in kept:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._lectern_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(df.sparkSession, df._lectern_path)
 
 
 @contextmanager
