@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.ann import build_index, search_index
 from lectern.llm.capdup import near_embeddings
-from lectern.llm.common import keep, small_batches
+from lectern.llm.common import delete_folder, keep, keep_last, partitions, shared_folder, small_batches
 from lectern.llm.language import fit_language_filters, held_out, identify_languages
 from lectern.llm.licenses import PHRASES, TEMPLATES, scan_licenses, words_of
+from lectern.llm.merkle import build_manifest, fold, leaf_digest, prove
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
 from lectern.llm.neardup import near_duplicates
 from lectern.llm.packing import place_pieces, token_pieces
+from lectern.llm.periodic import periodic_runs
 from lectern.llm.sharding import shard_by_bytes
 from lectern.llm.toxicity import fit_toxicity, score_toxicity
 from lectern.llm.urls import filter_urls
+from lectern.llm.warc import RECORD_ID, package_index, package_members, read_records, write_packages
 
 #: Target weights of the mix: a fifth from the largest source, a twenty-fifth from nine others each.
 WEIGHTS = {"src0": 5, **{f"src{i}": 1 for i in range(1, 10)}, OTHER: 11}
@@ -227,6 +231,123 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs for all documents; a fifth of them is held against the root with a text changed afterwards."""
+    docs = table(spark, sf_dir, "documents").select(*LEAF, leaf_digest(*LEAF).alias("leaf"))
+    changed = docs.withColumn("text", F.translate("text", UPPER, LOWER))
+    touched = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    rows = changed.select("doc_id", "source", "leaf", F.when(touched, leaf_digest(*LEAF)).alias("tampered"))
+    m = build_manifest(rows, "source", "doc_id", carry=["tampered"])
+    root = F.lit(m.root).cast("string")
+    told = prove(m.records, m.root, m.leaves)
+    told = told.select("doc_id", "leaf", "subroot", root.alias("root"), F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), fold(F.coalesce("tampered", "leaf"), F.col("path"), F.col("siblings")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql() -> str:
+    field = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(x) for x in (*LEAF[:-1], text))})"
+    return rf"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
+leaves AS (
+  SELECT doc_id, source, {leaf("text")} AS leaf, CASE WHEN {crc_sql("doc_id::VARCHAR")} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS tampered,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth, count(*) OVER (PARTITION BY source) AS n FROM documents, crc),
+low AS (
+  SELECT source, 0 AS lv, nth, n, leaf AS d FROM leaves
+  UNION ALL SELECT source, lv + 1, nth // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY nth)) FROM low WHERE n > 1 GROUP BY source, lv, nth // 16, n),
+tops AS (SELECT source, d, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS nth, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS lv, nth, n, d FROM tops
+  UNION ALL SELECT lv + 1, nth // 16, (n + 15) // 16, sha256(string_agg(d, '' ORDER BY nth)) FROM high WHERE n > 1 GROUP BY lv, nth // 16, n),
+runs AS (
+  SELECT false AS top, source, lv, nth // 16 AS run, list(d ORDER BY nth) AS ds FROM low WHERE n > 1 GROUP BY source, lv, nth // 16
+  UNION ALL SELECT true, NULL, lv, nth // 16, list(d ORDER BY nth) FROM high WHERE n > 1 GROUP BY lv, nth // 16),
+up AS (
+  SELECT doc_id, leaf, source, false AS top, 0 AS lv, nth, n, coalesce(tampered, leaf) AS now, '' AS proof FROM leaves
+  UNION ALL (
+    SELECT u.doc_id, u.leaf, u.source, u.top, u.lv + 1, u.nth // 16, (u.n + 15) // 16,
+      sha256(array_to_string(list_transform(r.ds, lambda x, i: CASE WHEN i = u.nth % 16 + 1 THEN u.now ELSE x END), '')),
+      u.proof || array_to_string(list_filter(r.ds, lambda x, i: i <> u.nth % 16 + 1), '')
+    FROM up u JOIN runs r ON r.top = u.top AND (u.top OR r.source IS NOT DISTINCT FROM u.source) AND r.lv = u.lv AND r.run = u.nth // 16 WHERE u.n > 1
+    UNION ALL SELECT u.doc_id, u.leaf, u.source, true, 0, t.nth, t.n, u.now, u.proof FROM up u JOIN tops t ON t.source IS NOT DISTINCT FROM u.source WHERE NOT u.top AND u.n = 1)),
+whole AS (SELECT d AS root FROM high WHERE n = 1)
+SELECT u.doc_id, u.leaf, t.d AS subroot, root, sha256(u.proof) AS proof_sha256, u.now AS folded_root, u.now = root AS verified
+FROM up u JOIN tops t ON t.source IS NOT DISTINCT FROM u.source, whole WHERE u.top AND u.n = 1
+"""
+
+
+def periodic_texts(docs: DataFrame) -> DataFrame:
+    """Texts with a planted period in every tenth document (by CRC-32 of its id): from some word on, its words repeat.  Others,
+    also those without an id, stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = docs.select("doc_id", "text", h.alias("h"), F.expr("h div 10").alias("g"), F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
+    words = words.withColumn("n", F.coalesce(F.size("w"), F.lit(0))).withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)"))).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))  # some ten times
+    planted = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), F.col("n") - F.col("a"))), " ")
+    return words.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def periodic_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(periodic_texts(table(spark, sf_dir, "documents")))
+    stronger = lambda best, r: F.when(r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best)
+    best = F.aggregate(F.slice("runs", F.lit(2), F.size("runs")), F.get("runs", F.lit(0)), stronger)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "b.start", "b.length", "b.period", F.expr("1000 * b.length div b.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+#: Places where three words stand again q words further on, gathered to stretches without a gap.
+PERIODIC_SQL = rf"""
+WITH crc AS (SELECT {_crc_table()}::BIGINT[] AS t),
+raw AS (SELECT doc_id, coalesce({crc_sql("doc_id::VARCHAR")}, 1) AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents, crc),
+sized AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM raw),
+parted AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized),
+docs AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM parted),
+three AS (SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS t FROM (SELECT doc_id, w, unnest(range(0, n - 2)) AS i FROM docs)),
+pairs AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM three a JOIN three b ON a.doc_id = b.doc_id AND a.t = b.t AND b.i > a.i),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs),
+stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + 2 + q AS length FROM islands GROUP BY doc_id, q, g),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+told AS (SELECT doc_id, list({{s: start, l: length, p: period}} ORDER BY start, period) AS r, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS k FROM runs) WHERE k = 1)
+SELECT d.doc_id, coalesce(len(r), 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN r IS NULL THEN w ELSE list_filter(w, lambda x, i: len(list_filter(r, lambda y: i - 1 >= y.s + y.p AND i - 1 < y.s + y.l)) = 0) END, ' ')) AS collapsed_sha256
+FROM docs d LEFT JOIN told USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
+def warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to packages and read back by ranges; the packages are deleted when the rows are kept."""
+    folder = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+
+    def read_back() -> DataFrame:
+        packages = keep(write_packages(table(spark, sf_dir, "pages"), folder))
+        members = keep(package_members(packages))
+        r = read_records(package_index(members), partitions(spark))
+        number = lambda c: F.regexp_extract(c, f"^{RECORD_ID}(-?[0-9]+)$", 1).try_cast("long")
+        digest = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).otherwise(F.regexp_replace("digest", "^sha256:", ""))
+        length = F.when(F.col("payload").isNotNull(), F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+        return r.select(number("record_id").alias("page_id"), length.alias("payload_bytes"), digest.alias("payload_digest"), F.col("type").alias("record_type"), number("refers_to").alias("refers_to"), "error")
+
+    out = keep_last(read_back)
+    delete_folder(spark, folder)
+    if bad := out.where("error is not null").select("error").first():
+        raise ValueError(f"a record could not be read: {bad[0]}")
+    return out.drop("error")
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest),
+r AS (SELECT p.*, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+
 QUERIES = {
     "op1_minhash_neardup": minhash_neardup,
     "op2_sharding": sharding,
@@ -238,6 +359,9 @@ QUERIES = {
     "op8_language_id": language_id,
     "op9_nearest_neighbours": nearest_neighbours,
     "op10_license_scan": license_scan,
+    "op11_merkle_manifest": merkle_manifest,
+    "op12_periodic_runs": periodic_run_detection,
+    "op13_warc": warc_packages,
 }
 
 SQL = {
@@ -248,4 +372,7 @@ SQL = {
     "op6_url_filters": URL_SQL,
     "op9_nearest_neighbours": NEAREST_SQL,
     "op10_license_scan": _license_sql(),
+    "op11_merkle_manifest": _merkle_sql(),
+    "op12_periodic_runs": PERIODIC_SQL,
+    "op13_warc": WARC_SQL,
 }
