@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import CONTEXT_SEPARATOR, joined, prefixed
-from lectern.tables import keep
+from lectern.tables import fresh, keep, map_batches
 
 
 def hashed_ngrams(texts: list[str], dim: int = 256, n: int = 3) -> np.ndarray:
@@ -27,16 +27,16 @@ def hashed_ngrams(texts: list[str], dim: int = 256, n: int = 3) -> np.ndarray:
 def embed_texts(df: DataFrame, text: str, fn: Callable[[list[str]], np.ndarray] = hashed_ngrams, kind: str = "passage") -> DataFrame:
     """Adds ``embedding`` (unit length) of the prefixed text; null texts count as empty.  A column of this name is replaced."""
     df = df.drop("embedding")
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = fn(batch.column(batch.num_columns - 1).to_pylist())
             v = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(v), pa.list_(pa.float32()))], [*batch.schema.names[:-1], "embedding"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(v), pa.list_(pa.float32()))], [*batch.schema.names, "embedding"])
 
-    asked = df.withColumn("_text", prefixed(F.coalesce(text, F.lit("")), kind))
-    return asked.mapInArrow(go, f"{names}, embedding array<float>")
+    name = fresh(df, "_text")
+    asked = df.withColumn(name, prefixed(F.coalesce(text, F.lit("")), kind))
+    return map_batches(asked, go, "embedding array<float>").drop(name)
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:

@@ -6,11 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_open: list[list[DataFrame]] = []
+#: The lists of recorded(), from the outermost; each thread has its own.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("lectern_open", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,11 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-lectern-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own_folder()
     return folder
 
 
+@cache
+def _own_folder() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-lectern-')}"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them back.
 
@@ -36,8 +53,8 @@ def keep(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     kept = spark.read.schema(df.schema).parquet(path)
     kept._lectern_path = path
-    if _open:
-        _open[-1].append(kept)
+    if _open.get():
+        _open.get()[-1].append(kept)
     return kept
 
 
@@ -54,34 +71,44 @@ def release(*kept: DataFrame) -> None:
 
 @contextmanager
 def recorded() -> Iterator[list[DataFrame]]:
-    """The list of the tables that are kept inside."""
+    """The list of the tables that are kept inside, by this thread."""
     made: list[DataFrame] = []
-    _open.append(made)
+    token = _open.set((*_open.get(), made))
     try:
         yield made
     finally:
-        _open.pop()
-        if _open:
-            _open[-1].extend(made)
+        _open.reset(token)
+        if _open.get():
+            _open.get()[-1].extend(made)
 
 
 def keep_last(make: Callable[[], DataFrame]) -> DataFrame:
     """Keeps what the callable returns, and deletes what it kept on the way."""
     with recorded() as made:
         out = keep(make())
-        release(*[df for df in made if df is not out])
-        made[:] = [out]
+        let_go(made, out)
     return out
 
 
-def leftovers(made: list[DataFrame], docs: DataFrame) -> None:
-    """Deletes the tables in the list, but for those that the documents still read, and takes them off it."""
-    files = docs.inputFiles()
-    held = [df for df in made if any(df._lectern_path.rpartition("/")[2] in f for f in files)]
+def let_go(made: list[DataFrame], *held: DataFrame) -> None:
+    """Deletes the tables of recorded(), but for those still held, and takes them off its list."""
     release(*[df for df in made if not any(df is h for h in held)])
     made[:] = held
 
 
+def extended(schema: StructType, more: str) -> StructType:
+    """The schema with fields behind it; names are taken as they are, backticks too."""
+    return StructType([*schema.fields, *StructType.fromDDL(more).fields])
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: str) -> DataFrame:
+    """The rows with what ``f`` puts behind their columns.  Batches come under names of their own, so that columns may
+    have any names (also such as mapInArrow can't resolve)."""
+    rows = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = rows.mapInArrow(f, extended(rows.schema, more))
+    return out.toDF(*df.columns, *out.columns[len(df.columns) :])
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """The rows, kept, each with a number of its own (not gapless): what tells rows apart whose keys are null
     or repeated.  The write fixes the numbers."""
