@@ -7,9 +7,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
-from lectern.tables import delete_folder, keep, keep_last, leftovers, numbered, partitions, recorded, release, running_totals, shared_folder
+from lectern.tables import delete_folder, keep, keep_last, let_go, map_batches, numbered, partitions, recorded, release, running_totals, shared_folder
 
-__all__ = ["delete_folder", "keep", "keep_last", "leftovers", "numbered", "partitions", "pieces", "recorded", "release", "running_totals", "runs", "shared_folder", "small_batches"]
+__all__ = ["delete_folder", "keep", "keep_last", "let_go", "map_batches", "numbered", "partitions", "pieces", "recorded", "release", "running_totals", "runs", "shared_folder", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import keep, release
+from lectern.llm.common import keep, map_batches, release
 from lectern.llm.words import mix
 
 GRAM = 4
@@ -168,5 +168,4 @@ def identify_languages(docs: DataFrame, filters: LanguageFilters, text: str = "t
             columns = [*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(go, f"{schema}, lang_pred string, score double")
+    return map_batches(rest, go, "lang_pred string, score double")

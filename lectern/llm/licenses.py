@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import map_batches
+
 #: Base phrases and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -169,5 +171,4 @@ def scan_licenses(docs: DataFrame, text: str = "text", phrases: Mapping[str, str
     itself, also repeated ones; no rows: no rows.  Columns of these names are replaced.  One pass, nothing is
     shuffled."""
     rest = docs.drop(*NEW)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(_scan(rest.columns.index(text), phrases, templates), f"{schema}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return map_batches(rest, _scan(rest.columns.index(text), phrases, templates), "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import keep, release
+from lectern.llm.common import keep, map_batches, release
 from lectern.llm.language import dealt
 from lectern.llm.words import Words
 
@@ -204,5 +204,4 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
             columns = [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "score", "predicted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(go, f"{schema}, score double, predicted int")
+    return map_batches(rest, go, "score double, predicted int")

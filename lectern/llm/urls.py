@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import keep
+from lectern.llm.common import keep, release
 
 
 def validity_intervals(entries: DataFrame, pattern: str = "pattern", action: str = "action", at: str = "listed_at") -> DataFrame:
@@ -33,7 +33,7 @@ def lookup_keys(url: Column, depths: Sequence[int]) -> Column:
     low = F.lower(url)
     host = F.regexp_extract(low, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
     labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, 1000), "."))
+    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(low, r"^[^:]+://[^/?#]*(/[^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     below = F.transform(F.array(*map(F.lit, depths)).cast("array<int>"), lambda i: F.when(i <= F.size(parts), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
@@ -47,15 +47,21 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     The list becomes validity intervals; captures are looked up under every key that could cover
     them (paths to the depths that the list has), by equality and ``valid_from <= fetched < valid_to``.  Verdicts are made once for each
     distinct (URL, time) and joined back; only covered ones are grouped, and both joins split
-    large keys.  Null or unparsable URLs and null times match nothing.  Clashing columns are replaced.
+    large keys.  Null or unparsable URLs and null times match nothing.  Each capture gets a verdict of its own, also
+    repeated ones; no captures: no rows, no entries: none blocked.  Columns that are named like the new ones are replaced; all
+    other names may stand among the captures' columns.
     """
-    new = ["blocked", "n_entries", "pattern", "listed_from"]
-    rows = captures.drop(*new)
-    asked = rows.select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).where("_url is not null and _at is not null").distinct()
+    rows = captures.drop("blocked", "n_entries", "pattern", "listed_from")
+    names = rows.columns
+    rows = rows.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name clashes below
+    link, when = (F.col(f"c{names.index(c)}") for c in (url, fetched))
+    asked = rows.select(link.alias("_url"), when.alias("_at")).where("_url is not null and _at is not null").distinct()
     valid = keep(validity_intervals(entries))
     keyed = asked.select("_url", "_at", F.explode(lookup_keys(F.col("_url"), path_depths(valid))).alias("_key"))
     hits = keyed.join(valid, (F.col("_key") == F.col("pattern")) & (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
     best = F.min(F.struct((-F.length("pattern")).alias("l"), F.col("pattern"), F.col("valid_from")))
-    verdicts = keep(hits.groupBy("_url", "_at").agg(F.count("*").alias("n_entries"), best.alias("_best")))
-    out = rows.join(verdicts, (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_at")), "left")
-    return out.select(*rows.columns, F.col("n_entries").isNotNull().alias("blocked"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), F.col("_best.pattern").alias("pattern"), F.col("_best.valid_from").alias("listed_from"))
+    verdicts = keep(hits.groupBy("_url", "_at").agg(F.count("*").alias("n"), best.alias("best")))
+    release(valid)
+    out = rows.join(verdicts, (link == F.col("_url")) & (when == F.col("_at")), "left")
+    out = out.select(*rows.columns, F.col("n").isNotNull(), F.coalesce("n", F.lit(0)), F.col("best.pattern"), F.col("best.valid_from"))
+    return out.toDF(*names, "blocked", "n_entries", "pattern", "listed_from")

@@ -537,3 +537,22 @@ def test_op10_places_and_templates(spark):
     a = Automaton("may [[not]] {2} end here")
     fits = {"may end here": True, "may not end here": True, "may x y end here": True, "may not x end here": True, "may x y z end here": False, "may end": False}
     assert {t: a.accepts(words_of(t), 0) for t in fits} == fits
+
+
+def test_columns_of_any_name(spark):
+    """Names that operators use within, and names with a backtick or a dot, come back as they were."""
+    rows = [(1, "https://a.example/x", 5, "the quick brown fox under the mit license"), (2, None, None, None), (1, "https://a.example/x", 5, "")]
+    odd = ["_url", "_at", "_best", "_key", "n", "best", "c0", "valid_from", "a`b", "x.y"]
+    df = spark.createDataFrame(rows, "doc_id long, url string, fetched_at int, text string").select("*", *[F.lit(c).alias(c) for c in odd])
+    entries = spark.createDataFrame([("a.example", "add", 1), ("a.example/x", "add", 9)], "pattern string, action string, listed_at int")
+    got = filter_urls(df, entries)
+    assert got.columns == [*df.columns, "blocked", "n_entries", "pattern", "listed_from"]
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert [r[len(df.columns):] for r in got] == [(True, 1, "a.example", 1)] * 2 + [(False, 0, None, None)]
+    assert all(list(r[4:14]) == odd for r in got)
+    assert {r[len(df.columns)] for r in filter_urls(df, entries.where("false")).collect()} == {False} and filter_urls(df.where("false"), entries).collect() == []
+    from lectern.llm.language import LanguageFilters
+    from lectern.llm.toxicity import ToxicityModel
+
+    for out in (scan_licenses(df), identify_languages(df, LanguageFilters.of({})), score_toxicity(df, ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -5.0))):
+        assert out.columns[: len(df.columns)] == df.columns and all(list(r[4:14]) == odd for r in out.collect())

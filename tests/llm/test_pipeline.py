@@ -1,11 +1,16 @@
 """The pipeline's stages on the smallest tables, against brute-force versions of what they keep."""
 
+import os
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from random import Random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from lectern import tables
 from lectern.llm import minhash, queries
-from lectern.llm.common import keep
+from lectern.llm.common import keep, release
 from lectern.llm.mixing import OTHER, mix_sources
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +88,43 @@ def test_no_row_is_lost_or_multiplied(spark, tmp_path):
     assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in clean.collect())
     assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_results_outlive_later_calls(spark):
+    """Stages and runs delete only what they kept for themselves."""
+    docs = queries.table(spark, SF, "documents")
+    held = [corpus_pipeline.mixing(spark, docs, SF), corpus_pipeline.minhash_neardup(spark, docs, SF), corpus_pipeline.packing(spark, docs, SF)]
+    first = corpus_pipeline.run(spark, SF)
+    before = [df.count() for df in (*held, first)]
+    corpus_pipeline.mixing(spark, docs.limit(50), SF).count()
+    second = corpus_pipeline.run(spark, SF)
+    assert [df.count() for df in (*held, first)] == before and second.count() == before[-1]
+    release(second)
+    assert first.count() == before[-1]
+    with ThreadPoolExecutor(2) as pool:  # runs at the same time
+        both = list(pool.map(lambda _: corpus_pipeline.run(spark, SF), range(2)))
+    assert [df.count() for df in both] == [before[-1]] * 2
+
+
+def test_a_run_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "shared_folder", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, SF)
+    assert len(os.listdir(tmp_path)) == 1
+    release(out)
+    assert os.listdir(tmp_path) == []
+
+
+def test_columns_of_any_name(spark):
+    """What a stage calls its own columns may be a column of the documents, and comes back as it was."""
+    odd = ["_row", "_id", "_group", "_place", "score", "lang_pred", "predicted", "position", "c0", "pool", "block", "a`b", "with.dot"]
+    docs = queries.table(spark, SF, "documents").limit(60)
+    docs = docs.select("*", *[F.concat(F.lit(f"{i} "), "doc_id").alias(c) for i, c in enumerate(odd)])
+    docs = keep(docs)
+    known = {r.doc_id: tuple(r) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert len(rows) > 30 and all(known[r[0]] == r for r in rows), name
+    packed = corpus_pipeline.packing(spark, docs, SF)
+    assert {r.doc_id for r in packed.collect()} == set(known)
