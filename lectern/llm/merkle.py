@@ -92,32 +92,34 @@ def prove(records: DataFrame, root: str | None, requests: DataFrame) -> DataFram
     """Adds to requests (rows with a ``path``) ``siblings``: for each level from the leaf up to the root, the digests of the other
     children as one text.
 
-    All requests descend together: at each level the distinct beginnings of their paths stand at a node each, look up its record by
-    digest, turn to the child of the next digit and collect the children not chosen; only nodes on some request's way
-    are opened.  At the end a request takes the segments of its last node, reversed.  Requests without a digit (a
-    manifest of one leaf) have no siblings.
+    All requests descend together: at each level the distinct beginnings of their paths (no more nodes than requests) take the
+    child of their last digit at the node above, collect the children not chosen, and look up its record by
+    digest.  At the end a request takes the segments of its last node, reversed.  Requests without a digit (a
+    manifest of one leaf) have no siblings; repeated ones are answered each; no requests: no rows.
     """
-    spark = requests.sparkSession
     depth = requests.agg(F.max(F.length("path"))).first()[0] or 0
-    front = spark.createDataFrame([("", root, [])], "prefix string, digest string, above array<string>")
+    if not depth:
+        return requests.withColumn("siblings", F.array().cast("array<string>"))
     opened = []
     for d in range(depth):
         wanted = requests.where(F.length("path") > d).select(F.substring("path", 1, d).alias("prefix")).distinct()
-        opened.append(keep(front.join(wanted, "prefix", "left_semi").join(records, "digest").select("prefix", "children", "above")))
-        down = opened[-1].select("prefix", "children", "above", F.posexplode("children").alias("digit", "digest"))
-        front = down.select(
-            F.concat("prefix", F.substring(F.lit(DIGITS), F.col("digit") + 1, F.lit(1))).alias("prefix"), "digest",
-            F.concat("above", F.array(_others(F.col("children"), F.col("digit")))).alias("above"),
-        )
-    if not opened:
-        return requests.withColumn("siblings", F.array().cast("array<string>"))
-    nodes = reduce(DataFrame.unionByName, opened).select(F.col("prefix").alias("_at"), F.col("children").alias("_children"), F.col("above").alias("_above"))
-    digit = F.instr(F.lit(DIGITS), F.substring(F.col("path"), -1, 1)) - 1
-    found = requests.join(nodes, F.col("_at") == F.expr("substring(path, 1, length(path) - 1)"))
-    mine = F.concat(F.array(_others(F.col("_children"), digit)), F.reverse("_above"))
+        if not d:
+            here = wanted.select("prefix", F.lit(root).alias("_digest"), F.array().cast("array<string>").alias("above"))
+        else:
+            here = _below(wanted, "prefix", opened[-1]).select("prefix", F.get("_children", "_digit").alias("_digest"), F.concat("_above", F.array(_others(F.col("_children"), F.col("_digit")))).alias("above"))
+        opened.append(keep(here.join(records, F.col("_digest") == F.col("digest")).select("prefix", "children", "above")))
+    found = _below(requests, "path", reduce(DataFrame.unionByName, opened))
+    mine = F.concat(F.array(_others(F.col("_children"), F.col("_digit"))), F.reverse("_above"))
     return found.select(*requests.columns, mine.alias("siblings"))
 
 
+def _below(rows: DataFrame, path: str, nodes: DataFrame) -> DataFrame:
+    """Rows joined to the nodes that their paths lead to but for the last digit, ``_digit``."""
+    nodes = nodes.select(F.col("prefix").alias("_at"), F.col("children").alias("_children"), F.col("above").alias("_above"))
+    digit = F.instr(F.lit(DIGITS), F.substring(F.col(path), -1, 1)) - 1
+    return rows.withColumn("_digit", digit).join(nodes, F.col("_at") == F.expr(f"substring({path}, 1, length({path}) - 1)"))
+
+
 def _others(children: Column, digit: Column) -> Column:
     return F.array_join(F.filter(children, lambda _, i: i != digit), "")
 
