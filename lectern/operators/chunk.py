@@ -9,31 +9,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import combined_text, joined
-
-
-def budget_fold(lengths: Column, budget: int) -> Column:
-    """Of an array of lengths: ``groups``, where a group ends with the element that brings its sum to the budget, and ``full``,
-    the number of groups that reached it (elements behind them are in group ``full``)."""
-    none = F.array().cast("array<int>")
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("full"), none.alias("groups"))
-
-    def step(acc: Column, n: Column) -> Column:
-        total = acc["total"] + n
-        over = total >= budget
-        return F.struct(F.when(over, F.lit(0).cast("long")).otherwise(total).alias("total"), (acc["full"] + over.cast("int")).alias("full"), F.concat(acc["groups"], F.array(acc["full"])).alias("groups"))
-
-    return F.aggregate(lengths, start, step)
+from lectern.scans import chains, first_reaching, least_with_gap, neighbours, parts_for
+from lectern.tables import keep, let_go, recorded, running_totals
 
 
 def char_budget_groups(slides: DataFrame, budget: int = 1000) -> DataFrame:
     """Adds group ``g`` to slides (video_id, pos, asr_text): a group ends with the slide that reaches the budget.  Slides left
-    over belong to the last group (``is_tail``), or are the only one.  Each lecture folds (pos, length) alone."""
-    narrow = slides.select("video_id", F.struct("pos", F.coalesce(F.length("asr_text"), F.lit(0)).cast("long").alias("n")).alias("s"))
-    folded = narrow.groupBy("video_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    folded = folded.withColumn("f", budget_fold(F.transform("s", lambda x: x["n"]), budget))
-    groups = folded.select("video_id", F.col("f.full").alias("full"), F.explode(F.arrays_zip(F.transform("s", lambda x: x["pos"]).alias("pos"), F.col("f.groups").alias("g"))).alias("z"))
-    last = F.greatest(F.col("full") - 1, F.lit(0))
-    groups = groups.select("video_id", "z.pos", F.least("z.g", last).alias("g"), ((F.col("z.g") == F.col("full")) & (F.col("full") > 0)).alias("is_tail"))
+    over belong to the last group (``is_tail``), or are the only one.
+
+    Where a group that began with a slide would end is found among the running totals of lengths; the chain of such jumps from
+    the first slide gives the groups.  Only positions and lengths are moved, and no task needs a whole lecture."""
+    narrow = slides.select("video_id", "pos", F.coalesce(F.length("asr_text"), F.lit(0)).cast("long").alias("n"))
+    with recorded() as made:
+        placed = keep(running_totals(narrow, ["video_id"], ["pos"], F.col("n")).withColumnRenamed("rows_before", "nth"))
+        if budget <= 0:  # every slide reaches it
+            groups = placed.select("video_id", "pos", F.col("nth").cast("int").alias("g"), F.lit(False).alias("is_tail"))
+            let_go(made, placed)
+            return slides.join(groups, ["video_id", "pos"])
+        parts = parts_for(placed)
+        points = placed.select("video_id", (F.col("sum_before") + F.col("n")).alias("value"), "nth")
+        asks = placed.select("video_id", (F.col("sum_before") + budget).alias("value"), "nth", "pos")
+        nodes = first_reaching(points, asks, ["video_id"], "value", F.col("nth"), "last", parts).select("video_id", "pos", "nth", (F.col("last") + 1).alias("next"))
+        walked = chains(nodes, ["video_id"], parts)
+        full = walked.where("starts and next is not null").groupBy("video_id").agg(F.count("*").alias("full"))
+        groups = walked.join(full, "video_id", "left").withColumn("full", F.coalesce("full", F.lit(0)))
+        tail = (F.col("ordinal") == F.col("full")) & (F.col("full") > 0)
+        groups = keep(groups.select("video_id", "pos", F.least("ordinal", F.greatest(F.col("full") - 1, F.lit(0))).cast("int").alias("g"), tail.alias("is_tail")))
+        let_go(made, groups)
     return slides.join(groups, ["video_id", "pos"])
 
 
@@ -56,15 +58,8 @@ def char_budget_parents(slides: DataFrame, budget: int = 1000) -> DataFrame:
     image = F.coalesce("image", F.lit("")) if "image" in slides.columns else F.lit("")
     terms = F.coalesce("proper_nouns", none) if "proper_nouns" in slides.columns else none
     fields = ["pos", "slide_id", "start_sec", "end_sec", F.coalesce("ocr_text", F.lit("")).alias("ocr_text"), F.coalesce("asr_text", F.lit("")).alias("asr_text"), image.alias("image"), terms.alias("terms")]
-    # texts are shuffled once, to their lecture; groups are slices of its slides
-    s = slides.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
-    s = s.withColumn("f", budget_fold(F.transform("s", lambda x: F.length(x["asr_text"]).cast("long")), budget))
-    s = s.withColumn("last", F.greatest(F.col("f.full") - 1, F.lit(0)))
-    s = s.select("video_id", "s", F.col("f.full").alias("full"), F.transform("f.groups", lambda g: F.least(g, F.col("last"))).alias("g"), F.col("f.groups").alias("raw"), F.explode(F.sequence(F.lit(0), "last")).alias("k"))
-    low = F.array_position("g", F.col("k"))
-    high = F.when(F.array_position("g", F.col("k") + 1) > 0, F.array_position("g", F.col("k") + 1)).otherwise(F.size("g") + 1)
-    tails = F.when((F.array_position("raw", F.col("full")) > 0) & (F.col("full") > 0), F.array_position("raw", F.col("full"))).otherwise(F.size("g") + 1)
-    s = s.select("video_id", F.col("k").alias("g"), F.slice("s", low.cast("int"), (high - low).cast("int")).alias("p"), (F.least(tails, high) - low).cast("int").alias("heads"))
+    s = char_budget_groups(slides, budget).groupBy("video_id", "g").agg(F.array_sort(F.collect_list(F.struct(*fields, "is_tail"))).alias("p"))  # a budget and a slide, or slides without speech
+    s = s.withColumn("heads", F.size(F.filter("p", lambda x: ~x["is_tail"])))
     text = lambda parts, name: _texts(F.transform(parts, lambda x: x[name]))
     head, tail = F.slice("p", F.lit(1), F.col("heads")), F.slice("p", F.col("heads") + 1, F.size("p"))
     ocr = F.concat(F.array_join(text(head, "ocr_text"), "\n\n"), F.array_join(F.transform(text(tail, "ocr_text"), lambda t: F.concat(F.lit("\n\n"), t)), ""))
@@ -103,15 +98,54 @@ def time_chunk_ranges(starts: list[float], ends: list[float], minutes: float, ov
 
 
 def chunk_by_time(slides: DataFrame, minutes: float = 5.0, overlap_sec: float = 0.0) -> DataFrame:
-    """(video_id, pos, start_sec, end_sec, ...) to rows (..., chunk): one for each chunk that a slide is in."""
+    """(video_id, pos, start_sec, end_sec, ...) to rows (..., chunk): one for each chunk that a slide is in.
+
+    A chunk grows until it spans the time; the next one starts after it, or at the first of the slides that start within
+    ``overlap_sec`` of its end, but always further on.  Where a chunk that began with a slide would end, and where the next one would
+    start, are searched among the times of all slides; the chain of these jumps from the first slide gives the chunks, and no
+    task needs a whole lecture.  Lectures whose times go back from a slide to the next have no such order: their positions
+    and times alone are folded, a lecture in a task."""
+    with recorded() as made:
+        times = slides.select("video_id", "pos", F.coalesce("start_sec", F.lit(0.0)).cast("double").alias("start_sec"), F.coalesce("end_sec", F.lit(0.0)).cast("double").alias("end_sec"))
+        placed = keep(running_totals(times, ["video_id"], ["pos"], total=True).drop("sum_before").withColumnRenamed("rows_before", "nth"))
+        parts = parts_for(placed)
+        before = neighbours(placed, ["video_id"], ["nth"], before={"s": F.col("start_sec"), "e": F.col("end_sec")}, parts=parts)
+        back = keep(before.where("s > start_sec or e > end_sec").select(F.col("video_id").alias("v")).distinct())
+        folded = None
+        if back.limit(1).count():
+            odd = F.col("video_id").eqNullSafe(F.col("v"))
+            folded, placed = placed.join(back, odd, "left_semi"), placed.join(back, odd, "left_anti")
+
+        ends = placed.select("video_id", F.col("end_sec").alias("value"), "nth", F.col("end_sec").alias("till"))
+        asks = placed.select("video_id", least_with_gap(F.col("start_sec"), minutes * 60).alias("value"), "nth", "rows_total", "end_sec")
+        # an end before the slide itself doesn't count: ends are in order, so the slide's own spans the time as well
+        nodes = first_reaching(ends, asks, ["video_id"], "value", F.struct(F.col("nth").alias("at"), "till"), "end", parts)
+        early = F.col("end.at") < F.col("nth")
+        nodes = nodes.select("video_id", "nth", "rows_total", F.when(early, F.col("nth")).otherwise(F.col("end.at")).alias("last"), F.when(early, F.col("end_sec")).otherwise(F.col("end.till")).alias("till"))
+        if overlap_sec > 0:
+            starts = placed.select("video_id", F.col("start_sec").alias("value"), "nth")
+            nodes = first_reaching(starts, nodes.withColumn("value", F.col("till") - overlap_sec), ["video_id"], "value", F.col("nth"), "again", parts)
+            step = F.greatest(F.col("nth") + 1, F.least(F.coalesce("again", F.col("last") + 1), F.col("last") + 1))
+        else:
+            step = F.col("last") + 1
+        walked = chains(nodes.select("video_id", "last", "rows_total", "nth", F.when(F.col("last").isNotNull(), step).alias("next")), ["video_id"], parts)
+        spans = walked.where("starts").select("video_id", F.col("ordinal").cast("int").alias("chunk"), F.explode(F.sequence("nth", F.coalesce("last", F.col("rows_total") - 1))).alias("nth"))
+        ranges = spans.join(placed.select("video_id", "nth", "pos"), ["video_id", "nth"]).select("video_id", "chunk", "pos")
+        if folded is not None:
+            ranges = ranges.unionByName(_folded(folded, minutes, overlap_sec))
+        ranges = keep(ranges)
+        let_go(made, ranges)
+    return slides.join(ranges, ["video_id", "pos"])
+
 
+def _folded(slides: DataFrame, minutes: float, overlap_sec: float) -> DataFrame:
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos").reset_index(drop=True)
         found = time_chunk_ranges(pdf.start_sec.tolist(), pdf.end_sec.tolist(), minutes, overlap_sec)
         return pd.DataFrame([(pdf.video_id[0], c, int(pdf.pos[p])) for c, (a, b) in enumerate(found) for p in range(a, b + 1)], columns=["video_id", "chunk", "pos"])
 
-    ranges = slides.select("video_id", "pos", "start_sec", "end_sec").groupBy("video_id").applyInPandas(fold, "video_id string, chunk int, pos long")
-    return slides.join(ranges, ["video_id", "pos"])
+    kinds = slides.select("video_id", F.lit(0).alias("chunk"), "pos").schema
+    return slides.select("video_id", "pos", "start_sec", "end_sec").groupBy("video_id").applyInPandas(fold, kinds)
 
 
 def build_chunks(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lectern.scans import chains, first_reaching, least_with_gap, parts_for
+from lectern.tables import keep, let_go, recorded, running_totals
+
 LEAST_SCORE, COARSE, RATIO, SAME, INTERVAL = 0.005, 5.0, 0.6, 0.99, 1.5
 
 
@@ -71,20 +74,23 @@ def block_similarity(frames: DataFrame, grid: int = 4) -> DataFrame:
 
 
 def debounce(detections: DataFrame, interval: float = INTERVAL) -> DataFrame:
-    """Keeps a detection if ``interval`` seconds have passed since the last one kept.  The fold of a lecture sees its times
-    alone; all columns are joined back by (video_id, time, det_pos)."""
-    narrow = detections.select("video_id", "time", "det_pos")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "det_pos"])
-        last, stay = -np.inf, []
-        for t in pdf.time:
-            stay.append(t - last >= interval)
-            last = t if stay[-1] else last
-        return pdf[stay]
-
-    kept = narrow.groupBy("video_id").applyInPandas(fold, narrow.schema)
-    return detections.join(kept, ["video_id", "time", "det_pos"], "left_semi")
+    """Keeps a detection if ``interval`` seconds have passed since the last one kept; the first always stays, of equal times
+    only the first by det_pos.  Detections without a time are left out.
+
+    For each time the first one that is late enough after it is searched among all times of the lecture; the chain of
+    these jumps from the first time gives those kept.  Only times are moved, and no task needs a whole lecture."""
+    timed = detections.where(F.col("time").isNotNull())
+    if interval <= 0:
+        return timed
+    with recorded() as made:
+        times = timed.groupBy("video_id", "time").agg(F.min("det_pos").alias("det_pos"))
+        placed = keep(running_totals(times, ["video_id"], ["time"]).drop("sum_before").withColumnRenamed("rows_before", "nth"))
+        parts = parts_for(placed)
+        asks = placed.select("video_id", "time", "det_pos", "nth", least_with_gap(F.col("time"), interval).alias("value"))
+        nodes = first_reaching(placed.select("video_id", F.col("time").alias("value"), "nth"), asks, ["video_id"], "value", F.col("nth"), "next", parts)
+        kept = chains(nodes.select("video_id", "time", "det_pos", "nth", "next"), ["video_id"], parts)
+        let_go(made, kept)
+    return timed.join(kept.where("starts").select("video_id", "time", "det_pos"), ["video_id", "time", "det_pos"], "left_semi")
 
 
 def segment_slides(detections: DataFrame, interval: float = INTERVAL) -> DataFrame:
