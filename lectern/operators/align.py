@@ -3,39 +3,41 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
+from lectern.scans import neighbours, parts_for
+from lectern.tables import keep, let_go, recorded
 
 
 def frame_intervals(frames: DataFrame) -> DataFrame:
     """Adds ``from_sec`` and ``to_sec``: from a frame's detection to the next one's, or its slide's end."""
-    start = F.coalesce("detect_time", "time", F.lit(0.0))
-    nxt = F.lead("from_sec").over(W.partitionBy("video_id", "pos").orderBy("frame_pos"))
-    return frames.withColumn("from_sec", start).withColumn("to_sec", F.coalesce(nxt, F.col("slide_end")))
+    f = frames.withColumn("from_sec", F.coalesce("detect_time", "time", F.lit(0.0)))
+    f = neighbours(f, ["video_id", "pos"], ["frame_pos"], after={"to_sec": F.col("from_sec")}, parts=parts_for(frames))
+    return f.withColumn("to_sec", F.coalesce("to_sec", "slide_end"))
 
 
 def align_segments(frames: DataFrame, segments: DataFrame) -> DataFrame:
     """Each frame (video_id, pos, frame_pos, detect_time, time, slide_end) with ``asr_text``: its slide's segments that start in
     [from_sec, to_sec), stripped, a line each.  Frames without speech stay; frames of equal times get none but the last.
 
-    Where a slide's frames are in the order of time, a segment can only be the last frame's at or before it, found in one pass
-    over frames and segments in the order of time.  Slides whose frames go back in time are joined frame by segment."""
+    Where a slide's frames are in the order of time, a segment can only be the last frame's at or before it: a scan over
+    frames and segments in the order of time, by ranges, so that a slide may have any number of either.  Slides whose frames
+    go back in time are joined frame by segment."""
     place = ["video_id", "pos"]
-    nxt = F.lead("from_sec").over(W.partitionBy(*place).orderBy("frame_pos"))
-    f = frame_intervals(frames).withColumn("_back", F.coalesce(nxt < F.col("from_sec"), F.lit(False)))
-    f = f.withColumn("_back", F.max("_back").over(W.partitionBy(*place)))
+    f = keep(frame_intervals(frames))
     spoken = segments.where(strip(F.coalesce("text", F.lit(""))) != "").select(*place, "seg_pos", F.col("start_sec").alias("at"), strip(F.col("text")).alias("line"))
-    none = F.lit(None)
-    both = f.where("not _back").select(*place, F.col("from_sec").alias("at"), F.lit(0).alias("kind"), F.col("frame_pos").cast("long").alias("nth"), F.struct("frame_pos", "to_sec").alias("frame"), none.cast("string").alias("line"))
-    both = both.unionByName(spoken.select(*place, "at", F.lit(1).alias("kind"), F.col("seg_pos").cast("long").alias("nth"), none.cast(both.schema["frame"].dataType).alias("frame"), "line"))
-    w = W.partitionBy(*place).orderBy("at", "kind", "nth").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hits = both.withColumn("frame", F.last("frame", ignorenulls=True).over(w)).where("kind = 1 and at < frame.to_sec").select(*place, F.col("frame.frame_pos").alias("frame_pos"), "nth", "line")
-    back = f.where("_back").select(*place, "frame_pos", "from_sec", "to_sec").join(spoken, place).where("at >= from_sec and at < to_sec")
-    hits = hits.unionByName(back.select(*place, "frame_pos", F.col("seg_pos").cast("long").alias("nth"), "line"))
-    lines = hits.groupBy(*place, "frame_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda s: s["line"]), "\n").alias("asr_text"))
-    return f.drop("_back").join(lines, [*place, "frame_pos"], "left").withColumn("asr_text", F.coalesce("asr_text", F.lit("")))
+    with recorded() as made:
+        back = keep(neighbours(f.select(*place, "frame_pos", "from_sec"), place, ["frame_pos"], after={"_next": F.col("from_sec")}, parts=parts_for(f)).where("_next < from_sec").select(*place).distinct())
+        none = F.lit(None)
+        both = f.join(back, place, "left_anti").select(*place, F.col("from_sec").alias("at"), F.lit(0).alias("kind"), F.col("frame_pos").cast("long").alias("nth"), F.struct("frame_pos", "to_sec").alias("frame"), none.cast("string").alias("line"))
+        both = both.unionByName(spoken.select(*place, "at", F.lit(1).alias("kind"), F.col("seg_pos").cast("long").alias("nth"), none.cast(both.schema["frame"].dataType).alias("frame"), "line"))
+        hits = neighbours(both, place, ["at", "kind", "nth"], before={"_frame": F.col("frame")}, parts=parts_for(both)).where("kind = 1 and at < _frame.to_sec").select(*place, F.col("_frame.frame_pos").alias("frame_pos"), "nth", "line")
+        odd = f.join(back, place, "left_semi").select(*place, "frame_pos", "from_sec", "to_sec").join(spoken, place).where("at >= from_sec and at < to_sec")
+        hits = hits.unionByName(odd.select(*place, "frame_pos", F.col("seg_pos").cast("long").alias("nth"), "line"))
+        lines = keep(hits.groupBy(*place, "frame_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "line"))), lambda s: s["line"]), "\n").alias("asr_text")))
+        let_go(made, lines)
+    return f.join(lines, [*place, "frame_pos"], "left").withColumn("asr_text", F.coalesce("asr_text", F.lit("")))
 
 
 def frame_time_ranges(frames: DataFrame) -> DataFrame:
@@ -49,8 +51,8 @@ def slide_ranges(slides: DataFrame, durations: DataFrame) -> DataFrame:
     """Start and end of slides; without times, from the first frame and the next slide's start."""
     start = F.coalesce("start_sec", "first_frame_time", F.lit(0.0))
     s = slides.join(durations, "video_id", "left").withColumn("from_sec", start)
-    nxt = F.lead("from_sec").over(W.partitionBy("video_id").orderBy("pos"))
-    return s.withColumn("to_sec", F.coalesce("end_sec", nxt, F.col("duration"), F.col("from_sec")))
+    s = neighbours(s, ["video_id"], ["pos"], after={"_next": F.col("from_sec")}, parts=parts_for(slides))
+    return s.withColumn("to_sec", F.coalesce("end_sec", "_next", "duration", "from_sec")).drop("_next")
 
 
 def rebase_segments(raw: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lectern.scans import chains, first_reaching, least_with_gap, parts_for
+from lectern.scans import chains, first_reaching, least_with_gap, neighbours, parts_for
 from lectern.tables import keep, let_go, recorded, running_totals
 
 LEAST_SCORE, COARSE, RATIO, SAME, INTERVAL = 0.005, 5.0, 0.6, 0.99, 1.5
@@ -54,12 +53,15 @@ def structural_similarity(a: np.ndarray, b: np.ndarray, span: float = 255.0) ->
 
 def block_similarity(frames: DataFrame, grid: int = 4) -> DataFrame:
     """(video_id, time, pixels array<array<int>>) to (video_id, time, block_scores): each frame against the readable
-    one before it, block by block; remainders of rows and columns are ignored.  Pixels stay where they are dealt.  A
-    lecture whose first frame can't be read has no rows."""
-    by_time = W.partitionBy("video_id").orderBy("time")
-    frames = frames.withColumn("_void", F.first(F.col("pixels").isNull()).over(by_time)).where("not _void").drop("_void")
-    before = F.lag("pixels").over(by_time)
-    pairs = frames.where(F.col("pixels").isNotNull()).withColumn("before", before).where(F.col("before").isNotNull()).select("video_id", "time", "before", "pixels")
+    one before it, block by block; remainders of rows and columns are ignored.  Which frames are compared is found from their
+    times alone; pixels are shuffled to their partners, and never sorted.  Times of a lecture differ.  A lecture whose first frame
+    can't be read has no rows."""
+    times = keep(frames.select("video_id", "time", F.when(F.col("pixels").isNotNull(), F.col("time")).alias("read")))
+    void = times.groupBy("video_id").agg(F.min_by(F.col("read").isNull(), "time").alias("void")).where("void").select("video_id")
+    before = neighbours(times, ["video_id"], ["time"], before={"was": F.col("read")}, parts=parts_for(times)).where("read is not null and was is not null")
+    before = before.join(void, "video_id", "left_anti").select("video_id", "time", "was")
+    now = frames.select("video_id", "time", "pixels").join(before, ["video_id", "time"])
+    pairs = now.join(frames.select("video_id", F.col("time").alias("was"), F.col("pixels").alias("before")), ["video_id", "was"]).select("video_id", "time", "before", "pixels")
 
     def compare(batches):
         for pdf in batches:
@@ -96,19 +98,26 @@ def debounce(detections: DataFrame, interval: float = INTERVAL) -> DataFrame:
 def segment_slides(detections: DataFrame, interval: float = INTERVAL) -> DataFrame:
     """(video_id, time, det_pos, score, changed_ratio, is_distributed, mean_ssim, ocr) to frames: classified, near-identical ones
     dropped, debounced, numbered.  The first frame starts slide 1, every later change a new slide."""
-    by_time = W.partitionBy("video_id").orderBy("time", "det_pos")
-    d = scored(detections).withColumn("nth", F.row_number().over(by_time))
-    d = d.withColumn("mode", F.when(F.col("nth") == 1, "change").otherwise(classify_change(F.col("score"), F.col("changed_ratio"), F.col("is_distributed"))))
-    d = debounce(d.where((F.col("nth") == 1) | F.col("mean_ssim").isNull() | (F.col("mean_ssim") < SAME)), interval)
-    d = d.withColumn("slide_no", F.sum((F.col("mode") == "change").cast("int")).over(by_time))
-    d = d.withColumn("picture_no", F.row_number().over(W.partitionBy("video_id", "slide_no").orderBy("time", "det_pos")))
+    d = scored(detections)
+    place = ["video_id", "time", "det_pos"]
+    first = d.groupBy("video_id").agg(F.min(F.struct("time", "det_pos")).alias("_first"))
+    d = d.join(first, "video_id").withColumn("_first", (F.col("time") == F.col("_first.time")) & (F.col("det_pos") == F.col("_first.det_pos")))
+    d = d.withColumn("mode", F.when(F.col("_first"), "change").otherwise(classify_change(F.col("score"), F.col("changed_ratio"), F.col("is_distributed"))))
+    d = keep(debounce(d.where(F.col("_first") | F.col("mean_ssim").isNull() | (F.col("mean_ssim") < SAME)).drop("_first"), interval))
+    with recorded() as made:
+        counted = keep(running_totals(d.select(*place, (F.col("mode") == "change").cast("long").alias("new")), ["video_id"], ["time", "det_pos"], F.col("new")))
+        counted = neighbours(counted, ["video_id"], ["rows_before"], before={"_start": F.when(F.col("new") == 1, F.col("rows_before"))}, parts=parts_for(counted))
+        start = F.when(F.col("new") == 1, F.col("rows_before")).otherwise(F.col("_start"))
+        counted = keep(counted.select(*place, (F.col("sum_before") + F.col("new")).alias("slide_no"), (F.col("rows_before") - start + 1).cast("int").alias("picture_no")))
+        let_go(made, counted)
     slide = F.concat(F.lit("slide"), F.col("slide_no"))
-    return d.withColumn("slide_id", slide).withColumn("frame_id", F.concat(slide, F.lit("_picture"), F.col("picture_no"))).drop("nth")
+    return d.join(counted, place).withColumn("slide_id", slide).withColumn("frame_id", F.concat(slide, F.lit("_picture"), F.col("picture_no"))).select(*d.columns, "slide_no", "picture_no", "slide_id", "frame_id")
 
 
 def time_ranges(frames: DataFrame, durations: DataFrame) -> DataFrame:
     """Slides from their first detection to the next slide's, or the end of the video; the text is the last frame's."""
     s = frames.groupBy("video_id", "slide_no", "slide_id").agg(F.min("time").alias("start_sec"), F.max_by("ocr", F.struct("time", "det_pos")).alias("full_text"), F.count("*").cast("long").alias("n_frames"))
     s = s.join(durations, "video_id", "left")
-    end = F.coalesce(F.lead("start_sec").over(W.partitionBy("video_id").orderBy("slide_no")), F.col("duration"))
-    return s.select("video_id", "slide_no", "slide_id", F.round("start_sec", 3).alias("start_sec"), F.round(end, 3).alias("end_sec"), "full_text", "n_frames")
+    s = keep(s)
+    s = neighbours(s, ["video_id"], ["slide_no"], after={"_next": F.col("start_sec")}, parts=parts_for(s))
+    return s.select("video_id", "slide_no", "slide_id", F.round("start_sec", 3).alias("start_sec"), F.round(F.coalesce("_next", "duration"), 3).alias("end_sec"), "full_text", "n_frames")

@@ -18,9 +18,9 @@ from lectern.tables import keep, let_go, map_batches, partitions, recorded, rele
 ROWS = 200_000
 
 
-def parts_for(kept: DataFrame) -> int:
-    """Into how many partitions scans of a kept table deal its rows."""
-    return max(1, min(partitions(kept.sparkSession), -(-kept.count() // ROWS)))
+def parts_for(df: DataFrame) -> int:
+    """Into how many partitions scans deal the rows (counted at once, so better those of a kept table)."""
+    return max(1, min(partitions(df.sparkSession), -(-df.count() // ROWS)))
 
 
 def _same(group: Sequence[str], prefix: str) -> Column:

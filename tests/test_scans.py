@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern import scans
-from lectern.operators import chunk, segment
+from lectern.operators import align, chunk, segment
 from lectern.scans import chains, first_reaching, least_with_gap, neighbours
 
 
@@ -123,3 +123,54 @@ def test_time_chunks_equal_the_fold(spark, parts):
                 want |= {(v, mine[k][1], c) for k in range(a, b + 1)}
         got = chunk.chunk_by_time(df, minutes, overlap).collect()
         assert {(r.video_id, r.pos, r.chunk) for r in got} == want and len(got) == len(want)
+
+
+def test_one_slide_of_very_many_segments(spark, monkeypatch):
+    """No window or group by lecture or slide stands in the plan; the rows are those of a search in plain Python."""
+    monkeypatch.setattr(scans, "ROWS", 20_000)
+    n = 100_000
+    frames = spark.createDataFrame([("v", 0, i, float(i * 700), None, 35_000.0) for i in range(50)] + [("v", 1, 0, 5.0, None, 9.0), ("w", 0, 0, None, None, 3.0)], "video_id string, pos int, frame_pos int, detect_time double, time double, slide_end double")
+    segs = spark.range(n).selectExpr("'v' AS video_id", "0 AS pos", "cast(id as int) AS seg_pos", "(id * 7919 % 100000) / 2.5D AS start_sec", "concat(' s', id) AS text")
+    segs = segs.unionByName(spark.createDataFrame([("v", 1, 0, 4.9, "early"), ("v", 1, 1, 5.0, "in"), ("v", 1, 2, 9.0, "late"), ("w", 0, 0, 1.0, "x")], segs.schema))
+    out = align.align_segments(frames, segs)
+    got = {(r.video_id, r.pos, r.frame_pos): r.asr_text for r in out.collect()}
+    want = {("v", 0, i): [] for i in range(50)}
+    for i in range(n):
+        at = (i * 7919 % 100000) / 2.5
+        if at < 35_000:
+            want["v", 0, min(int(at // 700), 49)].append(f"s{i}")
+    assert got == {k: "\n".join(v) for k, v in want.items()} | {("v", 1, 0): "in", ("w", 0, 0): "x"}
+
+
+def test_slides_equal_the_fold_over_many_parts(spark, parts):
+    rng = Random(9)
+    rows = [(rng.choice(["a", "long", "long"]), round(rng.random() * 900, 1), i, rng.choice([0.001, 0.5, 7.0]), rng.random(), rng.random() < 0.5, rng.choice([None, 0.5, 0.995]), f"t{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "video_id string, time double, det_pos long, score double, changed_ratio double, is_distributed boolean, mean_ssim double, ocr string")
+    want, slides = {}, {}
+    for v in ("a", "long"):
+        mine = sorted((r for r in rows if r[0] == v and r[3] >= 0.005), key=lambda r: r[1:3])
+        last, no, picture = -np.inf, 0, 0
+        for k, r in enumerate(mine):
+            if k and r[6] is not None and r[6] >= 0.99 or r[1] - last < 1.5:
+                continue
+            last = r[1]
+            change = k == 0 or (r[5] if r[3] >= 5 else r[4] >= 0.6)
+            no, picture = (no + 1, 1) if change else (no, picture + 1)
+            want[v, r[2]] = (no, picture, "change" if change else "animation")
+            slides.setdefault((v, no), []).append(r)
+    frames = segment.segment_slides(df)
+    assert {(r.video_id, r.det_pos): (r.slide_no, r.picture_no, r.mode) for r in frames.collect()} == want
+    ranges = {(r.video_id, r.slide_no): (r.start_sec, r.end_sec, r.full_text) for r in segment.time_ranges(frames, spark.createDataFrame([("a", 1000.0), ("long", 1000.0)], "video_id string, duration double")).collect()}
+    assert ranges == {(v, n): (f[0][1], slides[v, n + 1][0][1] if (v, n + 1) in slides else 1000.0, f[-1][7]) for (v, n), f in slides.items()}
+
+
+def test_pictures_are_paired_over_many_parts(spark, parts):
+    rng = np.random.default_rng(3)
+    rows = [(v, float(i), None if (i % 5 == 2 or v == "void" and i == 0) else rng.integers(0, 256, (32, 32)).tolist()) for v, n in (("long", 90), ("void", 4), ("one", 1)) for i in range(n)]
+    got = segment.block_similarity(spark.createDataFrame(rows, "video_id string, time double, pixels array<array<int>>")).collect()
+    seen = [r for r in rows if r[0] == "long" and r[2] is not None]
+    assert sorted((r.video_id, r.time) for r in got) == [("long", r[1]) for r in seen[1:]]
+    by = {r.time: r.block_scores for r in got}
+    for a, b in zip(seen[:4], seen[1:5], strict=True):
+        one = segment.structural_similarity(np.array(a[2])[:8, :8], np.array(b[2])[:8, :8])
+        assert abs(by[b[1]][0][0] - one) < 1e-9
