@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from lectern.functions.text import combined_text, hint_block, normalize_text, speech_text, strip
 from lectern.operators.align import align_segments
 from lectern.operators.chunk import char_budget_parents, slide_group_parents, split_children
-from lectern.operators.retrieve import embed_texts
-from lectern.sources.lectures import write_index
+from lectern.operators.retrieve import embed_once
+from lectern.sources.indexes import write_index
+from lectern.tables import keep, let_go, recorded
 
 MODES = ("combined", "ocr", "asr")
 PARENT = ("video_id", "store_mode", "chunk_id", "slide_ids", "start_sec", "end_sec", "image", "page_content")
@@ -80,18 +81,25 @@ def build_stats(slides: DataFrame, parents: DataFrame, children: DataFrame) -> D
     return s.join(chunks, "video_id", "left").join(docs, "video_id", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(0)))
 
 
-def build_char_index(slides: DataFrame, base: str, fn: Callable, budget: int = 1000, size: int = 300, overlap: int = 30, use_hint: bool = True) -> None:
+def build_char_index(slides: DataFrame, base: str, fn: Callable, budget: int = 1000, size: int = 300, overlap: int = 30, use_hint: bool = True, embedder: str | None = None) -> int:
     """Slides (video_id, pos, slide_id, start_sec, end_sec, full_text, asr, and image, proper_nouns if there are) to a written
-    index of char-budget parents and embedded children."""
-    parents, children = char_documents(char_budget_parents(with_index_text(slides), budget), size, overlap, use_hint)
-    write_index(parents, embed_texts(children, "page_content", fn), base)
+    index of char-budget parents and embedded children.  Vectors are kept beside the index, so that a text is embedded once, in all
+    builds (see embed_once() for ``embedder``).  Returns the number of the snapshot."""
+    with recorded() as made:
+        parents, children = char_documents(keep(char_budget_parents(with_index_text(slides), budget)), size, overlap, use_hint)
+        number = write_index(parents, children, base, lambda c: embed_once(c, "page_content", fn, f"{base}/vectors", name=embedder))
+        let_go(made)
+    return number
 
 
-def build_slide_index(slides: DataFrame, frames: DataFrame, segments: DataFrame, base: str, fn: Callable, group_size: int = 3, use_hint: bool = True) -> None:
+def build_slide_index(slides: DataFrame, frames: DataFrame, segments: DataFrame, base: str, fn: Callable, group_size: int = 3, use_hint: bool = True, embedder: str | None = None) -> int:
     """The same from groups of slides; children are frames with the speech that starts in them.  Frames: see
     align_segments(), with frame_id, slide_id, mode, ocr, and hints if there are; segments: video_id, pos, seg_pos, start_sec, text."""
-    spoken = align_segments(frames, segments)
-    spoken = spoken.withColumn("ocr_text", normalize_text(F.col("ocr"))).withColumn("asr_text", normalize_text(F.col("asr_text")))
-    groups = slide_group_parents(with_index_text(slides, strip_each=True), group_size)
-    parents, children = slide_documents(groups, spoken, group_size, use_hint)
-    write_index(parents, embed_texts(children, "page_content", fn), base)
+    with recorded() as made:
+        spoken = align_segments(frames, segments)
+        spoken = spoken.withColumn("ocr_text", normalize_text(F.col("ocr"))).withColumn("asr_text", normalize_text(F.col("asr_text")))
+        groups = slide_group_parents(with_index_text(slides, strip_each=True), group_size)
+        parents, children = slide_documents(groups, spoken, group_size, use_hint)
+        number = write_index(parents, children, base, lambda c: embed_once(c, "page_content", fn, f"{base}/vectors", name=embedder))
+        let_go(made)
+    return number

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator, Sequence
 
@@ -15,6 +16,9 @@ from lectern.functions.text import CONTEXT_SEPARATOR, joined, prefixed
 from lectern.tables import fresh, keep, map_batches
 
 
+VECTORS = "key string, embedding array<float>"
+
+
 def hashed_ngrams(texts: list[str], dim: int = 256, n: int = 3) -> np.ndarray:
     """A deterministic embedder: counts of hashed character n-grams."""
     out = np.zeros((len(texts), dim), np.float32)
@@ -39,6 +43,33 @@ def embed_texts(df: DataFrame, text: str, fn: Callable[[list[str]], np.ndarray]
     return map_batches(asked, go, "embedding array<float>").drop(name)
 
 
+def embed_once(df: DataFrame, text: str, fn: Callable[[list[str]], np.ndarray], store: str, kind: str = "passage", name: str | None = None) -> DataFrame:
+    """As embed_texts(), but a text is embedded once, however many rows and runs ask for it: vectors are kept in the folder
+    ``store`` by the SHA-256 of the prefixed text, and ``fn`` is called for the distinct texts that have none.
+
+    ``name`` tells embedders apart (default: the callable's own; give a model's name and version).  The store only grows, by appended files;
+    what two runs add at a time is the same.  Texts are pre-aggregated before they are shuffled, and a text of very many rows is
+    joined by adaptive splitting.  Null texts count as empty; a column ``embedding`` is replaced."""
+    spark, df = df.sparkSession, df.drop("embedding")
+    name = name or f"{fn.__module__}.{fn.__qualname__}"
+    path = f"{store.rstrip('/')}/{hashlib.sha256(name.encode()).hexdigest()[:16]}"
+    key, got = fresh(df, "_key"), fresh(df, "_got")
+    asked = keep(df.withColumn(key, F.sha2(prefixed(F.coalesce(text, F.lit("")), kind), 256)))
+    texts = asked.groupBy(key).agg(F.first(F.coalesce(text, F.lit(""))).alias("_text")).select(F.col(key).alias("key"), "_text")
+
+    def stored() -> DataFrame:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        return spark.read.schema(VECTORS).parquet(path) if found else spark.createDataFrame([], VECTORS)
+
+    new = embed_texts(texts.join(stored().select("key"), "key", "left_anti"), "_text", fn, kind)
+    new.select("key", "embedding").write.mode("append").parquet(path)
+    vectors = stored().select(F.col("key").alias(got), "embedding")
+    twice = vectors.groupBy(got).count().where("count > 1").limit(1).count()  # runs at a time may both have added a text
+    vectors = vectors.dropDuplicates([got]) if twice else vectors
+    return asked.join(vectors, F.col(key) == F.col(got)).select(*df.columns, "embedding")
+
+
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     """Mean vectors by group, a row for each component."""
     return df.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))

@@ -275,6 +275,11 @@ cut AS (SELECT doc_id, first, m, c0, 1::BIGINT AS h, list_filter(range(2, m + 1)
 texts AS (SELECT cut.doc_id, cut.first, h, {strip_sql("array_to_string(parts[h:coalesce(e, cut.m + 1) - 1], '')")} AS child_text FROM cut JOIN c ON c.doc_id = cut.doc_id AND c.first = cut.first)"""
 
 
+def split_sql(source: str, size: int, overlap: int) -> str:
+    """The same over another table (doc_id, text), with other sizes; behind WITH RECURSIVE and other tables."""
+    return SPLIT.removeprefix("RECURSIVE ").replace("FROM documents WHERE", f"FROM {source} WHERE").replace("300", str(size)).replace("<= 30 ", f"<= {overlap} ")
+
+
 @query(f"WITH {SPLIT} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first, h) - 1)::INT AS child_index, child_text FROM texts WHERE child_text <> ''")
 def split_children(spark, d):
     t = table(spark, d, "documents").select("doc_id", "text")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Window as W
@@ -11,17 +12,24 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import align, documents, questions, retrieve, scoring, segment
-from lectern.plans.queries import AXES, BANK, BUDGET, CHARS, FRAME_DOCS, SCORES, SETTINGS, SHORT, _bank, _frame_rows, _replies, _scores, query, short_lectures, strip_sql, table
+from lectern.operators import align, chunk, documents, questions, retrieve, scoring, segment
+from lectern.plans.queries import AXES, BANK, BUDGET, CHARS, FRAME_DOCS, GROUPED, SCORES, SETTINGS, SHORT, _bank, _frame_rows, _replies, _scores, query, short_lectures, split_sql, strip_sql, table
+from lectern.sources import indexes
 from lectern.sources import lectures as io
-from lectern.tables import shared_folder
+from lectern.tables import delete_folder, keep, shared_folder
 
 LETTERS = "aeinorstdlcumpgh"
 
 
-def folder(spark) -> str:
-    """A new folder among the kept tables, for files that a query writes and reads again."""
-    return f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+@contextmanager
+def scratch(spark):
+    """A new folder among the kept tables, for files that a query writes and reads again; it is deleted at the end, so
+    results are kept before."""
+    path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        delete_folder(spark, path)
 
 
 def letter_counts(texts: list[str]) -> np.ndarray:
@@ -45,14 +53,42 @@ CHILDREN = """kids AS (SELECT video_id, chunk_id, CASE WHEN hints <> '' THEN '[
 docs AS (SELECT video_id, chunk_id, hint, 'combined' AS store_mode, parent_text AS base FROM kids UNION ALL SELECT video_id, chunk_id, hint, 'ocr', ocr_text FROM kids UNION ALL SELECT video_id, chunk_id, hint, 'asr', asr_text FROM kids)"""
 
 
-@query(f"""WITH RECURSIVE {CHARS}, {CHILDREN} SELECT video_id, store_mode, chunk_id, 0 AS child_index, chunk_id || '_child_0' AS child_id, {strip_sql("hint || base")} AS page_content FROM docs WHERE base <> ''""")
+#: Children of so many characters, with some overlap.
+SIZE, OVERLAP = 90, 20
+KIDS = f"""{CHARS}, {CHILDREN}, todo AS (SELECT video_id || '|' || store_mode || '|' || chunk_id AS doc_id, hint || base AS text, video_id, store_mode, chunk_id FROM docs WHERE base <> ''), {split_sql("todo", SIZE, OVERLAP)},
+pieces AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first, h) - 1)::INT AS child_index, child_text FROM texts WHERE child_text <> '')"""
+
+
+@query(f"""WITH RECURSIVE {KIDS} SELECT video_id, store_mode, chunk_id, child_index, chunk_id || '_child_' || child_index AS child_id, child_text AS page_content FROM todo JOIN pieces USING (doc_id)""")
 def char_index_children(spark, d):
-    """lectures -> parents -> children (texts are shorter than the size here) -> written index -> read again, all modes."""
-    base = folder(spark)
-    documents.build_char_index(_nested(spark, d), base, letter_counts, BUDGET, 1_000_000, 0)
-    both = [io.read_index(spark, base, m)[1] for m in documents.MODES]
-    out = both[0].unionByName(both[1]).unionByName(both[2])
-    return out.select("video_id", "store_mode", "chunk_id", "child_index", "child_id", "page_content")
+    """lectures -> parents -> children (hints and texts are split together) -> written index -> read again, all modes."""
+    with scratch(spark) as base:
+        documents.build_char_index(_nested(spark, d), base, letter_counts, BUDGET, SIZE, OVERLAP)
+        both = [indexes.read_index(spark, base, m)[1] for m in documents.MODES]
+        out = both[0].unionByName(both[1]).unionByName(both[2])
+        return keep(out.select("video_id", "store_mode", "chunk_id", "child_index", "child_id", "page_content"))
+
+
+@query(f"""WITH {SHORT}, {GROUPED}, p AS (SELECT video_id, printf('parent_%04d', g) AS chunk_id, store_mode, page_content FROM (UNPIVOT g ON combined, ocr, asr INTO NAME store_mode VALUE page_content) WHERE page_content <> ''),
+again AS (SELECT DISTINCT video_id FROM p WHERE store_mode = 'ocr' AND video_id::BIGINT % 3 = 0),
+now AS (SELECT video_id, chunk_id, store_mode, CASE WHEN store_mode = 'ocr' AND video_id IN (FROM again) THEN 'new ' || page_content ELSE page_content END AS page_content, store_mode = 'ocr' AND video_id IN (FROM again) AS fresh FROM p)
+SELECT 'parent' AS kind, video_id, chunk_id, store_mode, page_content FROM now
+UNION ALL SELECT 'child', video_id, chunk_id, store_mode, page_content FROM now WHERE NOT fresh OR video_id::BIGINT % 2 = 0
+UNION ALL SELECT 'child before', video_id, chunk_id, store_mode, page_content FROM p WHERE store_mode = 'ocr'""")
+def index_rewrite(spark, d):
+    """An index written, then one mode of a third of its lectures written again, some of them without children: their other modes and
+    the other lectures stay, and the snapshot before still reads as it was."""
+    s = chunk.slide_group_parents(short_lectures(spark, d), 3)
+    p = documents.in_three_modes(s, combined=F.col("combined_text"), ocr=F.col("ocr_text"), asr=F.col("asr_text")).where("page_content <> ''").select("video_id", "store_mode", "chunk_id", "page_content")
+    new = p.where("store_mode = 'ocr' and cast(video_id as long) % 3 = 0").withColumn("page_content", F.concat(F.lit("new "), "page_content"))
+    with scratch(spark) as base:
+        first = indexes.write_index(p, p, base, buckets=8)
+        indexes.write_index(new, new.where("cast(video_id as long) % 2 = 0"), base)
+        out = indexes.read_index(spark, base, "ocr", first)[1].withColumn("kind", F.lit("child before"))
+        for mode in documents.MODES:
+            parents, children = indexes.read_sibling(spark, base, indexes.sibling_mode(mode)) if mode != "combined" else indexes.read_index(spark, base, mode)
+            out = out.unionByName(parents.withColumn("kind", F.lit("parent"))).unionByName(children.withColumn("kind", F.lit("child")))
+        return keep(out.select("kind", "video_id", "chunk_id", "store_mode", "page_content"))
 
 
 @query(f"""WITH RECURSIVE {CHARS}, {CHILDREN}, c AS (SELECT video_id, chunk_id, base, {letters_sql(f"('passage: ' || {strip_sql('hint || base')})")} AS e FROM docs WHERE store_mode = 'combined' AND base <> ''),
@@ -61,12 +97,12 @@ r AS (SELECT q.video_id, c.chunk_id, c.base, row_number() OVER (PARTITION BY q.v
 SELECT video_id, 1::BIGINT AS query_id, string_agg(base, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM r WHERE rank <= 2 GROUP BY video_id""")
 def char_index_context(spark, d):
     """The whole way: lectures -> index with hints and embeddings -> search -> context for one question of each lecture."""
-    base = folder(spark)
-    documents.build_char_index(_nested(spark, d), base, letter_counts, BUDGET, 1_000_000, 0)
-    parents, children = io.read_index(spark, base, "combined")
-    asked = short_lectures(spark, d).where("pos = 0").select(F.lit(1).cast("long").alias("query_id"), "video_id", F.lit("combined").alias("store_mode"), F.col("ocr_text").alias("q"))
-    asked = retrieve.embed_texts(asked, "q", letter_counts, "query").drop("q")
-    return retrieve.contexts(retrieve.search(asked, children, parents, 2))
+    with scratch(spark) as base:
+        documents.build_char_index(_nested(spark, d), base, letter_counts, BUDGET, 1_000_000, 0)
+        parents, children = indexes.read_index(spark, base, "combined")
+        asked = short_lectures(spark, d).where("pos = 0").select(F.lit(1).cast("long").alias("query_id"), "video_id", F.lit("combined").alias("store_mode"), F.col("ocr_text").alias("q"))
+        asked = retrieve.embed_texts(asked, "q", letter_counts, "query").drop("q")
+        return keep(retrieve.contexts(retrieve.search(asked, children, parents, 2)))
 
 
 @query(f"""{FRAME_DOCS}, kids AS (SELECT video_id, store_mode, chunk_id, child_index, 'slide' || (pos + 1) || '_picture' || frame_pos AS frame_id, page_content FROM c WHERE {strip_sql('page_content')} <> ''),
@@ -79,22 +115,22 @@ def slide_index_documents(spark, d):
     f, s = _frame_rows(spark, d)
     every = f.select("video_id", "pos").unionByName(s.select("video_id", "pos")).distinct()
     slides = every.select("video_id", "pos", F.concat(F.lit("slide"), F.col("pos") + 1).alias("slide_id"), F.lit(0.0).alias("start_sec"), F.lit(1.0).alias("end_sec"), F.concat(F.lit(" slide text "), "pos", F.lit("\n\n")).alias("full_text"), F.array().cast("array<struct<text:string>>").alias("asr"))
-    base = folder(spark)
-    documents.build_slide_index(slides, f, s, base, letter_counts)
-    out = None
-    for mode in ("combined", "ocr"):
-        parents, children = io.read_index(spark, base, mode)
-        rows = children.select("video_id", "store_mode", "chunk_id", "child_index", "frame_id", "page_content").unionByName(parents.select("video_id", F.lit(f"parent {mode}").alias("store_mode"), "chunk_id", "page_content"), allowMissingColumns=True)
-        out = rows if out is None else out.unionByName(rows)
-    return out.unionByName(io.read_index(spark, base, "asr")[1].select("video_id", "store_mode", "chunk_id", "child_index", "frame_id", "page_content"))
+    with scratch(spark) as base:
+        documents.build_slide_index(slides, f, s, base, letter_counts)
+        out = None
+        for mode in ("combined", "ocr"):
+            parents, children = indexes.read_index(spark, base, mode)
+            rows = children.select("video_id", "store_mode", "chunk_id", "child_index", "frame_id", "page_content").unionByName(parents.select("video_id", F.lit(f"parent {mode}").alias("store_mode"), "chunk_id", "page_content"), allowMissingColumns=True)
+            out = rows if out is None else out.unionByName(rows)
+        return keep(out.unionByName(indexes.read_index(spark, base, "asr")[1].select("video_id", "store_mode", "chunk_id", "child_index", "frame_id", "page_content")))
 
 
-@query(f"""WITH RECURSIVE {CHARS}, {CHILDREN}, m AS (SELECT video_id, store_mode, count(*) AS n FROM docs WHERE base <> '' GROUP BY ALL),
+@query(f"""WITH RECURSIVE {KIDS}, m AS (SELECT video_id, store_mode, count(DISTINCT chunk_id) AS n, count(child_index) AS k FROM todo LEFT JOIN pieces USING (doc_id) GROUP BY ALL),
 sl AS (SELECT video_id, count(*) AS n_slides, CAST(sum(length(ocr_text)) AS BIGINT) AS ocr_chars FROM short GROUP BY video_id)
-SELECT sl.video_id, n_slides, ocr_chars, (SELECT count(DISTINCT chunk_id) FROM docs WHERE base <> '' AND video_id = sl.video_id) AS n_chunks, (SELECT string_agg(store_mode || ' ' || n || ' ' || n, ', ' ORDER BY store_mode) FROM m WHERE m.video_id = sl.video_id) AS docs FROM sl""")
+SELECT sl.video_id, n_slides, ocr_chars, (SELECT count(DISTINCT chunk_id) FROM docs WHERE base <> '' AND video_id = sl.video_id) AS n_chunks, (SELECT string_agg(store_mode || ' ' || n || ' ' || k, ', ' ORDER BY store_mode) FROM m WHERE m.video_id = sl.video_id) AS docs FROM sl""")
 def index_build_stats(spark, d):
     s = _nested(spark, d)
-    parents, children = documents.char_documents(documents.char_budget_parents(documents.with_index_text(s), BUDGET), 1_000_000, 0)
+    parents, children = documents.char_documents(documents.char_budget_parents(documents.with_index_text(s), BUDGET), SIZE, OVERLAP)
     told = F.transform(F.map_entries("docs"), lambda e: F.concat_ws(" ", e["key"], e["value"]["parents"], e["value"]["children"]))
     return documents.build_stats(s, parents, children).withColumn("docs", F.array_join(told, ", "))
 
@@ -109,12 +145,12 @@ def lecture_files(spark, d):
     frames = c.select("video_id", "pos", F.lit(0).alias("frame_pos"), F.concat(F.lit("slide"), F.col("pos") + 1, F.lit("_picture1")).alias("id"), start.alias("time"), F.when(F.col("role") != "assistant", F.col("text")).alias("ocr"))
     segments = c.where("role = 'assistant'").select("video_id", "pos", F.lit(0).alias("seg_pos"), start.alias("start_sec"), start.alias("end_sec"), "text")
     lectures = c.select("video_id").distinct().withColumn("meta", F.struct(F.lit("m").alias("model"), F.array().cast("array<string>").alias("proper_nouns_global")))
-    base = folder(spark)
-    io.write_lectures(lectures, slides, base, frames_df=frames, segments_df=segments, terms=lectures.select("video_id", F.array(F.concat(F.lit("term of "), "video_id")).alias("terms")))
-    read = io.read_lectures(spark, f"{base}/*/*.json")
-    said = io.segments(read).select("video_id", "pos", F.col("text").alias("said"))
-    out = io.frames(read).join(io.slides(read).select("video_id", "pos", "start_sec"), ["video_id", "pos"]).join(said, ["video_id", "pos"], "left")
-    return out.join(read.select("video_id", F.col("meta.proper_nouns_global")[0].alias("term")), "video_id").select("video_id", "pos", "slide_id", "start_sec", "frame_id", "ocr", "said", "term")
+    with scratch(spark) as base:
+        io.write_lectures(lectures, slides, base, frames_df=frames, segments_df=segments, terms=lectures.select("video_id", F.array(F.concat(F.lit("term of "), "video_id")).alias("terms")))
+        read = io.read_lectures(spark, f"{base}/*/*.json")
+        said = io.segments(read).select("video_id", "pos", F.col("text").alias("said"))
+        out = io.frames(read).join(io.slides(read).select("video_id", "pos", "start_sec"), ["video_id", "pos"]).join(said, ["video_id", "pos"], "left")
+        return keep(out.join(read.select("video_id", F.col("meta.proper_nouns_global")[0].alias("term")), "video_id").select("video_id", "pos", "slide_id", "start_sec", "frame_id", "ocr", "said", "term"))
 
 
 @query(f"""WITH {BANK}, o AS (SELECT *, row_number() OVER (PARTITION BY video_id, question_id, model ORDER BY doc_id) AS n FROM bank)
@@ -123,11 +159,11 @@ def question_files(spark, d):
     """Arrays of questions, a file for each lecture, read in their order; the first of each id counts."""
     q = F.struct("question_id", "model", "method", F.struct("chunk_mode").alias("detail_setting"), F.concat(F.lit("question "), "doc_id").alias("question"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", q.alias("q")))), lambda r: r["q"])
-    base = folder(spark)
-    _bank(spark, d).groupBy("video_id").agg(F.to_json(rows).alias("value")).write.partitionBy("video_id").text(base)
-    read = io.read_questions(spark, f"{base}/*/*.txt")
-    read = read.withColumn("video_id", F.url_decode(F.regexp_extract("file", "video_id=([^/]*)/", 1)))
-    return scoring.first_of_each(read).select("video_id", "question_id", "model", "method", "detail_setting.chunk_mode", "question")
+    with scratch(spark) as base:
+        _bank(spark, d).groupBy("video_id").agg(F.to_json(rows).alias("value")).write.partitionBy("video_id").text(base)
+        read = io.read_questions(spark, f"{base}/*/*.txt")
+        read = read.withColumn("video_id", F.url_decode(F.regexp_extract("file", "video_id=([^/]*)/", 1)))
+        return keep(scoring.first_of_each(read).select("video_id", "question_id", "model", "method", "detail_setting.chunk_mode", "question"))
 
 
 @query(f"""WITH {BANK}, c AS (SELECT video_id, question_id, model, min('context ' || doc_id) AS context FROM bank WHERE doc_id % 3 = 0 GROUP BY ALL),
@@ -147,23 +183,23 @@ a AS (SELECT video_id, model, method, axis, round(avg(s), 4) AS mean, count(*) A
 SELECT video_id, model, method, max(n) AS n, max(mean) FILTER (axis = 'quality') AS quality, max(mean) FILTER (axis = 'toxic') AS toxic, 2 AS n_trials FROM a GROUP BY video_id, model, method""")
 def summary_files(spark, d):
     """Scores appended, those of the present settings read and summed up, the summary written and read."""
-    scores, summary = folder(spark), folder(spark)
-    io.write_scores(_scores(spark, d), scores)
-    now = spark.read.parquet(scores).where(F.col("settings_hash") == scoring.settings_hash(*SETTINGS))
-    io.write_summary(scoring.summary_table(now, AXES), {"n_trials": SETTINGS[0], "top_k": SETTINGS[1]}, summary)
-    kinds = "video_id string, model string, method string, n long, quality double, toxic double, settings struct<n_trials:int,top_k:int>"
-    return spark.read.schema(kinds).json(summary).select("video_id", "model", "method", "n", "quality", "toxic", "settings.n_trials")
+    with scratch(spark) as scores, scratch(spark) as summary:
+        io.write_scores(_scores(spark, d), scores)
+        now = spark.read.parquet(scores).where(F.col("settings_hash") == scoring.settings_hash(*SETTINGS))
+        io.write_summary(scoring.summary_table(now, AXES), {"n_trials": SETTINGS[0], "top_k": SETTINGS[1]}, summary)
+        kinds = "video_id string, model string, method string, n long, quality double, toxic double, settings struct<n_trials:int,top_k:int>"
+        return keep(spark.read.schema(kinds).json(summary).select("video_id", "model", "method", "n", "quality", "toxic", "settings.n_trials"))
 
 
 @query(f"""WITH {SHORT} SELECT video_id, 'chunk_' || printf('%04d', pos) AS chunk_id, slide_id AS slide_ids, start_sec, end_sec, ocr_text, asr_text, array_to_string(nouns, '、') AS seeds FROM short""")
 def chunk_input_files(spark, d):
     s = short_lectures(spark, d)
     c = s.select("video_id", F.format_string("chunk_%04d", "pos").alias("chunk_id"), F.array("slide_id").alias("slide_ids"), "start_sec", "end_sec", "ocr_text", "asr_text", F.coalesce("proper_nouns", F.array().cast("array<string>")).alias("seeds"))
-    base = folder(spark)
-    io.export_chunk_inputs(c, base)
-    kinds = "video_id string, chunk_id string, slide_ids array<string>, start_sec double, end_sec double, llm_input struct<ocr_text:string,asr_text:string,seeds:array<string>>"
-    r = spark.read.schema(kinds).json(base)
-    return r.select("video_id", "chunk_id", F.array_join("slide_ids", ",").alias("slide_ids"), "start_sec", "end_sec", "llm_input.ocr_text", "llm_input.asr_text", F.array_join("llm_input.seeds", "、").alias("seeds"))
+    with scratch(spark) as base:
+        io.export_chunk_inputs(c, base)
+        kinds = "video_id string, chunk_id string, slide_ids array<string>, start_sec double, end_sec double, llm_input struct<ocr_text:string,asr_text:string,seeds:array<string>>"
+        r = spark.read.schema(kinds).json(base)
+        return keep(r.select("video_id", "chunk_id", F.array_join("slide_ids", ",").alias("slide_ids"), "start_sec", "end_sec", "llm_input.ocr_text", "llm_input.asr_text", F.array_join("llm_input.seeds", "、").alias("seeds")))
 
 
 RANGES = """s AS (SELECT conv_id::VARCHAR AS video_id, turn::INT AS pos, CASE WHEN turn > 1 THEN turn * 60.0 END::DOUBLE AS start_sec, CASE WHEN turn > 1 THEN turn * 60.0 + (turn % 3) * 20 END::DOUBLE AS end_sec, (turn * 60 + 5)::DOUBLE AS first_frame_time, text FROM conversations),

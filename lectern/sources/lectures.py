@@ -5,16 +5,12 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lectern import schemas
 from lectern.functions.text import transcript_block
 
-SUFFIX = {"combined": "_asr_ocr_mix", "ocr": "_ocr", "asr": "_asr"}
-
 
 def read_lectures(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a file; the folder's name is the lecture's id."""
@@ -76,47 +72,6 @@ def write_questions(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("method").parquet(path)
 
 
-def index_name(base: str, mode: str) -> str:
-    return base + SUFFIX[mode]
-
-
-def sibling_mode(mode: str) -> str:
-    if mode not in ("asr", "ocr"):
-        raise ValueError(f"{mode} has no sibling")
-    return {"asr": "ocr", "ocr": "asr"}[mode]
-
-
-def write_index(parents: DataFrame, children: DataFrame, base: str) -> None:
-    """Replaces what the lectures and modes of the parents held, children too where there are none now; others are not
-    touched.  Children of a lecture and mode without any parent are not written."""
-    children = children.join(parents.select("video_id", "store_mode").distinct(), ["video_id", "store_mode"], "left_semi")
-    for df, name in ((parents, "parents"), (children, "children")):
-        df = df.hint("rebalance", "video_id", "store_mode")  # a folder's rows in few files; large folders are still split
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id", "store_mode").parquet(f"{base}/{name}")
-    spark = parents.sparkSession
-    bare = parents.select("video_id", "store_mode").distinct().join(children.select("video_id", "store_mode").distinct(), ["video_id", "store_mode"], "left_anti")
-    files = spark._jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    for video, mode in bare.toLocalIterator():  # lectures without any child: rare, and a folder each
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/children/video_id={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(video)}/store_mode={mode}"), True)
-
-
-def read_index(spark: SparkSession, base: str, mode: str) -> tuple[DataFrame, DataFrame]:
-    def table(name: str) -> DataFrame:
-        schema = spark.read.parquet(f"{base}/{name}").schema
-        for field in schema.fields:  # ids that look like numbers are still text
-            if field.name == "video_id":
-                field.dataType = StringType()
-        return spark.read.schema(schema).parquet(f"{base}/{name}").where(F.col("store_mode") == mode)
-
-    parents = table("parents")
-    try:
-        return parents, table("children")
-    except AnalysisException as e:
-        if e.getCondition() not in ("UNABLE_TO_INFER_SCHEMA", "PATH_NOT_FOUND"):
-            raise
-        return parents, parents.select("video_id", "store_mode", "chunk_id", "page_content").limit(0)  # no child in any lecture
-
-
 def transcripts(slides_df: DataFrame, field: str = "asr") -> DataFrame:
     """(video_id, pos, slide_id, start_sec, end_sec, segments) to one text a lecture."""
     block = transcript_block(F.col("slide_id"), F.col("start_sec"), F.col("end_sec"), F.col(field))

@@ -230,29 +230,13 @@ def test_long_lectures_window_no_source(spark):
     assert windows and not any("text" in x for x in windows) and all("_part" in x for x in windows), windows
 
 
-def test_read_nested_lecture_and_index(spark, tmp_path):
+def test_read_nested_lecture(spark, tmp_path):
     (tmp_path / "lec1").mkdir()
     (tmp_path / "lec1" / "result.json").write_text('{"meta": {"model": "m"}, "slides": [{"slide_id": "slide1", "time": {"start_sec": 0, "end_sec": 5}, "full_text": null,\n "frames": [{"id": "f", "time": 1.0, "ocr": "t"}], "asr": [{"start_sec": 1, "end_sec": 2, "text": "hello"}]}, {"slide_id": "slide2"}]}')
     lec = io.read_lectures(spark, str(tmp_path / "*" / "*.json"))
     s = documents.with_index_text(io.slides(lec)).orderBy("pos").collect()
     assert [(r.video_id, r.slide_id, r.ocr_text, r.asr_text, r.end_sec) for r in s] == [("lec1", "slide1", "", "hello", 5.0), ("lec1", "slide2", "", "", 0.0)]
     assert io.frames(lec).count() == 1 and io.segments(lec).first().text == "hello"
-    p = spark.createDataFrame([("lec1", "ocr", "p1", "x")], "video_id string, store_mode string, chunk_id string, page_content string")
-    c = spark.createDataFrame([("lec1", "ocr", "p1", "y"), ("lec1", "asr", "p1", "z")], p.schema)
-    base = str(tmp_path / "index")
-    io.write_index(p, c, base)
-    io.write_index(p.withColumn("video_id", F.lit("lec2")), c.limit(0), base)
-    parents, children = io.read_index(spark, base, "ocr")
-    assert parents.count() == 2 and [r.page_content for r in children.collect()] == ["y"]
-    io.write_index(p, c.limit(0), base)  # the lecture has no children any more
-    assert io.read_index(spark, base, "ocr")[1].count() == 0 and io.read_index(spark, base, "ocr")[0].count() == 2
-    odd = p.withColumn("video_id", F.lit("0 1/a:b"))
-    io.write_index(odd, odd, base)
-    io.write_index(odd, odd.limit(0), base)
-    assert "0 1/a:b" in [r.video_id for r in io.read_index(spark, base, "ocr")[0].collect()] and io.read_index(spark, base, "ocr")[1].count() == 0
-    assert io.index_name("b", "combined") == "b_asr_ocr_mix" and io.sibling_mode("asr") == "ocr"
-    with pytest.raises(ValueError, match="sibling"):
-        io.sibling_mode("combined")
 
 
 def test_scene_log(spark):
