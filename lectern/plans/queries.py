@@ -350,14 +350,18 @@ def centroid_by_label(spark, d):
     return retrieve.centroids(table(spark, d, "embeddings"), "label", "embedding").withColumn("mean", F.round("mean", 9))
 
 
-@query(f"""WITH c AS (SELECT conv_id, turn, role, {strip_sql("coalesce(text, '')")} AS t FROM conversations)
-SELECT conv_id::VARCHAR AS video_id, string_agg('[slide' || (turn + 1) || ' | ' || (turn * 60) || '.0s〜' || (turn * 60 + 60) || '.0s]' || chr(10) || CASE WHEN role <> 'assistant' THEN '（ASRなし）' ELSE t END, chr(10) || chr(10) ORDER BY turn) AS value FROM c GROUP BY conv_id""")
-def transcript_export(spark, d):
+def spoken_slides(spark, d):
+    """Turns as slides; the assistant's have a segment of speech."""
     c = table(spark, d, "conversations")
     start = (F.col("turn") * 60.0).cast("double")
     seg = F.struct(start.alias("start_sec"), F.col("text"))
-    s = c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("pos"), F.concat(F.lit("slide"), F.col("turn") + 1).alias("slide_id"), start.alias("start_sec"), (start + 60.0).alias("end_sec"), F.when(F.col("role") == "assistant", F.array(seg)).otherwise(F.filter(F.array(seg), lambda x: F.lit(False))).alias("asr"))
-    return io.transcripts(s)
+    return c.select(F.col("conv_id").cast("string").alias("video_id"), F.col("turn").alias("pos"), F.concat(F.lit("slide"), F.col("turn") + 1).alias("slide_id"), start.alias("start_sec"), (start + 60.0).alias("end_sec"), F.when(F.col("role") == "assistant", F.array(seg)).otherwise(F.filter(F.array(seg), lambda x: F.lit(False))).alias("asr"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, {strip_sql("coalesce(text, '')")} AS t FROM conversations)
+SELECT conv_id::VARCHAR AS video_id, string_agg('[slide' || (turn + 1) || ' | ' || (turn * 60) || '.0s〜' || (turn * 60 + 60) || '.0s]' || chr(10) || CASE WHEN role <> 'assistant' THEN '（ASRなし）' ELSE t END, chr(10) || chr(10) ORDER BY turn) AS value FROM c GROUP BY conv_id""")
+def transcript_export(spark, d):
+    return io.transcripts(spoken_slides(spark, d))
 
 
 @query(f"""WITH {LONG}, t AS (SELECT DISTINCT video_id, pos, unnest(regexp_extract_all(lower(full_text), '(\\p{{L}}{{3,}})', 1)) AS term FROM long),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from contextlib import contextmanager
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as T
 from lectern.functions import vectors as V
 from lectern.operators import align, chunk, documents, questions, retrieve, scoring, segment
-from lectern.plans.queries import AXES, BANK, BUDGET, CHARS, FRAME_DOCS, GROUPED, SCORES, SETTINGS, SHORT, _bank, _frame_rows, _replies, _scores, query, short_lectures, split_sql, strip_sql, table
+from lectern.plans.queries import AXES, BANK, BUDGET, CHARS, FRAME_DOCS, GROUPED, SCORES, SETTINGS, SHORT, _bank, _frame_rows, _scores, query, short_lectures, split_sql, spoken_slides, strip_sql, table
 from lectern.sources import indexes
 from lectern.sources import lectures as io
 from lectern.tables import delete_folder, keep, shared_folder
@@ -227,13 +228,6 @@ def rebase_segments(spark, d):
     return align.rebase_segments(raw, r)
 
 
-@query("""WITH b AS (SELECT *, unnest(CASE item_id % 5 WHEN 0 THEN [0] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 1] ELSE [] END) AS ord FROM benchmark)
-SELECT printf('direct_time_chunk_%04d_q%02d', item_id, ord) AS question_id, true AS known_answer, false AS known_level FROM b""")
-def question_flags(spark, d):
-    q = questions.questions(_replies(spark, d), "direct", "time")
-    return q.select("question_id", T.answer_flags(F.col("answer"), F.col("bloom_level")).alias("f")).select("question_id", "f.*")
-
-
 @query("""WITH e AS (SELECT event_id, list_transform(range(0, 4), lambda i: list_transform(range(0, 4), lambda j: ((event_id * 7 + i * 13 + j * 29) % 101) / 100.0::DOUBLE)) AS b FROM events),
 s AS (SELECT event_id, flatten(b) AS flat, len(list_filter(b, lambda r: len(list_filter(r, lambda x: x < 0.95)) > 0)) AS nr, len(list_filter([1, 2, 3, 4], lambda j: len(list_filter(b, lambda r: r[j] < 0.95)) > 0)) AS nc FROM e)
 SELECT event_id, round(len(list_filter(flat, lambda x: x < 0.95)) / 16.0, 4) AS changed_ratio, nr >= 2 AND nc >= 2 AS is_distributed, round(list_sum(flat), 2) AS total FROM s""")
@@ -304,3 +298,147 @@ def model_scores(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("score "), "text").alias("prompt"))
     asked = questions.apply_model(docs, "prompt", judge, "reply", 1, lambda r: "score" in r)
     return scoring.parse_scores(asked).select("doc_id", "score", "reason")
+
+
+def first_try(prompts: list[str]) -> list[str]:
+    """A stand-in for a model that fails on every prompt of some lengths."""
+    if any(len(p) % 4 == 0 for p in prompts):
+        raise RuntimeError
+    return [f"first {len(p)}" for p in prompts]
+
+
+def second_try(prompts: list[str]) -> list[str]:
+    return [f"second {len(p)}" for p in prompts]
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) % 4 = 0 THEN 'second ' ELSE 'first ' END || length(text) AS reply FROM documents""")
+def replies_resumed(spark, d):
+    """A journal of replies: what failed in the first run is asked again by the second, and nothing else."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    with scratch(spark) as journal:
+        questions.ask_once(docs, "text", first_try, "reply", journal, retries=0, waves=2)
+        return keep(questions.ask_once(docs, "text", second_try, "reply", journal, waves=2).select("doc_id", "reply"))
+
+
+#: Prompts of the three methods (short, so that SQL can follow).
+TEMPLATES = {"seeds": "S{n} {text}", "direct": "D{n} {level} {text}", "rag": "R {seeds} {context}", "analysis": "C {levels} {seeds} {context}", "rag_cot": "G {seeds} {context} {cot}"}
+
+
+def writer(prompts: list[str]) -> list:
+    """A stand-in for a model: seeds are words of the text, analyses come as reasoning alone, questions tell the prompt's length and end."""
+    out = []
+    for p in prompts:
+        if p[0] == "S":
+            out.append("、".join(re.findall(r"[a-z]{6,}", p)[:3]))
+        elif p[0] == "C":
+            out.append((" ", f"analysis {len(p)}"))
+        else:
+            out.append(json.dumps([{"question": f"{len(p)} {p[-20:]}", "answer": "ABCD"[len(p) % 4], "bloom_level": "応用"}]))
+    return out
+
+
+BANK_OF_THREE = f"""WITH RECURSIVE {CHARS}, {CHILDREN},
+zc AS (SELECT video_id, printf('chunk_%04d', pos // 3) AS chunk_id, coalesce(string_agg('[' || slide_id || ']' || chr(10) || ocr_text, chr(10) || chr(10) ORDER BY pos) FILTER (ocr_text <> ''), '') AS ocr,
+  coalesce(string_agg(asr_text, chr(10) ORDER BY pos) FILTER (asr_text <> ''), '') AS asr FROM short GROUP BY video_id, pos // 3),
+zt AS (SELECT video_id, chunk_id, concat_ws(chr(10) || chr(10), CASE WHEN ocr <> '' THEN '[スライド]' || chr(10) || ocr END, CASE WHEN asr <> '' THEN '[音声]' || chr(10) || asr END) AS text FROM zc),
+zs AS (SELECT *, array_to_string(regexp_extract_all('S5 ' || text, '[a-z]{{6,}}')[:3], '、') AS seeds FROM zt WHERE text <> ''),
+zk AS (SELECT video_id, chunk_id AS parent, base, {letters_sql(f"('passage: ' || {strip_sql('hint || base')})")} AS e FROM docs WHERE store_mode = 'combined' AND base <> ''),
+zq AS (SELECT video_id, chunk_id, {letters_sql("('query: ' || seeds)")} AS e FROM zs WHERE seeds <> ''),
+zr AS (SELECT zq.video_id, zq.chunk_id, base, row_number() OVER (PARTITION BY zq.video_id, zq.chunk_id ORDER BY round(list_dot_product(zq.e, zk.e), 6) DESC, parent || '_child_0') AS rank FROM zq JOIN zk USING (video_id)),
+zx AS (SELECT video_id, chunk_id, string_agg(base, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context FROM zr WHERE rank <= 2 GROUP BY ALL),
+zf AS (SELECT zs.*, context, 'C 知識・応用・評価 ' || seeds || ' ' || context AS ask FROM zs JOIN zx USING (video_id, chunk_id)),
+zp AS (SELECT video_id, chunk_id, 'direct' AS method, 'D2 知識、応用、評価 ' || text AS prompt FROM zs UNION ALL SELECT video_id, chunk_id, 'rag', 'R ' || seeds || ' ' || context FROM zf
+  UNION ALL SELECT video_id, chunk_id, 'rag_cot', 'G ' || seeds || ' ' || context || ' analysis ' || length(ask) FROM zf),
+made AS (SELECT video_id, chunk_id, method || '_slide_' || chunk_id || '_q00' AS question_id, method, length(prompt) || ' ' || right(prompt, 20) AS question, substr('ABCD', length(prompt) % 4 + 1, 1) AS answer FROM zp)"""
+
+
+def _generated(spark, d, base):
+    """The questions of all short lectures by the three methods, over an index of their own; written, and read again."""
+    nested = _nested(spark, d)
+    documents.build_char_index(nested, f"{base}/index", letter_counts, BUDGET, 1_000_000, 0)
+    parents, children = indexes.read_index(spark, f"{base}/index", "combined")
+    rows = documents.with_chunk_text(nested).withColumn("ocr_text", F.col("full_text")).drop("full_text", "asr")
+    chunks = keep(chunk.build_chunks(chunk.chunk_by_slides(rows, 3, 0)))
+
+    def find(queries):
+        asked = retrieve.embed_texts(queries.withColumn("store_mode", F.lit("combined")), "query", letter_counts, "query")
+        return retrieve.contexts(retrieve.search(asked, children, parents, 2))
+
+    ask = lambda df, prompt, out: questions.ask_once(df, prompt, writer, out, f"{base}/journal", F.lit("writer"))
+    made = questions.generate(chunks, TEMPLATES, ask, find, chunk_mode="slide", n=2, n_seeds=5)
+    for method in questions.METHODS:  # each method appends to the bank
+        io.write_questions(made.where(F.col("method") == method), f"{base}/bank")
+    return spark.read.schema(made.schema).parquet(f"{base}/bank")
+
+
+@query(f"{BANK_OF_THREE} SELECT * FROM made")
+def question_generation(spark, d):
+    """From lectures to a question bank: index, chunks, seeds, search, context, analysis, questions, append."""
+    with scratch(spark) as base:
+        return keep(_generated(spark, d, base).select("video_id", "chunk_id", "question_id", "method", "question", "answer"))
+
+
+@query(f"{BANK_OF_THREE} SELECT video_id, question_id, method, answer IN ('A', 'B', 'C', 'D') AND video_id::BIGINT % 2 = 0 AS known_answer, video_id::BIGINT % 3 > 0 AS known_level FROM made")
+def question_flags(spark, d):
+    """Generated questions, some with answers and levels that nobody asked for."""
+    with scratch(spark) as base:
+        made, v = _generated(spark, d, base), F.col("video_id").cast("long")
+        flags = T.answer_flags(F.when(v % 2 == 0, F.col("answer")).otherwise(F.lower("answer")), F.when(v % 3 == 0, F.lit("other")).otherwise(F.col("bloom_level")))
+        return keep(made.select("video_id", "question_id", "method", flags.alias("f")).select("video_id", "question_id", "method", "f.*"))
+
+
+def examiner(prompts: list[str]) -> list[str | None]:
+    """A stand-in for a judge: out of range, or unreadable, for some prompts."""
+    return ["?" if len(p) % 5 == 0 else json.dumps({"score": len(p) % 7, "reason": "r"}) for p in prompts]
+
+
+@query(f"""{BANK_OF_THREE}, open AS (SELECT * FROM made WHERE method <> 'direct' OR video_id::BIGINT % 2 = 0),
+p AS (SELECT video_id, question_id, method, axis, trial, length(axis || ' ' || description || ' ' || question || repeat('!', trial)) AS n FROM open, (VALUES ('clarity', 'is it clear'), ('depth', 'deep')) AS a(axis, description), (VALUES (1), (2), (3)) AS t(trial)),
+sc AS (SELECT *, CASE WHEN n % 5 <> 0 AND n % 7 BETWEEN 1 AND 5 THEN n % 7 END AS score FROM p),
+old AS (SELECT video_id, question_id, method, axis, 1 AS trial, 3 AS score FROM made, (VALUES ('clarity'), ('depth')) AS a(axis) WHERE method = 'direct' AND video_id::BIGINT % 2 = 1),
+av AS (SELECT video_id, question_id, method, axis, avg(score) AS s FROM (SELECT video_id, question_id, method, axis, score FROM sc UNION ALL SELECT video_id, question_id, method, axis, score FROM old) GROUP BY ALL HAVING avg(score) IS NOT NULL),
+m AS (SELECT video_id, method, axis, round(avg(s), 4) AS mean, count(*) AS n FROM av GROUP BY ALL)
+SELECT video_id, 'm' AS model, method, max(n) AS n, max(mean) FILTER (axis = 'clarity') AS clarity, max(mean) FILTER (axis = 'depth') AS depth, 3 AS n_trials FROM m GROUP BY video_id, method""")
+def scoring_round(spark, d):
+    """From a question bank to a summary file: targets, what is pending, prompts, replies, scores appended to those stored, averages."""
+    axes = {"clarity": "is it clear", "depth": "deep"}
+    now = scoring.settings_hash(3, 2, 0.0, list(axes))
+    with scratch(spark) as base:
+        bank = _generated(spark, d, base).withColumn("chunk_mode", F.lit("time")).withColumn("model", F.lit("m")).withColumn("ordinal", F.lit(0))
+        bank = scoring.first_of_each(scoring.targets(bank)).select("video_id", "question_id", "model", "method", "chunk_mode", "question", "answer")
+        stored = bank.where("method = 'direct' and cast(video_id as long) % 2 = 1").withColumn("axis", F.explode(F.array(*map(F.lit, axes))))
+        io.write_scores(stored.select(*scoring.KEYS, "method", "chunk_mode", "axis", F.lit(1).alias("trial"), F.lit(3).alias("score"), now.alias("settings_hash")), f"{base}/scores")
+        read = lambda: spark.read.parquet(f"{base}/scores")
+        left = scoring.pending(bank, read(), list(axes), now)
+        none = left.select(*scoring.KEYS).limit(0).withColumn("context", F.lit(""))
+        asked = scoring.scoring_inputs(left, none, io.load_axes(spark, axes), "{axis} {description} {question}", ["j"], 3)
+        asked = asked.withColumn("prompt", F.concat("prompt", F.repeat(F.lit("!"), F.col("trial"))))
+        told = questions.ask_once(asked, "prompt", examiner, "reply", f"{base}/replies", F.concat_ws(" ", "judge", "trial"), valid=lambda r: r.startswith("{"))
+        scores = scoring.parse_scores(told).select(*scoring.KEYS, "method", "chunk_mode", "axis", "trial", "score", now.alias("settings_hash"))
+        io.write_scores(scores, f"{base}/scores")
+        io.write_summary(scoring.summary_table(read(), list(axes)), {"n_trials": 3}, f"{base}/summary")
+        kinds = "video_id string, model string, method string, n long, clarity double, depth double, settings struct<n_trials:int>"
+        return keep(spark.read.schema(kinds).json(f"{base}/summary").select("video_id", "model", "method", "n", "clarity", "depth", "settings.n_trials"))
+
+
+@query(f"""WITH c AS (SELECT conv_id::VARCHAR AS video_id, turn, role, {strip_sql("coalesce(text, '')")} AS t FROM conversations),
+v AS (SELECT video_id, string_agg('[slide' || (turn + 1) || ' | ' || (turn * 60) || '.0s〜' || (turn * 60 + 60) || '.0s]' || chr(10) || CASE WHEN role <> 'assistant' THEN '（ASRなし）' ELSE t END, chr(10) || chr(10) ORDER BY turn) AS value FROM c GROUP BY video_id)
+SELECT video_id, n, line FROM (SELECT video_id, generate_subscripts(lines, 1) - 1 AS n, unnest(lines) AS line FROM (SELECT video_id, string_split(value, chr(10)) AS lines FROM v))""")
+def transcript_files(spark, d):
+    """Transcripts written as text files, a folder for each lecture, and read again line by line."""
+    with scratch(spark) as base:
+        io.export_transcripts(spoken_slides(spark, d), base)
+        read = spark.read.text(f"{base}/*/*.txt", wholetext=True).withColumn("file", F.col("_metadata.file_path"))
+        lines = F.split(F.regexp_replace("value", "\n$", ""), "\n", -1)
+        return keep(read.select(F.url_decode(F.regexp_extract("file", "video_id=([^/]*)/", 1)).alias("video_id"), F.posexplode(lines).alias("n", "line")))
+
+
+@query("""SELECT event_type AS log, event_id / 4.0 AS time, round(value, 2) AS score FROM events WHERE event_type <> 'error'""")
+def scene_log_files(spark, d):
+    """Detection logs written as text, a folder for each kind of event, and read as files."""
+    e = table(spark, d, "events")
+    line = F.concat(F.lit("[x] lavfi.scd.score: "), F.format_string("%.2f", "value"), F.when(F.col("event_type") != "error", F.concat(F.lit(" lavfi.scd.time: "), (F.col("event_id") / 4.0).cast("decimal(18,2)").cast("string"))).otherwise(" no time"))
+    with scratch(spark) as base:
+        e.select(line.alias("value"), F.col("event_type").alias("log")).write.partitionBy("log").text(base)
+        read = io.read_scene_log(spark, base)
+        return keep(read.select(F.regexp_extract("file", "log=([^/]*)/", 1).alias("log"), "time", "score"))
