@@ -120,6 +120,20 @@ def _blocks(percent: int, with_text: bool):
     return go
 
 
+def in_blocks(marked: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Members of buckets (key, set, component, band) with several components, once for each pair of blocks (i, j) in which they are to
+    be compared.  Pairs within the largest component of a bucket are known to be linked, so its members meet only the others': a bucket
+    of n near copies and m other texts makes about n * ceil(m / block) + m * ceil(n / block) rows, and the square is m's."""
+    counts = marked.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"))
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    mixed = keep(counts.where("k > 1").select("key", F.col("top.component").alias("largest"), blocks(F.col("size") - F.col("top.c")).alias("others"), blocks(F.col("top.c")).alias("most")))
+    rows = marked.join(mixed, "key").join(classes.select("set", "n", "signature"), "set")
+    inside, hash_ = F.col("component") == F.col("largest"), F.xxhash64("set")
+    rows = rows.withColumn("block", F.when(inside, F.col("others") + F.pmod(hash_, F.col("most"))).otherwise(F.pmod(hash_, F.col("others"))).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("others") - 1).otherwise(F.col("others") + F.col("most") - 1))))
+    return rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "band", "block", "set", "component", "n", "signature")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """Links rows whose sets of 5-word shingles have 100 * |both| >= percent * |either|; returns one
     row for each input row: the key, ``n_shingles``, ``component_id`` (smallest key reachable by
@@ -128,8 +142,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     Equal sets (by 128 bits of hash) are one class and meet again only in the answer.  Every class has 50 band keys.  Per
     bucket, each member is verified against one member (the hub), which joins most of a large
     group in linear work.  Then only buckets that still hold several components are looked at again:
-    their members are compared by signature, across components, in blocks of ``BLOCK`` rows, and
-    pairs that agree enough are verified on their full sets.  Verified links give the components.
+    their members are compared by signature, those of the largest component with the others and these with one another, in blocks of
+    ``BLOCK`` rows, and pairs that agree enough are verified on their full sets.  Verified links give the components.
 
     Null or wordless text: an empty set, linked with nothing.  A null key is returned as it came,
     with a null component, and kept.  Rows that share a key are rows of their own, with a component each.
@@ -165,11 +179,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     marked = members.join(first.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     marked = keep(marked.drop("hub"))
     release(members, linked)
-    mixed = keep(marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"))
-    apart = marked.join(mixed, "key", "left_semi").join(classes.select("set", "n", "signature"), "set")
-    count = F.ceil(F.col("size") / BLOCK).cast("int")
-    apart = apart.withColumn("block", F.pmod(F.xxhash64("set"), count).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), count - 1)))
-    apart = apart.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "band", "block", "set", "component", "n", "signature")
+    apart = in_blocks(marked, classes)
     ends = ["key", "i", "j"]
 
     def sorted_by_block(df: DataFrame) -> DataFrame:
@@ -178,7 +188,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     near = keep(sorted_by_block(apart).mapInArrow(_blocks(percent, False), "key long, i int, j int, set long"))
     again = apart.join(near, [*ends, "set"], "left_semi").join(texts(near), "set").select(*ends, "band", "block", "set", "component", "n", "signature", "text")
     more = keep(sorted_by_block(again).mapInArrow(_blocks(percent, True), "a long, b long"))
-    release(marked, mixed, near)
+    release(marked, near)
     whole = components(more)
     second = whole.select(F.col("node").alias("component"), F.col("component").alias("whole"))
     joined = first.join(second, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(second.join(first, second["component"] == first["node"], "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component")))
