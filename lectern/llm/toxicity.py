@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -54,6 +55,7 @@ class Swaps:
         for kind in terms:
             for i, t in enumerate(kind):
                 self._next.setdefault(t, kind[(i + 1) % len(kind)])
+        self._pairs = [(a, b) for kind in terms for a, b in zip(kind, [*kind[1:], kind[0]], strict=True) if a != b]
         self._found = re.compile(rf"\b({'|'.join(map(re.escape, sorted(self._next)))})\b" if self._next else "(?!)", re.IGNORECASE)
 
     def mentioned(self, text: str) -> bool:
@@ -62,9 +64,16 @@ class Swaps:
     def swapped(self, text: str) -> str:
         return self._found.sub(lambda m: self._next.get(m[0].lower(), m[0]), text)
 
-    def pairs(self) -> list[tuple[str, str]]:
-        """Each two terms of a kind that follow one another."""
-        return [(a, b) for kind in self.terms for a, b in zip(kind, [*kind[1:], kind[0]], strict=True) if a != b]
+    def inserted(self, text: str) -> tuple[str, str]:
+        """The text with two terms of a kind put behind it, by its checksum; without terms: twice the text."""
+        if not self._pairs:
+            return text, text
+        a, b = self._pairs[zlib.crc32(text.encode("utf-8", "surrogatepass")) % len(self._pairs)]
+        return f"{text} {a}", f"{text} {b}"
+
+    def features(self) -> np.ndarray:
+        """The hashes of the terms as words."""
+        return np.concatenate([np.empty(0, np.uint64), *(Words(t.lower(), _outside).hashes() for kind in self.terms for t in kind)]).view(np.int64)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -122,13 +131,13 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (feature, toxic, docs); feature 0 counts the documents."""
+    """(text, toxic) to (feature, toxic, docs)."""
     for batch in batches:
         by: dict[int, list[np.ndarray]] = {}
         for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             by.setdefault(toxic, []).append(features(text))
         for toxic, sets in by.items():
-            name, docs = np.unique(np.concatenate([*sets, np.zeros(len(sets), np.int64)]), return_counts=True)
+            name, docs = np.unique(np.concatenate(sets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(len(name), toxic, np.int32)), pa.array(docs.astype(np.int64))], ["feature", "toxic", "docs"])
 
 
@@ -136,12 +145,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     """Fits the classifier to about ``rows`` of the labelled documents (0 or 1; others are left out), with counterfactual
     pairs whose scores should not differ.
 
-    Candidates are features of several toxic documents that are LIFT times as frequent there; executors
-    count them.  The driver gets, for each document fitted, the numbers of its candidates, and
-    the same for the swapped form of those that mention an identity term.  Labelled sentences also get terms
-    inserted: the score is a sum over the words of a text, so two terms that stand in the same place change it alike
-    in every sentence, and one pair for each two terms of a kind counts for all of them.  The model tells
-    how many texts were swapped (``swapped``) and how many pairs of terms change a score (``inserted``).
+    Features are those of several toxic documents that are LIFT times as frequent there (executors count and choose them), and the
+    identity terms.  Each labelled text is fitted twice: as it is, and in a counterfactual form.  A text that mentions terms is paired
+    with its swapped form; another one, with two terms of a kind (by a checksum of the text) that are put behind it, one in either
+    member of the pair.  The second form has the label of the first, and the penalty holds the scores of a pair together.  The
+    driver gets the numbers of features of each document fitted.  The model tells how many texts were ``swapped`` and
+    in how many terms were ``inserted``.
 
     A key with several labels is toxic if one of them says so; of several texts of a key the first by
     value is fitted; null keys and labels are left out.  Null texts count as empty.  No labelled document: a model that scores all texts
@@ -153,39 +162,35 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     if total > rows:  # the same hash keeps the other texts out of the join
         known, chosen = (df.where(dealt(rows, total, "_id")) for df in (known, chosen))
     train = keep(chosen.join(known, "_id").groupBy("_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
-    positive = train.where("toxic = 1").mapInArrow(_count, "feature long, toxic int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs"))
-    positive = positive.where((F.col("docs") >= LEAST_DOCS) | (F.col("feature") == 0)).toPandas()  # bounded by the documents fitted
-    among = positive[positive.feature != 0].set_index("feature").docs
-    candidates = np.sort(among.index.to_numpy(np.int64))
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in _count(batches):
-            name = out.column(0).to_numpy()
-            yield out.filter(pa.array(np.isin(name, candidates) | (name == 0)))
-
-    negative = train.where("toxic = 0").mapInArrow(rest, "feature long, toxic int, docs long").groupBy("feature").agg(F.sum("docs").alias("docs")).toPandas().set_index("feature").docs
-    n_pos, n_neg = max(1, train.where("toxic = 1").count()), max(1, int(negative.get(0, 0)))
-    share = (among / n_pos) / ((negative.reindex(among.index).fillna(0) + 0.5) / n_neg)
-    names = np.sort(share.index[share >= LIFT].to_numpy(np.int64))
-    empty = ToxicityModel(names, np.zeros(len(names)), 0.0)
-
+    counts = {r[0]: r[1] for r in train.groupBy("toxic").count().collect()}  # two rows
+    n_pos, n_neg = max(1, counts.get(1, 0)), max(1, counts.get(0, 0))
+    of = lambda label: F.sum(F.when(F.col("toxic") == label, F.col("docs")).otherwise(0))
+    seen = train.mapInArrow(_count, "feature long, toxic int, docs long").groupBy("feature").agg(of(1).alias("pos"), of(0).alias("neg"))
+    told = seen.where((F.col("pos") >= LEAST_DOCS) & (F.col("pos") / n_pos >= LIFT * (F.col("neg") + 0.5) / n_neg)).select("feature").toPandas()
     change = Swaps(terms)
+    names = np.unique(np.concatenate([told.feature.to_numpy(np.int64), change.features()]))
+    empty = ToxicityModel(names, np.zeros(len(names)), 0.0)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(text, toxic) to (toxic, own, one, other): the features of the text, and of a counterfactual pair: the text and its
+        swapped form if it mentions a term, or else with one of two terms put behind it."""
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            own = [empty.places(features(t)).astype("<i4").tobytes() for t in texts]
-            other = [empty.places(features(change.swapped(t))).astype("<i4").tobytes() if change.mentioned(t) else None for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["toxic", "own", "other"])
-
-    fitted = train.mapInArrow(rows_of, "toxic int, own binary, other binary").toPandas()
-    own = [np.frombuffer(x, "<i4") for x in fitted.own]
-    swaps = [(a, np.frombuffer(b, "<i4")) for a, b in zip(own, fitted.other, strict=True) if b is not None]
-    put = [(a, b) for a, b in ((empty.places(features(x)), empty.places(features(y))) for x, y in change.pairs()) if not np.array_equal(a, b)]
-    _log.info("%d of %d labelled texts were swapped, %d pairs of terms change a score", len(swaps), len(own), len(put))
-    weights, bias = _fit(own, fitted.toxic.to_numpy(float), swaps + put, len(names), penalty) if len(own) else (np.zeros(0), -5.0)
-    model = ToxicityModel(names, weights, bias)
-    model.swapped, model.inserted = len(swaps), len(put)
+            out: list[list] = [[], [], [], []]
+            for t in texts:
+                a, b = (t, change.swapped(t)) if (swap := change.mentioned(t)) else change.inserted(t)
+                for column, value in zip(out, (*(empty.places(features(x)).astype("<i4").tobytes() for x in (t, a, b)), swap), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(c, pa.binary()) for c in out[:3]], pa.array(out[3], pa.bool_())], ["toxic", "own", "one", "other", "swap"])
+
+    fitted = train.mapInArrow(rows_of, "toxic int, own binary, one binary, other binary, swap boolean").toPandas()
+    own, one, other = ([np.frombuffer(x, "<i4") for x in fitted[c]] for c in ("own", "one", "other"))
+    pairs = [(a, b) for a, b in zip(one, other, strict=True) if not np.array_equal(a, b)]
+    toxic = fitted.toxic.to_numpy(float)
+    model = ToxicityModel(names, *(_fit(own + one, np.concatenate([toxic, toxic]), pairs, len(names), penalty) if len(own) else (np.zeros(len(names)), -5.0)))
+    model.swapped = int(fitted.swap.sum())
+    model.inserted = len(fitted) - model.swapped if change.terms else 0
+    _log.info("%d of %d labelled texts were swapped, terms were put behind %d", model.swapped, len(own), model.inserted)
     release(train)
     return model
 
