@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 from lectern.llm.common import keep, partitions, pieces
 from lectern.llm.vectors import as_double, element, matrix, usable
 
-#: Vectors of a shard at most, and at least where there are cores for more shards; edges of a node, width of the beam
+#: Vectors of a shard at most (large tables) and at least (small ones: a SHARES-th of all, if that is more); edges of a node, width of the beam
 #: when building and when asking, relaxation of the pruning, queries that are asked at once.
-SHARD, LEAST_SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA, ASKED = 65_536, 8192, 24, 48, 160, 1.2, 256
+SHARD, LEAST_SHARD, SHARES, DEGREE, BUILD_BEAM, BEAM, ALPHA, ASKED = 65_536, 8192, 32, 24, 48, 160, 1.2, 256
 _EXPAND = 4
 
 
@@ -154,9 +154,9 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k
     """Indexes every usable vector: ``dim, shard, node, vector, ids, edges, entry``.
 
     Equal vectors are one node, with the k + 1 smallest of their keys (no other can be in
-    an answer), gathered first within batches.  Nodes are dealt by a hash to shards of at most about ``shard`` (and to
-    as many as the shuffle has partitions, while a shard keeps ``least``); each shard's graph is built in
-    one task.  Left out: null keys, and vectors that are null, empty, zero or hold null or non-finite components.
+    an answer), gathered first within batches.  Nodes are dealt by a hash to shards of about ``least`` to ``shard``
+    of them, whose number follows the number of nodes alone; each shard's graph is built in one task, in the order of its keys, so
+    the same vectors give the same graphs under any settings.  Left out: null keys, and vectors that are null, empty, zero or hold null or non-finite components.
     Rows that share a key are vectors of one key.  Other columns are not looked at, whatever their names.
     """
     kind = element(df, vector)
@@ -165,7 +165,7 @@ def build_index(df: DataFrame, key: str = "vec_id", vector: str = "embedding", k
     some = rows.mapInArrow(_equal(kind, k + 1), f"vector array<{text}>, ids array<long>")
     nodes = keep(some.groupBy("vector").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids")).withColumn("dim", F.size("vector")))
     n = nodes.count()
-    shards = max(1, -(-n // shard), min(partitions(df.sparkSession), n // least))
+    shards = max(1, -(-n // min(shard, max(least, n // SHARES))))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int"))
 
     def build(t: pa.Table) -> pa.Table:

@@ -17,7 +17,7 @@ from lectern.llm.components import components as spark_components
 from lectern.llm.language import UNKNOWN, LanguageFilters, dealt, fit_language_filters, grams, held_out, identify_languages, shares
 from lectern.llm.licenses import PHRASES, TEMPLATES, Automaton, scan_licenses, words_of
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
-from lectern.llm.neardup import near_duplicates
+from lectern.llm.neardup import in_blocks, near_duplicates
 from lectern.llm.packing import VOCABULARY, Encoder, pack_documents, shortest_pack_first
 from lectern.llm.sharding import shard_by_bytes
 from lectern.llm.toxicity import IDENTITY_TERMS, L2, Swaps, _fit, features, fit_toxicity, score_toxicity
@@ -77,6 +77,24 @@ def test_op1_brute_force(spark):
     assert near_duplicates(df.where("false")).collect() == []
 
 
+def test_op1_an_outlier_costs_no_square(spark):
+    """Members of a bucket's largest component meet the others alone; every pair of two components meets once."""
+    n = 4000
+    marked = spark.range(n + 3).selectExpr("if(id < %d, 7L, 8L) AS key" % (n + 1), "id AS set", "case when id < %d then 0L when id = %d then 99999L else id end AS component" % (n, n), "1 AS band")
+    classes = spark.range(n + 3).selectExpr("id AS set", "10L AS n", "cast('x' AS binary) AS signature")
+    rows = in_blocks(marked, classes)
+    assert rows.count() < 10_000
+    few = spark.createDataFrame([(1, i, min(i % 7, 3), 1) for i in range(60)], "key long, set long, component long, band int")
+    seen = Counter()
+    by = defaultdict(list)
+    for r in in_blocks(few, classes, 8).collect():
+        by[r.i, r.j].append((r.set, r.block))
+    for (i, j), members in by.items():
+        seen.update(frozenset((a, b)) for a, x in members if x == i for b, y in members if y == j and a != b and (i != j or a < b))
+    comp = {i: min(i % 7, 3) for i in range(60)}
+    assert {p for p in seen if len({comp[x] for x in p}) == 2} == {frozenset((a, b)) for a in comp for b in comp if comp[a] != comp[b]} and set(seen.values()) == {1}
+
+
 def test_op1_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 4000, dtype=np.uint64)
@@ -299,6 +317,12 @@ def test_op7_held_out_and_counterfactual(spark):
     assert 0 < model.score(None) == model.score("") < 0.5
     toxic = [p for t, p in told if t]
     assert len(toxic) >= 3 and np.mean(toxic) >= 0.8 and np.mean([p for t, p in told if not t]) <= 0.02
+    assert model.swapped + model.inserted == labels.where(~held_out(F.col("doc_id"))).join(docs, "doc_id").count() > 0  # each labelled text has a counterfactual
+    plain = fit_toxicity(docs.where(~held_out(F.col("doc_id"))), labels.where(~held_out(F.col("doc_id"))), penalty=0.0)
+    texts = [r.text for r in docs.limit(100).collect()]
+    assert any(plain.score(t) != model.score(t) for t in texts)
+    spread = lambda m: max(np.std([m.score(f"{t} {x}") for x in kind]) for kind in IDENTITY_TERMS for t in texts[:3])
+    assert spread(model) < 0.5 * spread(plain)  # terms of a kind come to stand for each other
     assert Swaps().swapped("Women and black men") == "men and white women" and all(len(g) > 1 for g in IDENTITY_TERMS)
     assert Swaps().swapped("les Musulmans et les juifs") == "les chrétiens et les hindous" and not Swaps(()).mentioned("women")
     nothing = fit_toxicity(docs.where("false"), labels)
@@ -556,3 +580,18 @@ def test_columns_of_any_name(spark):
 
     for out in (scan_licenses(df), identify_languages(df, LanguageFilters.of({})), score_toxicity(df, ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -5.0))):
         assert out.columns[: len(df.columns)] == df.columns and all(list(r[4:14]) == odd for r in out.collect())
+
+
+def test_op9_shards_follow_the_table_alone(spark):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)))], "vec_id long, embedding array<double>").repartition(6)
+    old, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "50"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            index = build_index(df, shard=300, least=100)
+            assert index.select("shard").distinct().count() == 9
+            seen.append(sorted(map(tuple, search_index(index, df.where("vec_id % 100 = 0"), beam=16).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] and len(seen[0]) == 90
