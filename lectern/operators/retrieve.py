@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,6 +76,12 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows of doubles."""
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+
 def knn_topk(queries: DataFrame, children: DataFrame, k: int, keys: Sequence[str] = ("video_id", "store_mode"), part_rows: int = 20_000, block: int = 2_000, digits: int = 6) -> DataFrame:
     """The k children of each query's index with the largest inner product (rounded; ties: smaller child id): keys, query_id,
     child_id, chunk_id, score, rank.  Query ids tell queries of one index apart, not those of different lectures.
@@ -92,23 +99,22 @@ def knn_topk(queries: DataFrame, children: DataFrame, k: int, keys: Sequence[str
     kind, child_kind = queries.schema["query_id"].dataType.simpleString(), children.schema["child_id"].dataType.simpleString()
 
     def best(q: pa.Table, c: pa.Table) -> pa.Table:
-        out: dict[str, list] = {**{name: [] for name in keys}, "query_id": [], "child_id": [], "chunk_id": [], "score": []}
+        """The k best of a part for each query, all of one score as the k-th first: ties go to the smaller child id."""
+        row = col = np.empty(0, np.int64)
+        score = np.empty((0, 0))
         if q.num_rows and c.num_rows:
-            names, chunks, asked = c["child_id"].to_pylist(), c["chunk_id"].to_pylist(), q["query_id"].to_pylist()
-            order = np.argsort(np.array(names), kind="stable")
-            x = np.array(c["embedding"].to_pylist(), float)
-            score = np.round(np.array(q["embedding"].to_pylist(), float) @ x[order].T, digits)
-            index = {name: q[name][0].as_py() for name in keys}
-            for i, s in enumerate(score):
-                for o in np.argsort(-s, kind="stable")[:k]:
-                    for name in keys:
-                        out[name].append(index[name])
-                    out["query_id"].append(asked[i])
-                    out["child_id"].append(names[order[o]])
-                    out["chunk_id"].append(chunks[order[o]])
-                    out["score"].append(float(s[o]))
-        kinds = (*[q.schema.field(name).type for name in keys], q.schema.field("query_id").type, c.schema.field("child_id").type, pa.string(), pa.float64())
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+            c = c.take(pc.sort_indices(c["child_id"]))
+            score = np.round(_matrix(q["embedding"]) @ _matrix(c["embedding"]).T, digits)
+            n = min(k, c.num_rows)
+            least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+            row, col = np.nonzero(score >= least[:, None])
+            order = np.lexsort((col, -score[row, col], row))
+            row, col = row[order], col[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col = row[nth < n], col[nth < n]
+        named = [q[name].take(pa.array(row)) for name in (*keys, "query_id")]
+        kept = pa.array(score[row, col] if len(row) else [], pa.float64())
+        return pa.table([*named, c["child_id"].take(pa.array(col)), c["chunk_id"].take(pa.array(col)), kept], [*keys, "query_id", "child_id", "chunk_id", "score"])
 
     cols = ["query_id", "embedding"]
     found = q.select(*ends, *cols).groupBy(*ends).cogroup(c.select(*[F.col(e).alias(f"c_{e}") for e in ends], "child_id", "chunk_id", "embedding").groupBy(*[f"c_{e}" for e in ends]))

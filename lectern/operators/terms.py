@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
-from lectern.tables import keep, running_totals
+from lectern.sources.parts import text_parts
+from lectern.tables import keep
 
 TERM = r"[\p{L}]{3,}"
 
@@ -17,8 +18,10 @@ def _terms(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def recurring_terms(slides: DataFrame, n: int = 15) -> DataFrame:
-    """The n terms of each lecture that are on the most slides."""
-    seen = _terms(slides, ["video_id", "pos"], "full_text").distinct().groupBy("video_id", "term").agg(F.count("*").alias("n_slides"))
+    """The n terms of each lecture that are on the most slides (video_id, pos: a row each).  A slide's terms are told apart within
+    its row, so only counts by task are shuffled."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower("full_text"), F.lit(f"({TERM})"), 1))
+    seen = slides.select("video_id", F.explode(found).alias("term")).groupBy("video_id", "term").agg(F.count("*").alias("n_slides"))
     return seen.withColumn("rank", F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("n_slides"), "term"))).where(F.col("rank") <= n)
 
 
@@ -41,12 +44,5 @@ def lecture_ocr(slides: DataFrame) -> DataFrame:
 
 
 def lecture_ocr_parts(slides: DataFrame, size: int = 1 << 20) -> DataFrame:
-    """The text of lecture_ocr() in parts: ``video_id``, ``part``, ``first_pos``, ``text``.  A part holds the whole
-    slides whose first byte lies in its stretch of ``size`` bytes, so it is at most ``size`` bytes and one
-    slide long.  Joined by two newlines in the order of ``part`` (which may skip numbers) the parts are the lecture's text."""
-    kept = keep(slides.select("video_id", "pos", strip(F.coalesce("full_text", F.lit(""))).alias("t")).where("t <> ''"))
-    placed = running_totals(kept.select("video_id", "pos", (F.octet_length("t") + 2).alias("n")), ["video_id"], ["pos"], F.col("n"))
-    placed = placed.select("video_id", "pos", F.expr(f"sum_before div {int(size)}").alias("part"))
-    both = kept.withColumnRenamed("video_id", "_v").withColumnRenamed("pos", "_p").join(placed, F.col("_v").eqNullSafe(F.col("video_id")) & (F.col("_p") == F.col("pos")))
-    rows = F.array_sort(F.collect_list(F.struct("pos", "t")))
-    return both.groupBy("video_id", "part").agg(F.min("pos").alias("first_pos"), F.array_join(F.transform(rows, lambda s: s["t"]), "\n\n").alias("text"))
+    """The text of lecture_ocr() in parts (see text_parts())."""
+    return text_parts(slides.select("video_id", "pos", strip(F.coalesce("full_text", F.lit(""))).alias("t")).where("t <> ''"), "t", size)

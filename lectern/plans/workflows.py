@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions import vectors as V
-from lectern.operators import align, chunk, documents, questions, retrieve, scoring, segment
-from lectern.plans.queries import AXES, BANK, BUDGET, CHARS, FRAME_DOCS, GROUPED, SCORES, SETTINGS, SHORT, _bank, _frame_rows, _scores, query, short_lectures, split_sql, spoken_slides, strip_sql, table
+from lectern.operators import align, chunk, documents, questions, retrieve, scoring, segment, terms
+from lectern.plans.queries import AXES, BANK, BUDGET, CHARS, DONE, FRAME_DOCS, GROUPED, LONG, SCORES, SETTINGS, SHORT, _bank, _frame_rows, _scores, long_lectures, query, short_lectures, split_sql, spoken_slides, strip_sql, table
 from lectern.sources import indexes
 from lectern.sources import lectures as io
-from lectern.tables import delete_folder, keep, shared_folder
+from lectern.sources.parts import partition_value, read_text_parts, write_text_parts
+from lectern.tables import delete_folder, keep, running_totals, shared_folder
 
 LETTERS = "aeinorstdlcumpgh"
 
@@ -163,7 +164,7 @@ def question_files(spark, d):
     with scratch(spark) as base:
         _bank(spark, d).groupBy("video_id").agg(F.to_json(rows).alias("value")).write.partitionBy("video_id").text(base)
         read = io.read_questions(spark, f"{base}/*/*.txt")
-        read = read.withColumn("video_id", F.url_decode(F.regexp_extract("file", "video_id=([^/]*)/", 1)))
+        read = read.withColumn("video_id", partition_value(F.col("file"), "video_id"))
         return keep(scoring.first_of_each(read).select("video_id", "question_id", "model", "method", "detail_setting.chunk_mode", "question"))
 
 
@@ -425,12 +426,40 @@ def scoring_round(spark, d):
 v AS (SELECT video_id, string_agg('[slide' || (turn + 1) || ' | ' || (turn * 60) || '.0s〜' || (turn * 60 + 60) || '.0s]' || chr(10) || CASE WHEN role <> 'assistant' THEN '（ASRなし）' ELSE t END, chr(10) || chr(10) ORDER BY turn) AS value FROM c GROUP BY video_id)
 SELECT video_id, n, line FROM (SELECT video_id, generate_subscripts(lines, 1) - 1 AS n, unnest(lines) AS line FROM (SELECT video_id, string_split(value, chr(10)) AS lines FROM v))""")
 def transcript_files(spark, d):
-    """Transcripts written as text files, a folder for each lecture, and read again line by line."""
+    """Transcripts written as text files of several parts, a folder for each lecture, and read again line by line."""
     with scratch(spark) as base:
-        io.export_transcripts(spoken_slides(spark, d), base)
-        read = spark.read.text(f"{base}/*/*.txt", wholetext=True).withColumn("file", F.col("_metadata.file_path"))
-        lines = F.split(F.regexp_replace("value", "\n$", ""), "\n", -1)
-        return keep(read.select(F.url_decode(F.regexp_extract("file", "video_id=([^/]*)/", 1)).alias("video_id"), F.posexplode(lines).alias("n", "line")))
+        io.export_transcripts(spoken_slides(spark, d), base, size=200)  # most are files of several parts
+        parts = read_text_parts(spark, base)
+        lines = F.split("text", "\n", -1)
+        rows = parts.select("video_id", "part", F.size(lines).alias("size"), F.posexplode(lines).alias("at", "line"))
+        before = running_totals(parts.select("video_id", "part", (F.size(lines) + 1).alias("size")), ["video_id"], ["part"], F.col("size"))  # a blank line between parts
+        placed = rows.join(before.select("video_id", "part", "sum_before"), ["video_id", "part"])
+        gaps = before.where("sum_before > 0").select("video_id", (F.col("sum_before") - 1).alias("n"), F.lit("").alias("line"))
+        return keep(placed.select("video_id", (F.col("sum_before") + F.col("at")).alias("n"), "line").unionByName(gaps))
+
+
+@query(f"""WITH {LONG}, t AS (SELECT video_id, {strip_sql("coalesce(full_text, '')")} AS t, pos FROM long),
+b AS (SELECT *, CAST(coalesce(sum(strlen(t) + 2) OVER (PARTITION BY video_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 4096 AS part FROM t WHERE t <> '')
+SELECT video_id, part, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS text FROM b GROUP BY video_id, part""")
+def lecture_ocr_files(spark, d):
+    """The texts of whole lectures in parts of 4 KB, written as files and read again."""
+    with scratch(spark) as base:
+        write_text_parts(terms.lecture_ocr_parts(long_lectures(spark, d), 4096), base)
+        return keep(read_text_parts(spark, base))
+
+
+@query(f"WITH {DONE} SELECT video_id, question_id, model, method FROM bank ANTI JOIN done USING (video_id, question_id, model)")
+def eval_pending_table(spark, d):
+    """What is pending against a bucketed table of scores that was appended to twice."""
+    scores, name = _scores(spark, d), f"lectern_scores_{uuid.uuid4().hex}"
+    with scratch(spark) as base:
+        try:
+            for axis in AXES:
+                io.append_score_table(scores.where(F.col("axis") == axis), name, base, 8)
+            left = scoring.pending(_bank(spark, d), spark.table(name), AXES, scoring.settings_hash(*SETTINGS))
+            return keep(left.select("video_id", "question_id", "model", "method"))
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 @query("""SELECT event_type AS log, event_id / 4.0 AS time, round(value, 2) AS score FROM events WHERE event_type <> 'error'""")

@@ -11,5 +11,7 @@ QUESTION = (
     f"question_id string, model string, method string, detail_setting {DETAIL}, chunk_id string, slide_ids array<string>, start_sec double, end_sec double, "
     "seeds array<string>, cot string, question string, choice_A string, choice_B string, choice_C string, choice_D string, answer string, reason string, bloom_level string"
 )
+#: The same as fields of a struct.
+QUESTION_FIELDS = ", ".join(f.replace(" ", ":", 1) for f in QUESTION.split(", "))
 AXIS = "axis_ord int, axis string, description string"
 SCORE = "video_id string, question_id string, model string, method string, chunk_mode string, axis string, trial int, score int, cot string, reason string, settings_hash string"

@@ -10,13 +10,27 @@ from pyspark.sql import functions as F
 
 from lectern import schemas
 from lectern.functions.text import transcript_block
+from lectern.sources.parts import BLANK, text_parts, unescaped, write_text_parts
 
 
-def read_lectures(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object a file; the folder's name is the lecture's id."""
-    df = spark.read.schema(schemas.LECTURE).json(path, multiLine=True)
-    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return df.select(F.url_decode(F.regexp_replace(folder, "^video_id=", "")).alias("video_id"), "meta", "slides")
+def _parsed(spark: SparkSession, path: str, schema: str, start: str) -> DataFrame:
+    """Each file of a path as ``v`` (null if it is no JSON of the schema, which begins with ``start``), with ``file`` and ``error``.  Small
+    files are packed into partitions by their bytes; a file is a row."""
+    df = spark.read.format("binaryFile").load(path).select(F.col("content").cast("string").alias("value"), F.col("_metadata.file_path").alias("file"))  # empty files too
+    broken = "v._bad is not null" if start == "{" else "false"
+    df = df.withColumn("v", F.from_json("value", f"{schema}, _bad string" if start == "{" else schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("v").isNull() | F.expr(broken) | ~F.ltrim("value").startswith(start)
+    return df.select("file", F.when(~bad, F.col("v")).alias("v"), F.when(bad, F.concat(F.lit("no JSON of the kind expected: "), F.substring("value", 1, 80))).alias("error"))
+
+
+def read_lectures(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """One JSON object a file; the folder's name is the lecture's id.  Broken files are left out; with ``errors`` they are rows that
+    say so (``file``, ``error``) instead; empty files are no rows for Spark's readers."""
+    df = _parsed(spark, path, schemas.LECTURE, "{")
+    folder = unescaped(F.element_at(F.split("file", "/"), -2))
+    folder = F.when(folder.startswith("video_id="), unescaped(F.substring(folder, len("video_id=") + 1, 1 << 30))).otherwise(folder)
+    df = df.select(folder.alias("video_id"), "v.meta", "v.slides", "file", "error")
+    return df if errors else df.where("error is null").drop("file", "error")
 
 
 def slides(lectures: DataFrame) -> DataFrame:
@@ -57,10 +71,12 @@ def write_lectures(lectures: DataFrame, slides_df: DataFrame, path: str, **parts
     nest_lectures(lectures, slides_df, **parts).write.partitionBy("video_id").json(path)
 
 
-def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects a file; ``ordinal`` keeps the order of the file."""
-    df = spark.read.schema(schemas.QUESTION).json(path, multiLine=True)
-    return df.withColumn("file", F.col("_metadata.file_path")).withColumn("ordinal", F.monotonically_increasing_id())
+def read_questions(spark: SparkSession, path: str, errors: bool = False) -> DataFrame:
+    """A JSON array of objects a file; ``file`` and ``ordinal`` keep the order of each file.  Broken files are left out; with ``errors`` they
+    are rows that say so (``error``) instead."""
+    df = _parsed(spark, path, f"array<struct<{schemas.QUESTION_FIELDS}>>", "[")
+    rows = df.where("error is null").select("file", F.posexplode("v").alias("ordinal", "q")).select("q.*", "file", "ordinal")
+    return rows.unionByName(df.where("error is not null").select("file", "error"), allowMissingColumns=True) if errors else rows
 
 
 def append_questions(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -72,15 +88,25 @@ def write_questions(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("method").parquet(path)
 
 
+def transcript_blocks(slides_df: DataFrame, field: str = "asr") -> DataFrame:
+    """(video_id, pos, slide_id, start_sec, end_sec, segments) to ``video_id``, ``pos``, ``block``: each slide's part of the transcript."""
+    return slides_df.select("video_id", "pos", transcript_block(F.col("slide_id"), F.col("start_sec"), F.col("end_sec"), F.col(field)).alias("block"))
+
+
 def transcripts(slides_df: DataFrame, field: str = "asr") -> DataFrame:
-    """(video_id, pos, slide_id, start_sec, end_sec, segments) to one text a lecture."""
-    block = transcript_block(F.col("slide_id"), F.col("start_sec"), F.col("end_sec"), F.col(field))
-    rows = F.array_sort(F.collect_list(F.struct("pos", block.alias("b"))))
-    return slides_df.groupBy("video_id").agg(F.array_join(F.transform(rows, lambda r: r["b"]), "\n\n").alias("value"))
+    """One text a lecture, which must fit a row; transcript_parts() has no such limit."""
+    rows = F.array_sort(F.collect_list(F.struct("pos", F.col("block").alias("b"))))
+    return transcript_blocks(slides_df, field).groupBy("video_id").agg(F.array_join(F.transform(rows, lambda r: r["b"]), BLANK).alias("value"))
 
 
-def export_transcripts(slides_df: DataFrame, path: str, field: str = "asr") -> None:
-    transcripts(slides_df, field).write.partitionBy("video_id").text(path)
+def transcript_parts(slides_df: DataFrame, field: str = "asr", size: int = 1 << 20) -> DataFrame:
+    """The transcripts in parts (see text_parts())."""
+    return text_parts(transcript_blocks(slides_df, field), "block", size)
+
+
+def export_transcripts(slides_df: DataFrame, path: str, field: str = "asr", size: int = 1 << 20) -> None:
+    """Text files, a folder for each lecture; long transcripts are files of several parts, in order."""
+    write_text_parts(transcript_parts(slides_df, field, size), path)
 
 
 def chunk_inputs(chunks: DataFrame) -> DataFrame:
@@ -97,6 +123,14 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.write.mode("append").partitionBy("settings_hash").parquet(path)
 
 
+def append_score_table(scores: DataFrame, name: str, path: str | None = None, buckets: int = 64) -> None:
+    """Appends scores to a table of the catalog, by settings, bucketed and sorted by lecture, question and model: what is pending
+    (see scoring.pending) is found without moving what is stored.  ``path``: where the table's files are (default: the warehouse)."""
+    keys = ["video_id", "question_id", "model"]
+    w = scores.repartition(buckets, *keys).write.mode("append").format("parquet").partitionBy("settings_hash").bucketBy(buckets, *keys).sortBy(*keys)
+    (w.option("path", path) if path else w).saveAsTable(name)
+
+
 def write_summary(summary: DataFrame, settings: Mapping[str, object], path: str) -> None:
     summary.withColumn("settings", F.struct(*[F.lit(v).alias(k) for k, v in settings.items()])).write.json(path)
 
