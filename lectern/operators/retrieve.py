@@ -76,7 +76,7 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.select(group, F.posexplode(vector).alias("dim", "x")).groupBy(group, "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Lists of one length as rows of doubles."""
     flat = column.combine_chunks()
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
@@ -104,7 +104,7 @@ def knn_topk(queries: DataFrame, children: DataFrame, k: int, keys: Sequence[str
         score = np.empty((0, 0))
         if q.num_rows and c.num_rows:
             c = c.take(pc.sort_indices(c["child_id"]))
-            score = np.round(_matrix(q["embedding"]) @ _matrix(c["embedding"]).T, digits)
+            score = np.round(matrix(q["embedding"]) @ matrix(c["embedding"]).T, digits)
             n = min(k, c.num_rows)
             least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
             row, col = np.nonzero(score >= least[:, None])

@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.operators import align, chunk, documents, questions, retrieve, scoring, segment, terms
+from lectern.operators import align, chunk, documents, lists, questions, retrieve, scoring, segment, terms
 from lectern.sources import lectures as io
-from lectern.tables import running_totals
+from lectern.tables import keep, running_totals
 
 SPEED, DAYS = 15.0, 259200.0
 AXES = ("quality", "toxic")
@@ -317,6 +317,14 @@ def knn_children(spark, d):
     return retrieve.knn_topk(_asked(spark, d).withColumn("store_mode", F.lit("ocr")), _children(spark, d), 6)
 
 
+@query()
+def knn_lists(spark, d):
+    """The same by inverted lists (approximate; tests measure how many of the exact hits it finds)."""
+    children = keep(_children(spark, d))
+    found = keep(lists.learn_lists(children))
+    return lists.search_lists(_asked(spark, d).withColumn("store_mode", F.lit("ocr")), lists.deal_to_lists(children, found), found, 6)
+
+
 TOP = f"{knn_sql(6)}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id, query_id, store_mode ORDER BY hit) AS rank FROM p) WHERE rank <= 3 AND store_mode = 'ocr')"
 
 
