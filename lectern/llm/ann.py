@@ -186,7 +186,11 @@ def _nearest(names: np.ndarray, x: np.ndarray, q: np.ndarray, ids: list[list[int
     for r, name in enumerate(names):
         near = found[r][np.isfinite(far[r])]
         for take in (k + 6, len(near)):
-            exact = np.sqrt(((x[near[:take]].astype(float) - q[r].astype(float)) ** 2).cumsum(axis=1)[:, -1])
+            gap = x[near[:take]].astype(float) - q[r].astype(float)
+            exact = np.sqrt((gap**2).cumsum(axis=1)[:, -1])
+            if np.isinf(exact).any():  # squares beyond doubles: the same, divided by a power of two
+                scale = _scale(gap)
+                exact = np.sqrt(((gap * scale) ** 2).cumsum(axis=1)[:, -1]) / scale
             best: dict[int, float] = {}
             for o in np.argsort(exact, kind="stable"):
                 if len(best) >= k and exact[o] > last:
@@ -211,7 +215,8 @@ def search_index(index: DataFrame, queries: DataFrame, key: str = "vec_id", vect
     a shard.  Distances of the nearest nodes are taken again in double precision on the original vectors, and the
     best of all shards are ranked (ties: smaller key).  A query's own key is left out.  Of several rows
     with one key and vector one is asked; if the vectors of a key differ, a distance to it is the least one,
-    and so is a distance from it.  Queries that are null, zero or not finite, or have no key, get no rows.
+    and so is a distance from it.  Distances of finite doubles whose squares would be infinite are taken after
+    division by a power of two.  Queries that are null, zero or not finite, or have no key, get no rows.
     """
     kind, spark = element(queries, vector), queries.sparkSession
     floats = "float" if kind == "<f4" else "double"

@@ -137,12 +137,12 @@ def fit_language_filters(docs: DataFrame, key: str = "doc_id", text: str = "text
         wanted = shares(counts, rows)
         part = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(2**63 - 1, 2**63 * wanted[name] // n))])
         named = named.where(F.xxhash64("key", "text").bitwiseAND(F.lit(2**63 - 1)) < part[F.col("lang")])
-    seen = keep(named.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")))
+    seen = keep(named.select("lang", "text").mapInArrow(_count_grams, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where((F.col("docs") >= LEAST_DOCS) | (F.col("gram") == 0)))  # most grams are one document's
     total = {r.lang: r.docs for r in seen.where("gram = 0").orderBy("lang").collect()}
     if not total:
         return LanguageFilters.of({})
     number, of = F.create_map(*[F.lit(x) for i, name in enumerate(total) for x in (name, i)]), F.create_map(*[F.lit(x) for name, n in total.items() for x in (name, n)])
-    held = seen.where((F.col("gram") != 0) & (F.col("docs") >= LEAST_DOCS)).select("gram", F.struct((F.col("docs") / of[F.col("lang")]).alias("share"), number[F.col("lang")].alias("i")).alias("s"))
+    held = seen.where("gram <> 0").select("gram", F.struct((F.col("docs") / of[F.col("lang")]).alias("share"), number[F.col("lang")].alias("i")).alias("s"))
     held = held.groupBy("gram").agg(F.collect_list("s").alias("all"), F.max("s.share").alias("top"))  # a struct for each language
     held = held.select("gram", F.explode(F.filter("all", lambda s: s["share"] >= PART * F.col("top"))).alias("s")).select("gram", "s.i")
     place = F.explode(F.array(*[F.shiftrightunsigned("gram", 20 * h).bitwiseAND(F.lit(SLOTS - 1)) for h in range(HASHES)]))

@@ -14,6 +14,9 @@ from lectern.llm.common import map_batches
 #: Base phrases and their labels (fixed values).
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+#: Scores: a whole wording stands in the text; a short notice that names a license (in whatever sense: a notice is a few words);
+#: a phrase alone.  Labels of notices end so.
+WHOLE, SHORT, PHRASE, NOTICE = 1.0, 0.75, 0.5, "-notice"
 #: License wordings (fixed values): short notices, and whole texts.  [[...]] is optional (and may hold further
 #: optional regions); {n} is replaceable and stands for up to n words of any kind.  All else is mandatory.
 TEMPLATES = {
@@ -51,10 +54,10 @@ TEMPLATES = {
         without warranties or conditions of any kind either express or implied see the license for the specific language governing
         permissions and limitations under the license""",
     **{name: f"""this program is free software you can redistribute it and or modify it under the terms of the gnu general public license
-        as published by the free software foundation either version {version} of the license [[or [[(at your option)]] any later version]]
+        as published by the free software foundation [[either]] version {version} of the license {later}
         this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
         merchantability or fitness for a particular purpose see the gnu general public license for more details"""
-       for name, version in (("gpl-2.0", 2), ("gpl-3.0", 3))},
+       for name, version, later in ((f"gpl-{v}.0-{kind}", v, more) for v in (2, 3) for kind, more in (("only", ""), ("or-later", "or [[(at your option)]] any later version")))},
     **{name: f"""redistribution and use in source and binary forms with or without modification are permitted provided that the
         following conditions are met [[1]] redistributions of source code must retain the above copyright notice this list of conditions
         and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of
@@ -147,7 +150,7 @@ def _scan(at: int, phrases: Mapping[str, str], templates: Mapping[str, str]):
         for label, a in automata.items():
             if a.rare in flat and a.rare in words and any(a.accepts(words, i) for i, w in enumerate(words) if w in a.first):
                 more.add(label)
-        score = 1.0 if more else 0.5 if base else 0.0
+        score = max([WHOLE * any(not m.endswith(NOTICE) for m in more), SHORT * bool(more), PHRASE * bool(base)])
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), score
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +170,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", phrases: Mapping[str, str
     """Adds to every row, from its whole text (null: empty): ``n_words``; ``n_base``, ``first_word`` and
     ``last_word`` (places of all base phrases, words counted from 0; null if none); ``base_labels``; ``labels``
     (base labels and names of templates whose automaton accepts some place of the text); ``score``
-    (1: a template's whole mandatory wording, 0.5: phrases alone, 0: neither).  Every row is scanned for
+    (1: a license's whole mandatory wording, 0.75: a short notice, 0.5: phrases alone, 0: none).  Every row is scanned for
     itself, also repeated ones; no rows: no rows.  Columns of these names are replaced.  One pass, nothing is
     shuffled."""
     rest = docs.drop(*NEW)

@@ -12,7 +12,7 @@ from lectern.llm.ann import build_index, search_index
 from lectern.llm.capdup import near_embeddings
 from lectern.llm.common import delete_folder, keep, keep_last, partitions, shared_folder, small_batches
 from lectern.llm.language import fit_language_filters, held_out, identify_languages
-from lectern.llm.licenses import PHRASES, TEMPLATES, scan_licenses, words_of
+from lectern.llm.licenses import NOTICE, PHRASE, PHRASES, SHORT, TEMPLATES, WHOLE, scan_licenses, words_of
 from lectern.llm.merkle import build_manifest, fold, leaf_digest, prove
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
 from lectern.llm.neardup import near_duplicates
@@ -202,7 +202,7 @@ WITH words AS (
 places AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS flat, list_filter(range(0, len(w)), lambda i: {" OR ".join(f"({p})" for p in place.values())}) AS p FROM words),
 told AS (SELECT *, [{base}] AS base, [{found}] AS more FROM places)
 SELECT doc_id, len(w) AS n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, {joined("base")} AS base_labels, {joined("list_concat(base, more)")} AS labels,
-  CASE WHEN len(list_filter(more, lambda l: l IS NOT NULL)) > 0 THEN 1.0 WHEN len(p) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM told
+  CASE WHEN len(list_filter(more, lambda l: l NOT LIKE '%{NOTICE}')) > 0 THEN {WHOLE} WHEN len(list_filter(more, lambda l: l IS NOT NULL)) > 0 THEN {SHORT} WHEN len(p) > 0 THEN {PHRASE} ELSE 0.0 END::DOUBLE AS score FROM told
 """
 
 

@@ -537,7 +537,7 @@ def test_op10_equals_plain_searches(spark):
         base = {label for p, label in PHRASES.items() if f" {p} " in flat}
         more = {k for k, t in TEMPLATES.items() if fits(t, words)}
         assert r.base_labels == ",".join(sorted(base)) and r.labels == ",".join(sorted(base | more)), (r.text, more)
-        assert r.score == (1.0 if more else 0.5 if base else 0.0)
+        assert r.score == (1.0 if any(not m.endswith("-notice") for m in more) else 0.75 if more else 0.5 if base else 0.0)
 
 
 def test_op10_mandatory_wording(spark):
@@ -595,3 +595,20 @@ def test_op9_shards_follow_the_table_alone(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert seen[0] == seen[1] and len(seen[0]) == 90
+
+
+def test_op9_large_components(spark):
+    """Doubles whose squares are infinite still have distances."""
+    rows = [(i, [1e200 * (i % 7), 1e200 * (i % 5), 3e199]) for i in range(1, 40)] + [(100, [1e200, 2e200, 3e199])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.score for r in search_index(build_index(df), df.where("vec_id = 100")).collect()}
+    far = {i: float(np.linalg.norm((np.array(v) - np.array(rows[-1][1])) / 1e200) * 1e200) for i, v in rows[:-1]}
+    best = sorted(far.values())[:10]
+    assert np.allclose(sorted(got.values()), best, rtol=1e-12) and all(np.isfinite(s) for s in got.values())
+
+
+def test_op10_notices_and_versions(spark):
+    gpl = lambda v, later: f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version {v} of the License{later}. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+    texts = ["this file is under the MIT license", gpl(2, ""), gpl(3, ", or (at your option) any later version"), "the mit license", "none"]
+    got = [(r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)).collect()]
+    assert got == [("mit,mit-notice", 0.75), ("gpl,gpl-2.0-only", 1.0), ("gpl,gpl-3.0-or-later", 1.0), ("mit", 0.5), ("", 0.0)]
