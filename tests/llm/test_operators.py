@@ -612,3 +612,17 @@ def test_op10_notices_and_versions(spark):
     texts = ["this file is under the MIT license", gpl(2, ""), gpl(3, ", or (at your option) any later version"), "the mit license", "none"]
     got = [(r.labels, r.score) for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)).collect()]
     assert got == [("mit,mit-notice", 0.75), ("gpl,gpl-2.0-only", 1.0), ("gpl,gpl-3.0-or-later", 1.0), ("mit", 0.5), ("", 0.0)]
+
+
+def test_op3_odd_strings():
+    """The encoder's ids are the tokenizer's on special strings, odd spaces, composed and decomposed letters, and random characters."""
+    t, e = Tokenizer.from_file(VOCABULARY), Encoder(VOCABULARY)
+    t.encode_special_tokens = True
+    rng = np.random.default_rng(4)
+    ranges = [(32, 127), (0, 32), (0xA0, 0x250), (0x300, 0x370), (0x2000, 0x2070), (0x3000, 0x30FF), (0xFE00, 0xFE10), (0x1F300, 0x1F6FF), (0xD7A0, 0xD7FF), (0xE000, 0xE010)]
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "<|endo", "\ufb01 \u00e9 e\u0301 \u212b \u2460", "\u200b\ufeff", "I'll 'S we've 12,345.6 \n\n\t x  ", "", " ", "a" * 5000, "\U0001f469\u200d\U0001f467", "\x00\x01"]
+    for _ in range(300):
+        low, high = ranges[int(rng.integers(len(ranges)))]
+        texts.append("".join(chr(c) if rng.random() < 0.7 else " aZ1'"[int(rng.integers(5))] for c in rng.integers(low, high, int(rng.integers(1, 60)))))
+    for x in texts:
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
