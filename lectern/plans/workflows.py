@@ -8,7 +8,6 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
