@@ -7,7 +7,6 @@ from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lectern.llm.common import map_batches
 
