@@ -372,14 +372,23 @@ def transcript_export(spark, d):
     return io.transcripts(spoken_slides(spark, d))
 
 
-@query(f"""WITH {LONG}, t AS (SELECT DISTINCT video_id, pos, unnest(regexp_extract_all(lower(full_text), '(\\p{{L}}{{3,}})', 1)) AS term FROM long),
+TERMS_SQL = f"""WITH {LONG}, t AS (SELECT DISTINCT video_id, pos, unnest(regexp_extract_all(lower(full_text), '(\\p{{L}}{{3,}})', 1)) AS term FROM long),
 c AS (SELECT video_id, term, count(*) AS n_slides FROM t GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n_slides DESC, term) AS rank FROM c) WHERE rank <= 15""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY n_slides DESC, term) AS rank FROM c) WHERE rank <= 15"""
+
+
+@query(TERMS_SQL)
 def recurring_terms(spark, d):
     slides = table(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("pos"), F.col("text").alias("full_text"))
     return terms.recurring_terms(slides, 15)  # which slide a term is on counts, not its place
 
 
+@query(TERMS_SQL)
+def recurring_terms_summed(spark, d):
+    slides = table(spark, d, "documents").select(F.col("source").alias("video_id"), F.col("doc_id").alias("pos"), F.col("text").alias("full_text"))
+    return terms.recurring_terms_summed(slides, 15)
+
+
 @query("""WITH t AS (SELECT source AS video_id, doc_id::VARCHAR AS chunk_id, unnest(regexp_extract_all(lower(text), '(\\p{L}{3,})', 1)) AS term FROM documents),
 tf AS (SELECT video_id, chunk_id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL), n AS (SELECT count(DISTINCT (source, doc_id)) AS total FROM documents),
 w AS (SELECT tf.*, df, round(tf * ln(total / df), 6) AS weight FROM tf JOIN df USING (term), n)

@@ -96,3 +96,20 @@ def test_top_k_with_ties_and_parts(spark, kind):
 def test_recurring_terms_count_slides(spark):
     s = spark.createDataFrame([("v", 0, "Word word WORD other"), ("v", 1, "word"), ("v", 2, None), ("w", 0, "an é été")], "video_id string, pos int, full_text string")
     assert {(r.video_id, r.term): (r.n_slides, r["rank"]) for r in terms.recurring_terms(s).collect()} == {("v", "word"): (2, 1), ("v", "other"): (1, 2), ("w", "été"): (1, 1)}
+
+
+@pytest.mark.parametrize(("size", "pairs", "parts"), [(None, 1_000_000, 4), (8, 60, 5), (3, 40, 7), (1, 1, 2)])
+def test_recurring_terms_by_summaries(spark, size, pairs, parts):
+    """The rows of the plain count: counted at once, candidates read again, and lectures without a sure candidate in full."""
+    rng = Random(9)
+    words = ["".join(rng.choice("abcdeé") for _ in range(4)) for _ in range(120)]
+    rows = []
+    for v, n in (("hot", 300), ("flat", 60), ("two", 2), (None, 40)):
+        for i in range(n):
+            drawn = rng.choices(words, k=12) if v == "flat" else [words[min(int(rng.paretovariate(0.8)) - 1, 119)] for _ in range(12)]
+            rows.append((v, i, " ".join(drawn) if i % 9 else rng.choice(["", None])))
+    rng.shuffle(rows)
+    s = spark.createDataFrame(rows, "video_id string, pos int, full_text string").repartition(parts)
+    key = lambda df: sorted((str(r.video_id), r["rank"], r.term, r.n_slides) for r in df.collect())
+    assert key(terms.recurring_terms_summed(s, 3, size, pairs)) == key(terms.recurring_terms(s, 3))
+    assert terms.recurring_terms_summed(s.limit(0), 3).columns == terms.recurring_terms(s, 3).columns and terms.recurring_terms_summed(s.limit(0), 3).isEmpty()
