@@ -59,11 +59,10 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def fits(kept: DataFrame, limit: int = 32 << 20) -> bool:
-    """Whether a table is small enough to be broadcast: the sizes of its texts and arrays of texts, and 16 bytes for anything else, are summed."""
-    size = {"string": "octet_length({0})", "array<string>": "aggregate({0}, 0L, (s, x) -> s + 16 + coalesce(octet_length(x), 0))"}
-    each = "+".join(f"16+coalesce({size.get(t, '0').format(f'c{i}')}, 0)" for i, (_, t) in enumerate(kept.dtypes))
+    """Whether a table of texts and plain values is small enough to be broadcast: the bytes of the texts and 16 for each value are summed."""
     rows = kept.toDF(*[f"c{i}" for i in range(len(kept.columns))])
-    return (rows.agg(F.expr(f"sum(cast({each} as long))")).first()[0] or 0) <= limit
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in rows.dtypes if t == "string"]
+    return (rows.agg(F.sum(sum(texts, F.lit(16 * len(rows.columns))).cast("long"))).first()[0] or 0) <= limit
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lectern.operators import retrieve, scoring, terms
 from lectern.sources import lectures as io
 from lectern.sources.parts import read_text_parts, text_parts, write_text_parts
+from lectern.tables import fits
 
 
 def test_many_small_files(spark, tmp_path):
@@ -98,9 +99,12 @@ def test_recurring_terms_count_slides(spark):
     assert {(r.video_id, r.term): (r.n_slides, r["rank"]) for r in terms.recurring_terms(s).collect()} == {("v", "word"): (2, 1), ("v", "other"): (1, 2), ("w", "été"): (1, 1)}
 
 
-@pytest.mark.parametrize(("size", "pairs", "parts"), [(None, 1_000_000, 4), (8, 60, 5), (3, 40, 7), (1, 1, 2)])
-def test_recurring_terms_by_summaries(spark, size, pairs, parts):
-    """The rows of the plain count: counted at once, candidates read again, and lectures without a sure candidate in full."""
+@pytest.mark.parametrize(("size", "pairs", "parts", "limit"), [(None, 1_000_000, 4, 1 << 20), (8, 60, 5, 1 << 20), (3, 40, 7, 1 << 20), (1, 1, 2, 1 << 20), (8, 60, 5, 0)])
+def test_recurring_terms_by_summaries(spark, monkeypatch, size, pairs, parts, limit):
+    """The rows of the plain count: counted at once, candidates read again, lectures without a sure candidate in full, and all that is open
+    in full where nothing fits a broadcast."""
+    sizes = []
+    monkeypatch.setattr(terms, "fits", lambda df: sizes.append(fits(df, 0) is df.isEmpty()) or fits(df, limit))
     rng = Random(9)
     words = ["".join(rng.choice("abcdeé") for _ in range(4)) for _ in range(120)]
     rows = []
@@ -113,3 +117,4 @@ def test_recurring_terms_by_summaries(spark, size, pairs, parts):
     key = lambda df: sorted((str(r.video_id), r["rank"], r.term, r.n_slides) for r in df.collect())
     assert key(terms.recurring_terms_summed(s, 3, size, pairs)) == key(terms.recurring_terms(s, 3))
     assert terms.recurring_terms_summed(s.limit(0), 3).columns == terms.recurring_terms(s, 3).columns and terms.recurring_terms_summed(s.limit(0), 3).isEmpty()
+    assert sizes and all(sizes)
