@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import keep, partitions, release, runs
-from lectern.llm.components import components
+from lectern.llm.components import components, smallest
 from lectern.llm.vectors import as_double, element, matrix, usable
 
 #: Filters that a random vector exceeds on average, and the best ones that any vector gets at least.
@@ -125,24 +125,6 @@ def _coded(kind: str, words: int, depth: int):
     return go
 
 
-def _smallest(name: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each node the smallest name of its component under the links a-b, by hooking the larger root
-    of each link onto the smaller one until no link joins two roots."""
-    order = np.argsort(name)
-    rank = np.empty(len(name), np.int64)
-    rank[order] = np.arange(len(name))
-    root, a, b = np.arange(len(name)), rank[a], rank[b]
-    while True:
-        x, y = root[a], root[b]
-        apart = x != y
-        if not apart.any():
-            return name[order][root[rank]]
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while ((up := root[root]) != root).any():
-            root = up
-
-
 def _meet_first(filters: list[np.ndarray], here: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Of pairs of rows that share filter ``here``: do they share no smaller one?  ``filters``: of each row, sorted."""
     smaller = [f[: np.searchsorted(f, here)] for f in filters]
@@ -205,12 +187,12 @@ def _links(kind: str, words: int, depth: int, cosine: float):
                         both = np.concatenate([u, v])
                         new = _meet_first([filters[r] for r in both], here, a, b + len(u))
                         a, b = u[a], v[b]
-                        joined.append(np.stack([both, both[_smallest(np.arange(len(both)), *_at(both, a, b))]]))
+                        joined.append(np.stack([both, both[smallest(np.arange(len(both)), *_at(both, a, b))]]))
                         np.add.at(links, a[new], weight[b[new]])
                         np.add.at(links, b[new], weight[a[new]])
             if joined:
                 a, b = np.concatenate(joined, axis=1)
-                least = _smallest(name, a, b)
+                least = smallest(name, a, b)
                 seen = np.zeros(t.num_rows, bool)
                 seen[a[a != b]] = seen[b[a != b]] = True
                 yield pa.RecordBatch.from_arrays([pa.array(name[seen]), pa.array(links[seen]), pa.array(least[seen])], ["class", "links", "least"])

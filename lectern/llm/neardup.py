@@ -70,8 +70,8 @@ def _verify(percent: int):
 def _blocks(percent: int, with_text: bool):
     """Rows (key, i, j, band, block, set, component, n, signature[, text]), sorted by key, i, j: the
     blocks i and j of a bucket.  Pairs of two components that agree enough and meet in no earlier
-    band are looked at here; without texts the rows of such pairs are returned, with texts the
-    pairs that are similar."""
+    band are looked at here; without texts the rows of such pairs are returned as they came, with texts
+    the pairs that are similar."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["key", "i", "j"]):
@@ -115,7 +115,7 @@ def _blocks(percent: int, with_text: bool):
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
             elif used.any():
-                yield from t.select(["key", "i", "j", "set"]).filter(pa.array(used)).combine_chunks().to_batches()
+                yield from t.filter(pa.array(used)).combine_chunks().to_batches()
 
     return go
 
@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     def sorted_by_block(df: DataFrame) -> DataFrame:
         return df.repartition(partitions(spark), *ends).sortWithinPartitions(*ends)
 
-    near = keep(sorted_by_block(apart).mapInArrow(_blocks(percent, False), "key long, i int, j int, set long"))
-    again = apart.join(near, [*ends, "set"], "left_semi").join(texts(near), "set").select(*ends, "band", "block", "set", "component", "n", "signature", "text")
+    near = keep(sorted_by_block(apart).mapInArrow(_blocks(percent, False), apart.schema))
+    again = near.join(texts(near), "set").select(*near.columns, "text")
     more = keep(sorted_by_block(again).mapInArrow(_blocks(percent, True), "a long, b long"))
     release(marked, near)
     whole = components(more)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -13,11 +14,14 @@ from tokenizers import Tokenizer
 from lectern.llm import minhash
 from lectern.llm.ann import build_graph, build_index, search_index
 from lectern.llm.capdup import FILTERS, LEAST_FILTERS, ProductCode, near_embeddings
+from lectern.llm.common import recorded
+from lectern.llm.components import _stars
 from lectern.llm.components import components as spark_components
 from lectern.llm.language import UNKNOWN, LanguageFilters, dealt, fit_language_filters, grams, held_out, identify_languages, shares
 from lectern.llm.licenses import PHRASES, TEMPLATES, Automaton, scan_licenses, words_of
+from lectern.llm.minhash import COORDINATES
 from lectern.llm.mixing import OTHER, mix_sources, pfair_period
-from lectern.llm.neardup import in_blocks, near_duplicates
+from lectern.llm.neardup import _blocks, in_blocks, near_duplicates
 from lectern.llm.packing import VOCABULARY, Encoder, pack_documents, shortest_pack_first
 from lectern.llm.sharding import shard_by_bytes
 from lectern.llm.toxicity import IDENTITY_TERMS, L2, Swaps, _fit, features, fit_toxicity, score_toxicity
@@ -488,6 +492,49 @@ def test_components_of_hubs_and_paths(spark):
     assert spark_components(hub.where("false")).collect() == []
 
 
+def test_components_of_stars_are_kept_twice(spark):
+    """Links that one pass contracts to stars are written once, and their components once."""
+    edges = spark.range(1, 5001).selectExpr("id % 50 AS a", "id + 1000 AS b")
+    with recorded() as made:
+        got = spark_components(edges)
+    assert len(made) == 2
+    assert {(r.node, r.component) for r in got.collect()} == {(n, c) for i in range(1, 5001) for n, c in ((i + 1000, i % 50), (i % 50, i % 50))}
+
+
+def test_components_equal_union_find(spark):
+    """Long paths, repeated links and random trees in shuffled order, over many tasks."""
+    rng = np.random.default_rng(4)
+    n = 6000
+    name = rng.permutation(n)
+    pairs = [(i, i + 1) for i in range(2000)] + [(i, int(rng.integers(2001, i))) for i in range(2002, 4000)] + [(int(a), int(b)) for a, b in rng.integers(4000, n, (1500, 2))] * 2
+    pairs = [(int(name[a]), int(name[b])) for a, b in rng.permutation(pairs)]
+    want = components(n, pairs)
+    got = spark_components(spark.createDataFrame(pairs, "a long, b long").repartition(40)).collect()
+    nodes = {x for a, b in pairs if a != b for x in (a, b)}
+    assert sorted((r.node, r.component) for r in got) == sorted((x, want[x]) for x in nodes)
+
+
+def test_stars_of_chunks(monkeypatch):
+    """Every chunk is contracted by itself: no node has two smaller ends in it."""
+    monkeypatch.setattr("lectern.llm.components.CHUNK", 4)
+    edges = [(1, 2), (3, 2), (5, 4), (7, 7), (2, 9), (9, 4), (8, 8)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a]), pa.array([b])], ["a", "b"]) for a, b in edges]
+    got = [list(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in _stars(iter(batches))]
+    assert got == [[(2, 1), (3, 1), (5, 4)], [(4, 2), (9, 2)]]
+    assert list(_stars(iter([]))) == []
+
+
+def test_op1_rows_of_near_signatures_come_back_whole():
+    """What the second pass needs comes from the first: the blocks' rows aren't made again."""
+    rng = np.random.default_rng(2)
+    one, other = (rng.integers(0, 2**16, COORDINATES, dtype=np.uint16).tobytes() for _ in range(2))
+    rows = [(5, 0, 0, 0, 0, 11, 11, 30, one), (5, 0, 0, 0, 0, 12, 12, 31, one), (5, 0, 0, 0, 0, 13, 13, 30, other)]
+    names = ["key", "i", "j", "band", "block", "set", "component", "n", "signature"]
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows])
+    got = pa.Table.from_batches(list(_blocks(75, False)(iter([batch]))))
+    assert got.to_pylist() == batch.to_pylist()[:2]
+
+
 def test_op10_equals_plain_searches(spark):
     """Base columns by regular expressions, templates by backtracking over the words."""
 
