@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lectern.tables import keep, let_go, map_batches, partitions, recorded, release
@@ -39,6 +39,16 @@ def _spanning(dealt: DataFrame, group: Sequence[str]) -> DataFrame:
     return ends.groupBy("g").count().where("count > 1").select("g.*")
 
 
+def _last_before(value: str, rows: WindowSpec, order: Sequence[str | Column]) -> Column:
+    return F.last(value, True).over(rows.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _first_behind(value: str, rows: WindowSpec, order: Sequence[str]) -> Column:
+    """The last value before the row in the order turned round: a frame that grows takes a step a row, while Spark goes through one that
+    shrinks anew for each row."""
+    return _last_before(value, rows, [F.desc(c) for c in order])
+
+
 def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], before: Mapping[str, Column] | None = None, after: Mapping[str, Column] | None = None, parts: int | None = None) -> DataFrame:
     """Adds for each row the last value before it (columns of ``before``) and the first one behind it (``after``) in the order of
     its group; null values are passed over.
@@ -55,11 +65,11 @@ def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], before
         dealt = dealt.withColumn("_part", F.lit(0))
     else:
         dealt = keep(dealt.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
-    here = Window.partitionBy("_part", *group).orderBy(*order)
+    here = Window.partitionBy("_part", *group)
     inside = dealt.select(
         *df.columns, "_part",
-        *[F.last(v, True).over(here.rowsBetween(Window.unboundedPreceding, -1)).alias(v) for v in back],
-        *[F.first(v, True).over(here.rowsBetween(1, Window.unboundedFollowing)).alias(v) for v in on],
+        *[_last_before(v, here, order).alias(v) for v in back],
+        *[_first_behind(v, here, order).alias(v) for v in on],
     )
     if parts == 1:
         return inside.select(*df.columns, *[F.col(v).alias(name) for v, name in zip(values, [*before, *after], strict=True)])
@@ -67,11 +77,11 @@ def neighbours(df: DataFrame, group: Sequence[str], order: Sequence[str], before
     known = lambda v: F.when(F.col(v).isNotNull(), place)
     edges = dealt.join(F.broadcast(_spanning(dealt, group)), _same(group, "_g"))  # fewer rows than partitions
     edges = edges.groupBy(F.col("_part").alias("_p"), *[f"_g{i}" for i in range(len(group))]).agg(*[F.max_by(v, known(v)).alias(v) for v in back], *[F.min_by(v, known(v)).alias(v) for v in on])
-    by_part = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_p")
+    by_part = Window.partitionBy(*[f"_g{i}" for i in range(len(group))])
     edges = edges.select(
         "_p", *[f"_g{i}" for i in range(len(group))],
-        *[F.last(v, True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_e{v}") for v in back],
-        *[F.first(v, True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias(f"_e{v}") for v in on],
+        *[_last_before(v, by_part, ["_p"]).alias(f"_e{v}") for v in back],
+        *[_first_behind(v, by_part, ["_p"]).alias(f"_e{v}") for v in on],
     )
     out = inside.join(F.broadcast(edges), (F.col("_part") == F.col("_p")) & _same(group, "_g"), "left")  # two rows a partition at most
     return out.select(*df.columns, *[F.coalesce(v, f"_e{v}").alias(name) for v, name in zip(values, [*before, *after], strict=True)])

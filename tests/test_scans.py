@@ -30,6 +30,16 @@ def test_neighbours(spark, n):
     assert neighbours(df.where("false"), ["g"], ["t"], before={"was": F.col("v")}, parts=n).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 3])
+def test_neighbours_take_a_step_a_row(spark, n):
+    """No frame shrinks from row to row: Spark goes through such a frame anew for each row, which takes the square of a group's rows."""
+    df = spark.range(300).select(F.lit("g").alias("g"), F.col("id").alias("t"), F.when(F.col("id") % 50 == 7, F.col("id")).alias("v"))
+    got = neighbours(df, ["g"], ["t"], before={"was": F.col("v")}, after={"then": F.col("v")}, parts=n)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "specifiedwindowframe" in plan and "unboundedfollowing" not in plan
+    assert all(r.then == next((v for v in range(7, 300, 50) if v > r.t), None) and r.was == next((v for v in range(257, 0, -50) if v < r.t), None) for r in got.collect())
+
+
 def test_first_reaching(spark):
     rng = Random(3)
     points = [(rng.choice("ab"), float(rng.randrange(40)), i) for i in range(120)]
