@@ -17,7 +17,7 @@ from lectern.plans.queries import AXES, BANK, BUDGET, CHARS, DONE, FRAME_DOCS, G
 from lectern.sources import indexes
 from lectern.sources import lectures as io
 from lectern.sources.parts import partition_value, read_text_parts, write_text_parts
-from lectern.tables import delete_folder, keep, running_totals, shared_folder
+from lectern.tables import delete_folder, drop_shuffles, keep, let_go, recorded, running_totals, shared_folder
 
 LETTERS = "aeinorstdlcumpgh"
 
@@ -441,9 +441,12 @@ def transcript_files(spark, d):
 b AS (SELECT *, CAST(coalesce(sum(strlen(t) + 2) OVER (PARTITION BY video_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 4096 AS part FROM t WHERE t <> '')
 SELECT video_id, part, string_agg(t, chr(10) || chr(10) ORDER BY pos) AS text FROM b GROUP BY video_id, part""")
 def lecture_ocr_files(spark, d):
-    """The texts of whole lectures in parts of 4 KB, written as files and read again."""
+    """The texts of whole lectures in parts of 4 KB, written as files of many parts and read again."""
     with scratch(spark) as base:
-        write_text_parts(terms.lecture_ocr_parts(long_lectures(spark, d), 4096), base)
+        with recorded() as made:
+            write_text_parts(terms.lecture_ocr_parts(long_lectures(spark, d), 4096), base)
+            let_go(made)
+        drop_shuffles(spark)  # what the call before may have come too early for
         return keep(read_text_parts(spark, base))
 
 

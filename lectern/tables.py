@@ -76,6 +76,12 @@ def release(*kept: DataFrame) -> None:
         delete_folder(df.sparkSession, df._lectern_path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over: it does so when the driver's JVM collects their handles, by itself
+    perhaps only after half an hour.  For steps that move all texts; a table of keep() needs none of its shuffles."""
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def recorded() -> Iterator[list[DataFrame]]:
     """The list of the tables that are kept inside, by this thread."""

@@ -50,6 +50,15 @@ def test_texts_in_parts(spark, tmp_path):
     assert {v: "\n\n".join(p) for v, p in got.items()} == {v: "\n\n".join(t for w, _, t in blocks if w == v) for v in ("a/b c+%", "long")} and len(got["long"]) > 10
 
 
+def test_parts_share_files(spark, tmp_path):
+    """Neither a part nor a short lecture has a file of its own, and any text and lecture comes back as it was."""
+    odd = ["", "\n", " a\r\nb\r", "\u2028\x85\x0b\x00", '"quoted" \\n {}', "\n\n", "é😀", "x" * (21 << 20)]  # the last is longer than a JSON string may be by default
+    rows = [(v, i, t) for v in ("a/b c+%", "", None, "..") for i, t in enumerate(odd[:-1])] + [("long", 5, odd[-1])] + [(f"v{i}", k, f"{i} {k}") for i in range(200) for k in range(3)]
+    write_text_parts(spark.createDataFrame(rows, "video_id string, part long, text string").repartition(3), str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").rglob("part-*"))) == 3
+    assert {(r.video_id, r.part, r.text) for r in read_text_parts(spark, str(tmp_path / "out")).collect()} == set(rows)
+
+
 def test_transcripts_in_parts(spark, tmp_path):
     s = spark.range(40).selectExpr("'v' AS video_id", "cast(id as int) AS pos", "concat('slide', id + 1) AS slide_id", "cast(id as double) AS start_sec", "cast(id + 1 as double) AS end_sec", "if(id % 3 = 0, array(), array(struct(0D AS start_sec, concat(' said ', id) AS text))) AS asr")
     io.export_transcripts(s, str(tmp_path / "t"), size=100)
