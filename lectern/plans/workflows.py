@@ -425,9 +425,9 @@ def scoring_round(spark, d):
 v AS (SELECT video_id, string_agg('[slide' || (turn + 1) || ' | ' || (turn * 60) || '.0s〜' || (turn * 60 + 60) || '.0s]' || chr(10) || CASE WHEN role <> 'assistant' THEN '（ASRなし）' ELSE t END, chr(10) || chr(10) ORDER BY turn) AS value FROM c GROUP BY video_id)
 SELECT video_id, n, line FROM (SELECT video_id, generate_subscripts(lines, 1) - 1 AS n, unnest(lines) AS line FROM (SELECT video_id, string_split(value, chr(10)) AS lines FROM v))""")
 def transcript_files(spark, d):
-    """Transcripts written as text files of several parts, a folder for each lecture, and read again line by line."""
+    """Transcripts written in parts as text files, and read again line by line."""
     with scratch(spark) as base:
-        io.export_transcripts(spoken_slides(spark, d), base, size=200)  # most are files of several parts
+        io.export_transcripts(spoken_slides(spark, d), base, size=200)  # most are several parts
         parts = read_text_parts(spark, base)
         lines = F.split("text", "\n", -1)
         rows = parts.select("video_id", "part", F.size(lines).alias("size"), F.posexplode(lines).alias("at", "line"))

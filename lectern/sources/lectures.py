@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern import schemas
 from lectern.functions.text import transcript_block
 from lectern.sources.parts import BLANK, text_parts, unescaped, write_text_parts
+from lectern.tables import let_go, recorded
 
 
 def _parsed(spark: SparkSession, path: str, schema: str, start: str) -> DataFrame:
@@ -105,8 +106,10 @@ def transcript_parts(slides_df: DataFrame, field: str = "asr", size: int = 1 <<
 
 
 def export_transcripts(slides_df: DataFrame, path: str, field: str = "asr", size: int = 1 << 20) -> None:
-    """Text files, a folder for each lecture; long transcripts are files of several parts, in order."""
-    write_text_parts(transcript_parts(slides_df, field, size), path)
+    """Text files of many parts (see write_text_parts()); a long transcript is several parts, a short one shares its file with others."""
+    with recorded() as made:
+        write_text_parts(transcript_parts(slides_df, field, size), path)
+        let_go(made)
 
 
 def chunk_inputs(chunks: DataFrame) -> DataFrame:

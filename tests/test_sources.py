@@ -6,6 +6,7 @@ from random import Random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern import tables
 from lectern.operators import retrieve, scoring, terms
 from lectern.sources import lectures as io
 from lectern.sources.parts import read_text_parts, text_parts, write_text_parts
@@ -66,6 +67,18 @@ def test_transcripts_in_parts(spark, tmp_path):
     assert "\n\n".join(r.text for r in sorted(read_text_parts(spark, str(tmp_path / "t")).collect(), key=lambda r: r.part)) == whole
 
 
+def test_transcripts_of_many_lectures(spark, tmp_path, monkeypatch):
+    """Short lectures share files, and nothing but the files is left behind."""
+    monkeypatch.setattr(tables, "shared_folder", lambda _: f"file://{tmp_path}/shared")
+    s = spark.range(900).selectExpr("concat('v', id % 300) AS video_id", "cast(id div 300 as int) AS pos", "concat('slide', id div 300 + 1) AS slide_id", "cast(id as double) AS start_sec", "cast(id + 1 as double) AS end_sec", "array(struct(0D AS start_sec, concat('said ', id) AS text)) AS asr")
+    io.export_transcripts(s, str(tmp_path / "t"), size=40)
+    got = {}
+    for r in sorted(read_text_parts(spark, str(tmp_path / "t")).collect(), key=lambda r: r.part):
+        got.setdefault(r.video_id, []).append(r.text)
+    assert all(len(p) > 1 for p in got.values()) and {v: "\n\n".join(p) for v, p in got.items()} == {r.video_id: r.value for r in io.transcripts(s).collect()}
+    assert len(list((tmp_path / "t").rglob("part-*"))) <= 16 and list((tmp_path / "shared").iterdir()) == []
+
+
 def test_stored_scores_are_not_shuffled(spark, tmp_path):
     keys = "video_id string, question_id string, model string"
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
